@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,17 +46,20 @@ def latest(observations: DataFrame, n: int = MAX_DOCUMENTS) -> DataFrame:
     return observations.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
 
 
-def _fold(group: pd.DataFrame, state: list, days: int, cap: int) -> list[bool]:
+def _fold(times: list[int], docs: list, span: int, cap: int) -> list[bool]:
     """Admits rows in time order: old ones expire, a document that is there already is ignored, the newest cap stay."""
-    span = pd.Timedelta(days=days)
+    state: deque = deque()
+    held: set = set()
     out = []
-    for ts, doc in zip(group["ts"], group["doc"], strict=True):
-        state[:] = [s for s in state if s[0] >= ts - span]
-        fresh = all(s[1] != doc for s in state)
-        if fresh:
+    for ts, doc in zip(times, docs, strict=True):
+        while state and state[0][0] < ts - span:
+            held.discard(state.popleft()[1])
+        out.append(doc not in held)
+        if out[-1]:
             state.append((ts, doc))
-            del state[:-cap]
-        out.append(fresh)
+            held.add(doc)
+            if len(state) > cap:
+                held.discard(state.popleft()[1])
     return out
 
 
@@ -66,6 +71,6 @@ def admitted(observations: DataFrame, days: int = WINDOW_DAYS, cap: int = MAX_DO
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ts", "obs_id"])
-        return group[_fold(group, [], days, cap)]
+        return group[_fold(group["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), group["doc"].tolist(), days * 86_400_000_000, cap)]
 
     return observations.select("kind", "obs_id", "doc", "ts").groupBy("kind").applyInPandas(run, "kind string, obs_id long, doc long, ts timestamp_ntz")
