@@ -32,9 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Rows and bytes of one Arrow batch; texts are long, and each task holds a batch in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable by Python workers that were not started from the repository."""
+    """Bound the Arrow batches, and make this package importable by Python workers that were not started from the repository."""
     sc = spark.sparkContext
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     if getattr(sc, "_quill_shipped", False):
         return
     sc._quill_shipped = True

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text worked on at once; one longer text is still taken whole.
-PIECE = 3 << 20
+PIECE = 1 << 20
 
 WHITE = np.ones(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = False
@@ -43,7 +43,7 @@ def powers(base: int, n: int) -> np.ndarray:
         x = np.full(max(n, 1), base % (1 << 64), dtype=U)
         x[0] = 1
         have = np.multiply.accumulate(x)
-        if n <= 4 * PIECE:
+        if n <= 2 * PIECE:
             _powers[base] = have
     return have[:n]
 
