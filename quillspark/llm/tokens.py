@@ -34,12 +34,24 @@ END = 0
 #: Rounds of replacement, pairs replaced in a round, and the least count of a pair.
 ROUNDS, PAIRS, LEAST = 4, 2048, 16
 #: Distinct chunks whose ids an encoder remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
+#: Bytes of text encoded at once: more text has fewer new chunks a byte.
+ENCODED = 4 << 20
 
 #: Spaces that may not be cut at, white space and controls other than space and newline, and marks of special tokens.
 ODD = r"[ \n] [ \n]|[ \n] $|[\x00-\x09\x0B-\x1F\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}]|<\|"
 
 
+#: A control that no plain text holds: what follows it had no space before it.
+CUT = "\x01"
+
+
+def _cut(column: pa.Array) -> pa.Array:
+    """Also cuts between a Latin letter or digit and the marks behind it, and before a lone newline, where the pattern always has a boundary: fewer different chunks."""
+    column = pc.replace_substring_regex(column, r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,!?;:]+)", "\\1 \x01\\2")
+    return pc.replace_substring_regex(column, r"([^ \n])\n([^ \n\x01])", "\\1 \x01\n\\2")
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -57,11 +69,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[k for x, k in vocabulary.items() if x.startswith("Ġ")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: chunk to its number; chunk k has the ids ids[ends[k]:ends[k + 1]] of the parts in a row."""
+        self.known: dict[str, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, spaced: list[str], bare: list[str]) -> None:
+        """Ids of new chunks. Those that begin with a space go in long rows: no boundary moves, and only a chunk's first id begins with a space."""
+        rows = ["".join(spaced[k : k + 500]) for k in range(0, len(spaced), 500)]
+        flat = np.concatenate([np.zeros(0, dtype=np.uint32), *self._direct(rows)])
+        begin = np.flatnonzero(self.spaced[flat])
+        if len(begin) != len(spaced):
+            raise ValueError("chunks and ids don't match")
+        alone = self._direct(bare)
+        self.parts += [flat, *alone]
+        self.sizes += [np.diff(np.append(begin, len(flat))), np.array([len(x) for x in alone], dtype=np.int64)]
+        for x in [*spaced, *bare]:
+            self.known[x] = len(self.known)
+
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)
         out: list[np.ndarray | None] = [None] * len(column)
@@ -71,7 +105,7 @@ class Encoder:
                 out[k] = ids
         plain = np.flatnonzero(~odd)
         if len(plain):
-            chunks = pc.split_pattern(column.take(pa.array(plain)), " ")
+            chunks = pc.split_pattern(_cut(column.take(pa.array(plain))), " ")
             offsets = chunks.offsets.to_numpy()
             offsets = offsets - offsets[0]
             coded = chunks.flatten().dictionary_encode()
@@ -86,18 +120,22 @@ class Encoder:
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         bare, index = np.unique(index[first]), index.copy()
         index[first] = np.searchsorted(bare, index[first]) + len(names)
-        forms = [" " + x for x in names] + [names[k] for k in bare]
-        missing = [x for x in forms if x not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
+        alone = [names[k] for k in bare] + [x[1:] for x in names if x[:1] == CUT]
+        at = {x: k for k, x in enumerate(x for x in names if x[:1] != CUT)}
+        forms = [[" " + x for x in at], list(dict.fromkeys(alone))]
+        place = {x: k + len(at) for k, x in enumerate(forms[1])}
+        index = np.array([place[x[1:]] if x[:1] == CUT else at[x] for x in names] + [place[names[k]] for k in bare], dtype=np.int64)[index]
+        missing = [[x for x in f if x not in self.known] for f in forms]
+        if len(self.known) + len(missing[0]) + len(missing[1]) > REMEMBERED:
+            self._forget()
             missing = forms
-        for x, ids in zip(missing, self._direct(missing), strict=True):
-            self.known[x] = ids
-        parts = [self.known[x] for x in forms]
-        table = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
-        ends = np.cumsum([len(x) for x in parts])
-        starts = ends - [len(x) for x in parts]
-        ids, at = tk.gather(table, starts[index], ends[index])
+        # A bare chunk may equal a spaced one only if it holds a space, and it holds none.
+        if missing[0] or missing[1]:
+            self._learn(*missing)
+            self.parts, self.sizes = [np.concatenate(self.parts)], [np.concatenate(self.sizes)]
+        ends = np.cumsum(self.sizes[0]) if self.sizes else np.zeros(0, dtype=np.int64)
+        number = np.array([self.known[x] for f in forms for x in f], dtype=np.int64)[index]
+        ids, at = tk.gather(self.parts[0] if self.parts else np.zeros(0, dtype=np.uint32), ends[number] - self.sizes[0][number] if len(number) else number, ends[number] if len(number) else number)
         return ids, at[offsets]
 
 
@@ -121,13 +159,18 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
             break
         often = often[np.lexsort((order[edge[often]], -times[often]))[:room]]
         chosen = np.sort(order[edge[often]])
-        # Prefilter by both ends, then look the pair up.
+        # A table of chosen pairs by the ranks of their left and right symbols; -1 is none.
         shift, part = (np.uint32(16), np.uint32(0xFFFF)) if narrow else (np.uint64(32), np.uint64(0xFFFFFFFF))
-        left, right = np.zeros(base + made, dtype=bool), np.zeros(base + made, dtype=bool)
-        left[chosen >> shift], right[chosen & part] = True, True
-        at = np.flatnonzero(open_ & left[symbols[:-1]] & right[symbols[1:]])
-        place = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[place] == pair[at]
+        a, b = (chosen >> shift).astype(np.int64), (chosen & part).astype(np.int64)
+        left, right = np.full(base + made, -1, dtype=np.int32), np.full(base + made, -1, dtype=np.int32)
+        lefts, rights = np.unique(a), np.unique(b)
+        left[lefts], right[rights] = np.arange(len(lefts)), np.arange(len(rights))
+        table = np.full(len(lefts) * len(rights), -1, dtype=np.int32)
+        table[left[a] * len(rights) + right[b]] = np.arange(len(chosen))
+        x, y = left[symbols[:-1]], right[symbols[1:]]
+        at = np.flatnonzero((x >= 0) & (y >= 0) & open_)
+        place = table[x[at] * np.int32(len(rights)) + y[at]]
+        hit = place >= 0
         at, place = at[hit], place[hit]
         # Of overlapping places every second one of a run goes on, from the run's left end.
         run = np.concatenate([[True], at[1:] != at[:-1] + 1]) if len(at) else np.zeros(0, dtype=bool)
@@ -139,7 +182,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([chosen >> shift, chosen & part], axis=1).astype(np.uint32))
+        rules.append(np.stack([a, b], axis=1).astype(np.uint32))
         made += len(chosen)
     return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
@@ -157,17 +200,23 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a run of symbols."""
-    while True:
-        big = symbols >= base
-        if not big.any():
-            return symbols
-        at = np.arange(len(symbols)) + np.concatenate([[0], np.cumsum(big)[:-1]])
-        out = np.empty(len(symbols) + int(big.sum()), dtype=np.uint32)
-        out[at[~big]] = symbols[~big]
-        pair = rules[symbols[big] - base]
+    """Ids of a run of symbols: the rules are expanded once, and each symbol takes its part of that table."""
+    flat, sizes = _expanded(rules, base)
+    ends = np.cumsum(sizes)
+    return tk.gather(flat, ends[symbols] - sizes[symbols], ends[symbols])[0]
+
+
+def _expanded(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all symbols, one after the other, and how many each has."""
+    flat = rules.reshape(-1)
+    while (big := flat >= base).any():
+        at = np.arange(len(flat)) + np.concatenate([[0], np.cumsum(big)[:-1]])
+        out = np.empty(len(flat) + int(big.sum()), dtype=np.uint32)
+        out[at[~big]] = flat[~big]
+        pair = rules[flat[big] - base]
         out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
+        flat = out
+    return np.concatenate([np.arange(base, dtype=np.uint32), flat]), np.concatenate([np.ones(base, dtype=np.int64), lengths(rules, base)])
 
 
 def ids_at(block: dict, doc: int, start: int, stop: int) -> np.ndarray:
@@ -187,6 +236,18 @@ def _unpacked(block: dict) -> tuple[np.ndarray, np.ndarray, int]:
     return symbols, np.frombuffer(block["rules"], dtype=np.uint32).reshape(-1, 2), block["base"]
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ENCODED bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= ENCODED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 FILE = "part int, block int, ids array<long>, sizes array<long>, ends array<long>, rules binary, lengths binary, symbols binary, wide boolean, base int"
 
 
@@ -216,7 +277,7 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             row = {"part": part, "block": block, "ids": list(ids), "sizes": sizes.tolist(), "ends": (np.flatnonzero(ends) + 1).tolist(), "rules": rules.tobytes(), "lengths": lengths(rules, encoder.size).astype(np.uint32).tobytes(), "symbols": symbols.astype(np.uint32 if wide else np.uint16).tobytes(), "wide": wide, "base": encoder.size}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), *[(k, pa.list_(pa.int64())) for k in ("ids", "sizes", "ends")], *[(k, pa.binary()) for k in ("rules", "lengths", "symbols")], ("wide", pa.bool_()), ("base", pa.int32())]))
 
-        for batch in tk.pieces(batches):
+        for batch in tk.pieces(_joined(batches), limit=ENCODED):
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(tk.texts(batch.column("text"))), strict=True):
                 if held and total + len(tokens) + 1 > BLOCK:
                     yield give()
