@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """known: chunk to its number; chunk k has the ids ids[ends[k]:ends[k + 1]] of the parts in a row."""
-        self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        """spaced, bare: chunk with or without a space before it to its number; chunk k has the ids flat[ends[k]:ends[k + 1]]."""
+        self.spaced_chunks: dict[str, int] = {}
+        self.bare_chunks: dict[str, int] = {}
+        self.flat = np.zeros(0, dtype=np.uint32)
+        self.ends = np.zeros(1, dtype=np.int64)
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,10 +93,12 @@ class Encoder:
         if len(begin) != len(spaced):
             raise ValueError("chunks and ids don't match")
         alone = self._direct(bare)
-        self.parts += [flat, *alone]
-        self.sizes += [np.diff(np.append(begin, len(flat))), np.array([len(x) for x in alone], dtype=np.int64)]
-        for x in [*spaced, *bare]:
-            self.known[x] = len(self.known)
+        sizes = [np.diff(np.append(begin, len(flat))), np.array([len(x) for x in alone], dtype=np.int64)]
+        made = len(self.ends) - 1
+        self.spaced_chunks.update((x[1:], made + k) for k, x in enumerate(spaced))
+        self.bare_chunks.update((x, made + len(spaced) + k) for k, x in enumerate(bare))
+        self.flat = np.concatenate([self.flat, flat, *alone])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)
@@ -120,25 +124,30 @@ class Encoder:
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         bare, index = np.unique(index[first]), index.copy()
         index[first] = np.searchsorted(bare, index[first]) + len(names)
-        alone = [names[k] for k in bare] + [x[1:] for x in names if x[:1] == CUT]
-        at = {x: k for k, x in enumerate(x for x in names if x[:1] != CUT)}
-        forms = [[" " + x for x in at], list(dict.fromkeys(alone))]
-        place = {x: k + len(at) for k, x in enumerate(forms[1])}
-        index = np.array([place[x[1:]] if x[:1] == CUT else at[x] for x in names] + [place[names[k]] for k in bare], dtype=np.int64)[index]
-        missing = [[x for x in f if x not in self.known] for f in forms]
-        if len(self.known) + len(missing[0]) + len(missing[1]) > REMEMBERED:
+        marked = np.array([x[:1] == CUT for x in names], dtype=bool)
+        after = [x for x in names if x[:1] != CUT]
+        alone = [names[k][1:] for k in np.flatnonzero(marked)] + [names[k] for k in bare]
+        new_after, new_alone = [x for x in after if x not in self.spaced_chunks], [x for x in dict.fromkeys(alone) if x not in self.bare_chunks]
+        if len(self.ends) + len(new_after) + len(new_alone) > REMEMBERED:
             self._forget()
-            missing = forms
-        # A bare chunk may equal a spaced one only if it holds a space, and it holds none.
-        if missing[0] or missing[1]:
-            self._learn(*missing)
-            self.parts, self.sizes = [np.concatenate(self.parts)], [np.concatenate(self.sizes)]
-        ends = np.cumsum(self.sizes[0]) if self.sizes else np.zeros(0, dtype=np.int64)
-        number = np.array([self.known[x] for f in forms for x in f], dtype=np.int64)[index]
-        ids, at = tk.gather(self.parts[0] if self.parts else np.zeros(0, dtype=np.uint32), ends[number] - self.sizes[0][number] if len(number) else number, ends[number] if len(number) else number)
+            new_after, new_alone = after, list(dict.fromkeys(alone))
+        if new_after or new_alone:
+            self._learn([" " + x for x in new_after], new_alone)
+        number = np.empty(len(names) + len(bare), dtype=np.int64)
+        apart = np.append(marked, np.ones(len(bare), dtype=bool))
+        number[~apart] = np.fromiter(map(self.spaced_chunks.__getitem__, after), np.int64, len(after))
+        number[apart] = np.fromiter(map(self.bare_chunks.__getitem__, alone), np.int64, len(alone))
+        number = number[index]
+        ids, at = tk.gather(self.flat, self.ends[number], self.ends[number + 1])
         return ids, at[offsets]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker: the file is read once, and chunks learnt stay known."""
+    return Encoder(path)
+
+
 def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: symbols, whether each is the last of its document, and rules (n, 2); nonterminal base + k is rule k."""
     symbols, last = ids.astype(np.uint32), last.copy()
@@ -262,7 +271,7 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block, encoder = TaskContext.get().partitionId(), 0, Encoder(path)
+        part, block, encoder = TaskContext.get().partitionId(), 0, encoder_of(path)
         ids: list[int | None] = []
         held: list[np.ndarray] = []
         total = 0
