@@ -76,8 +76,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """spaced, bare: chunk with or without a space before it to its number; chunk k has the ids flat[ends[k]:ends[k + 1]]."""
-        self.spaced_chunks: dict[str, int] = {}
+        """spaced_chunks: chunks learnt with a space before them, whose numbers are in spaced_numbers; bare_chunks: others to their numbers. Chunk k has the ids flat[ends[k]:ends[k + 1]]."""
+        self.spaced_chunks = pa.array([], pa.large_string())
+        self.spaced_numbers = np.zeros(0, dtype=np.int64)
         self.bare_chunks: dict[str, int] = {}
         self.flat = np.zeros(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
@@ -85,18 +86,19 @@ class Encoder:
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, spaced: list[str], bare: list[str]) -> None:
-        """Ids of new chunks. Those that begin with a space go in long rows: no boundary moves, and only a chunk's first id begins with a space."""
-        rows = ["".join(spaced[k : k + 500]) for k in range(0, len(spaced), 500)]
-        flat = np.concatenate([np.zeros(0, dtype=np.uint32), *self._direct(rows)])
+    def _learn(self, spaced: pa.Array, bare: list[str]) -> None:
+        """Ids of new chunks. Those with a space before them go in long rows: no boundary moves, and only a chunk's first id begins with a space."""
+        names = spaced.to_pylist()
+        flat = np.concatenate([np.zeros(0, dtype=np.uint32), *self._direct([" " + " ".join(names[k : k + 500]) for k in range(0, len(names), 500)])])
         begin = np.flatnonzero(self.spaced[flat])
-        if len(begin) != len(spaced):
+        if len(begin) != len(names):
             raise ValueError("chunks and ids don't match")
         alone = self._direct(bare)
         sizes = [np.diff(np.append(begin, len(flat))), np.array([len(x) for x in alone], dtype=np.int64)]
         made = len(self.ends) - 1
-        self.spaced_chunks.update((x[1:], made + k) for k, x in enumerate(spaced))
-        self.bare_chunks.update((x, made + len(spaced) + k) for k, x in enumerate(bare))
+        self.spaced_chunks = pa.concat_arrays([self.spaced_chunks, spaced])
+        self.spaced_numbers = np.append(self.spaced_numbers, made + np.arange(len(names)))
+        self.bare_chunks.update((x, made + len(names) + k) for k, x in enumerate(bare))
         self.flat = np.concatenate([self.flat, flat, *alone])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
 
@@ -113,29 +115,32 @@ class Encoder:
             offsets = chunks.offsets.to_numpy()
             offsets = offsets - offsets[0]
             coded = chunks.flatten().dictionary_encode()
-            ids, at = self._chunks(coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets)
+            ids, at = self._chunks(coded.dictionary, coded.indices.to_numpy(), offsets)
             for j, k in enumerate(plain):
                 out[k] = ids[at[j] : at[j + 1]]
         return out
 
-    def _chunks(self, names: list[str], index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _chunks(self, names: pa.Array, index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # A text's first chunk has no space before it; its id in the table is that of the bare chunk.
         first = np.zeros(len(index), dtype=bool)
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         bare, index = np.unique(index[first]), index.copy()
         index[first] = np.searchsorted(bare, index[first]) + len(names)
-        marked = np.array([x[:1] == CUT for x in names], dtype=bool)
-        after = [x for x in names if x[:1] != CUT]
-        alone = [names[k][1:] for k in np.flatnonzero(marked)] + [names[k] for k in bare]
-        new_after, new_alone = [x for x in after if x not in self.spaced_chunks], [x for x in dict.fromkeys(alone) if x not in self.bare_chunks]
-        if len(self.ends) + len(new_after) + len(new_alone) > REMEMBERED:
+        marked = pc.starts_with(names, CUT).to_numpy(zero_copy_only=False)
+        after = names.filter(pa.array(~marked))
+        alone = [x[1:] for x in names.filter(pa.array(marked)).to_pylist()] + names.take(pa.array(bare)).to_pylist()
+        place = pc.fill_null(pc.index_in(after, value_set=self.spaced_chunks), -1).to_numpy().astype(np.int64)
+        new_alone = [x for x in dict.fromkeys(alone) if x not in self.bare_chunks]
+        if len(self.ends) + int((place < 0).sum()) + len(new_alone) > REMEMBERED:
             self._forget()
-            new_after, new_alone = after, list(dict.fromkeys(alone))
-        if new_after or new_alone:
-            self._learn([" " + x for x in new_after], new_alone)
+            place[:], new_alone = -1, list(dict.fromkeys(alone))
+        new = place < 0
+        place[new] = len(self.spaced_chunks) + np.arange(int(new.sum()))
+        if new.any() or new_alone:
+            self._learn(after.filter(pa.array(new)), new_alone)
         number = np.empty(len(names) + len(bare), dtype=np.int64)
         apart = np.append(marked, np.ones(len(bare), dtype=bool))
-        number[~apart] = np.fromiter(map(self.spaced_chunks.__getitem__, after), np.int64, len(after))
+        number[~apart] = self.spaced_numbers[place]
         number[apart] = np.fromiter(map(self.bare_chunks.__getitem__, alone), np.int64, len(alone))
         number = number[index]
         ids, at = tk.gather(self.flat, self.ends[number], self.ends[number + 1])
