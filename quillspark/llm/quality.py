@@ -63,7 +63,8 @@ def line_fails(line: Column) -> Column:
     low = F.translate(F.trim(line), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     few = ~line.rlike(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]")
     punctuation = ~(line.rlike(SENTENCE_END) | few) | (F.regexp_count(line, F.lit(MARKS)) * 5 > F.length(line))
-    return punctuation | line.rlike(BARS) | low.rlike(MENU) | low.rlike(BOILERPLATE)
+    bar = line.contains("|") | line.contains("»") | line.contains("›") | line.contains("→")
+    return punctuation | (bar & line.rlike(BARS)) | low.rlike(MENU) | low.rlike(BOILERPLATE)
 
 
 def judged(docs: DataFrame) -> DataFrame:
