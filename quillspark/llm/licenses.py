@@ -34,11 +34,11 @@ class Rule(NamedTuple):
     pattern: str
 
 
-#: label, SPDX identifiers, keyword, name pattern (lower case; a space stands for any run of white space).
+#: label, SPDX identifiers, keyword, name pattern (lower case; a space stands for any run of white space, ' ?' also for none).
 FAMILIES = (
-    ("apache-2.0", "apache-2.0", "apache", r"apache licen[cs]e,? (?:version|v\.?) ?2(?:\.0)?"),
-    ("apache-1.1", "apache-1.1", "apache", r"apache (?:software )?licen[cs]e,? (?:version|v\.?) ?1\.1"),
-    ("apache-1.0", "apache-1.0", "apache", r"apache (?:software )?licen[cs]e,? (?:version|v\.?) ?1\.0"),
+    ("apache-2.0", "apache-2.0", "apache", r"apache licen[cs]e(?:,? (?:version|v\.?) ?| )2(?:\.0)?(?!\d)"),
+    ("apache-1.1", "apache-1.1", "apache", r"apache (?:software )?licen[cs]e(?:,? (?:version|v\.?) ?| )1\.1"),
+    ("apache-1.0", "apache-1.0", "apache", r"apache (?:software )?licen[cs]e(?:,? (?:version|v\.?) ?| )1\.0"),
     ("mit", "mit", "mit", r"\bmit licen[cs]e\b"),
     ("mit-0", "mit-0", "attribution", r"\bmit no attribution\b"),
     ("x11", "x11", "x11", r"\bx11 licen[cs]e\b"),
@@ -47,30 +47,30 @@ FAMILIES = (
     ("bsd-3-clause", r"bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd[ -]3[ -]clause|3[ -]clause bsd) licen[cs]e"),
     ("bsd-4-clause", r"bsd-4-clause", "bsd", r"(?:original bsd|bsd[ -]4[ -]clause|4[ -]clause bsd) licen[cs]e"),
     ("0bsd", "0bsd", "bsd", r"(?:zero[ -]clause bsd|bsd zero[ -]clause) licen[cs]e"),
-    ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", "general public", r"(?:gnu )?general public licen[cs]e,? (?:version|v\.?) ?1(?:\.0)?\b"),
-    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", "general public", r"(?:gnu )?general public licen[cs]e,? (?:version|v\.?) ?2(?:\.0)?\b"),
-    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", "general public", r"(?:gnu )?general public licen[cs]e,? (?:version|v\.?) ?3(?:\.0)?\b"),
-    ("lgpl-2.0", r"lgpl-2\.0(?:-only|-or-later|\+)?", "general public", r"library general public licen[cs]e,? (?:version|v\.?) ?2(?:\.0)?\b"),
-    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", "general public", r"lesser general public licen[cs]e,? (?:version|v\.?) ?2\.1\b"),
-    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", "general public", r"lesser general public licen[cs]e,? (?:version|v\.?) ?3(?:\.0)?\b"),
-    ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", "general public", r"affero general public licen[cs]e,? (?:version|v\.?) ?3(?:\.0)?\b"),
-    ("agpl-1.0", r"agpl-1\.0(?:-only|-or-later)?", "general public", r"affero general public licen[cs]e,? (?:version|v\.?) ?1(?:\.0)?\b"),
-    ("gfdl-1.1", r"gfdl-1\.1(?:-only|-or-later)?", "documentation", r"free documentation licen[cs]e,? (?:version|v\.?) ?1\.1\b"),
-    ("gfdl-1.2", r"gfdl-1\.2(?:-only|-or-later)?", "documentation", r"free documentation licen[cs]e,? (?:version|v\.?) ?1\.2\b"),
-    ("gfdl-1.3", r"gfdl-1\.3(?:-only|-or-later)?", "documentation", r"free documentation licen[cs]e,? (?:version|v\.?) ?1\.3\b"),
-    ("mpl-1.0", r"mpl-1\.0", "mozilla", r"mozilla public licen[cs]e,? (?:version|v\.?) ?1\.0"),
-    ("mpl-1.1", r"mpl-1\.1", "mozilla", r"mozilla public licen[cs]e,? (?:version|v\.?) ?1\.1"),
-    ("mpl-2.0", r"mpl-2\.0", "mozilla", r"mozilla public licen[cs]e,? (?:version|v\.?) ?2(?:\.0)?"),
-    ("epl-1.0", r"epl-1\.0", "eclipse", r"eclipse public licen[cs]e,? (?:- )?(?:version|v\.?) ?1(?:\.0)?"),
-    ("epl-2.0", r"epl-2\.0", "eclipse", r"eclipse public licen[cs]e,? (?:- )?(?:version|v\.?) ?2(?:\.0)?"),
-    ("cddl-1.0", r"cddl-1\.0", "distribution", r"common development and distribution licen[cs]e(?:,? (?:version|v\.?) ?1\.0)?"),
-    ("cddl-1.1", r"cddl-1\.1", "distribution", r"common development and distribution licen[cs]e,? (?:version|v\.?) ?1\.1"),
-    ("cpl-1.0", r"cpl-1\.0", "common public", r"common public licen[cs]e(?:,? (?:version|v\.?) ?1\.0)?"),
-    ("epl-eu-1.1", r"eupl-1\.1", "european", r"european union public licen[cs]e,? (?:version|v\.?) ?1\.1"),
-    ("epl-eu-1.2", r"eupl-1\.2", "european", r"european union public licen[cs]e,? (?:version|v\.?) ?1\.2"),
+    ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", "general public", r"(?:gnu )?general public licen[cs]e(?:,? (?:version|v\.?) ?| )1(?:\.0)?\b"),
+    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", "general public", r"(?:gnu )?general public licen[cs]e(?:,? (?:version|v\.?) ?| )2(?:\.0)?\b"),
+    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", "general public", r"(?:gnu )?general public licen[cs]e(?:,? (?:version|v\.?) ?| )3(?:\.0)?\b"),
+    ("lgpl-2.0", r"lgpl-2\.0(?:-only|-or-later|\+)?", "general public", r"library general public licen[cs]e(?:,? (?:version|v\.?) ?| )2(?:\.0)?\b"),
+    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", "general public", r"lesser general public licen[cs]e(?:,? (?:version|v\.?) ?| )2\.1\b"),
+    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", "general public", r"lesser general public licen[cs]e(?:,? (?:version|v\.?) ?| )3(?:\.0)?\b"),
+    ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", "general public", r"affero general public licen[cs]e(?:,? (?:version|v\.?) ?| )3(?:\.0)?\b"),
+    ("agpl-1.0", r"agpl-1\.0(?:-only|-or-later)?", "general public", r"affero general public licen[cs]e(?:,? (?:version|v\.?) ?| )1(?:\.0)?\b"),
+    ("gfdl-1.1", r"gfdl-1\.1(?:-only|-or-later)?", "documentation", r"free documentation licen[cs]e(?:,? (?:version|v\.?) ?| )1\.1\b"),
+    ("gfdl-1.2", r"gfdl-1\.2(?:-only|-or-later)?", "documentation", r"free documentation licen[cs]e(?:,? (?:version|v\.?) ?| )1\.2\b"),
+    ("gfdl-1.3", r"gfdl-1\.3(?:-only|-or-later)?", "documentation", r"free documentation licen[cs]e(?:,? (?:version|v\.?) ?| )1\.3\b"),
+    ("mpl-1.0", r"mpl-1\.0", "mozilla", r"mozilla public licen[cs]e(?:,? (?:version|v\.?) ?| )1\.0"),
+    ("mpl-1.1", r"mpl-1\.1", "mozilla", r"mozilla public licen[cs]e(?:,? (?:version|v\.?) ?| )1\.1"),
+    ("mpl-2.0", r"mpl-2\.0", "mozilla", r"mozilla public licen[cs]e(?:,? (?:version|v\.?) ?| )2(?:\.0)?(?!\d)"),
+    ("epl-1.0", r"epl-1\.0", "eclipse", r"eclipse public licen[cs]e(?:,? (?:- )?(?:version|v\.?) ?| (?:- )?)1(?:\.0)?(?!\d)"),
+    ("epl-2.0", r"epl-2\.0", "eclipse", r"eclipse public licen[cs]e(?:,? (?:- )?(?:version|v\.?) ?| (?:- )?)2(?:\.0)?(?!\d)"),
+    ("cddl-1.0", r"cddl-1\.0", "distribution", r"common development and distribution licen[cs]e(?:(?:,? (?:version|v\.?) ?| )1\.0)?"),
+    ("cddl-1.1", r"cddl-1\.1", "distribution", r"common development and distribution licen[cs]e(?:,? (?:version|v\.?) ?| )1\.1"),
+    ("cpl-1.0", r"cpl-1\.0", "common public", r"common public licen[cs]e(?:(?:,? (?:version|v\.?) ?| )1\.0)?"),
+    ("epl-eu-1.1", r"eupl-1\.1", "european", r"european union public licen[cs]e(?:,? (?:version|v\.?) ?| )1\.1"),
+    ("epl-eu-1.2", r"eupl-1\.2", "european", r"european union public licen[cs]e(?:,? (?:version|v\.?) ?| )1\.2"),
     ("artistic-1.0", r"artistic-1\.0", "artistic", r"artistic licen[cs]e,? (?:version|v\.?)? ?1\.0"),
     ("artistic-2.0", r"artistic-2\.0", "artistic", r"artistic licen[cs]e,? (?:version|v\.?)? ?2\.0"),
-    ("bsl-1.0", r"bsl-1\.0", "boost", r"boost software licen[cs]e(?:,? (?:version|v\.?) ?1\.0)?"),
+    ("bsl-1.0", r"bsl-1\.0", "boost", r"boost software licen[cs]e(?:(?:,? (?:version|v\.?) ?| )1\.0)?"),
     ("busl-1.1", r"busl-1\.1", "business source", r"business source licen[cs]e(?: 1\.1)?"),
     ("sspl-1.0", r"sspl-1\.0", "server side", r"server side public licen[cs]e"),
     ("elastic-2.0", r"elastic-2\.0", "elastic", r"elastic licen[cs]e(?: 2\.0)?"),
@@ -156,7 +156,7 @@ class Scanner:
         import ahocorasick
 
         self.rules = rules()
-        self.patterns = [re.compile(r.pattern.replace(" ", r"\s+")) for r in self.rules]
+        self.patterns = [re.compile(r.pattern.replace(" ?", r"\s*").replace(" ", r"\s+")) for r in self.rules]
         self.gate = ahocorasick.Automaton()
         by: dict[str, list[int]] = {}
         for k, r in enumerate(self.rules):

@@ -177,6 +177,27 @@ def test_license_scan(spark):
     assert len(licenses.rules()) > 200
 
 
+VERSIONED = {
+    "Apache License": {"apache-1.0": "1.0", "apache-1.1": "1.1", "apache-2.0": "2.0"}, "GNU General Public License": {"gpl-1.0": "1", "gpl-2.0": "2", "gpl-3.0": "3"},
+    "Library General Public License": {"lgpl-2.0": "2"}, "Lesser General Public License": {"lgpl-2.1": "2.1", "lgpl-3.0": "3"}, "Affero General Public License": {"agpl-1.0": "1", "agpl-3.0": "3"},
+    "Free Documentation License": {"gfdl-1.1": "1.1", "gfdl-1.2": "1.2", "gfdl-1.3": "1.3"}, "Mozilla Public License": {"mpl-1.0": "1.0", "mpl-1.1": "1.1", "mpl-2.0": "2.0"},
+    "Eclipse Public License": {"epl-1.0": "1.0", "epl-2.0": "2.0"}, "Common Development and Distribution License": {"cddl-1.0": "1.0", "cddl-1.1": "1.1"}, "Common Public License": {"cpl-1.0": "1.0"},
+    "European Union Public Licence": {"epl-eu-1.1": "1.1", "epl-eu-1.2": "1.2"}, "Artistic License": {"artistic-1.0": "1.0", "artistic-2.0": "2.0"}, "Boost Software License": {"bsl-1.0": "1.0"},
+}
+
+
+def test_license_versions():
+    find = lambda t: [(d[2].label, t[d[0] : d[1]]) for d in licenses.scanner().detect(t)]
+    for name, versions in VERSIONED.items():
+        for label, number in versions.items():
+            for form in (f"{name} {number}", f"{name} v{number}", f"{name} v. {number}", f"{name},  Version {number}", f"{name}\nversion{number}"):
+                assert find(form.lower()) == [(label, form.lower())]
+                assert find(f"released under the {form}".lower()) == [(label, f"released under the {form}".lower())]
+    assert {d[0] for d in find("copyright 2020, copyright (c)2021, copyright © 2022, copyright\t2023")} == {"copyright"} and len(find("copyright 2020 copyright ©2021")) == 2
+    assert find("mulan psl license") and find("mulan pslsoftware license")
+    assert find("apache license 2004") == [] and find("gnu general public license 2007")[0][0] == "gpl"
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12), st.integers(1, 4)), max_size=25))
 def test_suppression(spans):
