@@ -1,7 +1,7 @@
 """License scans (op 1): ordered signature rules with a keyword prefilter.
 
-A rule is a label, a priority, a confidence, a keyword and a regex. One Aho-Corasick pass over the lower-cased text finds
-the keywords; only rules whose keyword occurs are run. Where detections overlap, the one with the higher
+A rule is a label, a priority, a confidence, keywords and a regex. One Aho-Corasick pass over the lower-cased text finds
+the keywords; only rules with a keyword that occurs are run, so each alternative of a regex must hold one of them. Where detections overlap, the one with the higher
 priority stays, then the longer one; a detection inside a kept one of the same or a higher priority is suppressed.
 
 Beside the rules stand three base phrases, found as consecutive words; their labels always stay.
@@ -30,7 +30,7 @@ class Rule(NamedTuple):
     label: str
     priority: int
     confidence: float
-    keyword: str
+    keyword: str  # or several, with bars between
     pattern: str
 
 
@@ -84,12 +84,12 @@ FAMILIES = (
     ("unlicense", "unlicense", "unlicense", r"\bthe unlicense\b"),
     ("wtfpl", "wtfpl", "want to public", r"do what the f\S+ you want to public licen[cs]e"),
     ("cc0-1.0", r"cc0-1\.0", "cc0", r"\bcc0(?: 1\.0)?\b"),
-    ("cc-by-nc-sa", r"cc-by-nc-sa-\d\.\d", "cc", r"\bcc[ -]by[ -]nc[ -]sa(?: \d\.\d)?\b|attribution-noncommercial-sharealike"),
-    ("cc-by-nc-nd", r"cc-by-nc-nd-\d\.\d", "cc", r"\bcc[ -]by[ -]nc[ -]nd(?: \d\.\d)?\b|attribution-noncommercial-noderivatives"),
-    ("cc-by-nc", r"cc-by-nc-\d\.\d", "cc", r"\bcc[ -]by[ -]nc(?: \d\.\d)?\b|attribution-noncommercial\b(?!-)"),
-    ("cc-by-sa", r"cc-by-sa-\d\.\d", "cc", r"\bcc[ -]by[ -]sa(?: \d\.\d)?\b|attribution-sharealike"),
-    ("cc-by-nd", r"cc-by-nd-\d\.\d", "cc", r"\bcc[ -]by[ -]nd(?: \d\.\d)?\b|attribution-noderiv"),
-    ("cc-by", r"cc-by-\d\.\d", "cc", r"\bcc[ -]by(?: \d\.\d)?\b(?![ -](?:nc|sa|nd))|creative commons attribution(?: licen[cs]e)?\b(?!-)"),
+    ("cc-by-nc-sa", r"cc-by-nc-sa-\d\.\d", "cc|attribution", r"\bcc[ -]by[ -]nc[ -]sa(?: \d\.\d)?\b|attribution-noncommercial-sharealike"),
+    ("cc-by-nc-nd", r"cc-by-nc-nd-\d\.\d", "cc|attribution", r"\bcc[ -]by[ -]nc[ -]nd(?: \d\.\d)?\b|attribution-noncommercial-noderivatives"),
+    ("cc-by-nc", r"cc-by-nc-\d\.\d", "cc|attribution", r"\bcc[ -]by[ -]nc(?: \d\.\d)?\b|attribution-noncommercial\b(?!-)"),
+    ("cc-by-sa", r"cc-by-sa-\d\.\d", "cc|attribution", r"\bcc[ -]by[ -]sa(?: \d\.\d)?\b|attribution-sharealike"),
+    ("cc-by-nd", r"cc-by-nd-\d\.\d", "cc|attribution", r"\bcc[ -]by[ -]nd(?: \d\.\d)?\b|attribution-noderiv"),
+    ("cc-by", r"cc-by-\d\.\d", "cc|attribution", r"\bcc[ -]by(?: \d\.\d)?\b(?![ -](?:nc|sa|nd))|creative commons attribution(?: licen[cs]e)?\b(?!-)"),
     ("odbl-1.0", r"odbl-1\.0", "database", r"open (?:data commons open )?database licen[cs]e"),
     ("pddl-1.0", r"pddl-1\.0", "domain dedication", r"public domain dedication and licen[cs]e"),
     ("ncsa", "ncsa", "ncsa", r"(?:university of illinois/)?ncsa open source licen[cs]e"),
@@ -160,7 +160,8 @@ class Scanner:
         self.gate = ahocorasick.Automaton()
         by: dict[str, list[int]] = {}
         for k, r in enumerate(self.rules):
-            by.setdefault(r.keyword.split(" ")[0], []).append(k)  # the first word: white space may vary
+            for keyword in r.keyword.split("|"):
+                by.setdefault(keyword.split(" ")[0], []).append(k)  # the first word: white space may vary
         for word, own in by.items():
             self.gate.add_word(word, own)
         self.gate.make_automaton()

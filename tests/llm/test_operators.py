@@ -198,6 +198,37 @@ def test_license_versions():
     assert find("apache license 2004") == [] and find("gnu general public license 2007")[0][0] == "gpl"
 
 
+def alternatives(parsed):
+    """The spellings of a parsed regex; what is no plain character is a zero, what may be missing is there and not there."""
+    out = {""}
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                own = {chr(arg)}
+            case "SUBPATTERN":
+                own = alternatives(arg[3])
+            case "BRANCH":
+                own = set().union(*map(alternatives, arg[1]))
+            case "MAX_REPEAT":
+                own = alternatives(arg[2]) | ({""} if arg[0] == 0 else set())
+            case "AT" | "ASSERT" | "ASSERT_NOT":
+                own = {""}
+            case _:
+                own = {"\0"}
+        out = {a + b for a in out for b in own}
+    return out
+
+
+def test_license_keywords():
+    for rule in licenses.rules():
+        words = [k.split(" ")[0] for k in rule.keyword.split("|")]
+        assert all(any(w in x for w in words) for x in alternatives(re._parser.parse(rule.pattern))), rule
+    labels = lambda t: {d[2].label for d in licenses.scanner().detect(t)}
+    assert labels("this work is under a creative commons attribution-sharealike 4.0 international license.") == {"cc-by-sa"}
+    assert labels("licensed under the creative commons attribution license") == {"cc-by"}
+    assert labels("attribution-noncommercial-noderivatives") == {"cc-by-nc-nd"} and labels("attribution-noncommercial 3.0") == {"cc-by-nc"}
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12), st.integers(1, 4)), max_size=25))
 def test_suppression(spans):
