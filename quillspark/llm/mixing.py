@@ -2,7 +2,9 @@
 
 A source with target share w and size s (characters) has the repetition rate w * total / s. Each document
 draws its count by inverting a Poisson distribution of that mean with a uniform number hashed from seed and
-doc_id, is exploded by the count, and goes to the place that a second hash gives its copy.
+doc_id, is exploded by the count, and goes to the place that a second hash gives its copy. A rate over MAX_RATE is
+split evenly into draws of at most that rate, whose sum has the whole rate's distribution; only the first is hashed
+without a number.
 
 Defined results: null source is a source of its own; null n_chars counts as 0; a source without characters
 has the rate 1; rows with equal doc_id draw alike; null doc_id draws as the text 'null'; further columns stay.
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: At most so many sources are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 2_000
-#: Largest repetition rate, and the most copies looked at; the mass beyond is under 1e-12.
+#: Largest rate of one draw, and the most copies of one looked at; the mass beyond is under 1e-12.
 MAX_RATE, MAX_COPIES = 16.0, 64
 SEED = 17
 
@@ -26,7 +28,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """src, rate, and cdf: the distribution function of the counts. Without weights, shares go with the root of the size."""
+    """src, rate, draws, and cdf: the distribution function of one draw's counts. Without weights, shares go with the root of the size."""
     sizes = docs.groupBy(F.coalesce(F.col("source"), F.lit("\0null")).alias("src")).agg(F.coalesce(F.sum("n_chars"), F.lit(0)).cast("double").alias("size"))
     if weights is None:
         weight = F.sqrt("size")
@@ -35,13 +37,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
         weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("src")), F.lit(0.0)) if pairs else F.lit(0.0)
     sizes = sizes.withColumn("weight", weight)
     sums = sizes.agg(F.sum("size").alias("total"), F.sum("weight").alias("weights"))
-    rate = F.when((F.col("size") <= 0) | (F.col("weights") <= 0), 1.0).otherwise(F.least(F.lit(MAX_RATE), F.col("weight") / F.col("weights") * F.col("total") / F.col("size")))
+    rate = F.when((F.col("size") <= 0) | (F.col("weights") <= 0), 1.0).otherwise(F.col("weight") / F.col("weights") * F.col("total") / F.col("size"))
     rated = sizes.crossJoin(F.broadcast(sums)).select("src", F.round(rate, 6).alias("rate"))  # one row of sums
+    rated = rated.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int")))
+    one = F.col("rate") / F.col("draws")
     # Terms by p(k) = p(k - 1) * rate / k, summed as they come.
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    start = F.struct(F.exp(-one).alias("p"), F.exp(-one).alias("sum"), F.array(F.exp(-one)).alias("cdf"))
 
     def add(acc: Column, k: Column) -> Column:
-        p = acc["p"] * F.col("rate") / k
+        p = acc["p"] * one / k
         return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + p)).alias("cdf"))
 
     return rated.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COPIES)), start, add, lambda a: a["cdf"]))
@@ -54,8 +58,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
         table = F.broadcast(table)
     joined = docs.join(table, F.coalesce(F.col("source"), F.lit("\0null")) == F.col("src"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = uniform(F.lit(f"count-{seed}"), name)
-    counted = joined.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))))
+    us = F.transform(F.sequence(F.lit(0), F.col("draws") - 1), lambda j: uniform(F.when(j == 0, f"count-{seed}").otherwise(F.concat(F.lit(f"count-{seed}-"), j.cast("string"))), name))
+    count = F.aggregate("_u", F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
+    counted = joined.withColumn("_u", us).withColumn("n_copies", count)
     copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), name, "copy"))).drop("_u", "cdf", "src")
+    keyed = copies.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), name, "copy"))).drop("_u", "cdf", "draws", "src")
     return keyed.repartition("order_key").sortWithinPartitions("order_key")

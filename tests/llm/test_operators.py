@@ -340,6 +340,17 @@ def test_mixing(spark):
         mixing.BROADCAST_SOURCES = monkey
 
 
+def test_mixing_of_small_sources(spark):
+    rows = [(k, "x", "en", "big" if k < 2970 else "small" if k < 3000 else "tiny", 100 if k < 3000 else 1, 1, "x", 2, "y") for k in range(3002)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix(df, {"big": 0.5, "small": 0.4, "tiny": 0.1}).groupBy("source").agg({"n_chars": "sum", "rate": "max"})
+    got = {r.source: (r["sum(n_chars)"] / 300002, r["max(rate)"]) for r in out.collect()}
+    assert got["small"][1] > 40 and got["tiny"][1] > 15000
+    assert abs(got["big"][0] - 0.5) < 0.02 and abs(got["small"][0] - 0.4) < 0.02 and abs(got["tiny"][0] - 0.1) < 0.002
+    counts = [r["count"] for r in mixing.mix(df, {"big": 0.5, "small": 0.5}).filter("source = 'small'").groupBy("doc_id").count().collect()]
+    assert len(set(counts)) > 10 and 40 < np.mean(counts) < 60 and 4 < np.std(counts) < 11  # a Poisson of mean 50: 7.1
+
+
 PAGE = "page_id long, url string, html string, payload string, original long"
 
 
