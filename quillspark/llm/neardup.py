@@ -10,6 +10,10 @@
    the original, but not one another). So each class of a large region next meets the leader of its region,
    the class with the most confirmed links, unless it is in its component already; this goes on until no
    component changes.
+5. That is only to leave fewer components. In each large region that still has several, all classes outside its
+   largest component then meet all others of the region, block by block: shared shingles are counted by products of
+   0/1 matrices, and only links that join components leave a block. So no two classes that share a floor prefix
+   in a tree go without comparison, unless they are in one component already.
 
 Defined results: null text is empty; an empty shingle set links with nothing; a null doc_id is never
 linked (component null, kept); rows with equal doc_id are one node of the graph, and each is returned.
@@ -31,6 +35,8 @@ from quillspark.llm.shared import bloom_has, bloom_of, materialise, ship_package
 
 TREES, DEPTH, FLOOR = 16, 8, 3
 SMALL, NEAR = 16, 3
+#: About so many classes, and so many shingles of them, are one block of a large region; columns of one product.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Rows of one region that a task holds at once; the rest of the region goes on as a large one.
 HELD = 1 << 16
 
@@ -174,6 +180,76 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(scan, "a long, b long")
 
 
+def _joins_in(shingles: list[np.ndarray], c: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that links between rows `one` and rows `two` (masks) join, less those that follow from the rest."""
+    sizes = np.array([len(x) for x in shingles], dtype=np.int64)
+    row = np.repeat(np.arange(len(c)), sizes)
+    _, column = np.unique(np.concatenate(shingles), return_inverse=True)
+    same = bool((one & two).all())
+    shared = np.bincount(column) > 1 if same else (np.bincount(column[one[row]], minlength=column.max() + 1) > 0) & (np.bincount(column[two[row]], minlength=column.max() + 1) > 0)
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    a, b = np.flatnonzero(one), np.flatnonzero(two)
+    both = np.zeros((len(a), len(b)), dtype=np.float32)  # counts below 2**24 are exact
+    total = int(shared.sum())
+    for at in range(0, total, COLUMNS):
+        width = min(COLUMNS, total - at)
+        lo, hi = np.searchsorted(column, (at, at + width))
+        dense = np.zeros((len(c), width), dtype=np.float32)
+        dense[row[lo:hi], column[lo:hi] - at] = 1
+        both += dense[a] @ dense[b].T
+    both = both.astype(np.int64)
+    linked = (both > 0) & (100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)) & (c[a][:, None] != c[b][None, :])
+    i, j = np.nonzero(linked)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    ends = np.unique(np.stack([np.minimum(c[a[i]], c[b[j]]), np.maximum(c[a[i]], c[b[j]])], axis=1), axis=0)
+    for x, y in ends.tolist():
+        u, v = find(x), find(y)
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out.append((x, y))
+    return out
+
+
+def region_links(regions: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: components joined by links between classes of one large region, each class outside the region's largest component against all."""
+    lengths = sets.select(F.col("id").alias("rep"), (F.octet_length("shingles") / 8).alias("n")).groupBy("rep").agg(F.sum("n").alias("n"))
+    members = regions.join(known.select(F.col("v").alias("rep"), "c"), "rep", "left").join(lengths, "rep").select("region", "rep", F.coalesce("c", "rep").alias("c"), "n")
+    members = materialise(members, "members")
+    parts = members.groupBy("region", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    blocks = lambda rows, n: F.ceil(F.greatest(F.lit(1), rows / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    top = F.max(F.struct("rows", "n", "c"))
+    sums = parts.groupBy("region").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), top.alias("top")).filter("rows > top.rows")
+    plan = sums.select("region", F.col("top.c").alias("top"), blocks(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("minor"), blocks(F.col("top.rows"), F.col("top.n")).alias("major"))
+    # Blocks 0, 1, ... are of the other components, blocks -1, -2, ... of the largest.
+    dealt = members.join(plan, "region").withColumn("is_top", F.col("c") == F.col("top"))
+    dealt = dealt.withColumn("block", F.when(F.col("is_top"), -1 - F.pmod(F.xxhash64("rep"), "major")).otherwise(F.pmod(F.xxhash64("rep"), "minor")).cast("int"))
+    pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    minors, majors = F.sequence(F.lit(0), F.col("minor") - 1), F.sequence(F.lit(-1), -F.col("major"), F.lit(-1))
+    of_minor = F.concat(F.transform(minors, lambda k: pair(F.least(k, "block"), F.greatest(k, "block"))), F.transform(majors, lambda k: pair(F.col("block"), k)))
+    to = F.when(F.col("is_top"), F.transform(minors, lambda k: pair(k, F.col("block")))).otherwise(of_minor)
+    rows = dealt.select("region", "rep", "c", "block", F.explode(to).alias("to")).select("region", "to.x", "to.y", "rep", "c", "block")
+
+    def scan(key, table):  # without hints: Spark reads them
+        shingles = [np.frombuffer(v.as_buffer(), dtype=tk.U) for v in table.column("shingles")]
+        block = table.column("block").to_numpy()
+        one, two = block == key[1].as_py(), block == key[2].as_py()
+        joins = _joins_in(shingles, table.column("c").to_numpy(), one, two, percent) if one.any() and two.any() else []
+        return pa.table({"a": pa.array([a for a, _ in joins], pa.int64()), "b": pa.array([b for _, b in joins], pa.int64())})
+
+    held = rows.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    return held.groupBy("region", "x", "y").applyInArrow(scan, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, c: for each end of a link the smallest id that it is connected with.
 
@@ -230,6 +306,10 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
             break
         links = links.unionByName(found)
         known = components(_stars(known).unionByName(found))
+    if not regions.isEmpty():
+        joins = materialise(region_links(regions, known, sets, percent).distinct(), "joins")
+        if not joins.isEmpty():
+            known = components(_stars(known).unionByName(joins))
     # Copies hang on their class; classes hang on their component.
     joined = components(_stars(known).unionByName(twins))
     of_class = reps.select("words", "rep").join(joined.select(F.col("v").alias("rep"), "c"), "rep", "left").select("words", F.coalesce("c", "rep").alias("class"))

@@ -133,6 +133,32 @@ def test_near_duplicates(spark):
     assert len({r[2] for r in want if r[0] and r[0] >= 99}) < 80
 
 
+def hubless(n, rnd, first=1000):
+    """n variants of one text with two words replaced each: at 85 % two of them are linked only if a place is the same."""
+    base = prose(200, rnd).split()
+    out = []
+    for k in range(n):
+        at = rnd.sample(range(5, 195), 2)
+        out.append((first + k, " ".join(f"new{k}x{i}" if i in at else w for i, w in enumerate(base))))
+    return out
+
+
+def test_near_duplicates_without_a_hub(spark):
+    rnd = random.Random(8)
+    assert {r[2] for r in rows_of(neardup.link(docs(spark, hubless(2000, rnd)), 85))} == {1000}
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 40])
+def test_region_blocks_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "COLUMNS", 100)
+    rnd = random.Random(9)
+    texts = hubless(150, rnd) + hubless(250, rnd, 2000)
+    got, want = rows_of(neardup.link(docs(spark, texts), 85)), brute_components(texts, 85)
+    assert got == want
+    assert len({r[2] for r in want}) > 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.link(docs(spark, []), 85).count() == 0
     assert [r[2] for r in rows_of(neardup.link(docs(spark, [(1, None), (2, "")]), 85))] == [1, 2]
