@@ -4,11 +4,14 @@ Items are put in size classes (powers of two of their shingle count). An item's
 k the least number of its shingles that a containing document can't miss: a document that holds at least
 80 % of q distinct shingles lacks q - ceil(0.8 q) of them, so it holds one of any q - ceil(0.8 q) + 1. For
 each class, only document shingles at or below the class's largest sketch hash are looked up. Long documents
-are no harder than short ones, and no contained item is missed. Candidates are confirmed on full shingle sets.
+are no harder than short ones, and no contained item is missed. Candidates are confirmed on the shingles of both whole
+texts, compared word by word (no hashes).
 
 Defined results: words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased; items
 with one to four words are one shingle of that many words; null or empty items are never contained; null
-text holds nothing; null ids are returned as they are; repeated rows are returned once.
+text holds nothing; null ids are returned as they are; repeated rows are returned once; tables without rows give none.
+`clean` keeps all columns of docs, of any name. A text of 20 MB takes about 0.5 GB in its worker (textkit.py). The session's
+Arrow batch limits are set (shared.py).
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
-from quillspark.llm.shared import materialise, ship_package
+from quillspark.llm.shared import fresh, materialise, ship_package
 
 WIDTH, PERCENT = 5, 80
-#: Benchmarks with more shingles than this (32 MB) are joined by a shuffle.
-BROADCAST_SHINGLES = 1 << 22
+#: Benchmarks with more bytes (texts, sketches, 32 a row) than this are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def _words(column: pa.Array) -> tk.Words:
@@ -34,38 +37,76 @@ def _words(column: pa.Array) -> tk.Words:
 
 def _grams(words: tk.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of one width in all texts, and the owners."""
-    if len(words.hashes) < width:
+    if len(words.starts) < width:
         return np.zeros(0, dtype=tk.U), np.zeros(0, dtype=np.int64)
     at = tk.within(words.offsets, width)
-    return tk.mix(tk.window_hashes(words.hashes, width, tk.BASE_2)[at] + tk.U(width)), np.searchsorted(words.offsets, at, side="right") - 1
+    return tk.mix(tk.gram_hashes(words.hashes, width)[at] + tk.U(width)), np.searchsorted(words.offsets, at, side="right") - 1
+
+
+class Sets:
+    """The different shingles of texts, numbered by their words."""
+
+    def __init__(self, column: pa.Array):
+        self.words = _words(column)
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, row: int, width: int) -> np.ndarray:
+        if width not in self.made:
+            words, offsets = self.words, self.words.offsets
+            names = tk.window_names(words.names, width)
+            at = tk.within(offsets, width) if len(names) else np.zeros(0, dtype=np.int64)
+            owner = np.searchsorted(offsets, at, side="right") - 1
+            many = int(names.max()) + 1 if len(names) else 1
+            owner, name = np.divmod(np.unique(owner * many + names[at]), many)
+            self.made[width] = name, np.searchsorted(owner, np.arange(len(offsets)))
+        name, ends = self.made[width]
+        return name[ends[row] : ends[row + 1]]
+
+
+def _confirmed(docs: pa.Array, items: pa.Array, pairs: list[tuple[int, int]], width: list[int] | np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
+    """document, item, n_item_shingles, n_shared of the pairs of places whose item is contained. Each text is cut once."""
+    if not pairs:
+        return []
+    rows, own = (np.unique([p[k] for p in pairs]) for k in (0, 1))
+    sets = Sets(pa.concat_arrays([tk.texts(docs.take(pa.array(rows))), tk.texts(items.take(pa.array(own)))]))
+    out = []
+    for r, i in pairs:
+        full = sets.of(len(rows) + int(np.searchsorted(own, i)), int(width[i]))
+        shared = len(np.intersect1d(full, sets.of(int(np.searchsorted(rows, r)), int(width[i])), assume_unique=True))
+        if 100 * shared >= percent * len(full):
+            out.append((r, i, len(full), shared))
+    return out
 
 
 def items(benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """item_id, width, size_class, shingles and sketch (sorted uint64 as bytes), top (largest sketch hash less 2**63)."""
+    """item_id, text, width, size_class, sketch (sorted uint64 as bytes), top (largest sketch hash less 2**63)."""
 
+    @tk.tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.pieces(batches):
             words = _words(batch.column("text"))
-            counts = words.counts
             out = []
             for width in range(1, WIDTH + 1):
                 g, row = _grams(words, width)
-                for k in np.flatnonzero(counts == width if width < WIDTH else counts >= WIDTH):
-                    full = np.unique(g[row == k])
+                edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                for k in np.flatnonzero(words.counts == width if width < WIDTH else words.counts >= WIDTH):
+                    full = np.unique(g[edge[k] : edge[k + 1]])
                     q = len(full)
                     sketch = full[: q - (percent * q + 99) // 100 + 1]
-                    out.append((batch.column("item_id")[k].as_py(), width, int(q).bit_length(), full.tobytes(), sketch.tobytes(), int(sketch[-1]) - (1 << 63)))
-            names = ["item_id", "width", "size_class", "shingles", "sketch", "top"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=names)
+                    out.append((int(k), width, int(q).bit_length(), sketch.tobytes(), int(sketch[-1]) - (1 << 63)))
+            at = pa.array([r[0] for r in out], pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(at), batch.column("text").take(at), *[pa.array([r[i + 1] for r in out], t) for i, t in enumerate(kinds)]], names=["item_id", "text", "width", "size_class", "sketch", "top"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(scan, "item_id long, width int, size_class int, shingles binary, sketch binary, top long")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(scan, "item_id long, text string, width int, size_class int, sketch binary, top long")
 
 
 RESULT = "doc_id long, tie long, item_id long, n_item_shingles long, n_shared long"
 
 
-def _result(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", "tie", "item_id", "n_item_shingles", "n_shared"])
+def _result(batch: pa.RecordBatch, item_ids: pa.Array, rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    at, item = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("tie").take(at), item_ids.take(item), *[pa.array([r[i] for r in rows], pa.int64()) for i in (2, 3)]], names=["doc_id", "tie", "item_id", "n_item_shingles", "n_shared"])
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -73,48 +114,40 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
     spark = docs.sparkSession
     ship_package(spark)
     known = materialise(items(benchmark, percent), "items")
-    total = known.agg(F.coalesce(F.sum(F.length("shingles") / 8), F.lit(0)).cast("long")).first()[0]
+    total = known.agg(F.coalesce(F.sum(F.octet_length("sketch") + F.octet_length("text") + 32), F.lit(0)).cast("long")).first()[0]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-    if total > BROADCAST_SHINGLES:
+    if total > BROADCAST_BYTES:
         return _contained_by_join(rows, known, percent)
-    table = [(r.item_id, r.width, r.size_class, np.frombuffer(r.shingles, dtype=tk.U), np.frombuffer(r.sketch, dtype=tk.U)) for r in known.collect()]
+    table = known.select("item_id", "text", "width", "size_class", "sketch").toArrow().combine_chunks()
+    item_ids, texts = (table.column(k).combine_chunks() for k in ("item_id", "text"))
+    width, size_class = (table.column(k).to_numpy() for k in ("width", "size_class"))
+    raw, ends = tk.buffer(table.column("sketch").combine_chunks().cast(pa.large_binary()))
+    sketches, ends = np.frombuffer(raw.tobytes(), dtype=tk.U), ends // 8
+    of = np.repeat(np.arange(len(width)), np.diff(ends))
     classes = []
-    for key in sorted({t[1:3] for t in table}):
-        own = [i for i, t in enumerate(table) if t[1:3] == key]
-        hashes = np.concatenate([table[i][4] for i in own])
-        of = np.repeat(own, [len(table[i][4]) for i in own])
-        order = np.argsort(hashes, kind="stable")
-        classes.append((key[0], hashes[order], of[order]))
-    sent = spark.sparkContext.broadcast((table, classes))
+    for key in np.unique(np.stack([width, size_class], axis=1), axis=0).tolist():
+        own = (width[of] == key[0]) & (size_class[of] == key[1])
+        order = np.argsort(sketches[own], kind="stable")
+        classes.append((key[0], sketches[own][order], of[own][order]))
+    sent = spark.sparkContext.broadcast((item_ids, texts, width, classes))
 
+    @tk.tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, classes = sent.value
+        item_ids, texts, width, classes = sent.value
         for batch in tk.pieces(batches):
             words = _words(batch.column("text"))
             grams = {w: _grams(words, w) for w in {c[0] for c in classes}}
-            pairs: dict[int, set[int]] = {}
-            for width, hashes, of in classes:
-                g, row = grams[width]
+            pairs: set[tuple[int, int]] = set()
+            for w, hashes, of in classes:
+                g, row = grams[w]
                 low = np.flatnonzero(g <= hashes[-1])
                 first = np.searchsorted(hashes, g[low])
                 hit = hashes[first] == g[low]
-                for k, x, r in zip(first[hit], g[low][hit], row[low][hit], strict=True):
+                for k, x, r in zip(first[hit].tolist(), g[low][hit].tolist(), row[low][hit].tolist(), strict=True):
                     while k < len(hashes) and hashes[k] == x:
-                        pairs.setdefault(int(r), set()).add(int(of[k]))
+                        pairs.add((r, int(of[k])))
                         k += 1
-            out = []
-            for r, found in pairs.items():
-                mine = {}
-                for i in found:
-                    item, width, _, full, _ = table[i]
-                    if width not in mine:
-                        g, row = grams[width]
-                        a, b = np.searchsorted(row, [r, r + 1])
-                        mine[width] = np.unique(g[a:b])
-                    shared = int(np.isin(full, mine[width]).sum())
-                    if 100 * shared >= percent * len(full):
-                        out.append((batch.column("doc_id")[r].as_py(), batch.column("tie")[r].as_py(), item, len(full), shared))
-            yield _result(out)
+            yield _result(batch, item_ids, _confirmed(batch.column("text"), texts, sorted(pairs), width, percent))
 
     return rows.mapInArrow(scan, RESULT).distinct()
 
@@ -124,14 +157,14 @@ def _contained_by_join(rows: DataFrame, known: DataFrame, percent: int) -> DataF
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                x = np.frombuffer(batch.column("sketch")[k].as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array([batch.column("item_id")[k].as_py()] * len(x), pa.int64())], names=["g", "item_id"])
+            raw, ends = tk.buffer(batch.column("sketch").cast(pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), dtype=np.int64)), batch.column("item_id").take(pa.array(tk.owner(ends // 8)))], names=["g", "item_id"])
 
     sketch = known.select("item_id", "sketch").mapInArrow(sketches, "g long, item_id long")
     # The largest sketch hash of each width bounds what documents send.
     tops = {r.width: r.top + (1 << 63) for r in known.groupBy("width").agg(F.max("top").alias("top")).collect()}  # 1 to WIDTH rows
 
+    @tk.tidy
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.pieces(batches):
             words = _words(batch.column("text"))
@@ -140,28 +173,19 @@ def _contained_by_join(rows: DataFrame, known: DataFrame, percent: int) -> DataF
                 at = np.flatnonzero(g <= tk.U(top))
                 yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), batch.column("doc_id").take(pa.array(row[at])), batch.column("tie").take(pa.array(row[at]))], names=["g", "doc_id", "tie"])
 
-    pairs = rows.mapInArrow(low, "g long, doc_id long, tie long").join(sketch, "g").select("doc_id", "tie", "item_id").distinct()
+    pairs = rows.mapInArrow(low, "g long, doc_id long, tie long").distinct().join(sketch, "g").select("doc_id", "tie", "item_id").distinct()
     pairs = materialise(pairs, "candidates")
-    full = pairs.join(known.select("item_id", "width", "shingles"), pairs["item_id"].eqNullSafe(known["item_id"])).select("doc_id", "tie", pairs["item_id"], "width", "shingles")
+    full = pairs.join(known.select("item_id", "width", F.col("text").alias("item")), pairs["item_id"].eqNullSafe(known["item_id"])).select("doc_id", "tie", pairs["item_id"], "width", "item")
     texts = rows.dropDuplicates(["doc_id", "tie"]).withColumnsRenamed({"doc_id": "d", "tie": "t"})
     both = full.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
 
+    @tk.tidy
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.pieces(batches):
-            words = _words(batch.column("text"))
-            grams: dict[int, tuple] = {}
-            out = []
-            for k in range(batch.num_rows):
-                w = batch.column("width")[k].as_py()
-                g, row = grams[w] if w in grams else grams.setdefault(w, _grams(words, w))
-                a, b = np.searchsorted(row, [k, k + 1])
-                x = np.frombuffer(batch.column("shingles")[k].as_buffer(), dtype=tk.U)
-                shared = int(np.isin(x, g[a:b]).sum())
-                if 100 * shared >= percent * len(x):
-                    out.append((batch.column("doc_id")[k].as_py(), batch.column("tie")[k].as_py(), batch.column("item_id")[k].as_py(), len(x), shared))
-            yield _result(out)
+            pairs = [(k, k) for k in range(batch.num_rows)]
+            yield _result(batch, batch.column("item_id"), _confirmed(batch.column("text"), batch.column("item"), pairs, batch.column("width").to_numpy(), percent))
 
-    return both.select("doc_id", "tie", "item_id", "width", "shingles", "text").mapInArrow(confirm, RESULT).distinct()
+    return both.select("doc_id", "tie", "item_id", "width", "item", "text").mapInArrow(confirm, RESULT).distinct()
 
 
 def report(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -171,5 +195,6 @@ def report(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Dat
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    bad = contained(docs, benchmark, percent).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_t")), "left_anti")
+    d, t = fresh(docs, "quill_doc", "quill_tie")
+    bad = contained(docs, benchmark, percent).select(F.col("doc_id").alias(d), F.col("tie").alias(t)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(t)), "left_anti")

@@ -32,6 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns of df: a name that df has already (in any case) gets underscores behind it until it is free."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows and bytes of one Arrow batch; texts are long, and each task holds a batch in the JVM and in Python.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 

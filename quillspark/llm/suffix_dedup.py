@@ -145,6 +145,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, spans (begin, end in bytes, maximal)."""
 
+    @tk.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.pieces(batches):
             kept, total, gone, runs = [], [], [], []

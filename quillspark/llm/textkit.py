@@ -1,8 +1,19 @@
-"""Vectorised text work on Arrow batches: UTF-8 buffers, words, hashes, window minima, intervals."""
+"""Vectorised text work on Arrow batches: UTF-8 buffers, words, names, hashes, window minima, intervals.
+
+Polynomial hashes (`span_hashes`, `window_hashes`) only deal rows out: sequences can be made that collide in them. What
+decides a result is a name: words and windows of a batch are numbered by their own bytes, so names are equal exactly
+where the sequences are. Hashes that must agree between tasks start from a 128-bit BLAKE2 digest of each word.
+
+Memory: texts are taken up in pieces of PIECE bytes. One longer text takes about 25 bytes of memory a byte where words
+are cut (a text of 20 MB: 0.5 GB in the worker); where bytes are the units, it is cut into overlapping slices.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +63,57 @@ def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda n: 0
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that leaves its worker as small as it found it: workers are used again by later stages, and
+    what allocators hold back adds up over them."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped
+
+
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs without linear structure."""
+    return mix((a ^ (a >> U(29))) * U(0x9FB21C651E98DF25) + b)
+
+
+def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of windows of random codes, by doubling."""
+    size, out = 1, h
+    while size < width and len(out):
+        step = min(size, width - size)
+        out = joint(out[:-step], out[step:]) if len(out) > step else out[:0]
+        size += step
+    return out
+
+
+def window_names(names: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of the windows of numbered units, equal exactly for equal windows: pairs of names are numbered, doubling the width."""
+    size, out = 1, names
+    while size < width and len(out):
+        step = min(size, width - size)
+        if len(out) <= step:
+            return out[:0]
+        out = np.unique((out[:-step].astype(U) << U(32)) | out[step:].astype(U), return_inverse=True)[1]
+        size += step
+    return out
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE_1) -> np.ndarray:
     """Hashes of codes[start:end]; equal sequences have equal hashes."""
     n = len(codes)
@@ -120,26 +182,45 @@ class Words:
         self.ends = np.flatnonzero(step == -1)  # each text ends with a space, so every word has an end
         self.text_starts = off[:-1]
         self.offsets = np.searchsorted(self.starts, off)
-        self._hashes: np.ndarray | None = None
+        self._names: tuple[np.ndarray, np.ndarray] | None = None
+        self._joined: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
 
+    def _numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._names is None:
+            data, starts, _ = self.joined()
+            coded = binary_view(data, np.append(starts, len(data))).dictionary_encode()  # each with its space
+            digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in coded.dictionary.to_pylist())
+            self._names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.frombuffer(digests, dtype=U).reshape(-1, 2)
+        return self._names
+
+    @property
+    def names(self) -> np.ndarray:
+        """Numbers of the words, equal exactly for equal words of this piece."""
+        return self._numbered()[0]
+
     @property
     def hashes(self) -> np.ndarray:
-        if self._hashes is None:
-            self._hashes = span_hashes(BYTE_CODE[self.data], self.starts, self.ends)
-        return self._hashes
+        """64 bits of each word's digest."""
+        names, digests = self._numbered()
+        return digests[names, 0] if len(names) else np.zeros(0, dtype=U)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words, one space after each: bytes, and the starts and ends of the words in them."""
+        if self._joined is None:
+            self._joined = self._join()
+        return self._joined
+
+    def _join(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = self.ends - self.starts + 1
         starts = np.concatenate([[0], np.cumsum(size)])
         take = np.zeros(len(self.data) + 1, dtype=np.int8)
         take[self.starts] = 1
         take[self.ends + 1] -= 1  # the space after a word is kept; the next word may begin right behind it
-        take = np.cumsum(take[:-1]).astype(bool)
+        take = np.cumsum(take[:-1], dtype=np.int8).astype(bool)
         out = self.data[take].copy()
         out[starts[1:] - 1] = 0x20
         return out, starts[:-1], starts[1:] - 1
@@ -160,29 +241,46 @@ def within(offsets: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def shingle_codes(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's word shingles, with repeats, and the n + 1 offsets.
+def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word shingles of each text, with repeats: names (equal exactly for equal shingles), hashes, and the n + 1 offsets.
 
-    A text with fewer words has its whole sequence as one shingle; one without words has none.
+    A text with fewer words has its whole sequence as one shingle; one without words has none. Short texts never
+    share a name with another text here; those with equal words have equal hashes.
     """
     counts = words.counts
-    h = words.hashes
-    if len(h) >= width:
-        grams = window_hashes(h, width, BASE_2)
-    else:
-        grams = np.zeros(0, dtype=U)
     short = (counts > 0) & (counts < width)
     own = np.where(short, 1, np.maximum(counts - width + 1, 0))
     offsets = np.concatenate([[0], np.cumsum(own)])
-    out = np.empty(int(offsets[-1]), dtype=U)
+    names, codes = np.empty(int(offsets[-1]), dtype=np.int64), np.empty(int(offsets[-1]), dtype=U)
     long = own * ~short
     at = np.repeat(words.offsets[:-1] - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(int(long.sum()))
     place = np.repeat(~short, own)
-    out[place] = grams[at]
+    if len(at):
+        names[place], codes[place] = window_names(words.names, width)[at], gram_hashes(words.hashes, width)[at]
     if short.any():
-        a, b = words.offsets[:-1][short], words.offsets[1:][short]
-        out[~place] = mix(span_hashes(h, a, b, BASE_2) ^ (b - a).astype(U))
-    return out, offsets
+        names[~place] = len(words.starts) + np.arange(int(short.sum()))
+        data, starts, ends = words.joined()
+        raw = data.tobytes()
+        first, last = words.offsets[:-1][short], words.offsets[1:][short] - 1
+        codes[~place] = [int.from_bytes(hashlib.blake2b(raw[starts[a] : ends[b]], digest_size=8).digest(), "little") for a, b in zip(first, last, strict=True)]
+    return names, codes, offsets
+
+
+def distinct(names: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and names of the different units of each row, in order."""
+    many = int(names.max()) + 1 if len(names) else 1
+    return np.divmod(np.unique(owner(offsets) * many + names), many)
+
+
+def shared(x: pa.Array, y: pa.Array, width: int = 5, table: np.ndarray = SPACED_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of texts: different shingles of x, of y, and of both, told apart by their words."""
+    n = len(x)
+    row, name = distinct(*(lambda s: (s[0], s[2]))(shingles(Words(pa.concat_arrays([x, y]), table, lower=True), width)))
+    sizes = np.bincount(row, minlength=2 * n)
+    many = int(name.max()) + 1 if len(name) else 1
+    both = np.sort(row % max(n, 1) * many + name)
+    twice = both[1:][both[1:] == both[:-1]] // many
+    return sizes[:n], sizes[n:], np.bincount(twice, minlength=n)
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +290,11 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return data[np.repeat(starts - offsets[:-1], size) + np.arange(int(offsets[-1]))], offsets
 
 
+def binary_view(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A large_binary array over bytes that are there."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary array from bytes and offsets; large only while building."""
     big = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
