@@ -57,7 +57,7 @@ class Sets:
             at = tk.within(offsets, width) if len(names) else np.zeros(0, dtype=np.int64)
             owner = np.searchsorted(offsets, at, side="right") - 1
             many = int(names.max()) + 1 if len(names) else 1
-            owner, name = np.divmod(np.unique(owner * many + names[at]), many)
+            owner, name = np.divmod(tk.different(owner * many + names[at]), many)
             self.made[width] = name, np.searchsorted(owner, np.arange(len(offsets)))
         name, ends = self.made[width]
         return name[ends[row] : ends[row + 1]]
@@ -90,7 +90,7 @@ def items(benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
                 g, row = _grams(words, width)
                 edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 for k in np.flatnonzero(words.counts == width if width < WIDTH else words.counts >= WIDTH):
-                    full = np.unique(g[edge[k] : edge[k + 1]])
+                    full = tk.different(g[edge[k] : edge[k + 1]])
                     q = len(full)
                     sketch = full[: q - (percent * q + 99) // 100 + 1]
                     out.append((int(k), width, int(q).bit_length(), sketch.tobytes(), int(sketch[-1]) - (1 << 63)))

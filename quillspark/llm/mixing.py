@@ -7,7 +7,8 @@ split evenly into draws of at most that rate, whose sum has the whole rate's dis
 without a number.
 
 Defined results: null source is a source of its own; null n_chars counts as 0; a source without characters
-has the rate 1; rows with equal doc_id draw alike; null doc_id draws as the text 'null'; further columns stay.
+has the rate 1; rows with equal doc_id draw alike; null doc_id draws as the text 'null'; an empty table gives an empty one.
+All columns of docs stay; an added column whose name docs has already (in any case) gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import fresh
+
 #: At most so many sources are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 2_000
 #: Largest rate of one draw, and the most copies of one looked at; the mass beyond is under 1e-12.
@@ -51,16 +54,22 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     return rated.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COPIES)), start, add, lambda a: a["cdf"]))
 
 
+def order_key(doc_id: Column, copy: Column, seed: int = SEED) -> Column:
+    """The place of a copy in the shuffled order."""
+    return F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), F.coalesce(doc_id.cast("string"), F.lit("null")), copy))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
     """docs with rate, n_copies, copy (from 0) and order_key; rows lie in the order of order_key within partitions."""
-    table = rates(docs.select("source", "n_chars"), weights)
+    rate, n_copies, copy, key, us, src, draws, cdf = fresh(docs, "rate", "n_copies", "copy", "order_key", "quill_us", "quill_src", "quill_draws", "quill_cdf")
+    table = rates(docs.select("source", "n_chars"), weights).select(F.col("src").alias(src), F.col("rate").alias(rate), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    joined = docs.join(table, F.coalesce(F.col("source"), F.lit("\0null")) == F.col("src"))
+    joined = docs.join(table, F.coalesce(F.col("source"), F.lit("\0null")) == F.col(src))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    us = F.transform(F.sequence(F.lit(0), F.col("draws") - 1), lambda j: uniform(F.when(j == 0, f"count-{seed}").otherwise(F.concat(F.lit(f"count-{seed}-"), j.cast("string"))), name))
-    count = F.aggregate("_u", F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
-    counted = joined.withColumn("_u", us).withColumn("n_copies", count)
-    copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), name, "copy"))).drop("_u", "cdf", "draws", "src")
-    return keyed.repartition("order_key").sortWithinPartitions("order_key")
+    drawn = F.transform(F.sequence(F.lit(0), F.col(draws) - 1), lambda j: uniform(F.when(j == 0, f"count-{seed}").otherwise(F.concat(F.lit(f"count-{seed}-"), j.cast("string"))), name))
+    count = F.aggregate(us, F.lit(0), lambda n, u: n + F.size(F.filter(cdf, lambda c: c <= u)))
+    counted = joined.withColumn(us, drawn).withColumn(n_copies, count)
+    copies = counted.filter(F.col(n_copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
+    keyed = copies.withColumn(key, order_key(F.col("doc_id"), F.col(copy), seed)).select(*docs.columns, rate, n_copies, copy, key)
+    return keyed.repartition(key).sortWithinPartitions(key)

@@ -120,7 +120,7 @@ def candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             raw, _ = tk.buffer(table.column("label").combine_chunks().cast(pa.large_binary()))
             label = raw.reshape(-1, width).view(">u4").astype(np.uint32)
             a, b, large = _pairs_in(tree, label, rep, table.column("n").to_numpy(), percent, large_before, fresh)
-            name = tk.span_hashes(tk.BYTE_CODE[raw], np.arange(len(rep)) * width, np.arange(len(rep)) * width + 4 * FLOOR) ^ tk.mix(tree.astype(tk.U) + tk.U(1))
+            name = tk.keyed_hashes(raw, np.arange(len(rep)) * width, np.arange(len(rep)) * width + 4 * FLOOR) ^ tk.mix(tree.astype(tk.U) + tk.U(1))
             mine = large & (np.arange(len(rep)) >= fresh)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["region", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(name[mine].view(np.int64)), pa.array(rep[mine]), pa.nulls(int(mine.sum()), pa.int64())], names=["region", "a", "b"])
@@ -333,7 +333,7 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
         if not joins.isEmpty():
             known = components(_stars(known).unionByName(joins))
     # Copies hang on their class; classes hang on their component.
-    joined = components(_stars(known).unionByName(twins))
+    joined = known if twins.isEmpty() else components(_stars(known).unionByName(twins))
     of_class = reps.select("words", "rep").join(joined.select(F.col("v").alias("rep"), "c"), "rep", "left").select("words", F.coalesce("c", "rep").alias("class"))
     linked = full.select("doc_id", "n_shingles", "words").join(materialise(of_class, "classes"), "words").select("doc_id", "n_shingles", F.col("class").alias("component_id"))
     alone = signed.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -1,8 +1,9 @@
 """Vectorised text work on Arrow batches: UTF-8 buffers, words, names, hashes, window minima, intervals.
 
-Polynomial hashes (`span_hashes`, `window_hashes`) only deal rows out: sequences can be made that collide in them. What
+Polynomial hashes (`window_hashes`) only deal rows out: sequences can be made that collide in them. What
 decides a result is a name: words and windows of a batch are numbered by their own bytes, so names are equal exactly
-where the sequences are. Hashes that must agree between tasks start from a 128-bit BLAKE2 digest of each word.
+where the sequences are. Hashes of words that must agree between tasks are keyed and without linear structure; they find
+candidates, and never decide.
 
 Memory: texts are taken up in pieces of PIECE bytes. One longer text takes about 25 bytes of memory a byte where words
 are cut (a text of 20 MB: 0.5 GB in the worker); where bytes are the units, it is cut into overlapping slices.
@@ -18,10 +19,13 @@ from functools import cache, wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 #: Bytes of text worked on at once; one longer text is still taken whole.
 PIECE = 1 << 20
+SEED = 0x5EED0F9
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 
 WHITE = np.ones(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = False
@@ -103,23 +107,46 @@ def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_names(names: np.ndarray, width: int) -> np.ndarray:
-    """Numbers of the windows of numbered units, equal exactly for equal windows: pairs of names are numbered, doubling the width."""
+    """Numbers of the windows of numbered units, equal exactly for equal windows.
+
+    Windows are sorted by hash and neighbours compared unit by unit; should two different ones share a hash, windows are
+    numbered without hashes: pairs of names get numbers, doubling the width.
+    """
+    n = len(names) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    h = gram_hashes(mix(names.astype(U) + U(1)), width)
+    order = np.argsort(h)
+    new = np.ones(n, dtype=bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    a, b = order[:-1][~new[1:]], order[1:][~new[1:]]
+    if all(np.array_equal(names[a + k], names[b + k]) for k in range(width)):
+        out = np.empty(n, dtype=np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
     size, out = 1, names
-    while size < width and len(out):
+    while size < width:
         step = min(size, width - size)
-        if len(out) <= step:
-            return out[:0]
         out = np.unique((out[:-step].astype(U) << U(32)) | out[step:].astype(U), return_inverse=True)[1]
         size += step
     return out
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE_1) -> np.ndarray:
-    """Hashes of codes[start:end]; equal sequences have equal hashes."""
-    n = len(codes)
-    total = np.zeros(n + 1, dtype=U)
-    np.cumsum(codes * powers(base, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(inverse(base), n + 1)[starts] + (ends - starts).astype(U))
+def keyed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end] without linear structure: eight bytes at a time for the first 64, by XXH3 for longer ones."""
+    size = ends - starts
+    h = mix(size.astype(U) + U(SEED))
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    own = np.arange(len(size))
+    for k in range(0, 64, 8):
+        own = own[size[own] > k]
+        if not len(own):
+            break
+        h[own] = joint(h[own], eight[starts[own] + k] & LOW_BYTES[np.minimum(size[own] - k, 8)])
+    for k in own[size[own] > 64].tolist():
+        h[k] = xxhash.xxh3_64_intdigest(memoryview(data)[starts[k] : ends[k]], SEED)
+    return h
 
 
 def window_hashes(codes: np.ndarray, width: int, base: int = BASE_1) -> np.ndarray:
@@ -182,31 +209,29 @@ class Words:
         self.ends = np.flatnonzero(step == -1)  # each text ends with a space, so every word has an end
         self.text_starts = off[:-1]
         self.offsets = np.searchsorted(self.starts, off)
-        self._names: tuple[np.ndarray, np.ndarray] | None = None
+        self._names: np.ndarray | None = None
+        self._hashes: np.ndarray | None = None
         self._joined: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
 
-    def _numbered(self) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def names(self) -> np.ndarray:
+        """Numbers of the words, equal exactly for equal words of this piece."""
         if self._names is None:
             data, starts, _ = self.joined()
             coded = binary_view(data, np.append(starts, len(data))).dictionary_encode()  # each with its space
-            digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in coded.dictionary.to_pylist())
-            self._names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.frombuffer(digests, dtype=U).reshape(-1, 2)
+            self._names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         return self._names
 
-    @property
-    def names(self) -> np.ndarray:
-        """Numbers of the words, equal exactly for equal words of this piece."""
-        return self._numbered()[0]
-
     @property
     def hashes(self) -> np.ndarray:
-        """64 bits of each word's digest."""
-        names, digests = self._numbered()
-        return digests[names, 0] if len(names) else np.zeros(0, dtype=U)
+        """A hash of each word that is the same everywhere."""
+        if self._hashes is None:
+            self._hashes = keyed_hashes(self.data, self.starts, self.ends)
+        return self._hashes
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words, one space after each: bytes, and the starts and ends of the words in them."""
@@ -269,7 +294,13 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.n
 def distinct(names: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and names of the different units of each row, in order."""
     many = int(names.max()) + 1 if len(names) else 1
-    return np.divmod(np.unique(owner(offsets) * many + names), many)
+    return np.divmod(different(owner(offsets) * many + names), many)
+
+
+def different(x: np.ndarray) -> np.ndarray:
+    """The different values in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def shared(x: pa.Array, y: pa.Array, width: int = 5, table: np.ndarray = SPACED_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

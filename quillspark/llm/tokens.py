@@ -1,17 +1,20 @@
 """Token ids in Re-Pair compressed shards (op 5).
 
-Documents are dealt by range of doc_id, so that shards follow one another in ascending order. A shard block
-holds whole documents, BLOCK ids or one longer document. In each block frequent pairs of ids are replaced by
-nonterminals, round after round; no pair crosses the end of a document, so each document is a run of symbols.
-The block keeps the rules (left, right), the symbols, and for each document its id, its number of ids and
-where its symbols end; expansion lengths of the nonterminals give the place of any id without decoding
-what stands before it (`ids_at`).
+Documents are dealt by range of doc_id (or of another order column), so that shards follow one another in ascending order. A
+shard block holds whole documents, BLOCK ids or one longer document. In each block frequent pairs of symbols are replaced by
+nonterminals, round after round, until no pair is found LEAST times; no pair crosses the end of a document, so each document
+is a run of symbols. The block keeps its terminals (the ids that it uses), the rules (left, right), the symbols, and for each
+document its id, its number of ids and where its symbols end; expansion lengths of the nonterminals give the place of
+any id without decoding what stands before it (`ids_at`).
 
-File format: a Parquet table in the shared folder, one row for each block: part, block, ids (of documents), sizes,
-ends, rules (uint32 pairs), lengths (uint32), symbols (uint16 or uint32, by `wide`), base (first nonterminal).
+File format: a Parquet table in the shared folder, one row for each block: part, block, ids (of documents), sizes, ends,
+terminals (uint32: id of each of the first symbols), rules (uint32 pairs of symbols, the rest), lengths (uint32 for each rule),
+symbols (uint16, or uint32 if `wide`: where a block has over 65,536 different ones). All little-endian.
 
 Defined results: null text is empty and has the end id alone; null doc_id comes first; rows with equal doc_id
-are ordered by text; further columns are ignored.
+are ordered by text, and repeated rows are all written; an empty table gives no blocks; further columns (of any name) are ignored.
+A worker keeps its tokenizer and at most REMEMBERED chunks. The tokenizer takes a text with odd white space or marks of special
+tokens as a whole, with some 70 bytes of memory a byte. The session's Arrow batch limits are set (shared.py).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
@@ -32,12 +35,12 @@ from quillspark.llm.shared import materialise, ship_package
 
 BLOCK = 1 << 20
 END = 0
-#: Rounds of replacement, pairs replaced in a round, and the least count of a pair.
-ROUNDS, PAIRS, LEAST = 4, 2048, 16
-#: Distinct chunks whose ids an encoder remembers.
-REMEMBERED = 600_000
-#: Bytes of text encoded at once: more text has fewer new chunks a byte.
-ENCODED = 4 << 20
+#: The least count of a frequent pair: a rule takes 12 bytes, and saves one symbol of 2 or 4 a place.
+LEAST = 16
+#: Distinct chunks whose ids an encoder remembers, some 15 MB.
+REMEMBERED = 300_000
+#: Bytes of text encoded at once (more text has fewer new chunks a byte), and texts that the tokenizer takes at once.
+ENCODED, ROWS = 3 << 20, 32
 
 #: Spaces that may not be cut at, white space and controls other than space and newline, and marks of special tokens.
 ODD = r"[ \n] [ \n]|[ \n] $|[\x00-\x09\x0B-\x1F\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}]|<\|"
@@ -84,7 +87,8 @@ class Encoder:
         self.ends = np.zeros(1, dtype=np.int64)
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        batch = self.tokenizer.encode_batch_fast
+        return [np.array(e.ids, dtype=np.uint32) for k in range(0, len(texts), ROWS) for e in batch(texts[k : k + ROWS], add_special_tokens=False)]
 
     def _learn(self, spaced: pa.Array, bare: list[str]) -> None:
         """Ids of new chunks. Those with a space before them go in long rows: no boundary moves, and only a chunk's first id begins with a space."""
@@ -153,101 +157,147 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: symbols, whether each is the last of its document, and rules (n, 2); nonterminal base + k is rule k."""
-    symbols, last = ids.astype(np.uint32), last.copy()
+def _frequent(symbols: np.ndarray, look: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places `look`, those of pairs that are found LEAST times or more there, and the pair's rank at each: 0 for the most frequent one."""
+    wide = alphabet > 1 << 16
+    shift = np.uint64(32) if wide else np.uint32(16)
+    code = symbols.astype(np.uint64) if wide else symbols
+    pair = (code[look] << shift) | code[look + 1]
+    order = np.sort(pair)
+    edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(edge, len(order)))
+    often = times >= LEAST
+    chosen, times = order[edge[often]], times[often]
+    if not len(chosen):
+        return look[:0], look[:0]
+    rank = np.empty(len(chosen), dtype=np.int64)
+    rank[np.lexsort((chosen, -times))] = np.arange(len(chosen))
+    # Most places drop out by one of their symbols before the search.
+    left, right = np.zeros(alphabet, dtype=bool), np.zeros(alphabet, dtype=bool)
+    left[(chosen >> shift).astype(np.int64)] = True
+    right[(chosen & type(shift)((1 << int(shift)) - 1)).astype(np.int64)] = True
+    some = np.flatnonzero(left[symbols[look]] & right[symbols[look + 1]])
+    pair = pair[some]
+    place = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+    hit = chosen[place] == pair
+    return look[some[hit]], rank[place[hit]]
+
+
+def compress(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair until no pair occurs LEAST times: symbols, whether each is the last of its document, rules (n, 2), terminals.
+
+    Symbol k stands for the id terminals[k], or for rule k - len(terminals). In a round every frequent pair is replaced
+    where no more frequent one overlaps it, from the left in runs of one symbol. The most frequent pair always is, so
+    every round makes the text shorter; a pair that wins less than half of LEAST places waits for a later round.
+    """
+    terminals = np.flatnonzero(np.bincount(ids))
+    number = np.zeros(int(terminals[-1]) + 1, dtype=np.uint32)
+    number[terminals] = np.arange(len(terminals))
+    symbols, last = number[ids], last.copy()
     rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(ROUNDS):
-        room = min(PAIRS, (1 << 16) - base - made if base < 1 << 16 else PAIRS)
-        if room <= 0 or len(symbols) < 2 * LEAST:
+    made = len(terminals)
+    # A pair can only become frequent with a symbol of the round before; frequent pairs that were beaten are looked at again.
+    again = ~last
+    again[-1:] = False
+    while True:
+        at, rank = _frequent(symbols, np.flatnonzero(again), made)
+        if not len(at):
             break
-        narrow = base + made <= 1 << 16
-        pair = (symbols[:-1] << np.uint32(16) | symbols[1:]) if narrow else (symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:])
-        open_ = ~last[:-1]
-        order = np.sort(pair[open_])
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
-        times = np.diff(np.concatenate([edge, [len(order)]]))
-        often = np.flatnonzero(times >= LEAST)
-        if not len(often):
-            break
-        often = often[np.lexsort((order[edge[often]], -times[often]))[:room]]
-        chosen = np.sort(order[edge[often]])
-        # A table of chosen pairs by the ranks of their left and right symbols; -1 is none.
-        shift, part = (np.uint32(16), np.uint32(0xFFFF)) if narrow else (np.uint64(32), np.uint64(0xFFFFFFFF))
-        a, b = (chosen >> shift).astype(np.int64), (chosen & part).astype(np.int64)
-        left, right = np.full(base + made, -1, dtype=np.int32), np.full(base + made, -1, dtype=np.int32)
-        lefts, rights = np.unique(a), np.unique(b)
-        left[lefts], right[rights] = np.arange(len(lefts)), np.arange(len(rights))
-        table = np.full(len(lefts) * len(rights), -1, dtype=np.int32)
-        table[left[a] * len(rights) + right[b]] = np.arange(len(chosen))
-        x, y = left[symbols[:-1]], right[symbols[1:]]
-        at = np.flatnonzero((x >= 0) & (y >= 0) & open_)
-        place = table[x[at] * np.int32(len(rights)) + y[at]]
-        hit = place >= 0
-        at, place = at[hit], place[hit]
-        # Of overlapping places every second one of a run goes on, from the run's left end.
-        run = np.concatenate([[True], at[1:] != at[:-1] + 1]) if len(at) else np.zeros(0, dtype=bool)
-        begin = at[run][np.cumsum(run) - 1] if len(at) else at
-        even = (at - begin) % 2 == 0
-        at, place = at[even], place[even]
-        symbols[at] = base + made + place
+        run = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1])])
+        first = np.flatnonzero(run)
+        end = np.append(first[1:], len(at)) - 1
+        near = lambda here, there, step: (at[here] == at[there] + step) & (rank[there] < rank[here])
+        beaten = np.zeros(len(first), dtype=bool)
+        beaten[1:] = near(first[1:], end[:-1], 1)
+        beaten[:-1] |= near(end[:-1], first[1:], -1)
+        number = np.cumsum(run) - 1
+        take = ~beaten[number] & ((at - at[first][number]) % 2 == 0)
+        times = np.bincount(rank[take], minlength=int(rank.max()) + 1)
+        good = 2 * times >= LEAST
+        take &= good[rank]
+        again[:] = False
+        again[at[~take]] = True
+        at, rank = at[take], rank[take]
+        name = made + np.cumsum(good) - 1
+        pairs = np.empty((int(good.sum()), 2), dtype=np.uint32)
+        pairs[name[rank] - made] = np.stack([symbols[at], symbols[at + 1]], axis=1)
+        symbols[at] = name[rank]
         last[at] = last[at + 1]
+        again[at] = True
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([a, b], axis=1).astype(np.uint32))
-        made += len(chosen)
-    return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
+        symbols, last, again = symbols[keep], last[keep], again[keep]
+        again[:-1] |= symbols[1:] >= made
+        again &= ~last
+        rules.append(pairs)
+        made += len(pairs)
+    return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32), terminals.astype(np.uint32)
+
+
+def _layers(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules that don't refer to one another: a round of replacement each, or more. Rules only refer to earlier ones."""
+    top = rules.max(axis=1).astype(np.int64) if len(rules) else np.zeros(0, dtype=np.int64)
+    done = 0
+    while done < len(rules):
+        to = done + int(np.argmax(np.append(top[done:] >= base + done, True)))
+        yield done, to
+        done = to
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """Number of ids that each nonterminal stands for. Rules only refer to earlier ones."""
+    """Number of ids that each nonterminal stands for."""
     size = np.ones(base + len(rules), dtype=np.int64)
-    done = 0
-    while done < len(rules):  # as many at once as don't refer to one another: a round of replacement
-        top = rules[done:].max(axis=1)
-        to = done + int(np.argmax(np.append(top >= base + done, True)))
+    for done, to in _layers(rules, base):
         size[base + done : base + to] = size[rules[done:to, 0]] + size[rules[done:to, 1]]
-        done = to
     return size[base:]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+def expand(symbols: np.ndarray, rules: np.ndarray, terminals: np.ndarray) -> np.ndarray:
     """Ids of a run of symbols: the rules are expanded once, and each symbol takes its part of that table."""
-    flat, sizes = _expanded(rules, base)
+    flat, sizes = _expanded(rules, len(terminals))
     ends = np.cumsum(sizes)
-    return tk.gather(flat, ends[symbols] - sizes[symbols], ends[symbols])[0]
+    return terminals[tk.gather(flat, ends[symbols] - sizes[symbols], ends[symbols])[0]]
 
 
 def _expanded(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all symbols, one after the other, and how many each has."""
-    flat = rules.reshape(-1)
-    while (big := flat >= base).any():
-        at = np.arange(len(flat)) + np.concatenate([[0], np.cumsum(big)[:-1]])
-        out = np.empty(len(flat) + int(big.sum()), dtype=np.uint32)
-        out[at[~big]] = flat[~big]
-        pair = rules[flat[big] - base]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        flat = out
-    return np.concatenate([np.arange(base, dtype=np.uint32), flat]), np.concatenate([np.ones(base, dtype=np.int64), lengths(rules, base)])
+    """Terminals of all symbols, one after the other, and how many each has. A rule is filled in from its two parts, which stand before it."""
+    sizes = np.concatenate([np.ones(base, dtype=np.int64), lengths(rules, base)])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.empty(int(begin[-1]), dtype=np.uint32)
+    flat[:base] = np.arange(base)
+    for done, to in _layers(rules, base):
+        for k, at in ((0, begin[base + done : base + to]), (1, begin[base + done : base + to] + sizes[rules[done:to, 0]])):
+            part = rules[done:to, k]
+            own, off = tk.gather(flat, begin[part], begin[part] + sizes[part])
+            flat[np.repeat(at - off[:-1], np.diff(off)) + np.arange(int(off[-1]))] = own
+    return flat, sizes
 
 
 def ids_at(block: dict, doc: int, start: int, stop: int) -> np.ndarray:
-    """Ids start to stop of the doc-th document of a block, decoding only the symbols that hold them."""
-    symbols, rules, base = _unpacked(block)
+    """Ids start to stop of the doc-th document of a block, decoding only the symbols that hold them, by the lengths in the file."""
+    symbols, rules, terminals = _unpacked(block)
+    base = len(terminals)
     size = np.concatenate([np.ones(base, dtype=np.int64), np.frombuffer(block["lengths"], dtype=np.uint32).astype(np.int64)])
     a, b = ([0] + list(block["ends"]))[doc : doc + 2]
-    mine = symbols[a:b]
-    ends = np.cumsum(size[mine])
-    i, j = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop) + 1
-    before = int(ends[i - 1]) if i else 0
-    return expand(mine[i:j], rules, base)[start - before : stop - before]
-
-
-def _unpacked(block: dict) -> tuple[np.ndarray, np.ndarray, int]:
-    symbols = np.frombuffer(block["symbols"], dtype=np.uint32 if block["wide"] else np.uint16).astype(np.uint32)
-    return symbols, np.frombuffer(block["rules"], dtype=np.uint32).reshape(-1, 2), block["base"]
+    ends = np.cumsum(size[symbols[a:b]])
+    i = int(np.searchsorted(ends, start, side="right"))
+    at, out = (int(ends[i - 1]) if i else 0), []
+    stack = symbols[a + i : a + int(np.searchsorted(ends, stop)) + 1][::-1].tolist()
+    while stack and at < stop:
+        x = stack.pop()
+        if at + size[x] <= start:
+            at += int(size[x])
+        elif x < base:
+            out.append(terminals[x])
+            at += 1
+        else:
+            stack += rules[x - base][::-1].tolist()
+    return np.array(out, dtype=np.uint32)
+
+
+def _unpacked(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    symbols = np.frombuffer(block["symbols"], dtype="<u4" if block["wide"] else "<u2").astype(np.uint32)
+    return symbols, np.frombuffer(block["rules"], dtype="<u4").reshape(-1, 2), np.frombuffer(block["terminals"], dtype="<u4")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,17 +312,19 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-FILE = "part int, block int, ids array<long>, sizes array<long>, ends array<long>, rules binary, lengths binary, symbols binary, wide boolean, base int"
+FILE = "part int, block int, ids array<long>, sizes array<long>, ends array<long>, terminals binary, rules binary, lengths binary, symbols binary, wide boolean"
 
 
-def write(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Encodes docs and writes the shards to the shared folder; returns the table read back."""
+def write(docs: DataFrame, tokenizer: str | None = None, order: Column | None = None) -> DataFrame:
+    """Encodes docs and writes the shards to the shared folder, in ascending order of doc_id or of `order`; returns the table read back."""
     ship_package(docs.sparkSession)
     path = tokenizer or tokenizer_file()
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    place = F.col("doc_id").cast("long") if order is None else order
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("place"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ordered = ordered.repartitionByRange(n, F.asc_nulls_first("place")).sortWithinPartitions(*map(F.asc_nulls_first, ("place", "doc_id", "text"))).drop("place")
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -286,10 +338,12 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             sizes = np.array([len(x) for x in held], dtype=np.int64)
             last = np.zeros(len(flat), dtype=bool)
             last[np.cumsum(sizes) - 1] = True
-            symbols, ends, rules = compress(flat, last, encoder.size)
-            wide = encoder.size + len(rules) > 1 << 16
-            row = {"part": part, "block": block, "ids": list(ids), "sizes": sizes.tolist(), "ends": (np.flatnonzero(ends) + 1).tolist(), "rules": rules.tobytes(), "lengths": lengths(rules, encoder.size).astype(np.uint32).tobytes(), "symbols": symbols.astype(np.uint32 if wide else np.uint16).tobytes(), "wide": wide, "base": encoder.size}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), *[(k, pa.list_(pa.int64())) for k in ("ids", "sizes", "ends")], *[(k, pa.binary()) for k in ("rules", "lengths", "symbols")], ("wide", pa.bool_()), ("base", pa.int32())]))
+            symbols, ends, rules, terminals = compress(flat, last)
+            wide = len(terminals) + len(rules) > 1 << 16
+            row = {"part": part, "block": block, "ids": list(ids), "sizes": sizes.tolist(), "ends": (np.flatnonzero(ends) + 1).tolist(), "wide": wide}
+            row |= {"terminals": terminals, "rules": rules, "lengths": lengths(rules, len(terminals)).astype(np.uint32), "symbols": symbols.astype(np.uint32 if wide else np.uint16)}
+            kinds = [("part", pa.int32()), ("block", pa.int32()), *[(k, pa.list_(pa.int64())) for k in ("ids", "sizes", "ends")], *[(k, pa.binary()) for k in ("terminals", "rules", "lengths", "symbols")], ("wide", pa.bool_())]
+            return pa.RecordBatch.from_pylist([{k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in row.items()}], schema=pa.schema(kinds))
 
         for batch in tk.pieces(_joined(batches), limit=ENCODED):
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(tk.texts(batch.column("text"))), strict=True):
@@ -308,12 +362,12 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def read(shards: DataFrame) -> DataFrame:
     """part, block, at (place in the block), doc_id, start (in the block), ids (little-endian uint32), from the files."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = batch.slice(k, 1).to_pylist()[0]
-                symbols, rules, base = _unpacked(block)
-                flat = expand(symbols, rules, base).astype("<u4")
+                flat = expand(*_unpacked(block)).astype("<u4")
                 stop = np.cumsum(block["sizes"])
                 start = stop - block["sizes"]
                 for i in range(0, len(stop), 2000):
@@ -337,7 +391,7 @@ def block_starts(shards: DataFrame) -> DataFrame:
     return inside.join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("before"))
 
 
-def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    shards = write(docs, tokenizer)
+def digest(docs: DataFrame, tokenizer: str | None = None, order: Column | None = None) -> DataFrame:
+    shards = write(docs, tokenizer, order)
     rows = read(shards).select("part", "block", "at", "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     return rows.join(block_starts(shards), ["part", "block"]).select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

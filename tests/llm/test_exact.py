@@ -5,7 +5,7 @@ import random
 import pytest
 
 from quillspark.llm import decontaminate, neardup, substring_dedup, suffix_dedup, windows
-from tests.llm.test_operators import CORPUS, brute_components, brute_substring, brute_suffix, docs, edited, prose, rows_of
+from tests.llm.test_operators import CORPUS, brute_components, brute_substring, brute_suffix, docs, rows_of
 
 
 def thue_morse(n, a="a", b="b"):
@@ -16,22 +16,17 @@ TM, OTHER = thue_morse(1024), thue_morse(1024, "b", "a")
 HEAD = " ".join(f"w{k}" for k in range(49))
 
 
-def test_words_with_equal_polynomial_hashes(spark):
-    texts = [(1, f"{HEAD} {TM}"), (2, f"{HEAD} {OTHER}"), (3, TM), (4, OTHER)]
+def test_equal_polynomial_hashes(spark):
+    words = [(1, f"{HEAD} {TM}"), (2, f"{HEAD} {OTHER}"), (3, TM), (4, OTHER)]
+    texts = words + [(5, " ".join(TM)), (6, " ".join(OTHER)), (7, " ".join(TM[:64])), (8, " ".join(OTHER[:64]))]
     assert rows_of(substring_dedup.digest(docs(spark, texts))) == brute_substring(texts)
+    assert rows_of(suffix_dedup.digest(docs(spark, texts))) == brute_suffix(texts)
     assert rows_of(neardup.link(docs(spark, texts), 85)) == brute_components(texts, 85)
     items = spark.createDataFrame([(1, TM), (2, f"{HEAD} {TM}")], "item_id long, text string")
     assert rows_of(decontaminate.report(docs(spark, [(4, OTHER), (3, TM)]), items)) == [(3, 1, 1, 1)]
 
 
-def test_word_sequences_with_equal_polynomial_hashes(spark):
-    texts = [(1, " ".join(TM)), (2, " ".join(OTHER)), (3, " ".join(TM[:64])), (4, " ".join(OTHER[:64])), (5, TM), (6, OTHER)]
-    assert rows_of(substring_dedup.digest(docs(spark, texts))) == brute_substring(texts)
-    assert rows_of(suffix_dedup.digest(docs(spark, texts))) == brute_suffix(texts)
-    assert rows_of(neardup.link(docs(spark, texts), 85)) == brute_components(texts, 85)
-
-
-@pytest.mark.parametrize("n", [2, 1000])
+@pytest.mark.parametrize("n", [1000])
 def test_chain_in_few_rounds(spark, monkeypatch, n):
     labels = []
     plain = neardup.materialise
@@ -50,18 +45,10 @@ def test_components_of_mixed_order(spark):
     assert got == {v: min(path[:401]) for v in path[:401]} | {v: min(path[401:501]) for v in path[401:501]}
 
 
-def test_salted_pairs(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRS", 7)
-    rnd = random.Random(5)
-    base = prose(300, rnd)
-    texts = [(1, base)] + [(10 + k, edited(base, 0.012, rnd)) for k in range(60)]
-    assert rows_of(neardup.link(docs(spark, texts), 85)) == brute_components(texts, 85)
-
-
 RUNS = [(20 + k, "a" * (90 + 40 * k)) for k in range(12)] + [(40 + k, "x " * (30 + 25 * k)) for k in range(8)] + [(60, "ab" * 900), (61, "ba" * 700)]
 
 
-@pytest.mark.parametrize("hot", [windows.HOT, 900, 0])
+@pytest.mark.parametrize("hot", [900, 0])
 def test_hot_anchors(spark, monkeypatch, hot):
     monkeypatch.setattr(windows, "HOT", hot)
     monkeypatch.setattr(windows, "LONGEST_RUN", 300)
@@ -76,7 +63,6 @@ def test_without_bloom(spark, monkeypatch):
     texts = CORPUS + RUNS
     assert rows_of(substring_dedup.digest(docs(spark, texts))) == brute_substring(texts)
     assert rows_of(suffix_dedup.digest(docs(spark, texts))) == brute_suffix(texts)
-    assert rows_of(neardup.link(docs(spark, texts), 85)) == brute_components(texts, 85)
 
 
 def test_sliced_texts(spark, monkeypatch):

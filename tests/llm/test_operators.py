@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import chat, decontaminate, licenses, mixing, neardup, quality, substring_dedup, suffix_dedup, tokens, warc, windows
+from quillspark.llm import chat, decontaminate, licenses, mixing, neardup, quality, shared, substring_dedup, suffix_dedup, tokens, warc, windows
 from quillspark.llm import textkit as tk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, packed string, tie long, spans string"
@@ -115,7 +115,9 @@ def edited(text, share, rnd):
     return " ".join(rnd.choice(VOCAB) if rnd.random() < share else w for w in text.split())
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS", 7)  # some classes are dealt to several tasks
+    monkeypatch.setattr(shared, "BLOOM_MAX_KEYS", -1)
     rnd = random.Random(5)
     base = prose(400, rnd)
     star = [(100 + k, edited(base, 0.0155, rnd)) for k in range(120)]  # most resemble the base at about 0.86, but not one another
@@ -140,9 +142,8 @@ def test_near_duplicates_without_a_hub(spark):
     assert {r[2] for r in rows_of(neardup.link(docs(spark, hubless(2000, rnd)), 85))} == {1000}
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK, 40])
-def test_region_blocks_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+def test_region_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 40)
     monkeypatch.setattr(neardup, "COLUMNS", 100)
     rnd = random.Random(9)
     texts = hubless(150, rnd) + hubless(250, rnd, 2000)
@@ -318,10 +319,24 @@ def test_re_pair(ids, gap):
     last = np.zeros(len(ids), dtype=bool)
     last[:: gap + 3] = True
     last[-1] = True
-    symbols, ends, rules = tokens.compress(ids, last, 5)
-    assert tokens.expand(symbols, rules, 5).tolist() == ids.tolist()
-    size = np.concatenate([np.ones(5, dtype=np.int64), tokens.lengths(rules, 5)])
+    symbols, ends, rules, terminals = tokens.compress(ids, last)
+    assert tokens.expand(symbols, rules, terminals).tolist() == ids.tolist()
+    base = len(terminals)
+    size = np.concatenate([np.ones(base, dtype=np.int64), tokens.lengths(rules, base)])
     assert (np.cumsum(size[symbols])[ends] - 1).tolist() == np.flatnonzero(last).tolist()
+    left = [p for p, end in zip(zip(symbols.tolist(), symbols.tolist()[1:]), ends, strict=False) if not end]
+    assert max(map(left.count, left), default=0) < tokens.LEAST
+
+
+def test_wide_symbols():
+    rnd = np.random.default_rng(1)
+    ids = np.concatenate([np.arange(70_000), np.tile(rnd.integers(0, 70_000, 500), 40)]).astype(np.uint32)
+    last = np.zeros(len(ids), dtype=bool)
+    last[-1] = True
+    symbols, _, rules, terminals = tokens.compress(ids, last)
+    assert len(symbols) < 71_000 and len(terminals) + len(rules) > 1 << 16
+    block = {"ends": [len(symbols)], "wide": True, "terminals": terminals.tobytes(), "rules": rules.tobytes(), "lengths": tokens.lengths(rules, len(terminals)).astype(np.uint32).tobytes(), "symbols": symbols.tobytes()}
+    assert tokens.ids_at(block, 0, 69_990, 70_777).tolist() == ids[69_990:70_777].tolist()
 
 
 def test_quality(spark):
