@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixing, neardup, quality, tokens
 from quillspark.llm.shared import materialise
@@ -29,8 +30,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, read back: doc_id, start, n_tokens, ids_crc32 of each document copy."""
-    return tokens.digest(docs)
+    """Token shards in the mixture's order, read back: doc_id, start, n_tokens, ids_crc32 of each document copy."""
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
+    rows = docs.select("doc_id", "text", copy.alias("copy"))
+    return tokens.digest(rows, order=mixing.order_key(F.col("doc_id"), F.col("copy")))
 
 
 STAGES = [
@@ -46,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written and read back. Empty tables give no rows; columns of any name are carried to the mixture."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
