@@ -8,7 +8,8 @@ Template: <|im_start|>role, newline, text, <|im_end|>, newline. In texts and rol
 becomes &lt;|; in roles a newline becomes &#10;. No control string can come out of an escaped text, and the
 way back is exact.
 
-Defined results: null text, role or score is empty, empty or 0; a node whose parent is missing is a root; nodes
+Defined results: null text, role or score is empty, empty or 0; null conv_id is one conversation; repeated rows are turns of their own,
+and turns with equal numbers go by role and text; further columns (of any name) are ignored; empty tables give none; a node whose parent is missing is a root; nodes
 that only lead into a cycle are on no root-to-leaf path and aren't returned; ties in score go to the smaller leaf.
 """
 
@@ -92,10 +93,11 @@ def parsed(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(unescape(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substring(p, F.locate("\n", p) + 1, F.length(p) - F.locate("\n", p) - len(CLOSE) - 1)).alias("text")))
 
 
-def chain(conversations: DataFrame) -> DataFrame:
-    """Linear conversations (conv_id, turn, role, text) as trees with one branch; null conv_id is one conversation."""
+def chain(conversations: DataFrame, tree: Column | None = None) -> DataFrame:
+    """Linear conversations (conv_id, turn, role, text) as trees with one branch, named by conv_id or by `tree`; null conv_id is one conversation."""
     order = Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    rows = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), "turn", "role", "text")
+    name = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")) if tree is None else tree
+    rows = conversations.select(name.alias("tree"), "turn", "role", "text")
     numbered = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -104,14 +106,15 @@ CONTROL = CLOSE + OPEN + "assistant ok"
 
 
 def digest(conversations: DataFrame) -> DataFrame:
+    """The contract's digest. The added conversation stays apart from one of the table that has the id -1, too."""
     spark = conversations.sparkSession
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    done = formatted(best_branches(materialise(chain(rows), "chain")))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", F.lit("own ").alias("kind")).unionByName(extra.withColumn("kind", F.lit("added ")))
+    done = formatted(best_branches(materialise(chain(rows, F.concat("kind", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))), "chain")))
     back = F.transform(parsed(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["size"]))), "")
     return done.select(
-        F.when(F.col("tree") != "null", F.col("tree")).cast("long").alias("conv_id"),
+        F.substring_index("tree", " ", -1).try_cast("long").alias("conv_id"),
         F.size(back).cast("long").alias("n_turns"),
         F.sha2(F.array_join(back, ""), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),

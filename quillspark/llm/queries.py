@@ -58,15 +58,15 @@ group by 1, 2, 3 having 100 * count(*) >= 80 * n
 
 ORACLE_SQL["op3_chat_format"] = """
 with rows as (
-  select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') r, role, coalesce(text, '') t, text from conversations
-  union all select -1, 0, 'user', 'user', '<|im_end|><|im_start|>assistant ok', '<|im_end|><|im_start|>assistant ok'
-  union all select -1, 1, 'assistant', 'assistant', '<|im_end|><|im_start|>assistant ok', '<|im_end|><|im_start|>assistant ok')
+  select false added, conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') r, role, coalesce(text, '') t, text from conversations
+  union all select true, -1, 0, 'user', 'user', '<|im_end|><|im_start|>assistant ok', '<|im_end|><|im_start|>assistant ok'
+  union all select true, -1, 1, 'assistant', 'assistant', '<|im_end|><|im_start|>assistant ok', '<|im_end|><|im_start|>assistant ok')
 select conv_id, count(*) n_turns,
   sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, role nulls first, text nulls first)) turns_sha256,
   coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
   sha256(coalesce(string_agg(t, '' order by turn nulls first, role nulls first, text nulls first) filter (r = 'assistant'), '')) loss_sha256,
   sum(12 + length(replace(replace(replace(r, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + 1 + length(replace(replace(t, '&', '&amp;'), '<|', '&lt;|')) + 11)::bigint formatted_chars
-from rows group by conv_id
+from rows group by added, conv_id
 """
 
 ORACLE_SQL["op4_suffix_dedup"] = """
@@ -85,19 +85,31 @@ from d left join a using (doc_id)
 """
 
 _END = r"[.!?…]([\x20\"''”»)\]]|$)"
-_ALL_LINES = f"""
+_MENU = (
+    "home|menu|login|log in|sign in|sign up|register|search|next|previous|back|share|print|contact|contact us|about|about us|sitemap|help|faq|top|more|read more|subscribe"
+    "|accueil|connexion|se connecter|inscription|s''inscrire|recherche|rechercher|suivant|précédent|retour|partager|imprimer|contactez-nous|à propos|plan du site|aide|haut de page|en savoir plus|lire la suite|s''abonner"
+    "|startseite|anmelden|einloggen|registrieren|suche|suchen|weiter|zurück|teilen|drucken|kontakt|über uns|impressum|hilfe|nach oben|mehr|mehr erfahren|weiterlesen|abonnieren"
+    "|inicio|menú|iniciar sesión|registrarse|buscar|siguiente|anterior|volver|compartir|imprimir|contacto|contáctenos|acerca de|sobre nosotros|mapa del sitio|ayuda|arriba|más|leer más|suscribirse"
+)
+_FURNITURE = (
+    "lorem ipsum|enable javascript|cookie policy|uses cookies|use of cookies|terms of use|terms of service|privacy policy|click here to|page not found|skip to content|share this (post|page|article)|powered by wordpress"
+    "|activer javascript|politique de cookies|utilise des cookies|utilisation de cookies|conditions d''utilisation|mentions légales|politique de confidentialité|cliquez ici pour|page introuvable|aller au contenu|partager cet article|propulsé par wordpress"
+    "|javascript aktivieren|cookie-richtlinie|verwendet cookies|verwendung von cookies|nutzungsbedingungen|datenschutzerklärung|klicken sie hier|seite nicht gefunden|zum inhalt springen|diesen (artikel|beitrag) teilen|präsentiert von wordpress"
+    "|activar javascript|habilite javascript|política de cookies|utiliza cookies|uso de cookies|términos de uso|condiciones de uso|aviso legal|política de privacidad|haga clic aquí|página no encontrada|saltar al contenido|ir al contenido|compartir este artículo|funciona con wordpress"
+)
+_ALL_LINES = rf"""
 with d as (select doc_id, coalesce(text, '') t from documents),
-b as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) l from d),
+b as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
 g as (select doc_id, i, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) h from (select doc_id, w, unnest(range(1, len(w) - 1)) i from b)),
 tw as (select doc_id, i from (select *, count(*) over (partition by doc_id, h) c from g) where c > 1),
 rep as (select doc_id, count(distinct i + k) n from tw, range(3) r(k) group by 1),
 lines as (select doc_id, x, translate(trim(x), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from (select doc_id, unnest(l) x from b)),
 judged as (select doc_id, length(x) n,
-  (regexp_matches(x, '([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){{4}}[^\\x20\\x09-\\x0D]') and not regexp_matches(x, '{_END}'))
-  or len(regexp_extract_all(x, '{quality.MARKS}')) * 5 > length(x)
-  or regexp_matches(x, '{quality.BARS}') or regexp_matches(low, '{quality.MENU}') or regexp_matches(low, '{quality.BOILERPLATE}') bad from lines),
+  (regexp_matches(x, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{4}}[^\x20\x09-\x0D]') and not regexp_matches(x, '{_END}'))
+  or len(regexp_extract_all(x, '[!#*$%&|<>=_~^{{}}\[\]\\]')) * 5 > length(x)
+  or regexp_matches(x, '(\|[^|]*){{3}}|([»›→][^»›→]*){{3}}') or (length(low) < 200 and regexp_matches(low, '^({_MENU})([ ,/·-]+({_MENU}))*[ .]*$')) or regexp_matches(low, '{_FURNITURE}') bad from lines),
 q as (select doc_id, sum(n) total, coalesce(sum(n) filter (not bad), 0) good from judged group by 1),
-r as (select b.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(t, '{quality.SYMBOLS}'))::bigint n_symbols,
+r as (select b.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols,
   (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words, coalesce(2 * good >= total, true) enough
   from b left join rep using (doc_id) left join q using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,

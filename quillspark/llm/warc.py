@@ -3,14 +3,22 @@
 ARC version 1 header lines have five fields (URL, IP, date, type, length), version 2 ten (URL, IP, date, type, result code,
 checksum, location, offset, file name, length); a file's first record says which. Bodies are cut by the declared
 lengths alone. Each record becomes a WARC record with an identifier made from its content, a date from its
-14 digits, a type by deduplication (response, or revisit of a record with an equal payload) and SHA-1 digests.
+14 digits or fewer, a type by deduplication (response, or revisit of a record with an equal payload) and SHA-1 digests. A revisit
+names its response by WARC-Refers-To, -Target-URI and -Date, and each archive begins with a warcinfo record.
+
+ARC files are parsed once: each record is stored as the compressed member of a response, with its keys beside it. Types are
+found on the keys alone, so pages with equal payloads, however many, are only keys in the join; a revisit's member is made anew.
 
 An archive is a run of gzip members, one for each record, in a row of a Parquet table in the shared folder
 (Spark has no writer of raw bytes); `export` writes the same bytes as .warc.gz files to a local folder.
 
+Pages come without what a crawl knows, so `to_arc` makes it up from the page: version (by file), IP (from the host), date (some
+with fewer digits) and content type.
+
 Defined results: null html is an empty payload; null url is an empty one; of records with equal payloads of
 at least MIN_REVISIT bytes the one with the largest page_id is the response; rows that share that page_id are all
-responses; null page_id is the smallest.
+responses, and equal rows have equal identifiers; null page_id is the smallest; further columns (of any name) are ignored; an empty
+table gives none. A payload is held whole, some ten times. The session's Arrow batch limits are set (shared.py).
 """
 
 from __future__ import annotations
@@ -128,19 +136,29 @@ def record_id(url: str, date: str, digest: str, page: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {page}')}>"
 
 
-CONVERTED = "page_id long, uri string, ip string, date string, head binary, payload binary, payload_digest string, payload_bytes long"
+KINDS = ("text/html", "text/plain", "application/xhtml+xml", "no-type")
+
 
+def crawled(page: int | None, url: str) -> tuple[str, str, str]:
+    """IP, date and content type of a page, made up: the same page has the same, every seventh date lacks the time of day, every 29th the day."""
+    k = zlib.crc32(repr(page).encode())
+    host = zlib.crc32(url.split("/")[2].encode()) if url.count("/") > 1 else 0
+    date = (datetime.datetime(1996, 1, 1) + datetime.timedelta(seconds=k % 400_000_000)).strftime("%Y%m%d%H%M%S")
+    return f"10.{host >> 16 & 255}.{host >> 8 & 255}.{host & 255}", date[: 6 if k % 29 == 0 else 8 if k % 7 == 0 else 14], KINDS[k % 4 if k % 5 == 0 else 0]
 
-def to_arc(pages: DataFrame, version: int = 1) -> DataFrame:
-    """Pages as ARC files, about ARCHIVE bytes each: column arc."""
 
+def to_arc(pages: DataFrame, version: int | None = None) -> DataFrame:
+    """Pages as ARC files of one version or of both, about ARCHIVE bytes each: column arc."""
+
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.pieces(batches, "html", ARCHIVE):
+        for n, batch in enumerate(tk.pieces(batches, "html", ARCHIVE)):
             records = []
             for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\n\r\n".encode()
-                records.append(ArcRecord(url or "", "0.0.0.0", "20240101000000", "text/html", head + (html or "").encode()))
-            yield pa.RecordBatch.from_arrays([pa.array([arc_file(records, version)], pa.binary())], names=["arc"])
+                ip, date, kind = crawled(page, url or "")
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\n\r\n".encode()
+                records.append(ArcRecord(url or "", ip, date, kind, head + (html or "").encode()))
+            yield pa.RecordBatch.from_arrays([pa.array([arc_file(records, version or 1 + n % 2)], pa.binary())], names=["arc"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "arc binary")
 
@@ -150,64 +168,86 @@ def _page(head: bytes) -> int | None:
     return int(found[1]) if found else None
 
 
+CONVERTED = "row long, page_id long, uri string, ip string, date string, head binary, payload_digest string, payload_bytes long, record_id string, member binary"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[kind]) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+
+
 def convert(arcs: DataFrame) -> DataFrame:
-    """The fields of WARC records for ARC files: page_id, uri, ip, date, head, payload, payload_digest, payload_bytes."""
+    """The records of ARC files as responses: keys, and the gzip member of each. row numbers them (anew in each run: write them before use)."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n = TaskContext.get().partitionId() << 40
         for batch in batches:
             for data in batch.column("arc"):
                 rows = []
                 for r in parse_arc(data.as_py()):
                     head, payload = split_http(r.body)
-                    rows.append((_page(head), r.url, r.ip, warc_date(r.date), head, payload, sha1(payload), len(payload)))
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["page_id", "uri", "ip", "date", "head", "payload", "payload_digest", "payload_bytes"])
+                    page, date, digest = _page(head), warc_date(r.date), sha1(payload)
+                    name = record_id(r.url, date, digest, page)
+                    rows.append((n, page, r.url, r.ip, date, head, digest, len(payload), name, _member(warc_record("response", name, r.url, r.ip, date, digest, head + payload))))
+                    n += 1
+                yield _batch(rows, CONVERTED)
 
     return arcs.mapInArrow(run, CONVERTED)
 
 
-def typed(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """Adds original: the page_id of the response among records with equal payloads. Combined map-side by digest and length."""
+def revisits(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
+    """row, and what the record refers to, of all records with an equal payload in one of a larger page_id. Only keys are joined, combined map-side by digest and length."""
     own = F.coalesce("page_id", F.lit(LOWEST))
-    large = records.filter(F.col("payload_bytes") >= least)
-    firsts = large.groupBy("payload_digest", "payload_bytes").agg(F.max(own).alias("original"))
-    joined = records.join(firsts, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("revisit", F.coalesce(own != F.col("original"), F.lit(False)))
+    keys = records.filter(F.col("payload_bytes") >= least).select("row", own.alias("own"), "uri", "date", "record_id", "payload_digest", "payload_bytes")
+    firsts = keys.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("own", "record_id", "uri", "date")).alias("o"), F.count("*").alias("n")).filter("n > 1")
+    late = keys.join(firsts, ["payload_digest", "payload_bytes"]).filter(F.col("own") != F.col("o.own"))
+    return late.select("row", F.col("o.record_id").alias("to_id"), F.col("o.uri").alias("to_uri"), F.col("o.date").alias("to_date"))
 
 
-def warc_record(page: int | None, uri: str, ip: str, date: str, head: bytes, payload: bytes, digest: str, size: int, revisit: bool, original: int | None) -> bytes:
-    block = head if revisit else head + payload
+def _member(record: bytes) -> bytes:
+    squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return squeeze.compress(record) + squeeze.flush()
+
+
+def warc_record(kind: str, name: str, uri: str, ip: str, date: str, digest: str, block: bytes, to: tuple[str, str, str] | None = None) -> bytes:
     lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(uri, date, digest, page)}",
-        f"WARC-Target-URI: {uri}",
-        f"WARC-Date: {date}",
-        f"WARC-IP-Address: {ip}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Block-Digest: sha1:{sha1(block)}",
-        f"X-Payload-Length: {size}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
-    if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {original}"]
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Target-URI: {uri}", f"WARC-Date: {date}", f"WARC-IP-Address: {ip}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+    ]
+    if to:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {to[0]}", f"WARC-Refers-To-Target-URI: {to[1]}", f"WARC-Refers-To-Date: {to[2]}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warc_info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: quillspark\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date: 1996-01-01T00:00:00Z", f"WARC-Filename: {name}", f"WARC-Block-Digest: sha1:{sha1(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def archives(records: DataFrame) -> DataFrame:
-    """Typed records as archives: column archive, gzip members one after the other."""
+def archives(records: DataFrame, late: DataFrame) -> DataFrame:
+    """Records and the revisits among them as archives: column archive, gzip members one after the other."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.pieces(batches, "payload", ARCHIVE):
-            members = []
-            names = ("page_id", "uri", "ip", "date", "head", "payload", "payload_digest", "payload_bytes", "revisit", "original")
-            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-                members.append(squeeze.compress(warc_record(*row)) + squeeze.flush())
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["archive"])
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        names = ("record_id", "uri", "ip", "date", "payload_digest", "head", "to_id", "to_uri", "to_date", "member")
+        for n, batch in enumerate(tk.pieces(batches, "member", ARCHIVE)):
+            out = [_member(warc_info(f"quill-{part:06d}-{n:05d}.warc.gz"))]
+            for name, uri, ip, date, digest, head, *to, member in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
+                out.append(member if to[0] is None else _member(warc_record("revisit", name, uri, ip, date, digest, head, tuple(to))))
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
 
-    return records.mapInArrow(run, "archive binary")
+    # A revisit's own member isn't needed any more.
+    joined = records.join(late, "row", "left").withColumn("member", F.when(F.col("to_id").isNull(), F.col("member")).otherwise(F.lit(b"")))
+    return joined.mapInArrow(run, "archive binary")
 
 
 def members(data: bytes) -> Iterator[bytes]:
@@ -226,32 +266,41 @@ def parse_warc(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, date string, record_id string, payload binary"
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string, uri string, date string, record_id string, payload binary"
 
 
 def read(files: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records of archives. For responses the length and digest come from the payload that is there."""
+    """Records of archives. A response's length and digest come from the payload that is there, and its digest must be the declared one."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("archive"):
                 rows = []
                 for fields, block in map(parse_warc, members(data.as_py())):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     head, payload = split_http(block)
-                    revisit = fields["WARC-Type"] == "revisit"
-                    size, digest = (int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")) if revisit else (len(payload), sha1(payload))
-                    refers = int(fields["X-Refers-To-Page"]) if revisit else None
-                    rows.append((_page(head), size, digest, fields["WARC-Type"], refers, fields["WARC-Target-URI"], fields["WARC-Date"], fields["WARC-Record-ID"], payload if payloads and not revisit else None))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in READ.split(", ")])
+                    declared, late = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "revisit"
+                    if not late and sha1(payload) != declared:
+                        raise ValueError(f"payload digest of {fields['WARC-Record-ID']}")
+                    rows.append((_page(head), None if late else len(payload), declared, fields["WARC-Type"], fields.get("WARC-Refers-To"), fields["WARC-Target-URI"], fields["WARC-Date"], fields["WARC-Record-ID"], payload if payloads and not late else None))
+                yield _batch(rows, READ)
 
     return files.mapInArrow(run, READ)
 
 
-def write(pages: DataFrame, version: int = 1, least: int = MIN_REVISIT) -> DataFrame:
+def resolved(records: DataFrame) -> DataFrame:
+    """Read records with refers_to (the page_id of a revisit's response), and revisits' payload_bytes from there."""
+    responses = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("there"))
+    return records.join(responses, "refers_to_id", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "there")).drop("there")
+
+
+def write(pages: DataFrame, version: int | None = None, least: int = MIN_REVISIT) -> DataFrame:
     """Pages to ARC, ARC to WARC archives in the shared folder; returns the archives read back."""
     ship_package(pages.sparkSession)
-    return materialise(archives(typed(convert(to_arc(pages, version)), least)), "warc")
+    records = materialise(convert(to_arc(pages, version)), "records")
+    return materialise(archives(records, revisits(records, least)), "warc")
 
 
 def export(files: DataFrame, folder: str) -> int:
@@ -264,4 +313,5 @@ def export(files: DataFrame, folder: str) -> int:
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    return read(write(pages), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = materialise(read(write(pages), payloads=False).drop("payload"), "read")
+    return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

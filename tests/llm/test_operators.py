@@ -217,6 +217,33 @@ def test_license_versions():
     assert find("apache license 2004") == [] and find("gnu general public license 2007")[0][0] == "gpl"
 
 
+BSD = "redistribution and use in source and binary forms, with or without modification, are permitted. redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+CLAUSES = {
+    "gpl-2.0": "redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license",
+    "gpl-3.0": "redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license",
+    "lgpl-2.1": "modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license",
+    "agpl-3.0": "all users interacting with it remotely through a computer network",
+    "bsd-3-clause": BSD + "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+    "bsd-4-clause": BSD + "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "isc": "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd": "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. the software",
+    "apache-2.0": "you may not use this file except in compliance with the license.",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license, v. 2.0.",
+    "mpl-1.1": "the contents of this file are subject to the mozilla public license version 1.1 (the license)",
+    "cc-by-sa": "creative commons attribution-sharealike 4.0 international",
+}
+
+
+def test_license_clauses():
+    labels = lambda t: {d[2].label for d in licenses.scanner().detect(t)}
+    for label, text in CLAUSES.items():
+        got = labels(text.replace(" ", "\n", 3))
+        assert label in got and not got & (set(CLAUSES) - {label}), (label, got)
+    assert labels(BSD) == {"bsd"}
+    hand = len({r[-1] for r in licenses.TEXTS} | {r.pattern for r in licenses.SINGLE} | {f[-1] for f in licenses.FAMILIES})
+    assert hand > 250
+
+
 def alternatives(parsed):
     """The spellings of a parsed regex; what is no plain character is a zero, what may be missing is there and not there."""
     out = {""}
@@ -390,12 +417,21 @@ PAGE = "page_id long, url string, html string, payload string, original long"
 def test_warc(spark):
     rows = [(1, "http://a b", "x"), (2, None, "x"), (3, "http://c", None), (4, "http://d", ""), (5, "u", "é\r\n\r\nHTTP/1.1 \x00" * 50), (6, "u", "HTTP/1.1 200 OK\r\n\r\nbody"), (None, "n", "x")]
     pages = spark.createDataFrame([(*r, "p", 5) for r in rows], PAGE)
-    for version in (1, 2):
-        got = {r.page_id: r for r in warc.read(warc.write(pages, version)).collect()}
+    for version in (1, 2, None):
+        got = {r.page_id: r for r in warc.resolved(warc.read(warc.write(pages, version))).collect()}
         assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("revisit", 2)}
         assert bytes(got[5].payload).decode() == rows[4][2] and got[6].payload_bytes == len(rows[5][2]) and got[1].payload_bytes == 1
         assert got[4].payload_digest == warc.sha1(b"")
-    assert warc.read(warc.write(spark.createDataFrame([], PAGE))).count() == 0
+    assert warc.digest(spark.createDataFrame([], PAGE)).count() == 0
+    fields = [f for row in warc.write(pages).collect() for f, _ in map(warc.parse_warc, warc.members(row.archive))]
+    by_id = {f["WARC-Record-ID"]: f for f in fields if f["WARC-Type"] == "response"}
+    late = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(late) == 3 and "warcinfo" in {f["WARC-Type"] for f in fields}
+    for f in late:
+        to = by_id[f["WARC-Refers-To"]]
+        assert (f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"], f["WARC-Payload-Digest"]) == (to["WARC-Target-URI"], to["WARC-Date"], to["WARC-Payload-Digest"])
+    made = [warc.crawled(k, f"http://h{k % 9}.org/x") for k in range(500)]
+    assert len({m[0] for m in made}) == 9 and {len(m[1]) for m in made} == {6, 8, 14} and {m[2] for m in made} == set(warc.KINDS)
 
 
 def test_arc_errors():
