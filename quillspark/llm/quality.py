@@ -81,10 +81,14 @@ def line_fails(line: Column) -> Column:
     few = ~line.rlike(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]")
     punctuation = ~(line.rlike(SENTENCE_END) | few) | (F.regexp_count(line, F.lit(MARKS)) * 5 > F.length(line))
     bar = line.contains("|") | line.contains("»") | line.contains("›") | line.contains("→")
-    furniture = F.lit(False)
-    for phrase in BOILERPLATE:
-        furniture = furniture | low.contains(phrase)
-    return punctuation | (bar & line.rlike(BARS)) | ((F.length(low) < MENU_LINE) & low.rlike(MENU)) | furniture
+
+    def furniture(x: Column) -> Column:
+        out = (F.length(x) < MENU_LINE) & x.rlike(MENU)
+        for phrase in BOILERPLATE:
+            out = out | x.contains(phrase)
+        return out
+
+    return punctuation | (bar & line.rlike(BARS)) | let(low, furniture)  # a variable of a lambda is computed once, an expression for each use
 
 
 def judged(docs: DataFrame, name: str = "_q") -> DataFrame:
