@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +35,30 @@ TRANSIENT_CODES = (408, 500, 502, 503, 504)
 BODY_LIMITS = {"/jobs/batches": 260 << 20, "/translate/document": 66 << 20, "/translate/document/stream": 66 << 20, "/translate/text": 512 << 10}
 OTHER_BODY_LIMIT = 2 << 20
 TOC_TITLE = r"(?i)^(?:#+\s*)?(?:Table\s+of\s+Contents|Contents|目次|목차|目录|Sommaire|Inhalt|Indice|Tabla\s+de\s+contenidos)\b"
-TOC_LEADER = r"[·.\s]{2,}\s*[0-9]+$"
-TOC_ENTRY = r"(?i)^(?:#+\s*)?(?:Chapter|Section|Article|Part|Chapitre|Kapitel|Capítulo|Capitolo|Appended|Supplementary|第\s*[0-9]+\s*[章節条部]|제\s*[0-9]+\s*[장절조])\b"
+TOC_LEADER = r"[·.\s]{2,}\s*\p{Nd}+$"
+TOC_ENTRY = r"(?i)^(?:#+\s*)?(?:Chapter|Section|Article|Part|Chapitre|Kapitel|Capítulo|Capitolo|Appended|Supplementary|第\s*\p{Nd}+\s*[章節条部]|제\s*\p{Nd}+\s*[장절조])\b"
 FENCE = r"^\s*```"
+STAMP = r"(?i)\[(?:Stamp|Seal|Approved):\s*([\s\S]*?)\]"
+NOT_ON_COVERS = (
+    r"(?i)<(?:table|ul|ol)\b",
+    r"(?i)\b(?:Chapter|Article|Section|\p{Nd}+[A-Za-z]?(?:\.\p{Nd}+)+)\b",
+    r"(?m)^\s*#{2,}",
+    r"(?m)^\s*(?:[①-⑳]|\(\p{Nd}+\)|\p{Nd}+[.)、]|\p{Nd}+\s+\S)",
+    r"\|.*\|",
+)
+HEADLESS = r"(?m)^(?:Article|Section|Chapter)\s+\p{Nd}+(?:\.\p{Nd}+)*\s*$"
+PAIR_ON_LINE = r"[^\n:]{3,35}:\s*[^\n:]{2,30}"
+BULLET_PAIR = r"(?m)^[•*\-▪]\s+[^:\n]{5,30}:\s+[^\n]{4,}"
+DIVISION = r"(?i)\b(?:Chapter|Section|Article|Part)\s+\p{Nd}+"
+LATEX = r"\\frac\{|\$\$"
+TREE = "──|┬|│|└──|├──"
+CHAPTER = r"(?i)^(?:Chapter\s+\p{Nd}+|第\s*\p{Nd}+\s*章|Appended\s+Table|Supplementary\s+Provisions)\b"
+SECTION = r"(?i)^(?:Section\s+\p{Nd}+|第\s*\p{Nd}+\s*節)\b"
+ARTICLE = r"(?i)^(?:Article\s+\p{Nd}+|第\s*\p{Nd}+\s*条)\b"
+CLAUSE, ITEM, COUNTED, SUBITEM = r"^\p{Nd}+[A-Za-z]?(?:\.\p{Nd}+)+\s+", r"^\p{Nd}+[.)、]\s*.", r"^\p{Nd}+\s+\S", r"^([①-⑳]|\(\p{Nd}+\))"
+BULLET = r"^[•*\-▪▫○·]\s+"
+NEW_BLOCK = r"(?i)^(?:\p{Nd}+[A-Za-z]?(?:\.\p{Nd}+)+|\p{Nd}+[.)、]|\p{Nd}+\s+\S|Article|Chapter|Section|[①-⑳]|\(\p{Nd}+\)|[•*\-▪▫○·]|\||#+)"
+KEY_VALUE = r"^[^\n:]{2,50}\s*:\s*[^\n]+$"
 
 
 def strip(text: Column) -> Column:
@@ -51,9 +75,26 @@ def stable_id(part: Column, location: Column) -> Column:
     return F.substring(F.sha2(F.concat(part, F.lit("\0"), location), 256), 1, 24)
 
 
+@cache
+def _number_forms() -> dict[str, str]:
+    """Characters whose compatibility form (NFKC) has a digit, a full stop or a comma, and that form: all that normalising can change in numeric tokens."""
+    forms = ((chr(k), unicodedata.normalize("NFKC", chr(k))) for k in range(0x80, 0x110000) if not 0xD800 <= k < 0xE000)
+    return {c: f for c, f in forms if c != f and any(x in ".," or unicodedata.category(x) == "Nd" for x in f)}
+
+
+def number_form(text: Column) -> Column:
+    """[I2] text with the digits, full stops and commas of its NFKC form; without Python, and untouched where it is ASCII."""
+    one = {c: f for c, f in _number_forms().items() if len(f) == 1}
+    more = {c: f for c, f in _number_forms().items() if len(f) > 1}
+    simple = F.translate(text, "".join(one), "".join(one.values()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in more.items()])
+    full = F.when(simple.rlike("[" + "".join(more) + "]"), F.aggregate(pairs, simple, lambda t, p: F.replace(t, p["c"], p["f"]))).otherwise(simple)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(text)
+
+
 def numbers(text: Column) -> Column:
-    """[E10] Multiset of numeric tokens as a sorted array; apply nfkc() first where text may hold full-width digits."""
-    return F.sort_array(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
+    """[E10] Multiset of numeric tokens of the NFKC form as a sorted array."""
+    return F.sort_array(F.regexp_extract_all(number_form(text), F.lit(NUMBER), F.lit(0)))
 
 
 def numbers_differ(source: Column, candidate: Column) -> Column:
@@ -62,7 +103,7 @@ def numbers_differ(source: Column, candidate: Column) -> Column:
 
 
 def conversion_candidate(source: Column, candidate: Column) -> Column:
-    """[I4] Whether a numeric difference may be a localisation of the same quantity."""
+    """[I4] Whether a numeric difference may be a localisation of the same quantity. Both in NFKC form."""
     both = F.lower(F.concat(source, F.lit("\n"), candidate))
     count = lambda t: F.regexp_count(t, F.lit(NUMBER))
     return (count(source) != count(candidate)) | both.rlike(CJK_UNITS) | both.rlike(rf"(?U)\b(?:{WORD_UNITS})\b") | both.rlike(SEPARATED)
@@ -105,14 +146,25 @@ def body_limit(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, path), F.lit(OTHER_BODY_LIMIT).cast("long"))
 
 
-def retry_delay(message: Column, retry_after: Column, attempt: Column) -> Column:
-    """[I26] Seconds before the next attempt of a rate-limited call; null if it wasn't rate-limited."""
+def retry_delay(message: Column, retry_after: Column, attempt: Column, now: Column | None = None, details: Column | None = None) -> Column:
+    """[I26] Seconds before the next attempt of a rate-limited call; null if it wasn't rate-limited.
+
+    In order: the header (seconds, or an HTTP date seen from now), the first retryDelay of the JSON details, the message, doubling.
+    """
     low = F.lower(message)
     limited = F.contains(low, F.lit("429")) | F.contains(low, F.lit("resource_exhausted")) | F.contains(low, F.lit("resourceexhausted")) | F.contains(low, F.lit("rate limit"))
     named = F.regexp_extract(message, r"(?i)(?:retry[ _-]?(?:after|delay)|retry in)[^0-9]{0,20}([0-9]+(?:\.[0-9]+)?)\s*s", 1)
     backoff = F.least(F.lit(300.0), F.lit(15.0) * F.pow(F.lit(2.0), F.least(attempt, F.lit(5))))
     one = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(1.0), x))
-    return F.when(limited, F.coalesce(one(retry_after.try_cast("double")), one(named.try_cast("double")), backoff))
+    ways = [one(retry_after.try_cast("double"))]
+    if now is not None:
+        day = F.regexp_extract(retry_after, r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+        at = F.try_to_timestamp(F.concat(day, F.lit(" Z")), F.lit("d MMM yyyy HH:mm:ss X"))
+        ways.append(one((F.unix_seconds(at) - F.unix_seconds(now.cast("timestamp"))).cast("double")))
+    if details is not None:
+        given = F.transform(F.from_json(details, "array<struct<retryDelay:string>>"), lambda d: F.regexp_extract(d["retryDelay"], r"^([0-9]+(?:\.[0-9]+)?)s$", 1).try_cast("double"))
+        ways.append(one(F.get(F.filter(given, lambda x: x.isNotNull()), F.lit(0))))
+    return F.when(limited, F.coalesce(*ways, one(named.try_cast("double")), backoff))
 
 
 def transient_delay(attempt: Column) -> Column:
@@ -183,16 +235,11 @@ def is_toc(text: Column) -> Column:
 
 def is_cover(text: Column) -> Column:
     """[I18] A short page without divisions, lists or tables."""
-    clean = strip(F.regexp_replace(text, r"(?i)\[(?:Stamp|Seal|Approved):\s*[\s\S]*?\]", ""))
-    n = F.size(full_lines(clean))
-    bad = (
-        clean.rlike(r"(?i)<(?:table|ul|ol)\b")
-        | clean.rlike(r"(?i)\b(?:Chapter|Article|Section|[0-9]+[A-Za-z]?(?:\.[0-9]+)+)\b")
-        | clean.rlike(r"(?m)^\s*#{2,}")
-        | clean.rlike(r"(?m)^\s*(?:[①-⑳]|\([0-9]+\)|[0-9]+[.)、]|[0-9]+\s+\S)")
-        | clean.rlike(r"\|.*\|")
-    )
-    return n.between(1, 6) & (F.length(clean) < 350) & ~bad
+    clean = strip(F.regexp_replace(text, STAMP, ""))
+    out = F.size(full_lines(clean)).between(1, 6) & (F.length(clean) < 350)
+    for pattern in NOT_ON_COVERS:
+        out = out & ~clean.rlike(pattern)
+    return out
 
 
 def _messages(*tests: tuple[Column, str]) -> Column:
@@ -205,7 +252,7 @@ def draft_defects(draft: Column, english: Column) -> Column:
     truncated = F.lit(False)
     for pattern in TRUNCATED:
         truncated = truncated | draft.rlike(pattern)
-    headless = draft.rlike(r"(?m)^(?:Article|Section|Chapter)\s+[0-9]+(?:\.[0-9]+)*\s*$") & (F.size(lines(draft)) < 4)
+    headless = draft.rlike(HEADLESS) & (F.size(lines(draft)) < 4)
     return _messages(
         (none | blank(draft), "empty"),
         (~blank(draft) & draft.startswith("*[Translation Error:"), "engine_error"),
@@ -221,13 +268,13 @@ def layout_defects(draft: Column, toc: Column, nested: Column, tiers: Column, co
     pipes = F.filter(own, lambda x: x.startswith("|"))
     bars = F.transform(pipes, lambda x: F.regexp_count(x, F.lit(r"\|")))
     table = draft.rlike(r"(?i)<table\b")
-    pairs = F.exists(own, lambda x: ~x.rlike(r"^(\||<tr|<table|<td)") & (F.regexp_count(x, F.lit(r"[^\n:]{3,35}:\s*[^\n:]{2,30}")) >= 2))
-    two = F.regexp_count(draft, F.lit(r"(?m)^[•*\-▪]\s+[^:\n]{5,30}:\s+[^\n]{4,}")) >= 3
+    pairs = F.exists(own, lambda x: ~x.rlike(r"^(\||<tr|<table|<td)") & (F.regexp_count(x, F.lit(PAIR_ON_LINE)) >= 2))
+    two = F.regexp_count(draft, F.lit(BULLET_PAIR)) >= 3
     return _messages(
-        (toc & F.exists(own, lambda x: F.regexp_count(x, F.lit(r"(?i)\b(?:Chapter|Section|Article|Part)\s+[0-9]+")) >= 2), "toc_concatenated"),
+        (toc & F.exists(own, lambda x: F.regexp_count(x, F.lit(DIVISION)) >= 2), "toc_concatenated"),
         (toc & draft.rlike(r"(?m)^\s*\|.*\|.*\|"), "toc_table"),
         (nested & ~toc & ~draft.rlike(r"(?m)^[ \t]*[•*\-▪]\s+"), "nested_lists"),
-        (draft.rlike(r"\\frac\{|\$\$"), "latex"),
+        (draft.rlike(LATEX), "latex"),
         (tiers & (F.size(pipes) > 0) & ~table, "multi_tier_headers"),
         (columns & ~table & ~draft.rlike(r"\|.*\|") & two, "two_column_lists"),
         ((F.size(pipes) > 0) & (F.array_max(bars) - F.array_min(bars) > 3), "ragged_table"),
@@ -244,16 +291,16 @@ def block_type(line: Column) -> Column:
         .when(s.rlike(FENCE), "fence")
         .when(s.rlike(r"(?i)<table\b") | s.startswith("<svg") | s.startswith('<div class="doc-svg-table"'), "markup")
         .when(s.startswith("|") | ((F.regexp_count(s, F.lit(r"\|")) >= 2) & ~s.rlike(r"^(#|Article|Chapter|Section)")), "table")
-        .when(s.rlike("──|┬|│|└──|├──"), "tree")
+        .when(s.rlike(TREE), "tree")
         .when(s.rlike(r"^#{1,6}"), F.concat(F.lit("heading_"), F.length(F.regexp_extract(s, r"^(#{1,6})", 1)).cast("string")))
-        .when(s.rlike(r"(?i)^(?:Chapter\s+[0-9]+|第\s*[0-9]+\s*章|Appended\s+Table|Supplementary\s+Provisions)\b"), "chapter")
-        .when(s.rlike(r"(?i)^(?:Section\s+[0-9]+|第\s*[0-9]+\s*節)\b"), "section")
-        .when(s.rlike(r"(?i)^(?:Article\s+[0-9]+|第\s*[0-9]+\s*条)\b"), "article")
-        .when(s.rlike(r"^[0-9]+[A-Za-z]?(?:\.[0-9]+)+\s+"), "clause")
-        .when(s.rlike(r"^[0-9]+[.)、]\s*."), "item")
-        .when(s.rlike(r"^[•*\-▪▫○·]\s+"), F.when(indent >= 2, "sub_bullet").otherwise("bullet"))
-        .when(s.rlike(r"^([①-⑳]|\([0-9]+\))"), "subitem")
-        .when(s.rlike(r"^[0-9]+\s+\S"), "item")
+        .when(s.rlike(CHAPTER), "chapter")
+        .when(s.rlike(SECTION), "section")
+        .when(s.rlike(ARTICLE), "article")
+        .when(s.rlike(CLAUSE), "clause")
+        .when(s.rlike(ITEM), "item")
+        .when(s.rlike(BULLET), F.when(indent >= 2, "sub_bullet").otherwise("bullet"))
+        .when(s.rlike(SUBITEM), "subitem")
+        .when(s.rlike(COUNTED), "item")
         .when(indent >= 2, "subitem_desc")
         .otherwise("paragraph")
     )
@@ -263,7 +310,7 @@ def continues(line: Column, following: Column) -> Column:
     """[F8] Whether the following line is prose that goes on from line."""
     c, n = strip(line), strip(following)
     indent = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))
-    stop = n.rlike(r"(?i)^(?:[0-9]+[A-Za-z]?(?:\.[0-9]+)+|[0-9]+[.)、]|[0-9]+\s+\S|Article|Chapter|Section|[①-⑳]|\([0-9]+\)|[•*\-▪▫○·]|\||#+)")
+    stop = n.rlike(NEW_BLOCK)
     barred = c.endswith(":") | line.endswith("  ") | F.contains(F.lower(line), F.lit("<br>")) | line.endswith("\\") | ((indent(following) >= 2) & (indent(following) > indent(line)))
-    other = n.rlike(r"^[^\n:]{2,50}\s*:\s*[^\n]+$") | following.rlike("──|┬|│|└──|├──") | following.rlike(FENCE) | following.rlike(r"(?i)<table\b")
+    other = n.rlike(KEY_VALUE) | following.rlike(TREE) | following.rlike(FENCE) | following.rlike(r"(?i)<table\b")
     return F.coalesce(~blank(following) & ~barred & ~stop & ~other, F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 ENTITY_CODES = ("numbers", "url", "placeholder")
+# What findings say.
 MESSAGES = {
     "coverage": "Source segment has no translation.",
     "numbers": "Numeric entities differ from the source.",
@@ -18,19 +19,32 @@ MESSAGES = {
 }
 
 
+def defects(source: Column, candidate: Column) -> Column:
+    """[I3, I5, I6] Codes of the checks that a candidate fails, one for each lost link."""
+    value, own = F.coalesce(candidate, F.lit("")), F.coalesce(source, F.lit(""))
+    one = lambda test, code: F.when(test, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
+    full = F.concat(one(T.numbers_differ(own, value), "numbers"), F.transform(T.lost_urls(own, value), lambda u: F.lit("url")), one(T.has_placeholder(value), "placeholder"))
+    return F.when(T.blank(value), F.array(F.lit("coverage"))).otherwise(full)
+
+
 def findings(pairs: DataFrame) -> DataFrame:
-    """[D4, I3, I5, I6, H1] One row for each failed check of pairs(doc_id, segment_id, location, source, candidate).
+    """[D4, H1] One row for each failed check of pairs(doc_id, segment_id, location, source, candidate).
 
     One pass: the checks of a row are an array that is exploded, not a union of scans.
     """
-    value = F.coalesce(F.col("candidate"), F.lit(""))
-    source = F.coalesce(F.col("source"), F.lit(""))
-    one = lambda test, code: F.when(test, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
-    codes = F.when(T.blank(value), F.array(F.lit("coverage"))).otherwise(
-        F.concat(one(T.numbers_differ(source, value), "numbers"), F.transform(T.lost_urls(source, value), lambda u: F.lit("url")), one(T.has_placeholder(value), "placeholder"))
-    )
     table = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
-    return pairs.select("doc_id", "segment_id", "location", F.explode(codes).alias("code")).select("doc_id", "code", F.element_at(table, F.col("code")).alias("message"), F.lit("error").alias("severity"), "segment_id", "location")
+    return pairs.select("doc_id", "segment_id", "location", F.explode(defects(F.col("source"), F.col("candidate"))).alias("code")).select("doc_id", "code", F.element_at(table, F.col("code")).alias("message"), F.lit("error").alias("severity"), "segment_id", "location")
+
+
+def reports(docs: DataFrame, pairs: DataFrame, reviews: DataFrame) -> DataFrame:
+    """[E1, E5, E20, H1] doc_id, status, n_errors, n_reviews: checks and status of each document from one pass over pairs; reviews(doc_id) has one row for each review finding."""
+    rows = pairs.select("doc_id", defects(F.col("source"), F.col("candidate")).alias("codes"))
+    sums = rows.groupBy("doc_id").agg(F.sum(F.size("codes")).alias("n_errors"))
+    marks = reviews.groupBy("doc_id").agg(F.count("*").alias("n_reviews"))
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("long")
+    joined = docs.select("doc_id").join(sums, "doc_id", "left").join(marks, "doc_id", "left").select("doc_id", zero("n_errors").alias("n_errors"), zero("n_reviews").alias("n_reviews"))
+    # All findings of pairs are errors of the coverage and protected_entities checks, so a check fails exactly where there is one; both always run.
+    return joined.select("doc_id", status(F.col("n_errors") > 0, F.col("n_errors") > 0, F.col("n_reviews") > 0, F.lit(False), F.lit(2)).alias("status"), "n_errors", "n_reviews")
 
 
 def reconciliation(expected: DataFrame, returned: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,9 +124,8 @@ def repair_rounds(pairs: DataFrame, repair: Callable[[Column, Column], Column],
     repair(source, candidate) stands for the model call. keep may write each round to a table.
     """
     rows = pairs.withColumn("repairs", F.lit(0).cast("long"))
-    for _ in range(cycles):
-        bad = findings(rows).select("doc_id", "segment_id").distinct().withColumn("_bad", F.lit(True))
-        joined = rows.join(bad, ["doc_id", "segment_id"], "left")
-        again = F.coalesce(F.col("_bad"), F.lit(False))
-        rows = keep(joined.withColumn("candidate", F.when(again, repair(F.col("source"), F.col("candidate"))).otherwise(F.col("candidate"))).withColumn("repairs", F.col("repairs") + again.cast("long")).drop("_bad"))
+    for _ in range(cycles):  # findings depend on their row alone, so no row needs another
+        marked = rows.withColumn("_bad", F.size(defects(F.col("source"), F.col("candidate"))) > 0)
+        candidate = F.when(F.col("_bad"), repair(F.col("source"), F.col("candidate"))).otherwise(F.col("candidate"))
+        rows = keep(marked.withColumns({"candidate": candidate, "repairs": F.col("repairs") + F.col("_bad").cast("long")}).drop("_bad"))
     return rows

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.folds import ordered_fold
+
 # Failure codes with the check that shows them and the reviewer they call for.
 CODE_CHECKS = {"numbers": "protected_entities", "coverage": "coverage", "text_fit": "native_text_rendering", "overflow": "visual", "visual": "visual", "immutable_structure": "immutable_structure"}
 CODE_REVIEWERS = {"numbers": "source_review", "coverage": "source_review", "text_fit": "visual_review", "overflow": "visual_review", "visual": "table_review", "immutable_structure": "source_review"}
@@ -46,31 +47,28 @@ def latest(observations: DataFrame, n: int = MAX_DOCUMENTS) -> DataFrame:
     return observations.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
 
 
-def _fold(times: list[int], docs: list, span: int, cap: int) -> list[bool]:
-    """Admits rows in time order: old ones expire, a document that is there already is ignored, the newest cap stay."""
-    state: deque = deque()
-    held: set = set()
-    out = []
-    for ts, doc in zip(times, docs, strict=True):
-        while state and state[0][0] < ts - span:
-            held.discard(state.popleft()[1])
-        out.append(doc not in held)
-        if out[-1]:
-            state.append((ts, doc))
-            held.add(doc)
-            if len(state) > cap:
-                held.discard(state.popleft()[1])
-    return out
+class _Window:
+    """Documents of the evidence window of one kind, oldest first."""
 
+    def __init__(self):
+        self.rows: deque = deque()
+        self.held: set = set()
 
-def admitted(observations: DataFrame, days: int = WINDOW_DAYS, cap: int = MAX_DOCUMENTS) -> DataFrame:
-    """[J2, H6] Rows that the evidence fold admits: kind, obs_id, doc, ts. One ordered pass for each kind.
+    def admit(self, ts: int, doc, span: int, cap: int) -> bool:
+        """Old ones expire, a document that is there already is ignored, the newest cap stay."""
+        while self.rows and self.rows[0][0] < ts - span:
+            self.held.discard(self.rows.popleft()[1])
+        fresh = doc not in self.held
+        if fresh:
+            self.rows.append((ts, doc))
+            self.held.add(doc)
+            if len(self.rows) > cap:
+                self.held.discard(self.rows.popleft()[1])
+        return fresh
 
-    The state is the cap newest documents, so memory is bounded by the rows of one kind in time order.
-    """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "obs_id"])
-        return group[_fold(group["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), group["doc"].tolist(), days * 86_400_000_000, cap)]
-
-    return observations.select("kind", "obs_id", "doc", "ts").groupBy("kind").applyInPandas(run, "kind string, obs_id long, doc long, ts timestamp_ntz")
+def admitted(observations: DataFrame, days: int = WINDOW_DAYS, cap: int = MAX_DOCUMENTS) -> DataFrame:
+    """[J2, H6] Rows that the evidence fold admits: kind, obs_id, doc, ts. One ordered pass for each kind; the state is the cap newest documents."""
+    rows = observations.select("kind", "obs_id", "doc", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    step = lambda w, r: (r["kind"], r["obs_id"], r["doc"], r["ts"]) if w.admit(r["micros"], r["doc"], days * 86_400_000_000, cap) else None
+    return ordered_fold(rows, "kind", ["ts", "obs_id"], "kind string, obs_id long, doc long, ts timestamp_ntz", _Window, step)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.operators.folds import ordered_fold
 
 
 def decide(times: list[float], now: float, limit: int, window: float) -> int | None:
@@ -24,11 +26,9 @@ def limited(requests: DataFrame, limit: int = 30, window: float = 60) -> DataFra
     An ordered fold for each identity; a window count isn't the same. Rows go through once, in time order.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "request_id"])
-        times: list[float] = []
-        seconds = (group["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        wait = [decide(times, t, limit, window) for t in seconds]
-        return group.assign(accepted=[w is None for w in wait], retry_seconds=pd.array(wait, dtype="Int64"))
+    def step(times: list[float], row: dict) -> tuple:
+        wait = decide(times, row["seconds"], limit, window)
+        return row["identity"], row["request_id"], row["ts"], wait is None, wait
 
-    return requests.select("identity", "request_id", "ts").groupBy("identity").applyInPandas(run, "identity long, request_id long, ts timestamp_ntz, accepted boolean, retry_seconds long")
+    rows = requests.select("identity", "request_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    return ordered_fold(rows, "identity", ["ts", "request_id"], "identity long, request_id long, ts timestamp_ntz, accepted boolean, retry_seconds long", list, step)

@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 
 
+_PIECES = re.compile(r"[^\r\n]+|[\r\n]+")
+_LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("source", pa.string()), ("context", pa.string())])
+
+
 def line_segments(docs: DataFrame, part: str = "txt", around: int = 150) -> DataFrame:
     """[A10, A16, F3, I1] One row for each line with a letter: doc_id, line_no, segment_id, part, location, source, context.
 
-    Narrow: offsets come from a fold over the lengths of lines and breaks, so no shuffle is needed.
+    Narrow, and one pass over each text: offsets in code points would be counted from the start for every line by column functions.
     """
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[^\r\n]+|[\r\n]+"), F.lit(0))
-    at = F.aggregate("_p", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    rows = docs.filter(F.col("text").isNotNull()).withColumn("_p", pieces).withColumn("_o", at)
-    rows = rows.select("doc_id", "text", F.posexplode(F.arrays_zip("_p", F.slice("_o", F.lit(1), F.size("_p")).alias("_s"))).alias("line_no", "_x"))
-    line, begin = F.col("_x._p"), F.col("_x")["_s"]
-    rows = rows.filter(~line.rlike(r"[\r\n]") & line.rlike(r"\p{L}")).withColumn("location", F.concat(F.lit("offset:"), begin, F.lit(":"), begin + F.length(line)))
-    start = F.greatest(F.lit(0), begin - around)
-    return rows.select(
-        "doc_id", F.col("line_no").cast("long").alias("line_no"), T.stable_id(F.lit(part), F.col("location")).alias("segment_id"), F.lit(part).alias("part"), "location",
-        T.strip(line).alias("source"), F.substring(F.col("text"), start + 1, begin + F.length(line) + around - start).alias("context"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, m in enumerate(_PIECES.finditer(text)):
+                    if any(map(str.isalpha, m[0])):
+                        rows.append((doc, k, *m.span(), m[0].strip(), text[max(0, m.start() - around) : m.end() + around]))
+                    if len(rows) == 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LINES)], schema=_LINES)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LINES)], schema=_LINES)
+
+    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, line_no long, begin long, end long, source string, context string")
+    location = F.concat(F.lit("offset:"), F.col("begin"), F.lit(":"), F.col("end"))
+    return rows.select("doc_id", "line_no", T.stable_id(F.lit(part), location).alias("segment_id"), F.lit(part).alias("part"), location.alias("location"), "source", "context")
 
 
 def batches(segments: DataFrame, key: str, order: str, size: int = 24) -> DataFrame:
@@ -45,21 +59,28 @@ def context_dictionary(segments: DataFrame, key: str, order: str) -> DataFrame:
     return segments.join(named, [key, "context"])
 
 
-def spliced(text: Column, spans: Column) -> Column:
-    """[B3] text with spans (sorted array of begin, end, value; offsets from 0) replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["begin"] - acc["at"]), s["value"]).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+def spliced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """[B3, B4] text with the spans (begin, end, value; ascending) replaced, each value with the white space that was around its source."""
+    out, at = [], 0
+    for begin, end, value in spans:
+        own = text[begin:end]
+        bare = own.strip()
+        left = own[: len(own) - len(own.lstrip())]
+        out += [text[at:begin], left, value.strip(), own[len(left) + len(bare) :]]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def replaced(docs: DataFrame, segments: DataFrame, candidates: DataFrame) -> DataFrame:
-    """[B3, B4, D12] docs with each segment's candidate in place of its source: doc_id, rendered."""
+    """[B3, B4, D12] docs with each segment's candidate in place of its source: doc_id, rendered. Linear in the text."""
     both = segments.join(candidates.select("doc_id", "segment_id", "candidate"), ["doc_id", "segment_id"]).filter(~T.blank(F.col("candidate")))
     begin, end = (F.split("location", ":")[k].cast("int") for k in (1, 2))
-    spans = both.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(begin.alias("begin"), end.alias("end"), F.col("candidate").alias("value")))).alias("spans"))
-    joined = docs.join(spans, "doc_id", "left")
-    own = F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), T.edges_of(F.substring(F.col("text"), s["begin"] + 1, s["end"] - s["begin"]), s["value"]).alias("value")))
-    return joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(spliced(F.col("text"), own)).alias("rendered"))
+    spans = both.groupBy("doc_id").agg(F.collect_list(F.struct(begin.alias("begin"), end.alias("end"), F.col("candidate").alias("value"))).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, lists = (batch.column(k).to_pylist() for k in range(3))
+            rendered = [t if t is None or not own else spliced(t, sorted((x["begin"], x["end"], x["value"]) for x in own)) for t, own in zip(texts, lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rendered, pa.string())], names=["doc_id", "rendered"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, rendered string")

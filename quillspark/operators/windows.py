@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 
+# What is a table's rule line, a cell with a number, and a line of digits.
+RULE_LINE = r"^\s*\|?(?:\s*:?-{2,}:?\s*\|)+\s*:?-{2,}:?\s*\|?\s*$"
+NUMBER_CELL, DIGITS = r"^\p{Nd}+[.)]?$", r"^\p{Nd}+$"
+
 
 def page_windows(pages: DataFrame, size: int = 6, step: int = 4) -> DataFrame:
     """doc_id, window_start (position from 0), page_nos, n_pages, body: windows over the pages in order.
@@ -50,7 +54,7 @@ def merged_orphans(lines: DataFrame) -> DataFrame:
     """doc_id, entry_no, entry: a line of digits joins the contents line before it."""
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("line", T.strip(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").rlike(T.FENCE))
-    rows = rows.withColumn("orphan", F.col("line").rlike(r"^[0-9]+$")).withColumn("entry_no", F.sum((~F.col("orphan")).cast("long")).over(order)).filter("entry_no > 0")
+    rows = rows.withColumn("orphan", F.col("line").rlike(DIGITS)).withColumn("entry_no", F.sum((~F.col("orphan")).cast("long")).over(order)).filter("entry_no > 0")
     own = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     return rows.groupBy("doc_id", "entry_no").agg(F.array_join(F.transform(own, lambda x: x["line"]), " ··· ").alias("entry"))
 
@@ -63,13 +67,13 @@ def normalised_tables(pages: DataFrame) -> DataFrame:
     page = Window.partitionBy("doc_id", "page_no").orderBy("pos")
     rows = lined.withColumn("s", s).withColumn("pipe", pipe)
     rows = rows.withColumn("island", F.sum((F.col("pipe") != F.coalesce(F.lag("pipe").over(page), ~F.col("pipe"))).cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    rule = F.col("s").rlike(r"^\s*\|?(?:\s*:?-{2,}:?\s*\|)+\s*:?-{2,}:?\s*\|?\s*$")
+    rule = F.col("s").rlike(RULE_LINE)
     cells = F.transform(F.split(F.regexp_replace("s", r"^\|+|\|+$", ""), r"\|"), lambda c: T.strip(c))
     rows = rows.withColumn("rule", rule).withColumn("cells", cells)
     island = Window.partitionBy("doc_id", "page_no", "island")
     rows = rows.withColumn("width", F.max(F.when(~F.col("rule"), F.size("cells"))).over(island)).withColumn("tail", F.max("pos").over(island) == F.max("pos").over(Window.partitionBy("doc_id", "page_no")))
     c, w = F.col("cells"), F.col("width")
-    left = ~F.get(c, F.lit(0)).rlike(r"^[0-9]+[.)]?$") & (F.size(c) == w - 1)
+    left = ~F.get(c, F.lit(0)).rlike(NUMBER_CELL) & (F.size(c) == w - 1)
     padded = F.when(F.size(c) >= w, c).when(left, F.concat(F.array(F.lit("")), c)).otherwise(F.concat(c, F.array_repeat(F.lit(""), F.greatest(F.lit(0), w - F.size(c)))))
     out = F.when(~F.col("pipe"), F.col("line")).when(F.col("tail") | w.isNull(), F.col("s"))
     out = out.when(F.col("rule"), F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), w), "|"), F.lit("|"))).otherwise(F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |")))

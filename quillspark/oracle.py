@@ -184,8 +184,16 @@ o as (select *, case when not pipe then line when tail or width is null then s w
 select doc_id, page_no, md5(string_agg(y, chr(10) order by pos)) digest, length(string_agg(y, chr(10) order by pos))::bigint n_chars from o group by 1, 2"""
 
 SQL["json_leaves"] = "select event_id doc_id, '/a~1b/event_type' as location, event_type source, '/a~1b/event_type: ' || event_type context from events union all select event_id, '/list/0', event_type, '/list/0: ' || event_type from events"
-SQL["html_objects"] = r"with t as (select page_id, unnest(regexp_extract_all(html, '<(table|img|svg)[\s>/]', 1)) x, generate_subscripts(regexp_extract_all(html, '<(table|img|svg)[\s>/]', 1), 1) - 1 k from pages) select page_id doc_id, k::bigint object_no, case x when 'img' then 'image_unknown' when 'svg' then 'diagram' else x end category from t"
+SQL["html_objects"] = r"with pages_ as (select page_id, html || (['<table><tr><td>x</td></tr></table>', '<img alt=''y''/>', '<p>none</p>', '<svg><g/></svg><img>'])[page_id % 4 + 1] html from pages), t as (select page_id, unnest(regexp_extract_all(html, '<(table|img|svg)[\s>/]', 1)) x, generate_subscripts(regexp_extract_all(html, '<(table|img|svg)[\s>/]', 1), 1) - 1 k from pages_) select page_id doc_id, k::bigint object_no, case x when 'img' then 'image_unknown' when 'svg' then 'diagram' else x end category from t"
 SQL["retry_delays"] = """with e as (select event_id n, event_id from events), m as (select *, case when n % 7 = 0 then (n % 40)::double end h, case when n % 5 = 1 then (n % 90)::double when n % 5 = 2 then 0.5 end s from e)
 select event_id, case when n % 5 < 3 then coalesce(greatest(1.0, h), greatest(1.0, s), least(300.0, 15.0 * pow(2.0, least(n % 8, 5)))) end::double as delay, least(30.0, pow(2.0, n % 8 + 1))::double as transient, n % 2 <> 0 and n % 600 in (408, 500, 502, 503, 504) is_transient from m"""
 SQL["retry_delays"] = SQL["retry_delays"].replace("coalesce(greatest(1.0, h), greatest(1.0, s),", "coalesce(case when h is not null then greatest(1.0, h) end, case when s is not null then greatest(1.0, s) end,")
 SQL["normalised_settings"] = """select c_custkey, (['de', 'fr', 'zh-CN', 'Klingon'])[c_custkey % 4 + 1] as language, ([272629760, 524288, 2097152]::bigint[])[c_custkey % 3 + 1] body_limit, c_custkey % 3 < 2 free, c_name || '.docx' as file, 'nova-' || c_nationkey || '-pro' model, c_custkey % 3 <> 0 as numeric from customer"""
+SQL["csv_cells"] = """with c as (select p_partkey doc_id, unnest([p_name, p_brand]) x, unnest([1, 2]) j from part) select doc_id, 'row:1/column:' || j as location, 'table_cell' category, trim(x) as source from c where regexp_matches(x, '\\p{L}')"""
+SQL["sheet_names"] = """with s as (select c_nationkey::bigint workbook, c_custkey pos, case when c_custkey % 9 = 0 then 'History_1' else c_mktsegment || ' sheet' end stem from customer), n as (select *, row_number() over (partition by workbook, lower(stem) order by pos) n from s)
+select workbook, pos, stem || case when n > 1 then ' (' || n || ')' else '' end sheet_name from n"""
+SQL["evidence_fold"] = """with recursive r as (select event_type kind, event_id obs_id, user_id doc, ts, row_number() over (partition by event_type order by ts, event_id) rn from events),
+f as (select kind, obs_id, doc, ts, rn, [{'t': ts, 'd': doc}] held, true fresh from r where rn = 1
+  union all select kind, obs_id, doc, ts, rn, case when is_new then list_append(k, {'t': ts, 'd': doc})[-50:] else k end, is_new
+  from (select *, not list_contains(list_transform(k, lambda x: x.d), doc) is_new from (select r.kind, r.obs_id, r.doc, r.ts, r.rn, list_filter(f.held, lambda x: x.t >= r.ts - interval 5 days) k from f join r on r.kind = f.kind and r.rn = f.rn + 1)))
+select kind, obs_id, doc, ts from f where fresh"""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import warnings
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +71,51 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").alias("identity"), F.col("event_id").alias("request_id"), "ts")
+
+
+def _zip(members: list[tuple[str, str]]) -> bytes:
+    out = io.BytesIO()
+    with warnings.catch_warnings(), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        warnings.simplefilter("ignore")  # one of the cases is a name that comes twice
+        for name, text in members:
+            z.writestr(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), text)
+    return out.getvalue()
+
+
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _rels(rows: list[tuple[str, str, str, bool]]) -> str:
+    own = "".join(f'<Relationship Id="{i}" Type="{_REL}/{kind}" Target="{target}"{" TargetMode=\"External\"" if outside else ""}/>' for i, kind, target, outside in rows)
+    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{own}</Relationships>'
+
+
+def package(k: int, name: str, brand: str) -> bytes:
+    """A small office file by k: document, workbook or slides; some break a rule."""
+    if k % 3 == 0:
+        text = f'<w:document xmlns:w="w" xmlns:r="{_REL}"><w:body><w:p><w:r><w:t>{name}</w:t></w:r><w:r><w:rPr/><w:t> and more</w:t></w:r><w:hyperlink r:id="rId3"><w:r><w:t>link {brand}</w:t></w:r></w:hyperlink></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>{brand}</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+        rels = [("rId1", "image", "media/image1.png", False), ("rId3", "hyperlink", "https://example.org", True)] + [("rId2", "image", "media/gone.png", False)] * (k % 5 == 0)
+        members = [("word/document.xml", text), ("word/_rels/document.xml.rels", _rels(rels)), ("word/media/image1.png", "png")]
+    elif k % 3 == 1:
+        cells = '<c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="s"><f>Data!A1</f><v>0</v></c><c r="E1"><f>SUM(\'Data\'!A1,Other!B1)&amp;"Data!"</f></c>' + '<c r="C1" t="s"><v>9</v></c>' * (k % 4 == 0)
+        sheet = f"<worksheet><sheetData><row>{cells}</row></sheetData></worksheet>"
+        strings = f"<sst><si><t>{name}</t></si><si><r><t>{brand[:3]}</t></r><r><t>{brand[3:]}</t></r></si></sst>"
+        members = [("xl/workbook.xml", '<workbook><sheets><sheet name="Data"/><sheet name="1"/></sheets></workbook>'), ("xl/sharedStrings.xml", strings), ("xl/worksheets/sheet1.xml", sheet), ("xl/charts/chart1.xml", "<c/>"), ("xl/drawings/drawing1.vml", "v")]
+    else:
+        slide = lambda t: f'<p:sld xmlns:p="p" xmlns:a="a"><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r><a:br/><a:r><a:t>tail</a:t></a:r></a:p></p:txBody></p:sld>'
+        deck = f'<p:presentation xmlns:p="p" xmlns:r="{_REL}"><p:sldIdLst><p:sldId r:id="rId2"/><p:sldId r:id="rId1"/></p:sldIdLst></p:presentation>'
+        members = [("ppt/presentation.xml", deck), ("ppt/_rels/presentation.xml.rels", _rels([("rId1", "slide", "slides/slide1.xml", False), ("rId2", "slide", "slides/slide2.xml", False)])), ("ppt/slides/slide1.xml", slide(name)), ("ppt/slides/slide2.xml", slide(brand)), ("ppt/diagrams/data1.xml", "<d/>")]
+    members += {1: [members[0]], 2: [("word/vbaProject.bin", "x")], 3: [("../up.txt", "x")], 4: [("word/document.xml" if k % 3 else "xl/workbook.xml", "<x/>")]}.get(k % 7, [])
+    raw = _zip(members)
+    return raw[:40] if k % 7 == 5 else raw
+
+
+def packages(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content: a small office file for each part."""
+
+    def run(batches):
+        for batch in batches:
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([f"p{k}.zip" for k, _, _ in rows]), pa.array([package(*r) for r in rows], pa.binary())], names=["path", "content"])
+
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("long"), "p_name", "p_brand").mapInArrow(run, "path string, content binary")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.arrow import nfkc
 from quillspark.operators import checks, feedback, jobs, limits, names, segments, windows
 from quillspark.plans import relations as R
 from quillspark.sources import parsers
@@ -90,16 +91,14 @@ def segment_findings(spark, sf):
 def conversion_candidates(spark, sf):
     """I4"""
     p = R.pairs(spark, sf).withColumn("candidate", F.coalesce("candidate", F.lit("")))
-    both = p.filter(T.numbers_differ(F.col("source"), F.col("candidate")))
+    both = p.filter(T.numbers_differ(F.col("source"), F.col("candidate"))).select("doc_id", "segment_id", nfkc("source").alias("source"), nfkc("candidate").alias("candidate"))
     return both.select("doc_id", "segment_id", T.conversion_candidate(F.col("source"), F.col("candidate")).alias("plausible"))
 
 
 @query
 def normalised_numbers(spark, sf):
     """I2, E10 over NFKC text"""
-    from quillspark.functions.arrow import nfkc
-
-    rows = R.table(spark, sf, "documents").select("doc_id", T.numbers(nfkc("text")).alias("numbers")).filter(F.size("numbers") > 0)
+    rows = R.table(spark, sf, "documents").select("doc_id", T.numbers(F.col("text")).alias("numbers")).filter(F.size("numbers") > 0)
     return rows.select("doc_id", F.size("numbers").cast("long").alias("n"), *_joined("numbers"))
 
 
@@ -125,18 +124,22 @@ def _statuses(spark, sf):
     return docs, found.unionByName(marks), rolled
 
 
+def _reports(spark, sf):
+    docs = R.table(spark, sf, "documents")
+    return docs, checks.reports(docs, R.pairs(spark, sf), R.table(spark, sf, "labels").filter("toxic = 1").select("doc_id"))
+
+
 @query
 def report_status(spark, sf):
     """E1, H1, E20"""
-    docs, found, rolled = _statuses(spark, sf)
-    return checks.report_status(docs, found, rolled)
+    return _reports(spark, sf)[1]
 
 
 @query
 def segment_quality_report(spark, sf):
     """The flagship: documents by language and delivery status."""
-    docs, found, rolled = _statuses(spark, sf)
-    rows = checks.report_status(docs, found, rolled).join(docs.select("doc_id", "lang"), "doc_id")
+    docs, rows = _reports(spark, sf)
+    rows = rows.join(docs.select("doc_id", "lang"), "doc_id")
     return rows.groupBy("lang", "status").agg(F.count("*").alias("n_docs"), F.sum("n_errors").alias("n_errors"), F.sum("n_reviews").alias("n_reviews"))
 
 
@@ -176,9 +179,7 @@ def repair_rounds(spark, sf):
     """The model is a stub that drops digits and placeholders, or gives the source back"""
     fix = lambda s, c: F.when(T.blank(c), s).otherwise(F.regexp_replace(F.regexp_replace(c, " 7$", ""), r"\[omitted\]", ""))
     rows = checks.repair_rounds(R.pairs(spark, sf).select("doc_id", "segment_id", "location", "source", "candidate"), fix)
-    left = checks.findings(rows).select("doc_id", "segment_id").distinct().withColumn("open", F.lit(1))
-    joined = rows.join(left, ["doc_id", "segment_id"], "left")
-    return joined.groupBy("doc_id").agg(F.sum("repairs").alias("repairs"), F.count("open").alias("unresolved"))
+    return rows.groupBy("doc_id").agg(F.sum("repairs").alias("repairs"), F.count_if(F.size(checks.defects(F.col("source"), F.col("candidate"))) > 0).alias("unresolved"))
 
 
 @query
@@ -213,7 +214,7 @@ def observations_latest(spark, sf):
 
 @query
 def evidence_fold(spark, sf):
-    """Tested against a plain loop"""
+    """J2, H6"""
     return feedback.admitted(R.observations(spark, sf), days=5, cap=50)
 
 
@@ -423,14 +424,15 @@ def html_text_nodes(spark, sf):
 
 @query
 def html_objects(spark, sf):
-    """A15"""
-    return parsers.html_objects(R.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html"), "html")
+    """A15 over pages with objects of each kind added"""
+    extra = F.get(F.array(*[F.lit(x) for x in ("<table><tr><td>x</td></tr></table>", "<img alt='y'/>", "<p>none</p>", "<svg><g/></svg><img>")]), (F.col("page_id") % 4).cast("int"))
+    return parsers.html_objects(R.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.concat("html", extra).alias("html")), "html")
 
 
 @query
 def csv_cells(spark, sf):
     """A12"""
-    rows = R.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(",", "p_name", "p_brand", F.concat(F.lit("="), "p_type"), "p_size").alias("text"))
+    rows = R.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit('"'), F.concat_ws('","', "p_name", "p_brand", F.concat(F.lit("="), "p_type"), "p_size"), F.lit('"')).alias("text"))
     return parsers.segments(rows, "csv").select("doc_id", "location", "category", "source")
 
 
@@ -443,7 +445,7 @@ def markdown_spans(spark, sf):
 
 @query
 def sheet_names(spark, sf):
-    """Tested against a plain loop"""
+    """I20"""
     rows = R.table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("workbook"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("original"), F.when(F.col("c_custkey") % 9 == 0, F.lit("History")).otherwise(F.concat("c_mktsegment", F.lit("/sheet"))).alias("wanted"))
     return names.sheet_names(rows)
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrow import requalified
+
 # Capabilities by extension, package limits and signature parts.
 OFFICE, IMAGES, PLAIN = ("xlsx", "pptx", "docx"), ("png", "jpg", "jpeg", "webp"), ("txt", "md", "csv", "json", "html", "htm")
 CAPABILITIES = (
@@ -204,6 +206,60 @@ def text_units(parts: DataFrame) -> DataFrame:
     return units.filter(F.col("source").rlike(r"\p{L}")).select("path", "part", F.concat(F.lit("p:"), "paragraph", F.lit("/u:"), "island").alias("location"), "category", "source")
 
 
+def sheet_titles(parts: DataFrame) -> DataFrame:
+    """[A21] path, part, location, category, source: sheet names as segments, in order."""
+
+    def read(path, name, root):
+        for k, x in enumerate(x for x in root.iter() if _local(x.tag) == "sheet"):
+            yield path, name, f"sheet:{k}", "sheet_title", x.get("name", "")
+
+    return _xml_rows(parts, "path string, part string, location string, category string, source string", read, F.col("name") == "xl/workbook.xml").filter(F.col("source").rlike(r"\p{L}"))
+
+
+# Fixed value: elements whose text is a formula.
+FORMULAS = ("f", "formula", "formula1", "formula2", "definedName", "calculatedColumnFormula", "totalsRowFormula")
+
+
+def renamed(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """[I22] path, name, raw of the workbook parts that change when sheets are renamed by names(path, old, new): titles, formulas, pivot sources and links."""
+    own = names.groupBy("path").agg(F.collect_list(F.struct("old", "new")).alias("names"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, name, raw, pairs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                table = {x["old"]: x["new"] for x in pairs}
+                folded = {k.casefold(): v for k, v in table.items()}
+                try:
+                    root = ET.fromstring(raw)
+                except ET.ParseError:
+                    continue
+                changed = False
+
+                def put(x, key, value):
+                    nonlocal changed
+                    if value != x.get(key):
+                        changed = True
+                        x.set(key, value)
+
+                for x in root.iter():
+                    tag = _local(x.tag)
+                    if tag == "sheet" and x.get("name") in table:
+                        put(x, "name", table[x.get("name")])
+                    elif tag in FORMULAS and x.text and (text := requalified(x.text, folded)) != x.text:
+                        x.text, changed = text, True
+                    elif tag == "worksheetSource" and x.get("sheet") in table:
+                        put(x, "sheet", table[x.get("sheet")])
+                    elif tag == "hyperlink" and x.get("location"):
+                        put(x, "location", requalified(x.get("location"), folded))
+                if changed:
+                    rows.append({"path": path, "name": name, "raw": ET.tostring(root, encoding="UTF-8", xml_declaration=True)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("name", pa.string()), ("raw", pa.binary())]))
+
+    mine = parts.filter(F.col("name").startswith("xl/") & F.col("name").endswith(".xml") & ~F.contains("name", F.lit("/embeddings/")) & F.col("raw").isNotNull())
+    return mine.join(own, "path").select("path", "name", "raw", "names").mapInArrow(run, "path string, name string, raw binary")
+
+
 def canonical(parts: DataFrame) -> DataFrame:
     """[M14] path, name, c14n: hash of the canonical XML of each XML part with its text nodes blanked; of the bytes for the others."""
 

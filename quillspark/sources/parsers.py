@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
+import html
 import io
 import json
 import re
@@ -28,11 +30,25 @@ class _Tree(HTMLParser):
         self.nodes: list[tuple[int, str, bool, list[str]]] = []
         self.attributes: list[tuple[int, str, str]] = []
         self.objects: list[str] = []
-        self.strings = self.elements = 0
+        self.places: list[tuple[str, int, int, str, bool]] = []
+        self.lines = [0]
+        self.strings = self.elements = self.begin = 0
         self.held: list[str] = []
 
-    def _flush(self):
+    def read(self, text: str) -> _Tree:
+        self.lines += [k + 1 for k, c in enumerate(text) if c == "\n"]
+        self.feed(text)
+        self.close()
+        self._flush(len(text))
+        return self
+
+    def _offset(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _flush(self, end: int | None = None):
         if self.held:
+            self.places.append((f"text:{self.strings}", self.begin, self._offset() if end is None else end, "".join(self.held), False))
             text, self.held = "".join(self.held), []
             hidden = any(name in HIDDEN for name, _ in self.open)
             for _, own in self.open:
@@ -41,12 +57,19 @@ class _Tree(HTMLParser):
             self.strings += 1
 
     def handle_data(self, data):
+        if not self.held:
+            self.begin = self._offset()
         self.held.append(data)
 
     def handle_starttag(self, tag, attrs):
         self._flush()
         for key in ("alt", "title", "aria-label"):
             self.attributes += [(self.elements, key, v or "") for k, v in attrs if k == key][:1]
+            tag_text = self.get_starttag_text() or ""
+            value = re.search(rf"""\s{key}\s*=\s*(?:"([^"]*)"|'([^']*)')""", tag_text, re.I)
+            if value and any(k == key for k, _ in attrs):
+                k = 1 if value[1] is not None else 2
+                self.places.append((f"element:{self.elements}/@{key}", self._offset() + value.start(k), self._offset() + value.end(k), html.unescape(value[k]), True))
         if tag in OBJECTS:
             self.objects.append(OBJECTS[tag])
         self.elements += 1
@@ -68,11 +91,12 @@ class _Tree(HTMLParser):
 
 
 def _tree(text: str) -> _Tree:
-    tree = _Tree()
-    tree.feed(text)
-    tree.close()
-    tree._flush()
-    return tree
+    return _Tree().read(text)
+
+
+def html_places(text: str) -> list[tuple[str, int, int, str, bool]]:
+    """location, begin, end, text, is attribute of all text nodes and attribute values in the source."""
+    return _tree(text).places
 
 
 def html_segments(text: str) -> Iterator[tuple[str, str, str, str]]:
@@ -84,16 +108,20 @@ def html_segments(text: str) -> Iterator[tuple[str, str, str, str]]:
         yield f"element:{k}/@{name}", "text", value, value
 
 
-def csv_segments(text: str) -> Iterator[tuple[str, str, str, str]]:
-    try:
+def sniffed_rows(text: str) -> tuple[list[list[str]], type[csv.Dialect] | csv.Dialect]:
+    """Rows of a CSV text and its dialect, guessed from the start; fields may have any length."""
+    csv.field_size_limit(1 << 31)
+    dialect: type[csv.Dialect] = csv.excel
+    with contextlib.suppress(csv.Error):
         dialect = csv.Sniffer().sniff(text[:8192])
-    except csv.Error:
-        dialect = csv.excel
-    for i, row in enumerate(csv.reader(io.StringIO(text, newline=""), dialect), 1):
-        context = json.dumps(row, ensure_ascii=False)
-        for j, value in enumerate(row, 1):
-            if not value.startswith("="):
-                yield f"row:{i}/column:{j}", "table_cell", value, context
+    return list(csv.reader(io.StringIO(text, newline=""), dialect)), dialect
+
+
+def csv_segments(text: str) -> Iterator[tuple[str, str, str, str]]:
+    """Cells; spreadsheet expressions are data that stay."""
+    for i, row in enumerate(sniffed_rows(text)[0], 1):
+        whole = json.dumps(row, ensure_ascii=False)
+        yield from ((f"row:{i}/column:{j}", "table_cell", cell, whole) for j, cell in enumerate(row, 1) if cell[:1] != "=")
 
 
 def json_segments(text: str) -> Iterator[tuple[str, str, str, str]]:
@@ -141,14 +169,19 @@ READERS: dict[str, Callable[[str], Iterator[tuple[str, str, str, str]]]] = {"htm
 
 
 def segments(docs: DataFrame, kind: str, column: str = "text") -> DataFrame:
-    """[A11-A14, A16] Segments of docs(doc_id, column): doc_id, location, category, source, context."""
+    """[A11-A14, A16] Segments of docs(doc_id, column): doc_id, location, category, source, context. A text that can't be read gives one row of category error with the reason as its source."""
     read = READERS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for location, category, source, context in read(text or "null" if kind == "json" else text or ""):
+                try:
+                    own = list(read(text or "null" if kind == "json" else text or ""))
+                except (ValueError, csv.Error, RecursionError) as e:
+                    own = []
+                    rows.append({"doc_id": doc, "location": "", "category": "error", "source": str(e)[:240] or type(e).__name__, "context": ""})
+                for location, category, source, context in own:
                     if source.strip() and any(c.isalpha() for c in source):
                         rows.append({"doc_id": doc, "location": location, "category": category, "source": source.strip(), "context": context or source})
                 if len(rows) > 5000:
@@ -171,9 +204,18 @@ def html_objects(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def event_frames(text: Column) -> Column:
-    """[A31] JSON payloads of server-sent event frames, up to the first terminal one."""
-    frames = F.filter(F.split(text, r"\r?\n\r?\n"), lambda f: f.rlike(r"(?m)^data:"))
-    return F.transform(frames, lambda f: F.array_join(F.transform(F.filter(F.split(f, r"\r?\n"), lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, r"^data: ?", "")), "\n"))
+    """[A31] Struct of frames (JSON payloads of server-sent events, up to the first terminal one) and error (null, 'malformed' or 'truncated').
+
+    A frame is what stands before a blank line, or the rest at the end; its data lines lose their leading white space and are joined by newlines.
+    """
+    data = lambda f: F.array_join(F.transform(F.filter(F.split(f, r"\r?\n"), lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, r"(?U)^data:\s*", "")), "\n")
+    found = F.filter(F.transform(F.split(text, r"\r?\n\r?\n"), data), lambda x: x != "")
+    kind = lambda f: F.when(F.try_parse_json(f).isNull(), "malformed").when(F.get_json_object(f, "$.type").isin("complete", "error"), "terminal")
+    stops = F.transform(found, kind)
+    first = F.array_min(F.filter(F.transform(stops, lambda s, i: F.when(s.isNotNull(), i)), lambda i: i.isNotNull()))
+    how = F.get(stops, first)
+    upto = F.when(first.isNull(), F.size(found)).when(how == "malformed", first).otherwise(first + 1)
+    return F.struct(F.slice(found, F.lit(1), upto).alias("frames"), F.when(first.isNull(), "truncated").when(how == "malformed", how).alias("error"))
 
 
 def glossary(text: Column) -> Column:
@@ -187,6 +229,12 @@ def glossary(text: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """[A9] Text of a UTF-8 file without its byte order mark; null if it holds NUL or isn't UTF-8."""
-    text = F.try_validate_utf8(F.decode(content, "UTF-8"))
-    text = F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(text, "^﻿", ""))
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^\ufeff", ""))
     return F.when(~F.contains(text, F.lit("\0")), text)
+
+
+def inspected(files: DataFrame) -> DataFrame:
+    """[A9] files(path, content, kind) with n_chars and error: null, 'encoding' (not UTF-8, or with NUL) or 'json' (kind json that doesn't parse)."""
+    rows = files.withColumn("_t", decoded(F.col("content")))
+    bad = (F.col("kind") == "json") & F.try_parse_json(F.col("_t")).isNull()
+    return rows.withColumns({"n_chars": F.length("_t").cast("long"), "error": F.when(F.col("_t").isNull(), "encoding").when(bad, "json")}).drop("_t")

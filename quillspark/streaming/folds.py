@@ -1,7 +1,13 @@
-"""Streaming forms of the ordered folds: evidence, limiter and leases, with state for each key."""
+"""Streaming forms of the ordered folds: evidence, limiter and leases, with state for each key.
+
+With expire, the state of a key goes when nothing has come for it for as long as its rows can matter (processing time); that is for
+streams that go on: a run to the end of what is there would wait for the timeouts.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,24 +19,33 @@ from quillspark.operators.feedback import MAX_DOCUMENTS, WINDOW_DAYS
 from quillspark.operators.limits import decide
 
 
-def limited_stream(requests: DataFrame, limit: int = 30, window: float = 60) -> DataFrame:
+TIMEOUT = {False: GroupStateTimeout.NoTimeout, True: GroupStateTimeout.ProcessingTimeTimeout}
+
+
+def limited_stream(requests: DataFrame, limit: int = 30, window: float = 60, expire: bool = False) -> DataFrame:
     """[J4] Decisions of the limiter for a stream of requests(identity, request_id, ts). Rows of a batch go in time order; the state holds at most `limit` times."""
 
     def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            return state.remove()
         rows = pd.concat(list(groups)).sort_values(["ts", "request_id"])
         times = list(state.get[0]) if state.exists else []
         wait = [decide(times, t, limit, window) for t in (rows["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6).tolist()]
         state.update((times,))
+        if expire:
+            state.setTimeoutDuration(int(window * 1000) + 1)
         yield rows.assign(accepted=[w is None for w in wait], retry_seconds=pd.array(wait, dtype="Int64"))[["identity", "request_id", "ts", "accepted", "retry_seconds"]]
 
-    return requests.select("identity", "request_id", "ts").groupBy("identity").applyInPandasWithState(run, "identity long, request_id long, ts timestamp_ntz, accepted boolean, retry_seconds long", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return requests.select("identity", "request_id", "ts").groupBy("identity").applyInPandasWithState(run, "identity long, request_id long, ts timestamp_ntz, accepted boolean, retry_seconds long", "times array<double>", "append", TIMEOUT[expire])
 
 
-def admitted_stream(observations: DataFrame, days: int = WINDOW_DAYS, cap: int = MAX_DOCUMENTS) -> DataFrame:
+def admitted_stream(observations: DataFrame, days: int = WINDOW_DAYS, cap: int = MAX_DOCUMENTS, expire: bool = False) -> DataFrame:
     """[J1, J2] Observations that the evidence fold admits; the state holds at most `cap` documents with their times."""
     span = days * 86_400.0
 
     def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            return state.remove()
         rows = pd.concat(list(groups)).sort_values(["ts", "obs_id"])
         times, docs = (list(x) for x in state.get) if state.exists else ([], [])
         fresh = []
@@ -41,15 +56,19 @@ def admitted_stream(observations: DataFrame, days: int = WINDOW_DAYS, cap: int =
             if fresh[-1]:
                 times, docs = [*times, t][-cap:], [*docs, doc][-cap:]
         state.update((times, docs))
+        if expire:
+            state.setTimeoutDuration(int(span * 1000) + 1)
         yield rows[fresh][["kind", "obs_id", "doc", "ts"]]
 
-    return observations.select("kind", "obs_id", "doc", "ts").groupBy("kind").applyInPandasWithState(run, "kind string, obs_id long, doc long, ts timestamp_ntz", "times array<double>, docs array<long>", "append", GroupStateTimeout.NoTimeout)
+    return observations.select("kind", "obs_id", "doc", "ts").groupBy("kind").applyInPandasWithState(run, "kind string, obs_id long, doc long, ts timestamp_ntz", "times array<double>, docs array<long>", "append", TIMEOUT[expire])
 
 
-def leases_stream(events: DataFrame, lease_seconds: float = 60) -> DataFrame:
+def leases_stream(events: DataFrame, lease_seconds: float = 60, expire: bool = False) -> DataFrame:
     """[J3] job_id, owner, event_id, outcome of claim, heartbeat and finish events: a lease is held until lease_seconds after its last beat."""
 
     def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nobody has beaten for the whole lease
+            return state.remove()
         rows = pd.concat(list(groups)).sort_values(["ts", "event_id"])
         owner, until = state.get if state.exists else ("", 0.0)
         out = []
@@ -65,9 +84,11 @@ def leases_stream(events: DataFrame, lease_seconds: float = 60) -> DataFrame:
             else:
                 out.append("lost")
         state.update((owner, until))
+        if expire:
+            state.setTimeoutDuration(int(lease_seconds * 1000) + 1)
         yield rows.assign(outcome=out)[["job_id", "owner", "event_id", "outcome"]]
 
-    return events.select("job_id", "event_id", "ts", "owner", "action").groupBy("job_id").applyInPandasWithState(run, "job_id long, owner string, event_id long, outcome string", "owner string, until double", "append", GroupStateTimeout.NoTimeout)
+    return events.select("job_id", "event_id", "ts", "owner", "action").groupBy("job_id").applyInPandasWithState(run, "job_id long, owner string, event_id long, outcome string", "owner string, until double", "append", TIMEOUT[expire])
 
 
 def windowed_evidence(observations: DataFrame, late: str = "1 day", width: str = "30 days", slide: str = "1 day") -> DataFrame:
@@ -77,7 +98,14 @@ def windowed_evidence(observations: DataFrame, late: str = "1 day", width: str =
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all rows that are there and returns what it gave (for tests and small checks: the result is held by the driver)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """Runs a stream over all rows that are there into a table in the shared folder, with its checkpoint beside it; returns the table."""
+    spark = stream.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = "file://" + tempfile.mkdtemp(prefix="quill-")
+    place = f"{folder.rstrip('/')}/quill/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")

@@ -2,16 +2,19 @@
 
 import datetime as dt
 import io
+import json
 import random
+import re
+import unicodedata
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.functions.arrow import distributed, nfkc, qualifiers
-from quillspark.operators import checks, feedback, jobs, limits, names, windows
-from quillspark.operators.segments import line_segments
+from quillspark.functions.arrow import distributed, nfkc, qualifiers, requalified
+from quillspark.operators import checks, feedback, jobs, limits, names, rendering, review, windows
+from quillspark.operators.segments import line_segments, replaced
 from quillspark.sources import packages, parsers
 from quillspark.streaming import folds
 
@@ -136,8 +139,12 @@ def test_lease_boundaries(spark):
     assert [(r.state, r.owner) for r in jobs.recovered(j, F.lit(now).cast("timestamp_ntz")).orderBy("id").collect()] == [("running", "w"), ("cancelled", None), ("queued", None)]
 
 
-def test_sheet_names():
-    assert names.clean_names([("a", "x/y"), ("b", "X Y"), ("c", "History"), ("d", "  "), ("e", "n" * 40), ("f", "N" * 40)]) == ["x y", "X Y (2)", "History_1", "d", "n" * 31, "N" * 27 + " (2)"]
+def test_sheet_names(spark):
+    wanted = [("a", "x/y"), ("b", "X Y"), ("c", "History"), ("d", "  "), ("e", "n" * 40), ("f", "N" * 40), ("g", "'x y'"), ("h", "x y (2)"), ("i", None), ("j", "' '")]
+    df = spark.createDataFrame([(w, k, *x) for w in (1, 2) for k, x in enumerate(wanted)], "workbook long, pos long, original string, wanted string")
+    got = [(r.workbook, r.sheet_name) for r in names.sheet_names(df).orderBy("workbook", "pos").collect()]
+    own = ["x y", "X Y (2)", "History_1", "d", "n" * 31, "N" * 27 + " (2)", "x y (3)", "x y (2) (2)", "i", "j"]
+    assert got == [(w, n) for w in (1, 2) for n in own]
 
 
 def test_small_functions(spark):
@@ -154,7 +161,111 @@ def test_small_functions(spark):
     assert one(spark, names.missing_letters(F.col("a"), F.col("b")), a="aab", b="ab") == ["a"]
     assert one(spark, distributed("t", F.array(F.lit(2), F.lit(2))), t="ab cd") == ["ab ", "cd"]
     assert one(spark, parsers.glossary(F.col("t")), t="a = b\n\na = c\n") == {"a": "c"} and one(spark, parsers.glossary(F.col("t")), t="bad") is None
-    assert one(spark, parsers.event_frames(F.col("t")), t="data: 1\r\ndata: 2\r\n\r\n: note\n\ndata:3\n\n") == ["1\n2", "3"]
+
+
+def loop_frames(text):
+    # Server-sent events one by one: frames up to the first terminal one, and what is wrong.
+    got = []
+    for part in re.split(r"\r?\n\r?\n", text):
+        data = "\n".join(x[5:].lstrip() for x in re.split(r"\r?\n", part) if x.startswith("data:"))
+        if not data:
+            continue
+        try:
+            event = json.loads(data)
+        except ValueError:
+            return got, "malformed"
+        got.append(data)
+        if isinstance(event, dict) and event.get("type") in ("complete", "error"):
+            return got, None
+    return got, "truncated"
+
+
+def test_event_frames(spark):
+    stage, done, late = 'data: {"type": "stage"}', 'data:\t {"type":\r\ndata: "complete"}', 'data: {"type": "late"}'
+    texts = [f"{stage}\n\n{done}\r\n\r\n{late}\n\n", f"{stage}\r\n\r\n: note\n\n{done}", f"{stage}\n\n", f"{stage}\n\ndata: {{bad\n\n{done}\n\n", "", "data: 1\n\ndata: {\"type\": \"error\"}\n\n", f"event: x\n{done}\n\n{late}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", parsers.event_frames(F.col("t")).alias("e"))
+    assert [(r.e.frames, r.e.error) for r in df.orderBy("k").collect()] == [loop_frames(t) for t in texts]
+
+
+def test_numbers_in_other_forms(spark):
+    texts = ["x １２", "x 12", "½ cup", "㏠ ⒈ ⑽", "3．5", "٣٤ and 𝟙𝟚", "5․6 … 7", "①②", "a12b,3"]
+    for t in texts:
+        want = sorted(re.findall(r"\d+(?:[.,]\d+)*", unicodedata.normalize("NFKC", t)))
+        assert one(spark, T.numbers(F.col("t")), t=t) == want, t
+    pairs = spark.createDataFrame([(1, "s", "l", "x １２", "x 12"), (1, "t", "l", "x １２", "x 13")], "doc_id long, segment_id string, location string, source string, candidate string")
+    assert [(r.segment_id, r.code) for r in checks.findings(pairs).collect()] == [("t", "numbers")]
+    assert one(spark, T.block_type(F.col("t")), t="第１条 x") == "article"
+
+
+def test_bad_files(spark):
+    df = spark.createDataFrame([(1, "{bad"), (2, '{"a": "ok"}'), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.category) for r in parsers.segments(df, "json").orderBy("doc_id").collect()] == [(1, "error"), (2, "structured_value")]
+    wide = spark.createDataFrame([(1, "a,b\n" + "x" * 200_000 + ",y")], "doc_id long, text string")
+    assert parsers.segments(wide, "csv").count() == 4
+
+
+def test_retry_delay(spark):
+    now = F.lit("2024-01-30 00:00:00").cast("timestamp")
+    wait = lambda **v: one(spark, T.retry_delay(F.col("m"), F.col("h"), F.lit(0), now, F.col("d")), **{"m": "429", "h": "", "d": "[]"} | v)
+    assert wait(h="Tue, 30 Jan 2024 00:01:30 GMT") == 90 and wait(h="Mon, 29 Jan 2024 00:00:00 GMT") == 1 and wait(h="soon") == 15
+    assert wait(d='[{"x": 1}, {"retryDelay": "x"}, {"retryDelay": "2.5s"}]') == 2.5 and wait(h="4", d='[{"retryDelay": "2s"}]') == 4 and wait(d="no") == 15
+
+
+def test_long_documents(spark):
+    text = "\n".join(f"line {k} é" for k in range(16_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = line_segments(docs).collect()
+    assert len(rows) == 16_000
+    for r in rows[::997]:
+        a, b = map(int, r.location.split(":")[1:])
+        assert text[a:b] == r.source and text[max(0, a - 150) : b + 150] == r.context
+    changed = line_segments(docs).withColumn("candidate", F.concat("source", F.lit("!")))
+    out = replaced(docs, changed.drop("candidate"), changed).first().rendered
+    assert out == "\n".join(f"line {k} é!" for k in range(16_000))
+
+
+def loop_leases(rows, span):
+    held, out = {}, []
+    for job, n, ts, owner, action in sorted(rows, key=lambda r: (r[2], r[1])):
+        who, until = held.get(job, ("", dt.datetime.min))
+        who = who if until >= ts else ""
+        if action == "claim":
+            out.append((n, "busy" if who else "claimed"))
+            held[job] = (who, until) if who else (owner, ts + dt.timedelta(seconds=span))
+        elif who == owner:
+            out.append((n, "extended" if action == "heartbeat" else "finished"))
+            held[job] = (owner, ts + dt.timedelta(seconds=span)) if action == "heartbeat" else ("", dt.datetime.min)
+        else:
+            out.append((n, "lost"))
+            held[job] = (who, until)
+    return sorted(out)
+
+
+def test_leases(spark, tmp_path):
+    rnd = random.Random(4)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(rnd.randrange(3), n, base + dt.timedelta(seconds=rnd.randrange(2000)), f"w{rnd.randrange(2)}", rnd.choice(["claim", "heartbeat", "finish"])) for n in range(200)]
+    schema = "job_id long, event_id long, ts timestamp_ntz, owner string, action string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "e"))
+    got = folds.run_to_end(folds.leases_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "e")), 60), "leases")
+    assert sorted((r.event_id, r.outcome) for r in got.collect()) == loop_leases(rows, 60)
+
+
+def test_writers_and_pages(spark):
+    page = '<ul><li title="a &lt; b">One &amp; <b>two</b></li></ul><pre>x</pre>'
+    assert rendering.write_html(page, {"text:0": "Eins & ", "element:1/@title": '"'}) == '<ul><li title="&quot;">Eins &amp; <b>two</b></li></ul><pre>x</pre>'
+    assert rendering.write_html(page, {}) == page and rendering.write_spans("a b\nc", {"offset:4:5": "d"}) == "a b\nd"
+    with pytest.raises(ValueError, match="expression"):
+        rendering.write_csv("a,b\n1,2\n", {"row:2/column:1": " =1"})
+    assert rendering.toc_lines("Chapter 1 x  Chapter 2 y\n```\n\n7") == "Chapter 1 x\nChapter 2 y\n[Page: 7]"
+    assert rendering.numbered_lists('<ol><li>a<ol start="3"><li>b</li></ol></li></ol>').count("<p ") >= 1
+    assert rendering.normalised("") == ("", None) and rendering.normalised("x\n[Page: 3]") == ("x", 3)
+    assert requalified("SUM('A''s'!B1:C2)+a.b!A1&\"a.b!\"", {"a's": "n", "a.b": "m'"}) == "SUM('n'!B1:C2)+'m''" + "'!A1&\"a.b!\""
+
+
+def test_halves(spark):
+    halves = one(spark, review.halves(F.sequence(F.lit(1), F.col("n"))), n=9)
+    assert [list(x) for x in halves] == [[1, 2], [3, 4], [5, 6], [7, 8, 9]]
 
 
 def test_parsers():

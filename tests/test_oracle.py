@@ -5,8 +5,10 @@ import os
 import duckdb
 import pytest
 
-from quillspark import oracle
-from quillspark.queries import QUERIES
+from quillspark import oracle, oracle_documents, queries_documents
+from quillspark.queries import QUERIES as OWN
+
+QUERIES, SQL = OWN | queries_documents.QUERIES, oracle.SQL | oracle_documents.SQL
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
@@ -25,9 +27,9 @@ def rows(columns, values):
     return sorted((tuple(None if r[k] is None else f"{r[k]:.9g}" if isinstance(r[k], float) else str(r[k]) for k in order) for r in values), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(oracle.SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(SQL)))
 def test_same_as_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
-    want = duck.sql(oracle.SQL[name])
+    want = duck.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
