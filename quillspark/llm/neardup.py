@@ -43,6 +43,8 @@ SMALL, NEAR = 16, 3
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 6 << 20, 4096
 #: Parts that each region is dealt to in joins, and pairs of one class that a task takes.
 SALTS, PAIRS = 64, 4096
+#: Links that one task joins to components.
+BLOCK_LINKS = 1 << 18
 #: Rows of one region that a task holds at once; the rest of the region goes on as a large one.
 HELD = 1 << 16
 
@@ -258,19 +260,38 @@ def region_links(regions: DataFrame, known: DataFrame, reps: DataFrame, texts: D
     return held.groupBy("region", "x", "y").applyInArrow(scan, "a long, b long")
 
 
+def _joined_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, to for all nodes of the links a, b of one task: to is the smallest id that v is connected with."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            u, v = find(x), find(y)
+            parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["v", "to"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, c: for each end of a link the smallest id that it is connected with.
 
     Contraction in random order: in each round every node has a new random rank, hooks to its least neighbour if that
     ranks below it, hooks are followed to their ends by pointer doubling, and links are renamed to the ends. Of any nodes
     with links at most half are expected to rank below all their neighbours, so the rounds are logarithmic in the
-    nodes (a chain of 1,000 takes about 7), and chains of hooks are short. Least neighbours are combined map-side, so
-    a node with very many links is one sum. The first round ranks by id, which ends most graphs at once.
+    nodes, and chains of hooks are short. Least neighbours are combined map-side, so a node with very many links is one
+    sum. The first round ranks by id, which ends most graphs at once. As soon as what is left fits a block of BLOCK_LINKS
+    links, one task joins it.
     """
     edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("c", F.col("v"))
+    rename = lambda df, table: df.join(table.select(F.col("v").alias("c"), "to"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
     rounds = 0
-    while not edges.isEmpty():
+    while edges.count() > BLOCK_LINKS:
         rank = (lambda x: F.col(x)) if not rounds else (lambda x, k=rounds: F.xxhash64(F.lit(k), x))
         place = lambda x: F.struct(rank(x).alias("rank"), F.col(x).alias("to"))
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
@@ -279,14 +300,15 @@ def components(links: DataFrame) -> DataFrame:
         twice = lambda h: h.join(h.select(F.col("v").alias("to"), F.col("to").alias("on")), "to", "left").select("v", F.coalesce("on", "to").alias("to"))
         while not hooks.join(hooks.select(F.col("v").alias("to")), "to", "left_semi").isEmpty():
             hooks = materialise(twice(twice(hooks)), "hooks")
-        nodes = nodes.join(hooks.select(F.col("v").alias("c"), "to"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+        nodes = rename(nodes, hooks)
         one = edges.join(hooks.select(F.col("v").alias("a"), "to"), "a", "left").select(F.coalesce("to", "a").alias("a"), "b")
         two = one.join(hooks.select(F.col("v").alias("b"), "to"), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
         edges = materialise(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
         rounds += 1
-    if rounds < 2:
-        return materialise(nodes, "labels")
-    nodes = materialise(nodes, "labels")
+    last = edges.repartition(1).mapInArrow(_joined_in_block, "v long, to long")
+    if not rounds:
+        return materialise(last.withColumnRenamed("to", "c"), "labels")
+    nodes = materialise(rename(nodes, last), "labels")
     return materialise(nodes.join(nodes.groupBy("c").agg(F.min("v").alias("least")), "c").select("v", F.col("least").alias("c")), "labels")
 
 

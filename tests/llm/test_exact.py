@@ -28,6 +28,7 @@ def test_equal_polynomial_hashes(spark):
 
 @pytest.mark.parametrize("n", [1000])
 def test_chain_in_few_rounds(spark, monkeypatch, n):
+    monkeypatch.setattr(neardup, "BLOCK_LINKS", 0)
     labels = []
     plain = neardup.materialise
     monkeypatch.setattr(neardup, "materialise", lambda df, label: labels.append(label) or plain(df, label))
@@ -36,7 +37,9 @@ def test_chain_in_few_rounds(spark, monkeypatch, n):
     assert labels.count("links") <= 15 and labels.count("hooks") <= 15
 
 
-def test_components_of_mixed_order(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK_LINKS, 20])
+def test_components_of_mixed_order(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_LINKS", block)
     rnd = random.Random(3)
     path = list(range(600))
     rnd.shuffle(path)
