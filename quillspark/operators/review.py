@@ -230,3 +230,37 @@ def channels(colour: Column) -> Column:
 def untagged(text: Column) -> Column:
     """[I30] Text without its tags."""
     return F.regexp_replace(text, r"<[^>]+>", "")
+
+
+def planned_stages(files: DataFrame, stages: dict[str, tuple[str, ...]]) -> DataFrame:
+    """[C15] files(path, ...) with the labels of the stages that their extension goes through; one label for extensions without a plan."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
+    table = F.create_map(*[x for k, v in stages.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return files.withColumn("stages", F.coalesce(F.try_element_at(table, kind), F.array(F.concat(F.lit("Translate "), F.when(kind == "", "file").otherwise(F.concat(F.lit("."), kind))))))
+
+
+def page_type(answer: Column) -> Column:
+    """[M6] Page type by the words of a classifier's answer; the first that occurs counts."""
+    up = F.upper(answer)
+    has = lambda *words: F.array_max(F.array(*[F.contains(up, F.lit(w)).cast("int") for w in words])) == 1
+    return F.when(has("TOC"), "toc").when(has("TABLE"), "table_dense").when(has("STRUCTURED", "CLAUSE", "LEGAL"), "structured_clauses").otherwise("standard")
+
+
+def rule_text(source: Column, target: Column, rules: dict[str, str], generic: str) -> Column:
+    """[I25] The rules of a language pair ('Source-Target'), or the generic ones."""
+    pair = F.concat(F.initcap(T.strip(source)), F.lit("-"), F.initcap(T.strip(target)))
+    table = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, pair), F.lit(generic))
+
+
+def scanned(pages: DataFrame) -> DataFrame:
+    """[A7] path, n_pages, scanned: whether any page of a file has no text, from pages(path, page_no, text)."""
+    return pages.groupBy("path").agg(F.count("*").alias("n_pages"), F.bool_or(T.blank(F.col("text"))).alias("scanned"))
+
+
+def review_cards(reports: DataFrame) -> DataFrame:
+    """[B15] doc_id, card: HTML of reports(doc_id, title, status, messages), each message once and in order."""
+    escape = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+    items = F.array_join(F.transform(F.array_distinct("messages"), lambda m: F.concat(F.lit("<li>"), escape(m), F.lit("</li>"))), "")
+    card = F.concat(F.lit("<article><h2>"), escape(F.col("title")), F.lit("</h2><p>Status: <strong>"), F.coalesce("status", F.lit("pending")), F.lit("</strong></p><details><summary>Review findings ("), F.size("messages"), F.lit(")</summary><ul>"), items, F.lit("</ul></details></article>"))
+    return reports.select("doc_id", card.alias("card"))

@@ -115,3 +115,8 @@ SQL["report_snapshots"] = f"with {KEYS} select k, case when k % 3 = 0 then 'chec
 SQL["allowed_patches"] = "select c_custkey segment_no, c_mktsegment as source, case c_mktsegment when 'BUILDING' then 'Bau' else 'Maschinen' end as value, 'needs_review' status from customer where c_mktsegment in ('BUILDING', 'MACHINERY')"
 SQL["colours_and_tags"] = f"with {KEYS} select k, '#' || lpad(lower(hex((k * 7919) & 16777215)), 6, '0') colour, name || ' 1 < 2' bare from keys"
 SQL["finding_counts"] = f"with {STATUS} select count(*) n, count(*) filter (status = 'failed') failed, count(*) filter (status = 'needs_review') open, max((status = 'failed')::int) exit_code from reports"
+SQL["planned_stages"] = f"with {KEYS} select 'f' || k || {pick('k', *quoted('.PDF', '.csv', '.htm', ''))} as path, {pick('k', *quoted('inspect>extract>translate>audit>typeset', 'parse>translate>serialise', 'Translate .htm', 'Translate file'))} stages from keys"
+SQL["page_types"] = f"with {KEYS} select k, {pick('k', *quoted('toc', 'table_dense', 'structured_clauses', 'standard', 'table_dense'))} page_type from keys"
+SQL["rule_texts"] = f"with {KEYS} select k, case when k % 3 = 0 and k % 2 = 0 then 'je' when k % 3 = 1 and k % 2 = 1 then 'gf' else 'any' end rules from keys"
+SQL["scanned_files"] = f"with {PAGES} select 'd' || doc_id as path, count(*) n_pages, bool_or((doc_id + page_no) % 9 = 0 or not regexp_matches(coalesce(body, ''), '\\S')) scanned from pages_ group by 1"
+SQL["review_index"] = f"""with {KEYS} select k doc_id, '<article><h2>&lt;' || name || '&gt;</h2><p>Status: <strong>' || case when k % 2 = 0 then 'passed' else 'pending' end || '</strong></p><details><summary>Review findings (' || {pick('k', *quoted('3', '0', '1'))} || ')</summary><ul>' || {pick('k', *quoted('<li>a: b &amp; c</li><li>d: &#x27;e&#x27;</li>', '', '<li>x</li>'))} || '</ul></details></article>' card from keys"""

@@ -455,3 +455,39 @@ def finding_counts(spark, sf):
     """Exit code of a run over all documents"""
     rows = checks.reports(R.table(spark, sf, "documents"), R.pairs(spark, sf), R.table(spark, sf, "labels").filter("toxic = 1").select("doc_id"))
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "needs_review").alias("open"), F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("exit_code"))
+
+
+STAGES = {"pdf": ("inspect", "extract", "translate", "audit", "typeset"), "csv": ("parse", "translate", "serialise"), "png": ("ingest", "translate", "render")}
+
+
+@query
+def planned_stages(spark, sf):
+    """C15"""
+    files = keys(spark, sf).select(F.concat(F.lit("f"), k(), pick(k(), ".PDF", ".csv", ".htm", "")).alias("path"))
+    return review.planned_stages(files, STAGES).select("path", F.array_join("stages", ">").alias("stages"))
+
+
+@query
+def page_types(spark, sf):
+    """M6"""
+    return keys(spark, sf).select("k", review.page_type(pick(k(), "a toc page", "dense Table", "LEGAL text", "plain", "clause and table")).alias("page_type"))
+
+
+@query
+def rule_texts(spark, sf):
+    """I25"""
+    return keys(spark, sf).select("k", review.rule_text(pick(k(), " japanese ", "GERMAN", ""), pick(k(), "English", "french"), {"Japanese-English": "je", "German-French": "gf"}, "any").alias("rules"))
+
+
+@query
+def scanned_files(spark, sf):
+    """A7"""
+    p = R.pages(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("path"), "page_no", F.when((F.col("doc_id") + F.col("page_no")) % 9 == 0, " \n").otherwise(F.col("body")).alias("text"))
+    return review.scanned(p)
+
+
+@query
+def review_index(spark, sf):
+    """B15"""
+    rows = keys(spark, sf).select(k().alias("doc_id"), F.concat(F.lit("<"), "name", F.lit(">")).alias("title"), pick(k(), "passed", None).alias("status"), pick(k(), strings("a: b & c", "d: 'e'", "a: b & c"), strings(), strings("x")).alias("messages"))
+    return review.review_cards(rows)
