@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillspark.llm import decontaminate, neardup, substring_dedup, suffix_dedup, windows
+from quillspark.llm import decontaminate, neardup, substring_dedup, suffix_dedup, suffix_global, windows
 from tests.llm.test_operators import CORPUS, brute_components, brute_substring, brute_suffix, docs, rows_of
 
 
@@ -73,3 +73,13 @@ def test_sliced_texts(spark, monkeypatch):
     texts = CORPUS + RUNS
     assert rows_of(suffix_dedup.digest(docs(spark, texts))) == brute_suffix(texts)
     assert rows_of(substring_dedup.digest(docs(spark, texts))) == brute_substring(texts)
+
+
+def test_global_suffix_array(spark):
+    rnd = random.Random(2)
+    texts = [(2, "".join(rnd.choice("ab") for _ in range(25))), (1, "é"), (None, "")]
+    rows = sorted((r.pos, r.sym) for r in suffix_global.symbols_of(docs(spark, texts)).collect())
+    assert [s for _, s in rows] == [b + 2 for b in "é".encode()] + [1] + [b + 2 for b in texts[0][1].encode()] + [1, 1]
+    symbols = [s for _, s in rows]
+    got = {r.pos: r.rank for r in suffix_global.ranks(spark.createDataFrame(rows, "pos long, sym long")).collect()}
+    assert sorted(got, key=got.get) == sorted(range(len(symbols)), key=lambda k: symbols[k:]) and sorted(got.values()) == list(range(1, len(symbols) + 1))
