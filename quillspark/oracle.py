@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from quillspark.functions import text as T
-from quillspark.operators.checks import MESSAGES
 from quillspark.operators.feedback import CODE_CHECKS
 from quillspark.plans.relations import SNIPPETS, STATES
 
@@ -14,7 +12,16 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-NUMBER = T.NUMBER
+# Written out here, so that a wrong pattern of the library shows.
+NUMBER, URL, PLACEHOLDER = r"\p{Nd}+(?:[.,]\p{Nd}+)*", r"https?://[^\s<>]+", r"(?i)\[(?:omitted|continues?|translation error)[^\]]*\]"
+CJK_UNITS, SEPARATED = "万|萬|亿|億|千|百|年|月|日|時|时|년|월|일|시|만|억|천|백", r"\p{Nd}[.,:/-]\p{Nd}"
+WORD_UNITS = "million|billion|thousand|hundred|january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|once|twice|one|two|three|four|five|six|seven|eight|nine|ten|first|second|third|am|pm"
+TRUNCATED = (r"(?i)\[(?:text\s+)?continues?\]", r"(?i)\[(?:rest\s+of\s+)?(?:page|section|article)?\s*omitted\]", r"(?i)\[sentence\s+continues\]", r"(?i)\b(?:TODO|FIXME)\b")
+CJK_RUN = "[一-鿿぀-ゟ゠-ヿ]{10,}"
+TOC_TITLE = r"(?i)^(?:#+\s*)?(?:Table\s+of\s+Contents|Contents|目次|목차|目录|Sommaire|Inhalt|Indice|Tabla\s+de\s+contenidos)\b"
+TOC_LEADER = r"[·.\s]{2,}\s*\p{Nd}+$"
+TOC_ENTRY = r"(?i)^(?:#+\s*)?(?:Chapter|Section|Article|Part|Chapitre|Kapitel|Capítulo|Capitolo|Appended|Supplementary|第\s*\p{Nd}+\s*[章節条部]|제\s*\p{Nd}+\s*[장절조])\b"
+MESSAGES = {"coverage": "Source segment has no translation.", "numbers": "Numeric entities differ from the source.", "url": "A URL in the source text was changed.", "placeholder": "Output contains an omission or error placeholder."}
 NOW, JOBS_NOW = "timestamp '2024-01-30 00:00:00'", "timestamp '1996-06-17 00:00:00'"
 CODES = "[" + ", ".join(map(_text, CODE_CHECKS)) + "]"
 
@@ -41,8 +48,8 @@ def finding_of(rel: str) -> str:
     parts = [
         f"select {head.format('coverage', MESSAGES['coverage'])} from {rel} where not ({full})",
         f"select {head.format('numbers', MESSAGES['numbers'])} from {rel} where {full} and list_sort(regexp_extract_all(source, '{NUMBER}')) <> list_sort(regexp_extract_all(candidate, '{NUMBER}'))",
-        f"select {head.format('url', MESSAGES['url'])} from (select *, unnest(regexp_extract_all(source, '{T.URL}')) u from {rel} where {full}) where not contains(candidate, u)",
-        f"select {head.format('placeholder', MESSAGES['placeholder'])} from {rel} where {full} and regexp_matches(candidate, '{T.PLACEHOLDER}')",
+        f"select {head.format('url', MESSAGES['url'])} from (select *, unnest(regexp_extract_all(source, '{URL}')) u from {rel} where {full}) where not contains(candidate, u)",
+        f"select {head.format('placeholder', MESSAGES['placeholder'])} from {rel} where {full} and regexp_matches(candidate, '{PLACEHOLDER}')",
     ]
     return " union all ".join(parts)
 
@@ -79,8 +86,8 @@ r as (select doc_id, string_agg(y, '' order by line_no) t from o2 group by 1)
 select d.doc_id, length(coalesce(t, d.text))::bigint n_chars, md5(coalesce(t, d.text)) digest from documents d left join r using (doc_id)"""
 SQL["segment_findings"] = f"with {FOUND} select * from found"
 SQL["conversion_candidates"] = f"""with {PAIRS}, q as (select *, coalesce(candidate, '') c from pairs)
-select doc_id, segment_id, len(regexp_extract_all(source, '{NUMBER}')) <> len(regexp_extract_all(c, '{NUMBER}')) or regexp_matches(lower(source || chr(10) || c), '{T.CJK_UNITS}')
-  or regexp_matches(lower(source || chr(10) || c), '(^|[^\\p{{L}}\\p{{N}}_])(?:{T.WORD_UNITS})($|[^\\p{{L}}\\p{{N}}_])') or regexp_matches(lower(source || chr(10) || c), '{T.SEPARATED}') plausible
+select doc_id, segment_id, len(regexp_extract_all(source, '{NUMBER}')) <> len(regexp_extract_all(c, '{NUMBER}')) or regexp_matches(lower(source || chr(10) || c), '{CJK_UNITS}')
+  or regexp_matches(lower(source || chr(10) || c), '(^|[^\\p{{L}}\\p{{N}}_])(?:{WORD_UNITS})($|[^\\p{{L}}\\p{{N}}_])') or regexp_matches(lower(source || chr(10) || c), '{SEPARATED}') plausible
 from q where list_sort(regexp_extract_all(source, '{NUMBER}')) <> list_sort(regexp_extract_all(c, '{NUMBER}'))"""
 SQL["normalised_numbers"] = f"with n as (select doc_id, list_sort(regexp_extract_all(text, '{NUMBER}')) x from documents) select doc_id, len(x)::bigint n, array_to_string(x, ',') numbers from n where len(x) > 0"
 SQL["id_reconciliation"] = f"""with {SEG}, s as (select doc_id, line_no from seg),
@@ -137,9 +144,9 @@ n as (select doc_id, max(i) m from p group by 1), s as (select doc_id, unnest(ra
 select p.doc_id, w::bigint window_start, count(*) n_pages, string_agg(turn::varchar, ',' order by turn) page_nos, md5(string_agg(text, chr(10) order by turn)) digest from p join s on p.doc_id = s.doc_id and i >= w and i < w + 6 group by 1, 2"""
 SQL["released_pages"] = f"with {PAGES}, r as (select doc_id, page_no, count(*) over (partition by doc_id order by page_no) c from pages_ where (doc_id + page_no) % 6 <> 4) select doc_id, page_no from r where c = page_no + 1"
 SQL["page_corrections"] = f"with {PAGES}, t as (select * from pages_ where page_no % 3 <> 1), f as (select doc_id, page_no + 1 n, page_no fix_no from pages_) select f.doc_id, n, fix_no, min(t.page_no) page_no from f join t on t.doc_id = f.doc_id and (t.page_no = n - 1 or t.page_no = n) group by 1, 2, 3"
-_trunc = " or ".join(f"regexp_matches(d, '{p}')" for p in T.TRUNCATED)
+_trunc = " or ".join(f"regexp_matches(d, '{p}')" for p in TRUNCATED)
 SQL["page_lint"] = f"""with {PAGES}, q as (select doc_id, page_no, case when page_no = 6 then '  ' else body end d from pages_)
-select doc_id, page_no, array_to_string(list_filter([case when {strip("d")} = '' then 'empty' end, case when starts_with(d, '*[Translation Error:') then 'engine_error' end, case when {_trunc} then 'truncated' end, case when regexp_matches(d, '{T.CJK_RUN}') then 'untranslated' end,
+select doc_id, page_no, array_to_string(list_filter([case when {strip("d")} = '' then 'empty' end, case when starts_with(d, '*[Translation Error:') then 'engine_error' end, case when {_trunc} then 'truncated' end, case when regexp_matches(d, '{CJK_RUN}') then 'untranslated' end,
   case when regexp_matches(d, '(?m)^(?:Article|Section|Chapter)\\s+[0-9]+(?:\\.[0-9]+)*\\s*$') and len(string_split(d, chr(10))) < 4 then 'missing_body' end], lambda x: x is not null), ',') defects from q"""
 SQL["layout_lint"] = f"""with {LINES}, g as (select doc_id, page_no, list(s) filter (s <> '') own from stripped group by 1, 2),
 q as (select p.*, coalesce(own, []) own, list_filter(own, lambda x: starts_with(x, '|')) pipes from pages_ p left join g using (doc_id, page_no)),
@@ -154,7 +161,7 @@ select doc_id, page_no, array_to_string(list_filter([
   case when len(pipes) > 0 and list_max(bars) - list_min(bars) > 3 then 'ragged_table' end,
   case when len(list_filter(own, lambda x: not regexp_matches(x, '^(\\||<tr|<table|<td)') and len(regexp_extract_all(x, '[^\\n:]{{3,35}}:\\s*[^\\n:]{{2,30}}')) >= 2)) > 0 then 'squashed_pairs' end], lambda x: x is not null), ',') defects from b"""
 SQL["page_kinds"] = f"""with {LINES}, g as (select doc_id, page_no, list(s order by pos) filter (s <> '' and not regexp_matches(s, '^\\s*```')) own, count(*) filter (s <> '') n from stripped group by 1, 2),
-e as (select *, len(list_filter(own, lambda x: regexp_matches(x, '{T.TOC_LEADER}') or regexp_matches(x, '{T.TOC_ENTRY}'))) k, len(list_filter(own[1:3], lambda x: regexp_matches(x, '{T.TOC_TITLE}'))) t from g),
+e as (select *, len(list_filter(own, lambda x: regexp_matches(x, '{TOC_LEADER}') or regexp_matches(x, '{TOC_ENTRY}'))) k, len(list_filter(own[1:3], lambda x: regexp_matches(x, '{TOC_TITLE}'))) t from g),
 c as (select *, {strip("regexp_replace(body, '(?i)\\[(?:Stamp|Seal|Approved):\\s*[\\s\\S]*?\\]', '', 'g')")} clean from pages_)
 select c.doc_id, c.page_no, coalesce(len(own) > 0 and (t > 0 or (k >= 4 and k / len(own) > 0.35)), false) toc,
   n between 1 and 6 and length(clean) < 350 and not (regexp_matches(clean, '(?i)<(?:table|ul|ol)\\b') or regexp_matches(clean, '(?i)\\b(?:Chapter|Article|Section|[0-9]+[A-Za-z]?(?:\\.[0-9]+)+)\\b') or regexp_matches(clean, '(?m)^\\s*#{{2,}}')
