@@ -30,7 +30,7 @@ from quillspark.llm.shared import bloom_has, bloom_of, materialise
 
 LAST = (1 << 63) - 1
 #: An anchor with more bytes of distinct packed strings than this isn't sorted in one task.
-HOT = 1 << 19
+HOT = 1 << 21
 #: Cuts of anchors by other hashes, before the cut by whole windows.
 LEVELS = 2
 #: Most windows in one run, and most equal windows in one where whole windows are anchors.
