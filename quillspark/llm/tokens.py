@@ -20,7 +20,6 @@ tokens as a whole, with some 70 bytes of memory a byte. The session's Arrow batc
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 

@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import chat, decontaminate, licenses, mixing, neardup, quality, shared, substring_dedup, suffix_dedup, tokens, warc, windows
+from quillspark.llm import chat, decontaminate, licenses, mixing, neardup, quality, shared, suffix_dedup, tokens, warc, windows
 from quillspark.llm import textkit as tk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, packed string, tie long, spans string"
