@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.oracle import FOUND, JOBS, PAGES, SEG, STATUS
+from quillspark.oracle import PAGES, SEG, STATUS
 
 SQL: dict[str, str] = {}
 KEYS = "keys as (select c_custkey::bigint k, c_name as name from customer)"
