@@ -120,3 +120,9 @@ SQL["page_types"] = f"with {KEYS} select k, {pick('k', *quoted('toc', 'table_den
 SQL["rule_texts"] = f"with {KEYS} select k, case when k % 3 = 0 and k % 2 = 0 then 'je' when k % 3 = 1 and k % 2 = 1 then 'gf' else 'any' end rules from keys"
 SQL["scanned_files"] = f"with {PAGES} select 'd' || doc_id as path, count(*) n_pages, bool_or((doc_id + page_no) % 9 = 0 or not regexp_matches(coalesce(body, ''), '\\S')) scanned from pages_ group by 1"
 SQL["review_index"] = f"""with {KEYS} select k doc_id, '<article><h2>&lt;' || name || '&gt;</h2><p>Status: <strong>' || case when k % 2 = 0 then 'passed' else 'pending' end || '</strong></p><details><summary>Review findings (' || {pick('k', *quoted('3', '0', '1'))} || ')</summary><ul>' || {pick('k', *quoted('<li>a: b &amp; c</li><li>d: &#x27;e&#x27;</li>', '', '<li>x</li>'))} || '</ul></details></article>' card from keys"""
+SQL["lease_events"] = """with recursive r as (select user_id % 10 job, event_id, ts, 'w' || event_id % 3 w, (['claim', 'heartbeat', 'claim', 'finish'])[event_id % 4 + 1] a, row_number() over (partition by user_id % 10 order by ts, event_id) rn from events),
+f as (select job, event_id, rn, w own, case when a = 'claim' then w else '' end who, case when a = 'claim' then ts + interval 1 hour end until, case when a = 'claim' then 'claimed' else 'lost' end outcome from r where rn = 1
+  union all select job, event_id, rn, w, case when a = 'claim' and alive = '' then w when a = 'finish' and alive = w then '' else alive end, case when (a = 'claim' and alive = '') or (a = 'heartbeat' and alive = w) then ts + interval 1 hour else until end,
+    case when a = 'claim' then case when alive = '' then 'claimed' else 'busy' end when alive <> w then 'lost' when a = 'heartbeat' then 'extended' else 'finished' end
+  from (select r.*, f.until, case when f.who <> '' and f.until >= r.ts then f.who else '' end alive from f join r on r.job = f.job and r.rn = f.rn + 1))
+select job job_id, own as owner, event_id, outcome from f"""

@@ -440,7 +440,7 @@ def colours_and_tags(spark, sf):
 
 @query
 def lease_events(spark, sf):
-    """Claims, heartbeats and ends as a stream; tested against a plain loop"""
+    """Claims, heartbeats and ends as a stream"""
     from quillspark.streaming import folds
 
     source = R.table(spark, sf, "events").schema
