@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat, decontaminate, licenses, mixing, neardup, quality, substring_dedup, suffix_dedup, tokens, warc
+from quillspark.llm import bpe, chat, decontaminate, licenses, merkle, mixing, neardup, quality, search, substring_dedup, suffix_dedup, tokens, warc
 
 
 def _table(name: str, use: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,6 +23,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def _op8(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "n_chars", "text", "rate", "n_copies", "copy", "order_key")
 
@@ -38,6 +42,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": _table("documents", _op8),
     "op9_warc": _table("pages", warc.digest),
     "op10_minhash_neardup": _table("documents", lambda docs: neardup.link(docs, percent=85)),
+    "op11_bpe_codec": _table("documents", bpe.digest),
+    "op12_lexical_search": _op12,
+    "op13_merkle_manifest": _table("documents", merkle.digest),
     "pipeline": _pipeline,
 }
 
@@ -158,3 +165,47 @@ reach as (select doc_id x, doc_id y from d union select reach.x, e.y from reach
 select d.doc_id, coalesce(max(n.n), 0) n_shingles, min(reach.y) component_id, d.doc_id = min(reach.y) kept
 from d left join n using (doc_id) join reach on reach.x = d.doc_id group by d.doc_id
 """
+
+ORACLE_SQL["op12_lexical_search"] = rf"""
+with t as (select item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) term from benchmark),
+q as (select item_id, term, count(*) times from t group by all),
+w as (select row_number() over () k, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') x from documents),
+d as (select k, doc_id, len(x)::bigint n from w where len(x) > 0),
+s as (select count(*)::bigint n_docs, sum(n)::bigint n_terms from d),
+p as (select k, term, count(*)::bigint tf from (select k, unnest(x) term from w) where term in (select term from q) group by all),
+f as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint weight from p, s group by term, n_docs),
+m as (select k, doc_id, 25 + (75 * n * n_docs) // n_terms m from d, s),
+c as (select item_id, doc_id, k, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from q join p using (term) join f using (term) join m using (k) group by all),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls first) as rank from c where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+"""
+_MIXED = "xor(c, case when i % 8 = 0 then ascii(substr(doc_id::varchar, (i // 8 + 1)::int, 1))::bigint else 0 end)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::bigint, range((8 * length(doc_id::varchar))::bigint)), lambda c, i: xor({_MIXED} >> 1, ({_MIXED} & 1) * 3988292384)), 4294967295)"
+
+
+def _fields(text: str) -> str:
+    return "concat({})".format(", ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)))
+
+
+ORACLE_SQL["op13_merkle_manifest"] = f"""
+with recursive d as (select row_number() over () k, doc_id, lang, sha256({_fields("text")}) leaf,
+    sha256({_fields(f"case when coalesce({_CRC} % 3 = 0, false) then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end")}) claimed from documents),
+o as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf, k) - 1 idx, count(*) over (partition by lang) cnt from d),
+nodes as (select lang, 0 lvl, idx, cnt, leaf h from o
+  union all select lang, lvl + 1, idx // 8, (cnt + 7) // 8, sha256(string_agg(h, '' order by idx)) from nodes where cnt > 1 group by lang, lvl, idx // 8, cnt),
+subs as (select lang, lvl, h, row_number() over (order by lang nulls first) - 1 idx, count(*) over () cnt from nodes where cnt = 1),
+tops as (select 0 lvl, idx, cnt, h from subs
+  union all select lvl + 1, idx // 8, (cnt + 7) // 8, sha256(string_agg(h, '' order by idx)) from tops where cnt > 1 group by lvl, idx // 8, cnt),
+every as (select true low, lang, lvl, idx, cnt, h from nodes union all select false, null, lvl, idx, cnt, h from tops),
+steps as (select low, lang, lvl, idx, coalesce(string_agg(h, '') over (partition by low, lang, lvl, idx // 8 order by idx rows between unbounded preceding and 1 preceding), '') before,
+    coalesce(string_agg(h, '') over (partition by low, lang, lvl, idx // 8 order by idx rows between 1 following and unbounded following), '') behind from every where cnt > 1),
+lows as (select k, lang, 0 lvl, idx, claimed h, '' proof from o
+  union all select l.k, l.lang, l.lvl + 1, l.idx // 8, sha256(before || l.h || behind), l.proof || before || behind
+  from lows l join steps s on s.low and s.lang is not distinct from l.lang and s.lvl = l.lvl and s.idx = l.idx),
+ends as (select k, l.lang, l.h, l.proof, s.idx, s.h subroot from lows l join subs s on s.lang is not distinct from l.lang and s.lvl = l.lvl),
+highs as (select k, 0 lvl, idx, h, proof from ends
+  union all select l.k, l.lvl + 1, l.idx // 8, sha256(before || l.h || behind), l.proof || before || behind from highs l join steps s on not s.low and s.lvl = l.lvl and s.idx = l.idx),
+root as (select h root, lvl from tops where cnt = 1)
+select o.doc_id, o.leaf, e.subroot, root, sha256(g.proof) proof_sha256, g.h folded_root, g.h = root verified
+from o join ends e using (k) join highs g using (k) join root r on g.lvl = r.lvl
+"""
