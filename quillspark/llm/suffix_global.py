@@ -6,6 +6,9 @@ figures), against four times that are allowed. op 4 applies the same sort to eac
 In each level the triples at places 1 and 2 modulo 3 are named by a distributed sort, the names are sorted by recursion unless
 all differ, places 0 modulo 3 are sorted by (symbol, rank of the next), and each place's rank is its rank among its own kind and
 the number of the other kind's keys below it.
+
+Defined results: a null or empty text is its end mark alone; rows with equal doc_id and text are taken once; null doc_id is the last; an empty table
+has no symbols.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from quillspark.llm.shared import materialise
 from quillspark.llm.windows import keyed
 
 
+#: Texts whose sizes one task sums.
+RUN = 1 << 16
+
+
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with number (from 1) in the given order: sorted partitions, and the rows of all partitions before."""
     ranged = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranged")
@@ -81,9 +88,14 @@ def symbols_of(docs: DataFrame) -> DataFrame:
     """pos, sym: the bytes of all texts one after the other, each text with an end mark, in the order of doc_id."""
     rows = keyed(docs).dropDuplicates(["doc", "tie"]).select("doc", "tie", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     rows = _numbered(rows, "doc", "tie").withColumn("size", F.octet_length("raw") + 1)
-    sizes = rows.select("number", "size")
-    before = sizes.selectExpr("number", "sum(size) over (order by number rows between unbounded preceding and 1 preceding) as base")
-    each = rows.join(before, "number").select(F.coalesce("base", F.lit(0)).alias("base"), F.posexplode(F.concat(F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.conv(F.hex(F.substring("raw", k, F.lit(1))), 16, 10).cast("long") + 2), F.array(F.lit(1).cast("long")))).alias("k", "sym"))
+    # Sums before each text: inside runs of RUN texts by a window for each, and over the runs' own sums.
+    sizes = rows.select("number", "size", F.expr(f"number div {RUN}").alias("run"))
+    runs = sizes.groupBy("run").agg(F.sum("size").alias("total")).selectExpr("run", "sum(total) over (order by run rows between unbounded preceding and 1 preceding) as ahead")
+    inside = sizes.selectExpr("number", "run", "sum(size) over (partition by run order by number rows between unbounded preceding and 1 preceding) as here")
+    before = inside.join(runs, "run").select("number", (F.coalesce("here", F.lit(0)) + F.coalesce("ahead", F.lit(0))).alias("base"))
+    none, end = F.array().cast("array<bigint>"), F.array(F.lit(1).cast("long"))
+    codes = F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.conv(F.hex(F.substring("raw", k, F.lit(1))), 16, 10).cast("long") + 2)
+    each = rows.join(before, "number").select("base", F.posexplode(F.concat(F.when(F.col("size") > 1, codes).otherwise(none), end)).alias("k", "sym"))  # sequence(1, 0) would run downwards
     return each.select((F.col("base") + F.col("k")).alias("pos"), "sym")
 
 

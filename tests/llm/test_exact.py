@@ -75,6 +75,13 @@ def test_sliced_texts(spark, monkeypatch):
     assert rows_of(substring_dedup.digest(docs(spark, texts))) == brute_substring(texts)
 
 
+def test_symbols_of_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_global, "RUN", 2)
+    got = lambda texts: sorted((r.pos, r.sym) for r in suffix_global.symbols_of(docs(spark, texts)).collect())
+    assert got([]) == []
+    assert got([(1, ""), (2, "a"), (3, None), (4, "bc")]) == [(0, 1), (1, 99), (2, 1), (3, 1), (4, 100), (5, 101), (6, 1)]
+
+
 def test_global_suffix_array(spark):
     rnd = random.Random(2)
     texts = [(2, "".join(rnd.choice("ab") for _ in range(25))), (1, "é"), (None, "")]
