@@ -6,13 +6,16 @@ doc_id, is exploded by the count, and goes to the place that a second hash gives
 split evenly into draws of at most that rate, whose sum has the whole rate's distribution; only the first is hashed
 without a number.
 
-Defined results: null source is a source of its own; null n_chars counts as 0; a source without characters
-has the rate 1; rows with equal doc_id draw alike; null doc_id draws as the text 'null'; an empty table gives an empty one.
+Defined results: null source is a source of its own; n_chars that is null, negative or no number counts as 0, so no row can change the
+rates of other sources; a source without characters has the rate 1; a weight that is negative, infinite or no number is refused
+(ValueError); a source without a weight has the rate 0 and is left out, and where all weights are 0 all rates are 1; rows with equal doc_id draw alike; null doc_id draws as the text 'null'; an empty table gives an empty one.
 All columns of docs stay; an added column whose name docs has already (in any case) gets underscores behind it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,10 @@ def uniform(*parts: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """src, rate, draws, and cdf: the distribution function of one draw's counts. Without weights, shares go with the root of the size."""
-    sizes = docs.groupBy(F.coalesce(F.col("source"), F.lit("\0null")).alias("src")).agg(F.coalesce(F.sum("n_chars"), F.lit(0)).cast("double").alias("size"))
+    if any(not math.isfinite(w) or w < 0 for w in (weights or {}).values()):
+        raise ValueError("weights must be finite and not negative")
+    own = F.greatest(F.coalesce(F.col("n_chars").try_cast("long"), F.lit(0)), F.lit(0)).cast("double")
+    sizes = docs.groupBy(F.coalesce(F.col("source"), F.lit("\0null")).alias("src")).agg(F.sum(own).alias("size"))
     if weights is None:
         weight = F.sqrt("size")
     else:

@@ -133,15 +133,18 @@ a as (select doc_id, count(*) n_words, count(*) filter (gone) n_removed, string_
 select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join a using (doc_id)
 """
 
-ORACLE_SQL["op8_mix_sources"] = f"""
-with s as (select coalesce(source, chr(0) || 'null') src, coalesce(sum(n_chars), 0)::double size from documents group by 1),
+ORACLE_SQL["op8_mix_sources"] = """
+with d as (select row_number() over () k, *, coalesce(source, chr(0) || 'null') src from documents),
+s as (select src, sum(greatest(coalesce(n_chars, 0), 0))::double size from d group by 1),
 t as (select sum(size) total, sum(sqrt(size)) weights from s),
-r as (select src, round(case when size <= 0 or weights <= 0 then 1.0 else least({mixing.MAX_RATE}, sqrt(size) / weights * total / size) end, 6) rate from s, t),
-u as (select d.*, rate, ('0x' || substr(md5('count-{mixing.SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0 u
-  from documents d join r on coalesce(source, chr(0) || 'null') = src),
-k as (select *, (select count(*) from range(0, 65) x(j) where (select sum(exp(-rate) * pow(rate, i) / gamma(i + 1)) from range(0, 65) y(i) where i <= j) <= u) n_copies from u)
-select doc_id, source, lang, n_chars, text, rate, n_copies::int n_copies, copy::int as copy, md5('order-{mixing.SEED}:' || coalesce(doc_id::varchar, 'null') || ':' || copy) order_key
-from (select *, unnest(range(n_copies)) as copy from k)
+r as (select src, round(case when size <= 0 or weights <= 0 then 1.0 else sqrt(size) / weights * total / size end, 6) rate from s, t),
+m as (select src, rate, greatest(1, ceil(rate / 16))::bigint draws from r),
+c as (select src, sum(exp(-rate / draws) * pow(rate / draws, i) / gamma(i + 1)) over (partition by src order by i) upto from m, range(0, 65) x(i)),
+u as (select k, src, unnest(list_transform(range(draws), lambda j:
+  ('0x' || substr(md5('count-17' || case when j = 0 then '' else '-' || j end || ':' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0)) u from d join m using (src)),
+n as (select k, count(upto) n_copies from u left join c on u.src = c.src and upto <= u group by k)
+select doc_id, source, lang, n_chars, text, rate, n_copies::int n_copies, copy::int as copy, md5('order-17:' || coalesce(doc_id::varchar, 'null') || ':' || copy) order_key
+from (select d.*, rate, n_copies, unnest(range(n_copies)) as copy from d join n using (k) join m using (src))
 """
 
 ORACLE_SQL["op9_warc"] = """

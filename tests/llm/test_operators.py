@@ -411,6 +411,23 @@ def test_mixing_of_small_sources(spark):
     assert len(set(counts)) > 10 and 40 < np.mean(counts) < 60 and 4 < np.std(counts) < 11  # a Poisson of mean 50: 7.1
 
 
+def test_mixing_of_wrong_sizes_and_weights(spark):
+    """One row of wrong size changes no other source, and weights that are no shares are refused."""
+    good = [(k, "x", "en", f"s{k % 2}", 100, 1, "x", 2, "y") for k in range(100)]
+    bad = [(100, "x", "en", "minus", -3, 1, "x", 2, "y"), (101, "x", "en", "none", None, 1, "x", 2, "y"), (102, "x", "en", "s0", -(10**15), 1, "x", 2, "y")]
+    alone, both = (mixing.mix(spark.createDataFrame(rows, DOCS)) for rows in (good, good + bad))
+    assert rows_of(alone.select("doc_id", "copy", "rate")) == rows_of(both.filter("doc_id < 100").select("doc_id", "copy", "rate")) != []
+    assert {r.rate for r in both.filter("source in ('minus', 'none')").collect()} <= {1.0}
+    rates = {r.src: r.rate for r in mixing.rates(spark.createDataFrame([("a", float("nan")), ("a", 5.0), ("b", 5.0), ("c", -1.0), ("d", float("nan"))], "source string, n_chars double")).collect()}
+    assert rates == {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}
+    df = spark.createDataFrame(good, DOCS)
+    for weight in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix(df, {"s0": weight, "s1": 1.0})
+    assert {r.source for r in mixing.mix(df, {"s0": 1.0}).collect()} == {"s0"}
+    assert {r.rate for r in mixing.mix(df, {"s0": 0.0}).collect()} == {1.0}
+
+
 PAGE = "page_id long, url string, html string, payload string, original long"
 
 
