@@ -67,7 +67,7 @@ def strip(text: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(~text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
 
 
 def stable_id(part: Column, location: Column) -> Column:
@@ -82,14 +82,27 @@ def _number_forms() -> dict[str, str]:
     return {c: f for c, f in forms if c != f and any(x in ".," or unicodedata.category(x) == "Nd" for x in f)}
 
 
+@cache
+def _number_gate() -> str:
+    """A class of few ranges with all characters of _number_forms, and some between them that are far from Latin letters."""
+    ranges: list[list[int]] = []
+    for k in sorted(map(ord, _number_forms())):
+        if ranges and k - ranges[-1][1] <= 0x200 and (k < 0xC0 or ranges[-1][0] > 0x2000):
+            ranges[-1][1] = k
+        else:
+            ranges.append([k, k])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def number_form(text: Column) -> Column:
     """[I2] text with the digits, full stops and commas of its NFKC form; without Python, and untouched where it is ASCII."""
     one = {c: f for c, f in _number_forms().items() if len(f) == 1}
     more = {c: f for c, f in _number_forms().items() if len(f) > 1}
     simple = F.translate(text, "".join(one), "".join(one.values()))
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in more.items()])
-    full = F.when(simple.rlike("[" + "".join(more) + "]"), F.aggregate(pairs, simple, lambda t, p: F.replace(t, p["c"], p["f"]))).otherwise(simple)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(text)
+    # A table is looked up once for each character; a pattern of so many characters would be tried one by one.
+    full = F.when(simple != F.translate(simple, "".join(more), ""), F.aggregate(pairs, simple, lambda t, p: F.replace(t, p["c"], p["f"]))).otherwise(simple)
+    return F.when((F.octet_length(text) != F.length(text)) & text.rlike(_number_gate()), full).otherwise(text)
 
 
 def numbers(text: Column) -> Column:

@@ -125,7 +125,8 @@ def repair_rounds(pairs: DataFrame, repair: Callable[[Column, Column], Column],
     """
     rows = pairs.withColumn("repairs", F.lit(0).cast("long"))
     for _ in range(cycles):  # findings depend on their row alone, so no row needs another
-        marked = rows.withColumn("_bad", F.size(defects(F.col("source"), F.col("candidate"))) > 0)
+        # A generator's output is worked out once, however often it is used.
+        marked = rows.select("*", F.explode(F.array(F.size(defects(F.col("source"), F.col("candidate"))) > 0)).alias("_bad"))
         candidate = F.when(F.col("_bad"), repair(F.col("source"), F.col("candidate"))).otherwise(F.col("candidate"))
         rows = keep(marked.withColumns({"candidate": candidate, "repairs": F.col("repairs") + F.col("_bad").cast("long")}).drop("_bad"))
     return rows

@@ -197,6 +197,16 @@ def test_numbers_in_other_forms(spark):
     assert one(spark, T.block_type(F.col("t")), t="第１条 x") == "article"
 
 
+def test_numbers_of_random_texts(spark):
+    rnd = random.Random(9)
+    odd = list(T._number_forms()) + list("12.,aé½²①…éß٣\u0301\u20ac\u2023\u218a\u33ff\ufe0f") + [" "] * 40
+    texts = ["".join(rnd.choice(odd) for _ in range(rnd.randrange(30))) for _ in range(3000)] + [" \x1c\u3000", "", "\x1f."]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.numbers(F.col("t")).alias("n"), T.blank(F.col("t")).alias("b")).collect()
+    for r in rows:
+        assert r.n == sorted(re.findall(r"\d+(?:[.,]\d+)*", unicodedata.normalize("NFKC", texts[r.k]))), repr(texts[r.k])
+        assert r.b == (texts[r.k].strip() == "")
+
+
 def test_bad_files(spark):
     df = spark.createDataFrame([(1, "{bad"), (2, '{"a": "ok"}'), (3, None)], "doc_id long, text string")
     assert [(r.doc_id, r.category) for r in parsers.segments(df, "json").orderBy("doc_id").collect()] == [(1, "error"), (2, "structured_value")]
