@@ -8,7 +8,9 @@ cuts by the same table.) Each different fragment is encoded once, by a BPE model
 
 Texts become letters as the tokenizer file says: its normaliser, pre-tokeniser and added tokens run with a vocabulary of the
 bare letters. Words between ASCII white space are taken alone, and equal ones become ids once: a worker remembers REMEMBERED of
-them. So the file must mark ends of words and drop white space; others are refused (ValueError).
+them. So the file must mark ends of words and drop white space; others are refused (ValueError). Words of plain characters
+(printable ASCII but ' and <, and the letters from À to ÿ) become letters by a table of bytes, where probes show that the file's
+rules are those of the table: lower case, and a boundary between letters, digits and the rest.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; null and repeated doc_ids, and repeated rows,
 stay rows of their own; an empty table gives an empty one; columns other than doc_id and the text are ignored. Added tokens of the
@@ -35,13 +37,23 @@ from quillspark.llm import textkit as tk
 from quillspark.llm.shared import ship_package
 
 #: Words, and fragments, whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Bytes of text encoded at once.
 ENCODED = 3 << 20
 #: Letter k is this character for the BPE model: private use, so no tokenizer rule touches it.
 FIRST_LETTER = 0xE000
 
 
+#: Characters that the table of bytes is for: printable ASCII but ' and <, and the letters from À to ÿ, whose UTF-8 begins with LATIN.
+PLAIN = "".join(map(chr, [k for k in range(0x21, 0x7F) if chr(k) not in "'<"] + [k for k in range(0xC0, 0x100) if k not in (0xD7, 0xF7)]))
+LATIN = 0xC3
+PLAIN_BYTE = np.zeros(256, dtype=bool)
+PLAIN_BYTE[[0x20, *(ord(c) for c in PLAIN if c.isascii())]] = True
+OTHER, SPACE, LETTER, DIGIT = range(4)
+BYTE_KIND = np.full(256, OTHER, dtype=np.uint8)
+BYTE_KIND[0x20], BYTE_KIND[0x30:0x3A], BYTE_KIND[0x61:0x7B], BYTE_KIND[0x80:] = SPACE, DIGIT, LETTER, LETTER
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -110,6 +122,8 @@ class Codec:
         self.base = len(names)
         if not self._drops_white_space():
             raise ValueError("the tokenizer keeps white space")
+        self.inner, self.end = np.zeros(256, dtype=np.uint32), np.zeros(256, dtype=np.uint32)
+        self.plain = self._plain_tables()
         self.words, self.fragments = Remembered(self._ids_of_words), Remembered(self._ids_of_fragments)
         ids = vocabulary | {x["content"]: x["id"] for x in spec["added_tokens"]}
         table = [b""] * (max(ids.values()) + 1)
@@ -137,13 +151,60 @@ class Codec:
         get = lambda x: self.letters.encode(x, add_special_tokens=False).ids
         return all(get(f"{a}{white}{white}{b}") == get(a) + get(b) for a in ("ab", "1", "?", "é'") for b in ("s", "2x", "!", "́e") for white in " \t\n\v\f\r")
 
-    def _ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Letters of the texts, cut at the forced boundaries; ids of the fragments, concatenated."""
-        texts = words.cast(pa.large_string()).to_pylist()
+    def _spelt(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of texts as the file's rules give them, and the n + 1 offsets."""
         lists = [e.ids for k in range(0, len(texts), 1000) for e in self.letters.encode_batch_fast(texts[k : k + 1000], add_special_tokens=False)]
         offsets = np.cumsum([0] + [len(x) for x in lists])
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(offsets[-1]))
-        del lists
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(offsets[-1])), offsets
+
+    def _plain_tables(self) -> bool:
+        """Fills the tables of the letters that plain bytes become, inside and at the end of a word, and tries them on probes."""
+        kind = lambda c: "z" if c.isalpha() else "" if c.isdigit() else c
+        for c in PLAIN:
+            raw = np.frombuffer(c.lower().encode(), dtype=np.uint8)
+            first, last = self._spelt([c + kind(c)])[0], self._spelt([kind(c) + c])[0]
+            if len(first) < len(raw) or len(last) < len(raw):
+                return False
+            self.inner[raw], self.end[raw[-1]] = first[: len(raw)], last[-1]
+        rnd = np.random.default_rng(1)
+        probes = ["".join(rnd.choice(list(PLAIN), 12)) + " " for _ in range(2000)] + [a + b + " " for a in PLAIN for b in PLAIN]
+        flat, offsets = self._tabled(pa.array(probes, pa.large_string()).cast(pa.large_binary()))
+        want, places = self._spelt(probes)
+        return np.array_equal(flat, want) and np.array_equal(offsets, places)
+
+    def _tabled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of plain words, each with a space behind it, and the n + 1 offsets."""
+        data, off = tk.buffer(words)
+        data = tk.LOWER[data]
+        capital = np.flatnonzero((data[:-1] == LATIN) & (data[1:] < 0x9F)) + 1
+        data[capital] += 32
+        kind = BYTE_KIND[data]
+        last = np.ones(len(data), dtype=bool)
+        last[:-1] = (kind[1:] != kind[:-1]) | (kind[:-1] == DIGIT)
+        letters = np.where(last, self.end[data], self.inner[data])
+        full = kind != SPACE
+        return letters[full], np.concatenate([[0], np.cumsum(full)])[off]
+
+    def _letters_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of words, and the n + 1 offsets."""
+        if not self.plain:
+            return self._spelt(words.cast(pa.large_string()).to_pylist())
+        data, off = tk.buffer(words)
+        latin = np.concatenate([[False], data[:-1] == LATIN])
+        good = np.where(data < 0x80, PLAIN_BYTE[data] & ~latin, (data == LATIN) & ~latin | latin & (data < 0xC0) & (data != 0x97) & (data != 0xB7))
+        wrong = np.concatenate([[0], np.cumsum(~good)])[off]
+        plain = np.diff(wrong) == 0
+        tabled, at = self._tabled(words.filter(pa.array(plain)))
+        spelt, there = self._spelt(words.filter(pa.array(~plain)).cast(pa.large_string()).to_pylist())
+        flat = np.concatenate([tabled, spelt])
+        starts, ends = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
+        starts[plain], ends[plain] = at[:-1], at[1:]
+        starts[~plain], ends[~plain] = there[:-1] + len(tabled), there[1:] + len(tabled)
+        return tk.gather(flat, starts, ends)
+
+    def _ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of the texts, cut at the forced boundaries; ids of the fragments, concatenated."""
+        flat, offsets = self._letters_of(words)
         if not len(flat):
             return flat, np.zeros(len(words) + 1, dtype=np.int64)
         plain = flat < self.base
