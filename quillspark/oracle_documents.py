@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from quillspark.oracle import PAGES, SEG, STATUS
 
 SQL: dict[str, str] = {}
@@ -70,27 +72,40 @@ SQL["contents_pages"] = rf"""with {PAGES}, l as (select doc_id, page_no, unnest(
 s as (select *, regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '(\S)\s{{2,}}(Chapter|Section|Article|Part)', '\1' || chr(10) || '\2', 'g') y from l where regexp_matches(x, '\S') and not regexp_matches(x, '^\s*```')),
 n as (select *, max(i) over (partition by doc_id, page_no) last from s), g as (select doc_id, page_no, string_agg(case when i = last and regexp_matches(y, '^[0-9]+$') then '[Page: ' || y || ']' else y end, chr(10) order by i) b from n group by 1, 2)
 select p.doc_id, p.page_no, md5(coalesce(b, '')) digest, length(coalesce(b, ''))::bigint n_chars from pages_ p left join g using (doc_id, page_no)"""
-_DOTS = {n: "·" * max(10, min(65, 80 - n * 3 // 2)) for n in (9, 6, 4)}
+PARTS = "parts as (select p_partkey::bigint k, p_name as name, p_brand brand, p_type kind_of, p_size size, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b from part)"
+
+
+def composed(template: str) -> str:
+    """A text of columns between angle quotes; a mark stands for a newline, another for a return."""
+    return "concat(" + ", ".join(p if k % 2 else "replace(replace(" + quoted(p)[0] + ", '~', chr(10)), '%', chr(13))" for k, p in enumerate(re.split("[‹›]", template))) + ")"
+
+
+def _leaders(title: str) -> str:
+    return f"repeat('·', greatest(10, least(65, 80 - (length({title}) * 3) // 2)))"
+
+
 _RENDERED = {
-    "cover": '<div class="cover-title">Title @</div><div class="cover-date">2024-01-0@</div><div class="cover-stamp-container"><table class="stamp-table"><tr><td>by hand</td></tr></table></div>',
-    "fractions": '~<table class="formula-table"><tr><td>rate =</td><td>a@</td></tr><tr><td></td><td>b</td></tr></table>~and x × @',
-    "lists": '<p class="item"><strong>@.</strong> a</p>~<p class="item"><strong>^.</strong> b</p>',
-    "normalised": '1. one @~  * 2. two~<table class="stamp-table"><tr><td>a<br>b</td></tr></table>#@',
-    "table": "<table><tbody><tr><th>n</th><th>a&lt;@</th></tr><tr><td>@</td><td></td></tr><tr><td>x</td><td>y</td></tr></tbody></table>",
-    "toc": f'<table class="toc-table"><tr class="toc-0"><td class="toc-entry">Chapter @ <span class="toc-dots">{_DOTS[9]}</span></td><td class="toc-page-num">3</td></tr><tr class="toc-1"><td class="toc-entry">Part @ <span class="toc-dots">{_DOTS[6]}</span></td><td class="toc-page-num">9</td></tr><tr class="toc-1"><td class="toc-entry">deep <span class="toc-dots">{_DOTS[4]}</span></td><td class="toc-page-num">1@</td></tr></table>',
-    "unsquashed": "  • terms~  • @.1 first~  • 2.@ second~| a | 1.1 b |",
+    "cover": '<div class="cover-title">‹name›</div><div class="cover-date">‹brand›</div><div class="cover-date">2024-‹size›</div><div class="cover-stamp-container"><table class="stamp-table"><tr><td>‹kind_of›, ‹a›</td></tr></table></div>',
+    "fractions": '~<table class="formula-table"><tr><td>‹name› =</td><td>‹size›</td></tr><tr><td></td><td>‹b›+{‹k›}</td></tr></table>~and ‹a› × ‹k›',
+    "lists": '<p class="item"><strong>‹size›.</strong> ‹a›</p>~<p class="item"><strong>‹size + 1›.</strong> ‹b›</p>',
+    "normalised": '1. ‹name›~  * 2. ‹a›~<table class="stamp-table"><tr><td>‹a›<br>‹b›</td></tr></table>#‹k›',
+    "table": "<table><tbody><tr><th>n</th><th>‹a›&lt;‹size›</th></tr><tr><td>‹k›</td><td></td></tr><tr><td></td><td>‹a›</td></tr><tr><td>‹b›</td><td>‹brand›</td></tr></tbody></table>",
+    "toc": '<div class="doc-title">Contents of ‹brand›</div><table class="toc-table"><tr class="toc-0"><td class="toc-entry">Chapter ‹k› <span class="toc-dots">‹@Chapter›</span></td><td class="toc-page-num">‹size›</td></tr>'
+    '<tr class="toc-1"><td class="toc-entry">Part ‹a› <span class="toc-dots">‹@Part›</span></td><td class="toc-page-num">9</td></tr><tr class="toc-1"><td class="toc-entry">‹name› <span class="toc-dots">‹@name›</span></td><td class="toc-page-num">‹size›</td></tr>'
+    '<tr class="toc-2"><td class="toc-entry" colspan="2">‹b›</td></tr></table><div class="page-footer">‹size›</div>',
+    "unsquashed": "  • ‹name›~  • ‹k›.1 first~  • ‹size›.‹size› ‹b›~| ‹a› | 1.1 b |~‹brand›",
 }
-SQL["rendered_pages"] = f"with {KEYS} " + " union all ".join(f"select k, '{kind}' kind, replace(replace(replace({quoted(body)[0]}, '@', (k % 10)::varchar), '^', (k % 10 + 1)::varchar), '~', chr(10)) body from keys" for kind, body in _RENDERED.items())
+_RENDERED["toc"] = _RENDERED["toc"].replace("@Chapter", _leaders("'Chapter ' || k")).replace("@Part", _leaders("'Part ' || a")).replace("@name", _leaders("name"))
+SQL["rendered_pages"] = f"with {PARTS} " + " union all ".join(f"select k, '{kind}' kind, {composed(body)} body from parts" for kind, body in _RENDERED.items())
+_MARKED = "regexp_replace({}, '([\\\\`*_{{}}\\[\\]()#+.!|>~-])', '\\\\\\1', 'g')"
 _WRITTEN = {
-    "json": '{~  "a/b": " new@ ",~  "n": [~    1,~    "y@"~  ]~}',
-    "csv": 'id,text%~1, new@ %~',
-    "html": '<p title="say &quot;hi&quot;@">new &amp; more@ <b>x</b></p>',
-    "md": "# new\\_1@~text *a \\*b\\*@* end",
-    "bad": None,
+    "json": composed('{~  "‹a›/b": " new ‹brand› ",~  "n": [~    ‹k›,~    "‹b›"~  ]~}'),
+    "csv": composed("id,text%~‹k›, ‹name› %~"),
+    "html": composed('<p title="say &quot;‹brand›&quot;">‹name› &amp; more <b>‹k›</b></p>'),
+    "md": "concat('# ', " + _MARKED.format("brand || '_1'") + ", chr(10), 'text *', " + _MARKED.format("a || ' *' || name || '*'") + ", '* end')",
+    "bad": "null",
 }
-SQL["written_documents"] = f"with {KEYS} " + " union all ".join(
-    f"select k doc_id, '{kind}' kind, {'null' if body is None else 'replace(replace(replace(' + quoted(body)[0] + chr(44) + chr(32) + quoted('@')[0] + ', k::varchar), ' + quoted('~')[0] + ', chr(10)), ' + quoted('%')[0] + ', chr(13))'} rendered, {quoted('expression in row:2/column:2')[0] if body is None else 'null'} error from keys" for kind, body in _WRITTEN.items()
-)
+SQL["written_documents"] = f"with {PARTS} " + " union all ".join(f"select k doc_id, '{kind}' kind, {body} rendered, {quoted('expression in row:2/column:2')[0] if kind == 'bad' else 'null'} error from parts" for kind, body in _WRITTEN.items())
 SQL["located_findings"] = f"with {SEG} select doc_id, segment_id, 'line ' || line_no message, location from seg where line_no % 3 = 0"
 SQL["answer_checks"] = f"""with {KEYS} select k, {pick("k", "null", *quoted("omitted", "id", "id", "text"))} answer, case when k % 5 not in (0, 4) then 'coverage' when k % 3 = 1 then 'finding' end review,
  case when k % 5 in (1, 2, 3) then 'omitted' when k % 2 = 1 or k % 5 = 4 then 'evidence' end verdict, {pick("k", *quoted("1", "1,2", "1,2,3", "1,2,3,4", "1,2,3,4+5", "1,2+3,4,5+6"))} halves from keys"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -275,19 +277,33 @@ def distributed_text(spark, sf):
 @query
 def contents_pages(spark, sf):
     """I10"""
-    p = rendering.rendered(R.pages(spark, sf), rendering.toc_lines)
+    p = R.pages(spark, sf).withColumn("body", rendering.toc_lines(F.col("body")))
     return p.select("doc_id", "page_no", F.md5("body").alias("digest"), F.length("body").cast("long").alias("n_chars"))
 
 
-#: A renderer and a page for each kind; @ stands for the key's last digit.
+def named_parts(spark, sf):
+    """k, name, brand, kind, size, and the two words of the name."""
+    words = F.split("p_name", " ")
+    return R.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("long").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind_of"), F.col("p_size").cast("long").alias("size"), F.get(words, F.lit(0)).alias("a"), F.get(words, F.lit(1)).alias("b"),
+    )
+
+
+def composed(template: str) -> Column:
+    """A text of columns between angle quotes: '‹name›'."""
+    pieces = re.split("[‹›]", template)
+    return F.concat(*[F.col(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(pieces)])
+
+
+#: A renderer (a function of texts or of a column) and a page, with the part's columns in it, for each kind.
 PAGES_TO_RENDER = {
-    "cover": (rendering.cover_html, "# Title @\n2024-01-0@\n[Stamp: by hand]"),
-    "fractions": (rendering.fractions, "rate = \\frac{a@}{\\text{b}} and $$x \\times @$$"),
-    "lists": (rendering.numbered_lists, '<ol start="@"><li>a</li><li> b </li></ol>'),
-    "normalised": (lambda t: "#".join(map(str, rendering.normalised(t))), "* 1. one @\n  * 2. two\n```json\n[Seal: Stamp: a; b]\nPage @"),
-    "table": (lambda t: rendering.table_html(t.split("\n")), "|n|a<@|\n|--|--|\n|@|\n|x|y|"),
-    "toc": (rendering.toc_html, "Chapter @ ··· 3\n  Part @\n9\n### deep · 1@"),
-    "unsquashed": (rendering.unsquashed, "terms @.1 first 2.@ second\n| a | 1.1 b |"),
+    "cover": (rendering.cover_html, "# ‹name›\n‹brand›\n[Stamp: ‹kind_of›, ‹a›]\n2024-‹size›"),
+    "fractions": (rendering.fractions, "‹name› = \\frac{‹size›}{\\text{‹b›}+{‹k›}} and $$‹a› \\times ‹k›$$"),
+    "lists": (rendering.numbered_lists, '<ol start="‹size›"><li>‹a›</li><li> ‹b› </li></ol>'),
+    "normalised": (lambda t: "#".join(map(str, rendering.normalised(t))), "* 1. ‹name›\n  * 2. ‹a›\n```json\n[Seal: Stamp: ‹a›; ‹b›]\nPage ‹k›"),
+    "table": (lambda t: rendering.table_html(t.split("\n")), "|n|‹a›<‹size›|\n|--|--|\n|‹k›|\n|‹a›|\n|‹b›|‹brand›|"),
+    "toc": (rendering.toc_html, "Contents of ‹brand›\nChapter ‹k› ··· ‹size›\n  Part ‹a›\n9\n### ‹name› · ‹size›\n‹b›\n[Page: ‹size›]"),
+    "unsquashed": (rendering.unsquashed, "‹name› ‹k›.1 first ‹size›.‹size› ‹b›\n| ‹a› | 1.1 b |\n‹brand›"),
 }
 
 
@@ -295,27 +311,32 @@ PAGES_TO_RENDER = {
 def rendered_pages(spark, sf):
     """I11, I12, I13, I15, I17, I18, I19"""
     out = None
-    for kind, (render, text) in sorted(PAGES_TO_RENDER.items()):
-        body = F.replace(F.lit(text), F.lit("@"), (k() % 10).cast("string"))
-        one = rendering.rendered(keys(spark, sf).select("k", F.lit(kind).alias("kind"), body.alias("body")), render)
+    for kind, (render, template) in sorted(PAGES_TO_RENDER.items()):
+        pages = named_parts(spark, sf).select("k", F.lit(kind).alias("kind"), composed(template).alias("body"))
+        one = pages.withColumn("body", render(F.col("body"))) if kind == "unsquashed" else rendering.rendered(pages, render)
         out = one if out is None else out.unionByName(one)
     return out.select("k", "kind", "body")
 
 
+#: A document of each kind, and the places and values that are written into it.
+DOCUMENTS_TO_WRITE = {
+    "json": ('{"‹a›/b": " ‹name› ", "n": [‹k›, "x"]}', {"/‹a›~1b": "new ‹brand›", "/n/1": "‹b›"}),
+    "csv": ('"id","text"\r\n"‹k›"," ‹a› "\r\n', {"row:2/column:2": "‹name›"}),
+    "html": ('<p title="‹a› &amp; on">‹b› <b>‹k›</b></p>', {"text:0": "‹name› & more", "element:0/@title": 'say "‹brand›"'}),
+    "md": ("# ‹a›\ntext *‹b›* end", {"offset:2:‹end_a›": "‹brand›_1", "offset:‹begin_b›:‹end_b›": "‹a›\n*‹name›*"}),
+    "bad": ('"id","text"\r\n"‹k›"," ‹name› "\r\n', {"row:2/column:2": "=‹size›+1"}),
+}
+
+
 @query
 def written_documents(spark, sf):
     """B2, B3, B5, B6, B7, D12"""
+    parts = named_parts(spark, sf).withColumn("end_a", F.length("a") + 2)
+    parts = parts.withColumns({"begin_b": F.col("end_a") + 7, "end_b": F.col("end_a") + 7 + F.length("b")})
     out = None
-    texts = {
-        "json": ('{"a/b": " old ", "n": [1, "x"]}', {"/a~1b": "new", "/n/1": "y"}),
-        "csv": ('"id","text"\r\n"1"," old "\r\n', {"row:2/column:2": "new"}),
-        "html": ('<p title="old &amp; on">old <b>x</b></p>', {"text:0": "new & more", "element:0/@title": 'say "hi"'}),
-        "md": ("# old\ntext *old* end", {"offset:2:5": "new_1", "offset:12:15": "a\n*b*"}),
-        "bad": ('"id","text"\r\n"1"," old "\r\n', {"row:2/column:2": "=1+1"}),
-    }
-    for kind, (text, values) in texts.items():
-        docs = keys(spark, sf).select(k().alias("doc_id"), F.lit(text).alias("text"))
-        given = keys(spark, sf).select(k().alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(a).alias("location"), F.concat(F.lit(v), k().cast("string")).alias("value")) for a, v in values.items()])).alias("v")).select("doc_id", "v.*")
+    for kind, (text, values) in DOCUMENTS_TO_WRITE.items():
+        docs = parts.select(k().alias("doc_id"), composed(text).alias("text"))
+        given = parts.select(k().alias("doc_id"), F.explode(F.array(*[F.struct(composed(at).alias("location"), composed(v).alias("value")) for at, v in values.items()])).alias("v")).select("doc_id", "v.*")
         one = rendering.written(docs, given, "csv" if kind == "bad" else kind).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out.select("doc_id", "kind", "rendered", "error")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.functions.arrow import distributed, nfkc, qualifiers, requalified
+from quillspark.functions.arrow import distributed, nfkc, qualifiers, requalified, sheet_references
 from quillspark.operators import checks, feedback, jobs, limits, names, rendering, review, windows
 from quillspark.operators.segments import line_segments, replaced
 from quillspark.sources import packages, parsers
@@ -267,12 +267,39 @@ def test_writers_and_pages(spark):
     assert rendering.write_html(page, {}) == page and rendering.write_spans("a b\nc", {"offset:4:5": "d"}) == "a b\nd"
     with pytest.raises(ValueError, match="expression"):
         rendering.write_csv("a,b\n1,2\n", {"row:2/column:1": " =1"})
-    assert rendering.toc_lines("Chapter 1 x  Chapter 2 y\n```\n\n7") == "Chapter 1 x\nChapter 2 y\n[Page: 7]"
+    assert one(spark, rendering.toc_lines(F.col("t")), t="Chapter 1 x  Chapter 2 y\n```\n\n7") == "Chapter 1 x\nChapter 2 y\n[Page: 7]"
+    assert one(spark, rendering.toc_lines(F.col("t")), t="") == one(spark, rendering.unsquashed(F.col("t")), t="") == ""
+    assert one(spark, rendering.unsquashed(F.col("t")), t="a • b\n\n<td> 1.1 x\n") == "  • a\n  • b\n\n<td> 1.1 x"
+    assert rendering.fractions("x\n\n$$v = \\frac{a{b{c}}}{\\text{d}} $$ and $$ y") == 'x\n<table class="formula-table"><tr><td>v =</td><td>a{b{c}}</td></tr><tr><td></td><td>d</td></tr></table>\n and $$ y'
+    assert rendering.fractions("\\frac{a}{") == "\\frac{a}{" and rendering.fractions("\\frac{}{b}") == "\\frac{}{b}"
+    assert rendering.toc_html("目次\n5\nA  7\n[Page: 3]").count("toc-entry") == 1 and rendering.toc_html("") == '<table class="toc-table"></table>'
     assert rendering.numbered_lists('<ol><li>a<ol start="3"><li>b</li></ol></li></ol>').count("<p ") >= 1
     assert rendering.normalised("") == ("", None) and rendering.normalised("x\n[Page: 3]") == ("x", 3)
     assert requalified("SUM('A''s'!B1:C2)+a.b!A1&\"a.b!\"", {"a's": "n", "a.b": "m'"}) == "SUM('n'!B1:C2)+'m''" + "'!A1&\"a.b!\""
 
 
+def test_sheet_references():
+    """Lexer states: strings, brackets, quoted and bare names, ranges of sheets, and parts that never end."""
+    cases = {
+        "A!1+'B c'!2": [["A"], ["B c"]], "'It''s'!A1": [["It's"]], '"A!"&B!1': [["B"]], "[x.xlsx]A!1": [], "'[x]A'!1": [["[x]A"]], "Jan:Mär!A1": [["Jan", "Mär"]], "'a:b'!1": [["a", "b"]],
+        "T[A!]B!1": [], "a'B'!1": [], "'open A!1": [["A"]], '"open A!1': [["A"]], "x:y:z!1": [["y", "z"]], "": [], "!": [],
+    }
+    for formula, want in cases.items():
+        assert [names_ for _, _, names_ in sheet_references(formula)] == want, formula
+    assert requalified("'[x]A'!1+A!1+'a:b'!2", {"a": "N"}) == "'[x]A'!1+'N'!1+'N:b'!2"
+
+
+def test_dealt_text(spark):
+    rnd = random.Random(3)
+    rows = [("".join(rnd.choice("ab  \n漢字한") for _ in range(rnd.randrange(20))), [rnd.randrange(4) for _ in range(rnd.randrange(4))]) for _ in range(400)]
+    got = spark.createDataFrame(rows, "t string, s array<int>").select("t", "s", distributed("t", "s").alias("p")).collect()
+    for r in got:
+        units = re.findall(r"\s+|[\u3040-\u9fff\uac00-\ud7af]|[^\s\u3040-\u9fff\uac00-\ud7af]+", r.t)
+        sizes = r.s or [0]
+        stops = [round(len(units) * sum(sizes[: k + 1]) / (sum(sizes) or len(sizes))) for k in range(len(sizes) - 1)] + [len(units)]
+        assert list(r.p) == ["".join(units[a:b]) for a, b in zip([0, *stops], stops)]
+
+
 def test_halves(spark):
     halves = one(spark, review.halves(F.sequence(F.lit(1), F.col("n"))), n=9)
     assert [list(x) for x in halves] == [[1, 2], [3, 4], [5, 6], [7, 8, 9]]
