@@ -66,6 +66,25 @@ SQL["typeset_checks"] = f"""with {KEYS} select k, array_to_string(list_filter([c
 SQL["page_gates"] = f"with {PAGES} select doc_id, page_no, least(doc_id % 5 + 1, 3)::int translations, least(page_no % 4 + 1, 3)::int formats, case when doc_id % 5 <= 2 and page_no % 4 <= 2 then 'passed' else 'needs_review' end status from pages_"
 SQL["header_runs"] = """with c as (select l_orderkey row_id, (l_linenumber * 100000 + l_partkey) * 1000 + l_suppkey col_no, l_returnflag as label from lineitem), l as (select *, coalesce((label <> lag(label) over (partition by row_id order by col_no))::int, 1) n from c), r as (select *, sum(n) over (partition by row_id order by col_no) run from l)
 select row_id, min(col_no) first_col, count(*) n_cols, label from r group by row_id, run, label having count(*) >= 3"""
+_GRID = """x as (select *, l_orderkey o, row_number() over (partition by l_orderkey order by l_returnflag, l_linestatus, l_linenumber, l_partkey, l_suppkey, l_quantity) i,
+  count(*) over (partition by l_orderkey, l_returnflag) nf, count(*) over (partition by l_orderkey, l_returnflag, l_linestatus) ns, count(*) over (partition by l_orderkey) n from lineitem),
+boxes as (select o, 0 tier, min(i) first, max(i) + 1 past, 'flag ' || l_returnflag as text from x group by o, l_returnflag
+  union all select o, 1, min(i), max(i) + 1, 'status ' || l_linestatus from x where nf > 1 group by o, l_returnflag, l_linestatus
+  union all select o, 2, i, i + 1, 'line ' || l_linenumber from x where nf > 1 and ns > 1),
+cols as (select o, i c from x where o in (select o from x where nf > 1))"""
+SQL["header_paths"] = f"""with {_GRID},
+paths as (select o, c, list(text order by tier) p, bool_or(tier = 0 and past - first >= 3) wide from cols join boxes using (o) where first <= c and c < past group by o, c),
+short as (select o, c, p, case when wide and len(p) > 1 then p[2:] else p end q from paths),
+named as (select o, string_agg(text || ' &amp;<br>', '' order by first desc) parents from boxes where tier = 0 and past - first >= 3 group by o)
+select o order_no, c::int col, array_to_string(p, '|') as path, q[1] || case len(q) when 1 then '' when 2 then '<br>(' || q[2] || ')' else ': ' || q[2] || '<br>(' || q[3] || ')' end as label from short
+union all select o, 0, 'order ' || o, coalesce(parents, '') || 'order ' || o from (select distinct o from cols) left join named using (o)"""
+SQL["flat_tables"] = f"""with {_GRID},
+r as (select o, i, n + 1 width, case when l_partkey % 2 = 0 then '' else 'L' end || l_linenumber as label, case when l_suppkey % 2 = 0 then '' else 'shipped from supplier ' end || l_suppkey v from x),
+m as (select *, i >= 4 or length(v) > 20 merged from r), t as (select *, max(i) filter (not merged) over (partition by o) full_to from m),
+s as (select *, coalesce(width >= 7 and i > full_to, false) tail, case when length(v) <= 6 then i // 2 else 0 end before, width - 1 - i lacks from t)
+select o order_no, (2 + i)::int row_no, case when tail then 2 else 1 end part,
+  case when tail then label || '|' || v else case when lacks = 1 and label like 'L%' then '|' else '' end || label || '|' || repeat('|', before) || v || repeat('|', i - before - 1) || case when lacks = 1 and label like 'L%' then '' else repeat('|', lacks) end end texts,
+  width >= 8 dense from s"""
 SQL["distributed_text"] = r"""with p as (select conv_id, turn, regexp_extract_all(coalesce(text, ''), '\s+|[^\s]+') w from conversations), c as (select *, round_even(len(w) * 3 / 10, 0)::int a, round_even(len(w) * 8 / 10, 0)::int b from p)
 select conv_id, turn, array_to_string(w[1:a], '') || '|' || array_to_string(w[a + 1:b], '') || '|' || array_to_string(w[b + 1:], '') parts from c"""
 SQL["contents_pages"] = rf"""with {PAGES}, l as (select doc_id, page_no, unnest(string_split(body, chr(10))) x, generate_subscripts(string_split(body, chr(10)), 1) i from pages_),

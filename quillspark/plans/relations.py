@@ -7,7 +7,7 @@ import warnings
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.feedback import CODE_CHECKS
@@ -73,6 +73,27 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").alias("identity"), F.col("event_id").alias("request_id"), "ts")
 
 
+def order_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """order_no, html: a table for each order, with a header of three tiers. Lines are columns, under their flag and status; a flag or status of one line
+    spans the tiers below it. The body has a row for each line, with a value over as many columns as the line's place."""
+    by = lambda *c: Window.partitionBy("l_orderkey", *c)
+    place = F.row_number().over(by().orderBy("l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    lines = table(spark, sf, "lineitem").select("*", place.alias("i"), F.count("*").over(by("l_returnflag")).alias("nf"), F.count("*").over(by("l_returnflag", "l_linestatus")).alias("ns"))
+    first = lambda *c: F.col("i") == F.min("i").over(by(*c))
+    lines = lines.withColumn("first_flag", first("l_returnflag")).withColumn("first_status", first("l_returnflag", "l_linestatus"))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    t0 = F.when(F.col("first_flag"), text('<th colspan="', F.col("nf"), F.when(F.col("nf") == 1, '" rowspan="3').otherwise(""), '">flag <b>', F.col("l_returnflag"), "</b></th>")).otherwise("")
+    t1 = F.when((F.col("nf") > 1) & F.col("first_status"), text('<th colspan="', F.col("ns"), F.when(F.col("ns") == 1, '" rowspan="2').otherwise(""), '">status ', F.col("l_linestatus"), "</th>")).otherwise("")
+    t2 = F.when((F.col("nf") > 1) & (F.col("ns") > 1), text("<th>line ", F.col("l_linenumber"), "</th>")).otherwise("")
+    label = F.when(F.col("l_partkey") % 2 == 0, F.col("l_linenumber").cast("string")).otherwise(text("L", F.col("l_linenumber")))
+    value = F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey").cast("string")).otherwise(text("shipped from supplier ", F.col("l_suppkey")))
+    row = text("<tr><td>", label, '</td><td colspan="', F.col("i"), '">', value, "</td></tr>")
+    own = lines.groupBy(F.col("l_orderkey").alias("order_no")).agg(F.array_sort(F.collect_list(F.struct("i", t0.alias("t0"), t1.alias("t1"), t2.alias("t2"), row.alias("row")))).alias("own"))  # the lines of one order
+    joined = lambda name: F.array_join(F.transform("own", lambda x: x[name]), "")
+    head = text('<table><thead><tr><th rowspan="3">order ', F.col("order_no"), "</th>", joined("t0"), "</tr><tr>", joined("t1"), "</tr><tr>", joined("t2"), "</tr></thead><tbody>")
+    return own.select("order_no", text(head, joined("row"), "</tbody></table>").alias("html"))
+
+
 def _zip(members: list[tuple[str, str]]) -> bytes:
     out = io.BytesIO()
     with warnings.catch_warnings(), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import arrow
 from quillspark.functions import text as T
-from quillspark.operators import checks, feedback, names, rendering, review
+from quillspark.operators import checks, feedback, names, rendering, review, tables
 from quillspark.plans import relations as R
 from quillspark.sources import packages, parsers
 
@@ -267,6 +267,20 @@ def header_runs(spark, sf):
     return review.header_runs(cells)
 
 
+@query
+def header_paths(spark, sf):
+    """I16"""
+    cells = tables.html_cells(R.order_tables(spark, sf), "order_no", "html")
+    return tables.header_paths(cells, ["order_no", "table_no"]).select("order_no", "col", F.array_join("path", "|").alias("path"), "label")
+
+
+@query
+def flat_tables(spark, sf):
+    """I16"""
+    cells = tables.html_cells(R.order_tables(spark, sf), "order_no", "html")
+    return tables.body_rows(cells, ["order_no", "table_no"]).select("order_no", "row_no", "part", F.array_join("texts", "|").alias("texts"), "dense")
+
+
 @query
 def distributed_text(spark, sf):
     """F10, M9"""
