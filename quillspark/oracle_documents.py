@@ -8,8 +8,6 @@ from quillspark.oracle import PAGES, SEG, STATUS
 
 SQL: dict[str, str] = {}
 KEYS = "keys as (select c_custkey::bigint k, c_name as name from customer)"
-GOOD = """pk as (select p_partkey::bigint k, 'p' || p_partkey || '.zip' as path, p_name as name, p_brand brand from part),
-good as (select * from pk where k % 7 in (0, 6))"""
 
 
 def pick(key: str, *values: str) -> str:
@@ -26,22 +24,40 @@ select 'dir/f' || k || '.' || e as path, lower(e) kind, case lower(e) when 'xlsx
   case lower(e) when 'xlsx' then 'native objects and immutable fields preserved' when 'pptx' then 'native objects and immutable fields preserved' when 'pdf' then 'translated reconstruction; visual review required' when 'png' then 'text extraction, not image replication' when 'md' then 'native syntax and protected fields validated' end guarantee from f"""
 SQL["sniffed_kinds"] = f"with {KEYS} select k, {pick('k', *quoted('ole', 'zip', 'pdf', 'png', 'jpg', 'webp', 'text'))} kind from keys"
 SQL["text_inspection"] = f"with {KEYS} select k, {pick('k', '2', '7', '2', 'null', 'null', '2')}::bigint n_chars, {pick('k', 'null', 'null', chr(39) + 'json' + chr(39), *quoted('encoding', 'encoding'), 'null')} error from keys"
-SQL["package_verdicts"] = f"""with {GOOD} select path, case when k % 7 not in (4, 5) then {pick("k", *quoted("docx", "xlsx", "pptx"))} end kind,
- case k % 7 when 5 then 'File is not a zip file' when 1 then 'duplicate' when 4 then 'signature' when 2 then 'macro' when 3 then 'traversal' else 'ok' end verdict from pk"""
-SQL["package_features"] = f"""with {GOOD} select path, 'opaque_assets' feature, 1::bigint n, true limitation from good where k % 3 = 0 union all select path, 'charts', 1, false from good where k % 3 = 1
- union all select path, 'legacy_shapes', 1, true from good where k % 3 = 1 union all select path, 'diagrams', 1, false from good where k % 3 = 2"""
-SQL["broken_relationships"] = f"with {GOOD} select path, 'word/_rels/document.xml.rels' as source, 'rId2' rel_id, 'image' kind, 'word/media/gone.png' target from good where k % 15 = 0"
-SQL["shared_cells"] = f"""with {GOOD}, c as (select *, unnest([0, 1, 9]) i from good where k % 3 = 1) select path, 'xl/worksheets/sheet1.xml' sheet, case i when 0 then 'A1' when 1 then 'B1' else 'C1' end cell, i as index,
- case i when 0 then name when 1 then brand end as value from c where i < 9 or k % 4 = 0"""
-SQL["slide_order"] = f"with {GOOD} select path, page_no::int page_no, 'page ' || (page_no + 1) title, 'ppt/slides/slide' || (2 - page_no) || '.xml' part from good, range(2) r(page_no) where k % 3 = 2"
-UNITS = f"""{GOOD}, units as (select path, 'word/document.xml' part, 'p:0/u:0' as location, 'text' category, name || ' and more' as source from good where k % 3 = 0
- union all select path, 'word/document.xml', 'p:0/u:1', 'text', 'link ' || brand from good where k % 3 = 0 union all select path, 'word/document.xml', 'p:1/u:0', 'table_cell', brand from good where k % 3 = 0
- union all select path, 'ppt/slides/slide' || n || '.xml', 'p:0/u:' || u, 'shape_text', case when u = 2 then 'tail' when n = 1 then name else brand end from good, (values (1), (2)) s(n), (values (0), (2)) t(u) where k % 3 = 2
- union all select path, 'xl/workbook.xml', 'sheet:0', 'sheet_title', 'Data' from good where k % 3 = 1)"""
+LINES_OF = """li as (select *, l_orderkey o, l_linenumber % 2 par, 'o' || l_orderkey || '.zip' as path, 'T' || l_partkey t,
+  row_number() over (partition by l_orderkey order by l_linenumber % 2, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) i, count(*) over (partition by l_orderkey) n from lineitem),
+good as (select * from li where o % 11 in (0, 6, 7, 8, 9, 10))"""
+SQL["package_verdicts"] = """select 'o' || o || '.zip' as path, case when o % 11 not in (4, 5) then case o % 3 when 0 then 'docx' when 1 then 'xlsx' else 'pptx' end end kind,
+ case o % 11 when 5 then 'File is not a zip file' when 1 then 'duplicate' when 4 then 'signature' when 2 then 'macro' when 3 then 'traversal' else 'ok' end verdict from (select distinct l_orderkey o from lineitem)"""
+SQL["package_features"] = f"""with {LINES_OF} select path, 'opaque_assets' feature, count(*) n, true limitation from good where o % 3 = 0 and l_returnflag = 'R' and l_partkey % 5 > 0 group by path
+ union all select path, 'charts', count(*), false from good where o % 3 = 1 and l_returnflag = 'N' group by path"""
+SQL["broken_relationships"] = f"with {LINES_OF} select path, 'word/_rels/document.xml.rels' as source, 'rId' || i rel_id, 'image' kind, 'word/media/i' || i || '.png' target from good where o % 3 = 0 and l_returnflag = 'R' and l_partkey % 5 = 0"
+SQL["shared_cells"] = f"""with {LINES_OF}, c as (select *, (i * 7 + l_partkey) % (n + 1) ref from good where o % 3 = 1)
+ select c.path, 'xl/worksheets/sheet1.xml' sheet, 'A' || c.i cell, c.ref::int as index, s.t as value from c left join good s on s.o = c.o and s.i = c.ref + 1"""
+SQL["slide_order"] = f"""with {LINES_OF}, p as (select distinct path, o, par from good where o % 3 = 2), r as (select *, row_number() over (partition by path order by case when o % 4 < 2 then par else -par end) - 1 page_no from p)
+ select path, page_no::int page_no, 'page ' || (page_no + 1) title, 'ppt/slides/slide' || (par + 1) || '.xml' part from r"""
+_PAR = "dense_rank() over (partition by path order by par) - 1"
+_DEPTHS = f"""{LINES_OF}, w as (select *, {_PAR} k, case l_suppkey % 7 when 0 then 1 when 1 then -1 else 0 end step from good where o % 3 = 0),
+ s as (select *, sum(step) over (partition by path order by i) total from w), d as (select *, total - least(0, min(total) over (partition by path order by i)) depth, (step <> 0)::int + 1 marks from s)"""
+SQL["run_groups"] = f"""with {_DEPTHS}, word as (select path, k, t, sum(case when step <> 0 then 1 else 0 end + case when l_partkey % 11 = 0 then 0 else 1 end) over (partition by path, k order by i) island, l_partkey % 11 = 0 or depth > 0 hidden from d),
+ q as (select *, case l_returnflag when 'A' then 'b' when 'R' then 'x' else '' end sig, {_PAR} k from good where o % 3 = 2), e as (select *, lag(sig) over w is null or lag(sig) over w <> sig or lag(l_partkey % 3) over w = 0 fresh, (l_partkey % 3 = 0)::int br from q window w as (partition by path, par order by i)),
+ g as (select *, sum(fresh::int + br) over (partition by path, par order by i) - br island from e)
+ select path, 'word/document.xml' part, 'p:' || k || '/g:' || island::bigint as location, 1::bigint n_runs, t as source from word where not hidden
+ union all select path, 'ppt/slides/slide' || (par + 1) || '.xml', 'p:0/g:' || island::bigint, count(*), string_agg(t, '' order by i) from g group by path, par, island"""
+UNITS = f"""{LINES_OF}, m as (select *, {_PAR} k, case when l_partkey % 4 = 1 and l_partkey % 11 <> 0 then 1 else 0 end link, l_suppkey % 7 < 2 field from good where o % 3 = 0),
+ wr as (select *, l_partkey % 11 = 0 simple from m),
+ marks as (select path, k, i, 0 sub, true stop, null as t, '' as link from wr where field union all select path, k, i, 1, false, t, case when link = 1 then 'l' || i else '' end from wr where not simple),
+ f as (select *, stop or coalesce(lag(stop) over w or lag(link) over w <> link, false) edge from marks window w as (partition by path, k order by i, sub)),
+ isl as (select *, sum(edge::int) over (partition by path, k order by i, sub) island from f),
+ br as (select *, {_PAR} k, (l_partkey % 3 = 0)::int b from good where o % 3 = 2), sl as (select *, 2 * (sum(b) over (partition by path, par order by i) - b) island from br),
+ units as (select path, 'word/document.xml' part, 'p:' || k || '/u:' || island::bigint as location, 'text' category, string_agg(t, '' order by i) as source from isl where not stop group by path, k, island
+ union all select path, 'ppt/slides/slide' || (par + 1) || '.xml', 'p:0/u:' || island::bigint, 'shape_text', string_agg(t, '' order by i) from sl group by path, par, island
+ union all select distinct path, 'xl/workbook.xml', 'sheet:0', 'sheet_title', 'Data ' || o from good where o % 3 = 1)"""
 SQL["package_units"] = f"with {UNITS} select * from units"
-SQL["renamed_workbooks"] = f"with {GOOD}, b as (select path from good where k % 3 = 1) select path, unnest(['xl/workbook.xml', 'xl/worksheets/sheet1.xml', 'sheet:0']) as name, unnest(['changed', 'changed', 'New Data']) change from b"
-SQL["partial_parts"] = f"""with {GOOD} select path, 'xl/worksheets/sheet1.xml' as name, (length('<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="s"><f>Data!A1</f><v>0</v></c><c r="E1"><f>SUM(~Data~!A1,Other!B1)&amp;"Data!"</f></c></row></sheetData></worksheet>') + case when k % 4 = 0 then 28 else 0 end)::bigint size from good where k % 3 = 1
- union all select path, 'ppt/slides/slide1.xml', octet_length(encode('<p:sld xmlns:p="p" xmlns:a="a"><p:txBody><a:p><a:r><a:t>' || name || '</a:t></a:r><a:br/><a:r><a:t>tail</a:t></a:r></a:p></p:txBody></p:sld>')) from good where k % 3 = 2"""
+SQL["renamed_workbooks"] = f"""with {LINES_OF}, b as (select path, o, bool_or(l_linestatus = 'F') formulas from good where o % 3 = 1 group by 1, 2)
+ select path, 'xl/workbook.xml' as name, 'changed' change from b union all select path, 'xl/worksheets/sheet1.xml', 'changed' from b where formulas union all select path, 'sheet:0', 'It''s Data ' || o from b"""
+SQL["partial_parts"] = f"""with {LINES_OF} select path, 'xl/worksheets/sheet1.xml' as name, (57 + sum(25 + length('A' || i) + length(((i * 7 + l_partkey) % (n + 1))::varchar) + case when l_linestatus = 'F' then 52 + length('B' || i) + length(o::varchar) else 0 end))::bigint size from good where o % 3 = 1 group by path
+ union all select path, 'ppt/slides/slide1.xml', (123 + sum(22 + length(t) + case l_returnflag when 'A' then 20 when 'R' then 34 else 0 end + case when l_suppkey % 5 = 0 then 19 else 0 end + case when l_partkey % 3 = 0 then 7 else 0 end))::bigint from good where o % 3 = 2 and par = 0 group by path"""
 SQL["formula_references"] = f"""with {KEYS} select k, {pick("k", *quoted("My Data,Other", "Other", "", "Jan,Other", "It's"))} sheets,
  {pick("k", *quoted("SUM('Neu'!A1,'X'!B2)", '"Other!"&' + "'X'!A1", "[Book.xlsx]Other!A1", "'Jan:X'!A1", "'It''s'!A1+Table1[Other!]"))} || '*' || k formula from keys"""
 _FRAME = """'{"type": "stage", "n": ' || event_id || '}'"""

@@ -111,32 +111,69 @@ def _rels(rows: list[tuple[str, str, str, bool]]) -> str:
     return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{own}</Relationships>'
 
 
-def package(k: int, name: str, brand: str) -> bytes:
-    """A small office file by k: document, workbook or slides; some break a rule."""
-    if k % 3 == 0:
-        text = f'<w:document xmlns:w="w" xmlns:r="{_REL}"><w:body><w:p><w:r><w:t>{name}</w:t></w:r><w:r><w:rPr/><w:t> and more</w:t></w:r><w:hyperlink r:id="rId3"><w:r><w:t>link {brand}</w:t></w:r></w:hyperlink></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>{brand}</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
-        rels = [("rId1", "image", "media/image1.png", False), ("rId3", "hyperlink", "https://example.org", True)] + [("rId2", "image", "media/gone.png", False)] * (k % 5 == 0)
-        members = [("word/document.xml", text), ("word/_rels/document.xml.rels", _rels(rels)), ("word/media/image1.png", "png")]
-    elif k % 3 == 1:
-        cells = '<c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="s"><f>Data!A1</f><v>0</v></c><c r="E1"><f>SUM(\'Data\'!A1,Other!B1)&amp;"Data!"</f></c>' + '<c r="C1" t="s"><v>9</v></c>' * (k % 4 == 0)
-        sheet = f"<worksheet><sheetData><row>{cells}</row></sheetData></worksheet>"
-        strings = f"<sst><si><t>{name}</t></si><si><r><t>{brand[:3]}</t></r><r><t>{brand[3:]}</t></r></si></sst>"
-        members = [("xl/workbook.xml", '<workbook><sheets><sheet name="Data"/><sheet name="1"/></sheets></workbook>'), ("xl/sharedStrings.xml", strings), ("xl/worksheets/sheet1.xml", sheet), ("xl/charts/chart1.xml", "<c/>"), ("xl/drawings/drawing1.vml", "v")]
-    else:
-        slide = lambda t: f'<p:sld xmlns:p="p" xmlns:a="a"><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r><a:br/><a:r><a:t>tail</a:t></a:r></a:p></p:txBody></p:sld>'
-        deck = f'<p:presentation xmlns:p="p" xmlns:r="{_REL}"><p:sldIdLst><p:sldId r:id="rId2"/><p:sldId r:id="rId1"/></p:sldIdLst></p:presentation>'
-        members = [("ppt/presentation.xml", deck), ("ppt/_rels/presentation.xml.rels", _rels([("rId1", "slide", "slides/slide1.xml", False), ("rId2", "slide", "slides/slide2.xml", False)])), ("ppt/slides/slide1.xml", slide(name)), ("ppt/slides/slide2.xml", slide(brand)), ("ppt/diagrams/data1.xml", "<d/>")]
-    members += {1: [members[0]], 2: [("word/vbaProject.bin", "x")], 3: [("../up.txt", "x")], 4: [("word/document.xml" if k % 3 else "xl/workbook.xml", "<x/>")]}.get(k % 7, [])
+PICTURES = "http://schemas.openxmlformats.org/drawingml/2006/main"
+
+
+def _document(lines: list[dict]) -> list[tuple[str, str]]:
+    """Paragraphs of runs with properties by flag; fields begin and end by supplier, simple fields by part; links; pictures, some of which are missing."""
+    out, rels, media = [], [], []
+    for par in sorted({x["par"] for x in lines}):
+        out.append("<w:p>")
+        for x in (x for x in lines if x["par"] == par):
+            if x["suppkey"] % 7 < 2:
+                out.append(f'<w:r><w:fldChar w:fldCharType="{"end" if x["suppkey"] % 7 else "begin"}"/></w:r>')
+            run = f'<w:r>{"<w:rPr><w:b/></w:rPr>" if x["flag"] == "A" else ""}<w:t>T{x["partkey"]}</w:t></w:r>'
+            out.append(f"<w:fldSimple>{run}</w:fldSimple>" if x["partkey"] % 11 == 0 else f'<w:hyperlink r:id="h">{run}</w:hyperlink>' if x["partkey"] % 4 == 1 else run)
+            if x["flag"] == "R":
+                rels.append((f"rId{x['i']}", "image", f"media/i{x['i']}.png", False))
+                media += [(f"word/media/i{x['i']}.png", "png")] * (x["partkey"] % 5 > 0)
+        out.append("</w:p>")
+    text = f'<w:document xmlns:w="w" xmlns:r="{_REL}"><w:body>{"".join(out)}</w:body></w:document>'
+    return [("word/document.xml", text), ("word/_rels/document.xml.rels", _rels([*rels, ("h", "hyperlink", "https://example.org", True)])), *media]
+
+
+def _workbook(order: int, lines: list[dict]) -> list[tuple[str, str]]:
+    """A shared string for each line, in pieces for one flag; cells that refer to strings by rule, one past the end at times; formulas by status."""
+    strings = "".join(f"<si><r><t>T</t></r><r><t>{x['partkey']}</t></r></si>" if x["flag"] == "A" else f"<si><t>T{x['partkey']}</t></si>" for x in lines)
+    cells = "".join(f'<c r="A{x["i"]}" t="s"><v>{(x["i"] * 7 + x["partkey"]) % (len(lines) + 1)}</v></c>' + f"<c r=\"B{x['i']}\" t=\"s\"><f>'Data {order}'!A1+Other!B1</f><v>0</v></c>" * (x["status"] == "F") for x in lines)
+    charts = [(f"xl/charts/chart{x['i']}.xml", "<c/>") for x in lines if x["flag"] == "N"]
+    book = f'<workbook><sheets><sheet name="Data {order}"/><sheet name="{order}"/></sheets></workbook>'
+    return [("xl/workbook.xml", book), ("xl/sharedStrings.xml", f"<sst>{strings}</sst>"), ("xl/worksheets/sheet1.xml", f"<worksheet><sheetData><row>{cells}</row></sheetData></worksheet>"), *charts]
+
+
+def _slides(order: int, lines: list[dict]) -> list[tuple[str, str]]:
+    """A slide for each half of the lines, shown in either order; runs with properties by flag, whose attributes change places; breaks, and runs without text."""
+    pars, members = sorted({x["par"] for x in lines}), []
+    for par in pars:
+        runs = []
+        for x in (x for x in lines if x["par"] == par):
+            properties = {"A": '<a:rPr b="1" i="0"/>' if x["partkey"] % 2 else '<a:rPr i="0" b="1"/>', "R": '<a:rPr lang="x"><a:latin/></a:rPr>'}.get(x["flag"], "")
+            runs.append(f"<a:r>{properties}<a:t>T{x['partkey']}</a:t></a:r>" + "<a:r><a:rPr/></a:r>" * (x["suppkey"] % 5 == 0) + "<a:br/>" * (x["partkey"] % 3 == 0))
+        members.append((f"ppt/slides/slide{par + 1}.xml", f'<p:sld xmlns:p="p" xmlns:a="{PICTURES}"><p:txBody><a:p>{"".join(runs)}</a:p></p:txBody></p:sld>'))
+    shown = pars if order % 4 < 2 else pars[::-1]
+    deck = f'<p:presentation xmlns:p="p" xmlns:r="{_REL}"><p:sldIdLst>{"".join(f"<p:sldId r:id=\"rId{n + 1}\"/>" for n in shown)}</p:sldIdLst></p:presentation>'
+    return [("ppt/presentation.xml", deck), ("ppt/_rels/presentation.xml.rels", _rels([(f"rId{n + 1}", "slide", f"slides/slide{n + 1}.xml", False) for n in pars])), *members]
+
+
+def office_file(order: int, lines: list[dict]) -> bytes:
+    """An office file of an order: document, workbook or slides; some break a rule."""
+    members = _document(lines) if order % 3 == 0 else _workbook(order, lines) if order % 3 == 1 else _slides(order, lines)
+    members += {1: [members[0]], 2: [("word/vbaProject.bin", "x")], 3: [("../up.txt", "x")], 4: [("word/document.xml" if order % 3 else "xl/workbook.xml", "<x/>")]}.get(order % 11, [])
     raw = _zip(members)
-    return raw[:40] if k % 7 == 5 else raw
+    return raw[:40] if order % 11 == 5 else raw
 
 
 def packages(spark: SparkSession, sf: str) -> DataFrame:
-    """path, content: a small office file for each part."""
+    """path, content: an office file for each order, made from its lines."""
+    order = F.struct(*[F.col(c) for c in ("par", "linenumber", "partkey", "suppkey", "quantity", "flag", "status")])
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", (F.col("l_linenumber") % 2).alias("par"), F.col("l_linenumber").alias("linenumber"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+    )
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("lines"))  # the lines of one order
 
     def run(batches):
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([f"p{k}.zip" for k, _, _ in rows]), pa.array([package(*r) for r in rows], pa.binary())], names=["path", "content"])
+            rows = [(o, [{**x, "i": i} for i, x in enumerate(own, 1)]) for o, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"o{o}.zip" for o, _ in rows]), pa.array([office_file(*r) for r in rows], pa.binary())], names=["path", "content"])
 
-    return table(spark, sf, "part").select(F.col("p_partkey").cast("long"), "p_name", "p_brand").mapInArrow(run, "path string, content binary")
+    return orders.mapInArrow(run, "path string, content binary")

@@ -106,20 +106,26 @@ def slide_order(spark, sf):
 
 @query
 def package_units(spark, sf):
-    """A17, A18, A21, C4, C5"""
+    """A18, A21, C4, C5"""
     parts = _good(spark, sf)
     return packages.text_units(parts).unionByName(packages.sheet_titles(parts))
 
 
+@query
+def run_groups(spark, sf):
+    """A17"""
+    return packages.run_groups(_good(spark, sf))
+
+
 @query
 def renamed_workbooks(spark, sf):
     """Sheets renamed, packages rebuilt, and their parts compared with what they were"""
     files, parts = R.packages(spark, sf), _good(spark, sf)
-    books = parts.select("path").distinct().select("path", F.lit("Data").alias("old"), F.lit("New Data").alias("new"))
-    changed = packages.renamed(parts, books)
-    mine = files.join(parts.select("path").distinct(), "path", "left_semi")
+    titles = packages.sheet_titles(parts).filter(F.col("source").startswith("Data ")).select("path", F.col("source").alias("old"), F.concat(F.lit("It's "), F.col("source")).alias("new"))
+    changed = packages.renamed(parts, titles)
+    mine = files.join(titles.select("path"), "path", "left_semi")
     after = packages.members(packages.rebuild(mine, changed))
-    return packages.structure_changes(packages.canonical(parts), packages.canonical(after)).unionByName(packages.sheet_titles(after).select("path", F.col("location").alias("name"), F.col("source").alias("change")))
+    return packages.structure_changes(packages.canonical(parts.join(titles.select("path"), "path", "left_semi")), packages.canonical(after)).unionByName(packages.sheet_titles(after).select("path", F.col("location").alias("name"), F.col("source").alias("change")))
 
 
 @query

@@ -206,6 +206,55 @@ def text_units(parts: DataFrame) -> DataFrame:
     return units.filter(F.col("source").rlike(r"\p{L}")).select("path", "part", F.concat(F.lit("p:"), "paragraph", F.lit("/u:"), "island").alias("location"), "category", "source")
 
 
+def run_groups(parts: DataFrame) -> DataFrame:
+    """[A17] path, part, location, n_runs, source: text of neighbouring runs with the same properties.
+
+    Parts become relations of marks in document order: texts, edges, and begins and ends of fields. Properties are told apart by
+    their canonical XML (attributes in order of name). In word processing each text is a group, unless it lies in a field: the depth of open fields is a
+    running sum that never falls below zero, so an end without a begin closes nothing. In drawings, runs of a paragraph are islands of one signature;
+    anything but a run ends an island, a run without text doesn't.
+    """
+
+    def marks(path, name, root):
+        n = paragraph = -1
+        if name.startswith("word/"):
+            opaque = {x for field in root.iter() if _local(field.tag) == "fldSimple" for x in field.iter()}
+            for x in root.iter():
+                tag = _local(x.tag)
+                if tag == "p":
+                    paragraph += 1
+                elif tag == "fldChar":
+                    n += 1
+                    yield path, name, n, paragraph, None, "", {"begin": 1, "end": -1}.get(next((v for k, v in x.attrib.items() if _local(k) == "fldCharType"), ""), 0), False, True
+                elif tag == "t" and not x.tag.startswith(A) and x not in opaque:
+                    n += 1
+                    yield path, name, n, paragraph, None, x.text or "", 0, True, True
+        drawn = [p for p in root.iter() if _local(p.tag) == "p" and (p.tag.startswith(A) or not name.startswith("word/"))]
+        for p in drawn:
+            paragraph += 1
+            for x in p:
+                n += 1
+                parts_of = {_local(y.tag): y for y in reversed(x)} if _local(x.tag) == "r" else None
+                if parts_of is None:
+                    yield path, name, n, paragraph, "", "", 0, False, True
+                elif "t" in parts_of:
+                    own = parts_of.get("rPr")
+                    yield path, name, n, paragraph, "" if own is None else ET.canonicalize(ET.tostring(own, encoding="unicode"), strip_text=True), parts_of["t"].text or "", 0, True, False
+
+    keep = F.col("name").rlike(r"^(word/(document|header\d*|footer\d*|footnotes|endnotes)|ppt/(slides|notesSlides)/[^/]+)\.xml$") & ~F.contains("name", F.lit("/embeddings/"))
+    rows = _xml_rows(parts, "path string, part string, n int, paragraph int, signature string, text string, field int, is_text boolean, edge boolean", marks, keep)
+    order = Window.partitionBy("path", "part").orderBy("n")  # a part is read by one task, so its marks fit one
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    depth = F.sum("field").over(upto)
+    rows = rows.withColumn("sum", depth).withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto)))
+    before = Window.partitionBy("path", "part", "paragraph").orderBy("n")
+    new = F.coalesce(F.col("edge") | F.lag("edge").over(before) | (F.lag("signature").over(before) != F.col("signature")), F.lit(True))
+    rows = rows.withColumn("island", F.sum(new.cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("is_text") & (F.col("signature").isNotNull() | (F.col("depth") == 0)))
+    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda r: r["text"]), "")
+    groups = rows.groupBy("path", "part", "paragraph", "island").agg(own.alias("source"), F.count("*").alias("n_runs")).filter(F.col("source").rlike(r"\p{L}"))
+    return groups.select("path", "part", F.concat(F.lit("p:"), "paragraph", F.lit("/g:"), "island").alias("location"), "n_runs", "source")
+
+
 def sheet_titles(parts: DataFrame) -> DataFrame:
     """[A21] path, part, location, category, source: sheet names as segments, in order."""
 
@@ -216,7 +265,8 @@ def sheet_titles(parts: DataFrame) -> DataFrame:
     return _xml_rows(parts, "path string, part string, location string, category string, source string", read, F.col("name") == "xl/workbook.xml").filter(F.col("source").rlike(r"\p{L}"))
 
 
-# Fixed value: elements whose text is a formula.
+# The namespace of drawings, and elements whose text is a formula.
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 FORMULAS = ("f", "formula", "formula1", "formula2", "definedName", "calculatedColumnFormula", "totalsRowFormula")
 
 

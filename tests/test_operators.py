@@ -347,3 +347,20 @@ def test_packages(spark):
         assert z.comment == b"kept" and b"Hallo" in z.read("word/document.xml")
     changes = packages.structure_changes(packages.canonical(parts.filter("path = 'b.docx'")), packages.canonical(packages.members(built)))
     assert [r.change for r in changes.collect()] == ["changed"]
+
+
+def test_run_groups(spark):
+    """Groups differ from translation units where styles change; fields are closed by depth, an end without a begin closes nothing."""
+    w = lambda body: f'<w:document xmlns:w="w" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><w:p>{body}</w:p></w:document>'
+    t = lambda x, props="": f"<w:r>{props}<w:t>{x}</w:t></w:r>"
+    field = lambda kind: f'<w:r><w:fldChar w:fldCharType="{kind}"/></w:r>'
+    word = w(field("end") + t("one", "<w:rPr><w:b/></w:rPr>") + t("two") + field("begin") + t("in") + field("begin") + t("deep") + field("end") + t("still") + field("separate") + field("end") + t("out") + f"<w:fldSimple>{t('simple')}</w:fldSimple>" + "<w:r><a:p><a:r><a:t>drawn</a:t></a:r></a:p></w:r>")
+    run = lambda x, props="": f"<a:r>{props}<a:t>{x}</a:t></a:r>"
+    own = '<a:rPr b="1" i="0"><a:latin/></a:rPr>'
+    slide = '<p:sld xmlns:p="p" xmlns:a="a"><a:p>' + run("a", own) + "<a:r><a:rPr/></a:r>" + run("b", '<a:rPr i="0" b="1">\n<a:latin/></a:rPr>') + run("c") + run("d") + "<a:fld/>" + run("e") + run("1", own) + "</a:p><a:p/></p:sld>"
+    files = spark.createDataFrame([("w.docx", office(**{"word/document.xml": word})), ("p.pptx", office(**{"ppt/presentation.xml": "<x/>", "ppt/slides/slide1.xml": slide}))], "path string, content binary")
+    parts = packages.members(files)
+    got = sorted((r.path, r.n_runs, r.source) for r in packages.run_groups(parts).collect())
+    assert got == [("p.pptx", 1, "e"), ("p.pptx", 2, "ab"), ("p.pptx", 2, "cd"), ("w.docx", 1, "drawn"), ("w.docx", 1, "one"), ("w.docx", 1, "out"), ("w.docx", 1, "two")]
+    units = {r.source for r in packages.text_units(parts).collect()}
+    assert {"abcd", "e1"} <= units
