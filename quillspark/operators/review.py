@@ -100,16 +100,6 @@ def planned_tools(kind: Column, scanned: Column, tables: Column, diagrams: Colum
     return F.struct(tools.alias("tools"), findings.alias("findings"))
 
 
-def gated(pages: DataFrame, retries: int = 2) -> DataFrame:
-    """[M15] pages(doc_id, page_no, translation_fails, format_fails: how often each gate fails before it passes) with translations, formats and status.
-
-    Each gate sends a page back while it hasn't passed and has been tried at most `retries` times.
-    """
-    passes = lambda fails: F.least(fails + 1, F.lit(retries + 1))
-    ok = (F.col("translation_fails") <= retries) & (F.col("format_fails") <= retries)
-    return pages.select("doc_id", "page_no", passes(F.col("translation_fails")).alias("translations"), passes(F.col("format_fails")).alias("formats"), F.when(ok, "passed").otherwise("needs_review").alias("status"))
-
-
 STATE = "struct<version:int,salt:string,observations:array<struct<id:string,time:double,eligible:array<string>,failures:array<string>>>>"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from quillspark.oracle import PAGES, SEG, STATUS
+from quillspark.oracle import SQL as LINT
 
 SQL: dict[str, str] = {}
 KEYS = "keys as (select c_custkey::bigint k, c_name as name from customer)"
@@ -79,7 +80,22 @@ SQL["page_findings"] = f"""with {PAGES}, b as (select doc_id, page_no, length(bo
 j as (select doc_id, page_no, case when a.blank is null then 'page_missing' when b.blank is null then 'page_added' when a.blank and not b.blank then 'blank_output' end code from b full join a using (doc_id, page_no))
 select doc_id, page_no, code, case when code = 'page_added' then 'review' else 'error' end severity from j where code is not null"""
 SQL["typeset_checks"] = f"""with {KEYS} select k, array_to_string(list_filter([case when k % 3 <> 1 and k % 2 = 0 then 'blank_page' end, case when k % 3 = 0 then 'small_text' end, case when k % 2 = 0 then 'compact_layout' end], lambda x: x is not null), ',') findings, {pick("k", "85000", "null", "55250", "68000")}::int next_scale from keys"""
-SQL["page_gates"] = f"with {PAGES} select doc_id, page_no, least(doc_id % 5 + 1, 3)::int translations, least(page_no % 4 + 1, 3)::int formats, case when doc_id % 5 <= 2 and page_no % 4 <= 2 then 'passed' else 'needs_review' end status from pages_"
+# Every attempt's draft is judged by itself; a page takes the first one without defects, or the last.
+_ATTEMPTS = PAGES.replace("pages_ as", "own as") + r""", second as (select *, replace(replace(body, '[text continues]', ''), 'Article 5', 'Article five') b2 from own),
+drafts as (select doc_id, page_no, a, case a when 1 then body when 2 then b2 else replace(b2, 'TODO check', 'checked') end body from second, range(1, 4) t(a))"""
+_LAID = r"""later as (select *, replace(replace(body, '\frac{{1}}{{2}}', '1/2'), 'Chapter 1 one Chapter 2 two', 'Chapter 1 one' || chr(10) || 'Chapter 2 two') b2 from taken),
+layouts as (select doc_id, page_no, a translations, defects found, f, case f when 1 then body when 2 then b2 else replace(b2, 'second key: two value', 'and a second key') end body from later, range(1, 4) t(f))""".replace("{{", "{").replace("}}", "}")
+_DRAFT_LINT = LINT["page_lint"].replace(PAGES, "pages_ as (select doc_id * 10 + a doc_id, page_no, body from drafts)").replace("case when page_no = 6 then '  ' else body end", "body")
+_LAYOUT_LINT = LINT["layout_lint"].replace(PAGES, "pages_ as (select doc_id * 10 + f doc_id, page_no, body from layouts)")
+SQL["page_loop"] = f"""with {_ATTEMPTS}, judged as ({_DRAFT_LINT}),
+first as (select d.*, defects, row_number() over (partition by d.doc_id, d.page_no order by defects <> '', case when defects = '' then a else -a end) r from drafts d join judged j on j.doc_id = d.doc_id * 10 + a and j.page_no = d.page_no),
+taken as (select * from first where r = 1), {_LAID}, laid as ({_LAYOUT_LINT}),
+last as (select l.*, defects, row_number() over (partition by l.doc_id, l.page_no order by defects <> '', case when defects = '' then f else -f end) r from layouts l join laid j on j.doc_id = l.doc_id * 10 + f and j.page_no = l.page_no)
+select doc_id, page_no, translations::int translations, f::int formats, concat_ws(',', nullif(found, ''), nullif(defects, '')) defects, case when found = '' and defects = '' then 'passed' else 'needs_review' end status, md5(body) draft from last where r = 1"""
+SQL["published_orders"] = "select o_orderkey, o_orderstatus, o_totalprice from orders"
+SQL["fallback_state"] = """with s as (select k::int shard, case when k % 4 > 1 then 'remote' when k <> 12 and k % 8 <> 1 then 'mirror' when k <> 12 then 'local' end place,
+ case when k % 4 > 1 then '' else case when k % 4 = 0 then 'remote:missing' else 'remote:damaged' end || case when k = 12 then ',mirror:damaged,local:missing' when k % 8 = 1 then ',mirror:version' else '' end end failures from range(16) t(k))
+select shard, place, failures, c_custkey::varchar as key, place || ' ' || c_name as value from s join customer on c_custkey % 16 = shard where place is not null union all select shard, place, failures, null, null from s where place is null"""
 SQL["header_runs"] = """with c as (select l_orderkey row_id, (l_linenumber * 100000 + l_partkey) * 1000 + l_suppkey col_no, l_returnflag as label from lineitem), l as (select *, coalesce((label <> lag(label) over (partition by row_id order by col_no))::int, 1) n from c), r as (select *, sum(n) over (partition by row_id order by col_no) run from l)
 select row_id, min(col_no) first_col, count(*) n_cols, label from r group by row_id, run, label having count(*) >= 3"""
 _GRID = """x as (select *, l_orderkey o, row_number() over (partition by l_orderkey order by l_returnflag, l_linestatus, l_linenumber, l_partkey, l_suppkey, l_quantity) i,

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import arrow
 from quillspark.functions import text as T
+from quillspark.operators import pages as page_loops
 from quillspark.operators import checks, feedback, names, rendering, review, tables
 from quillspark.plans import relations as R
-from quillspark.sources import packages, parsers
+from quillspark.sources import folders, packages, parsers, publish, state
 
 QUERIES = {}
 
@@ -259,11 +261,59 @@ def typeset_checks(spark, sf):
     return keys(spark, sf).select("k", F.array_join(found, ",").alias("findings"), review.autofit(pick(k(), 100_000, 64_999, 65_000, 80_001)).alias("next_scale"))
 
 
+def redrafted(body: Column, attempt: Column) -> Column:
+    """Stands for a translator: each attempt heeds one more rule."""
+    second = F.replace(F.replace(body, F.lit("[text continues]"), F.lit("")), F.lit("Article 5"), F.lit("Article five"))
+    return F.when(attempt == 1, body).when(attempt == 2, second).otherwise(F.replace(second, F.lit("TODO check"), F.lit("checked")))
+
+
+def relaid(draft: Column, attempt: Column) -> Column:
+    """Stands for a layout specialist."""
+    second = F.replace(F.replace(draft, F.lit("\\frac{1}{2}"), F.lit("1/2")), F.lit("Chapter 1 one Chapter 2 two"), F.lit("Chapter 1 one\nChapter 2 two"))
+    return F.when(attempt == 1, draft).when(attempt == 2, second).otherwise(F.replace(second, F.lit("second key: two value"), F.lit("and a second key")))
+
+
 @query
-def page_gates(spark, sf):
+def page_loop(spark, sf):
     """M15"""
-    p = R.pages(spark, sf).select("doc_id", "page_no", (F.col("doc_id") % 5).cast("int").alias("translation_fails"), (F.col("page_no") % 4).cast("int").alias("format_fails"))
-    return review.gated(p)
+    n = F.col("page_no")
+    pages = R.pages(spark, sf).select("doc_id", "page_no", "body", (n % 3 == 0).alias("toc"), (n % 4 == 1).alias("nested"), (n % 2 == 0).alias("tiers"), F.lit(True).alias("columns"))
+    done = page_loops.page_loop(pages, redrafted, relaid)
+    return done.select("doc_id", "page_no", "translations", "formats", F.array_join("defects", ",").alias("defects"), "status", F.md5("draft").alias("draft"))
+
+
+@query
+def published_orders(spark, sf):
+    """A publication by the lease's owner stands; one by another is refused, and what it staged is gone"""
+    spark.dataSource.register(publish.PublishSource)
+    place = folders.fresh_folder(spark, "published")
+    orders = R.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice"))
+    publish.put_json(f"{place}/lease.json", {"owner": "a", "until": time.time() + 3600})
+    into = lambda df, owner: df.write.format("quill_publish").mode("overwrite").option("path", place).option("lease", f"{place}/lease.json").option("owner", owner).save()
+    into(orders, "a")
+    try:
+        into(orders.limit(1), "b")
+    except Exception as e:  # Spark wraps what the writer raises
+        if "LeaseLost" not in str(e):
+            raise
+    return spark.read.format("quill_publish").option("path", place).load()
+
+
+@query
+def fallback_state(spark, sf):
+    """Three places of state, of which two are damaged in parts"""
+    spark.dataSource.register(state.StateSource)
+    root = folders.fresh_folder(spark, "state")
+    rows = R.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), (F.col("c_custkey") % 16).cast("int").alias("shard"))
+    each = rows.withColumn("place", F.explode(strings("remote", "mirror", "local")))
+    own = each.groupBy("place", "shard").agg(F.array_sort(F.collect_list(F.struct("key", F.concat("place", F.lit(" "), "name").alias("value")))).alias("entries"))  # a shard is a file
+    remote, mirror, n = F.col("place") == "remote", F.col("place") == "mirror", F.col("shard")
+    text = F.to_json(F.struct(F.when(mirror & (n % 8 == 1), 2).otherwise(1).alias("version"), "entries"))
+    broken = (remote & (n % 4 == 1)) | (mirror & (n == 12))
+    files = own.filter(~(remote & (n % 4 == 0)) & ~((F.col("place") == "local") & (n == 12))).select("place", "shard", F.when(broken, F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))).otherwise(text).alias("text"))
+    files.foreach(lambda r: folders.put_text(f"{root}/{r.place}/shard-{r.shard}.json", r.text))
+    places = ";".join(f"{p}={root}/{p}" for p in ("remote", "mirror", "local"))
+    return spark.read.format("quill_state").option("places", places).option("shards", 16).load()
 
 
 @query
