@@ -72,3 +72,27 @@ def admitted(observations: DataFrame, days: int = WINDOW_DAYS, cap: int = MAX_DO
     rows = observations.select("kind", "obs_id", "doc", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     step = lambda w, r: (r["kind"], r["obs_id"], r["doc"], r["ts"]) if w.admit(r["micros"], r["doc"], days * 86_400_000_000, cap) else None
     return ordered_fold(rows, "kind", ["ts", "obs_id"], "kind string, obs_id long, doc long, ts timestamp_ntz", _Window, step)
+
+
+def guidance(documents: DataFrame, versions: DataFrame, days: int = 30) -> DataFrame:
+    """[M16] documents(doc_id, kind, ts) with the rule that stood at their time, by versions(kind, ts, rule, active), a versioned dimension.
+
+    state is active or inactive as of the document's time, stale where the last version is older than `days`, missing where there is none; rule is given
+    while active. A version holds from its time to the next one's, so each document is in one interval; intervals are dealt to the days that they touch,
+    and documents meet them by kind and day, so that a kind with many documents is as many tasks as it has days. Of versions of one kind and time, the greatest rule counts.
+    """
+    once = versions.groupBy("kind", "ts").agg(F.max(F.struct("rule", "active")).alias("v")).select("kind", F.col("ts").alias("since"), "v.rule", "v.active")
+    later = F.lead("since").over(Window.partitionBy("kind").orderBy("since"))  # the versions of a kind, not its documents
+    end = F.col("since") + F.make_dt_interval(days=F.lit(days + 1))
+    spans = once.withColumn("until", F.least(F.coalesce(later, end), end))
+    dealt = spans.withColumn("day", F.explode(F.sequence(F.to_date("since"), F.to_date("until"))))
+    at = F.col("ts")
+    hit = documents.withColumn("day", F.to_date("ts")).join(dealt, ["kind", "day"], "left")
+    inside = (F.col("since") <= at) & (at < F.col("until"))
+    found = hit.groupBy(*documents.columns).agg(F.max(F.when(inside, F.struct("since", "rule", "active"))).alias("v"))
+    # Documents behind every interval that they could meet are told from those before the first version by the kind's first time.
+    firsts = once.groupBy("kind").agg(F.min("since").alias("first"))
+    rows = found.join(firsts, "kind", "left")
+    old = F.col("v").isNull() | (at > F.col("v.since") + F.make_dt_interval(days=F.lit(days)))
+    state = F.when(F.col("first").isNull() | (F.col("first") > at), "missing").when(old, "stale").when(F.col("v.active"), "active").otherwise("inactive")
+    return rows.withColumn("state", state).select(*documents.columns, "state", F.when(F.col("state") == "active", F.col("v.rule")).alias("rule"))

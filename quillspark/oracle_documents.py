@@ -69,9 +69,22 @@ SQL["visual_components"] = f"with {KEYS} select k, k % 5 = 0 and k % 3 < 2 valid
 SQL["sanitised_settings"] = f"with {KEYS} select k, 'Token=[redacted];a.b.api_key=[redacted];a.image_bytes=<image_bytes len=' || length(name) || '>;plain=' || k || ';raw=<bytes len=2>' settings from keys"
 SQL["model_options"] = "select * from (values ('nova-1-pro', 'Nova 1 Pro', 12.0::double), ('nova-2-flash', 'nova-2-flash', 21.0::double), ('other', 'Other flash', 0.0::double), ('google-translate', 'Google Translate (Free)', 0.0::double)) t(id, name, score)"
 SQL["retry_waits"] = f"with {KEYS} select k, (case when k % 4 = 1 then 120 when k % 4 = 3 then 1 when k % 3 = 0 then 7.5 else 9 end)::double wait, '2.0,4.0,8.0' transient from keys"
-SQL["points_in_boxes"] = """with p as (select l_orderkey % 20 page, l_quantity * 10 x, (l_partkey % 400)::double y, l_orderkey o, l_linenumber n from lineitem),
-b as (select page, box_no, box_no * 120.0 x0, page * 3.0 y0, box_no * 120.0 + 150 x1, page * 3.0 + 200 y1 from range(20) r(page), range(4) s(box_no)),
-h as (select p.page, x, y, o, n, min(box_no) box_no from p join b on p.page = b.page and x between x0 and x1 and y between y0 and y1 group by all) select page, box_no, count(*) n_points, sum(y) sum_y from h group by 1, 2"""
+BOXES = """b as (select o_orderkey % 400 page, case when left(o_orderpriority, 1) in ('1', '2') then 'cell' else 'block' end kind, o_orderkey box_no, (o_custkey % 97 * 10)::double x0, (o_orderkey * 7 % 83 * 10)::double y0,
+ (o_custkey % 97 * 10 + 15 + o_orderkey % 11 * 5)::double x1, (o_orderkey * 7 % 83 * 10 + 10 + o_custkey % 13 * 5)::double y1 from orders)"""
+SQL["points_in_boxes"] = f"""with {BOXES}, p as (select distinct l_orderkey % 400 page, (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey point, (l_partkey % 991)::double x, ((l_partkey * 3 + l_linenumber * 57) % 877)::double y from lineitem),
+h as (select p.page, point, x, y, min(case when kind = 'cell' then 0 else 1000000000000 end + box_no) best from p left join b on p.page = b.page and x between x0 and x1 and y between y0 and y1 group by all)
+select page, case when best is null then 'page' when best < 1000000000000 then 'cell' else 'block' end kind, best % 1000000000000 box_no, count(*) n_points, sum(y) sum_y from h group by 1, 2, 3"""
+SQL["page_regions"] = f"""with recursive {BOXES}, k as (select * from b where kind = 'block'),
+e as (select x.page, x.box_no a, y.box_no b from k x join k y on x.page = y.page and x.x0 <= y.x1 and y.x0 <= x.x1 and x.y0 <= y.y1 and y.y0 <= x.y1),
+r as (select page, box_no a, box_no b from k union select r.page, r.a, e.b from r join e on e.page = r.page and e.a = r.b),
+l as (select page, a box_no, min(b) region from r group by 1, 2), u as (select page, region, min(x0) rx0, min(y0) ry0, max(x1) rx1, max(y1) ry1 from l join k using (page, box_no) group by 1, 2)
+select page, box_no, region, rx0, ry0, rx1, ry1 from l join u using (page, region)"""
+SQL["log_tails"] = "select user_id % 8 bucket, n::int from_end, event_id || ' ' || event_type || ' ' || user_id line from (select *, row_number() over (partition by user_id % 8 order by event_id desc) n from events) where n <= 40"
+SQL["rule_guidance"] = """with e as (select *, 'kind ' || (user_id % 60) kind from events),
+v as (select kind, ts, max(struct_pack(rule := 'rule ' || (event_id % 9), active := event_type = 'error')) v from e where event_type in ('error', 'purchase') and user_id % 60 <> 7 and user_id % 3 = 0 and event_id % 10 = 0 group by 1, 2),
+d as (select event_id doc_id, kind, ts from e where event_type not in ('error', 'purchase') and user_id % 60 % 3 < 2),
+j as (select d.*, v.ts since, v.v v from d asof left join v on d.kind = v.kind and d.ts >= v.ts)
+select doc_id, kind, case when since is null then 'missing' when ts > since + interval 2 day then 'stale' when v.active then 'active' else 'inactive' end state, case when v.active and ts <= since + interval 2 day then v.rule end as rule from j"""
 SQL["style_scales"] = """with f as (select l_returnflag || l_linestatus style, l_orderkey % 10 page, 0.7::double + l_discount * 4 - l_tax fit from lineitem), t as (select style, median(fit) target from f group by 1), l as (select style, page, median(fit) as local from f group by 1, 2)
 select page, count(*) n, round(min(greatest(0.8, least(target, local))), 6) least, round(max(greatest(0.8, least(target, local))), 6) most from f join t using (style) join l using (style, page) group by 1"""
 SQL["dominant_styles"] = "select region, style, n from (select l_suppkey region, l_returnflag || l_linestatus || l_linenumber style, count(*) n from lineitem group by 1, 2) qualify row_number() over (partition by region order by n desc, style) = 1"

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from quillspark.functions import arrow
 from quillspark.functions import text as T
 from quillspark.operators import pages as page_loops
-from quillspark.operators import checks, feedback, names, rendering, review, tables
+from quillspark.operators import checks, feedback, names, regions, rendering, review, tables
 from quillspark.plans import relations as R
-from quillspark.sources import folders, packages, parsers, publish, state
+from quillspark.sources import folders, packages, parsers, publish, state, tail
 
 QUERIES = {}
 
@@ -216,14 +216,48 @@ def retry_waits(spark, sf):
 # Geometry, styles, pages
 
 
+def page_boxes(spark, sf):
+    """A box for each order; some are cells."""
+    o = R.table(spark, sf, "orders")
+    x0, y0 = (F.col("o_custkey") % 97 * 10).cast("double"), (F.col("o_orderkey") * 7 % 83 * 10).cast("double")
+    kind = F.when(F.left("o_orderpriority", F.lit(1)).isin("1", "2"), "cell").otherwise("block")
+    return o.select((F.col("o_orderkey") % 400).alias("page"), kind.alias("kind"), F.col("o_orderkey").alias("box_no"), x0.alias("x0"), y0.alias("y0"), (x0 + 15 + F.col("o_orderkey") % 11 * 5).alias("x1"), (y0 + 10 + F.col("o_custkey") % 13 * 5).alias("y1"))
+
+
 @query
 def points_in_boxes(spark, sf):
     """A23, D17"""
     li = R.table(spark, sf, "lineitem")
-    points = li.select((F.col("l_orderkey") % 20).alias("page"), (F.col("l_quantity") * 10).alias("x"), (F.col("l_partkey") % 400).cast("double").alias("y"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
-    boxes = spark.range(80).select((F.col("id") % 20).alias("page"), F.floor(F.col("id") / 20).alias("box_no"))
-    boxes = boxes.select("page", "box_no", (F.col("box_no") * 120.0).alias("x0"), (F.col("page") * 3.0).alias("y0"), (F.col("box_no") * 120.0 + 150).alias("x1"), (F.col("page") * 3.0 + 200).alias("y1"))
-    return names.in_boxes(points, boxes).groupBy("page", "box_no").agg(F.count("*").alias("n_points"), F.sum("y").alias("sum_y"))
+    point = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")
+    points = li.select((F.col("l_orderkey") % 400).alias("page"), point.alias("point"), (F.col("l_partkey") % 991).cast("double").alias("x"), (F.col("l_partkey") * 3 + F.col("l_linenumber") * 57).alias("y")).select("page", "point", "x", (F.col("y") % 877).cast("double").alias("y"))
+    return regions.placed(points, page_boxes(spark, sf)).groupBy("page", "kind", "box_no").agg(F.count("*").alias("n_points"), F.sum("y").alias("sum_y"))
+
+
+@query
+def page_regions(spark, sf):
+    """A23"""
+    out = regions.merged(page_boxes(spark, sf).filter("kind = 'block'").drop("kind"), keep=lambda df, label: folders.written(df, label))
+    return out.select("page", "box_no", "region", "rx0", "ry0", "rx1", "ry1")
+
+
+@query
+def log_tails(spark, sf):
+    """The last lines of the log of each of eight parts"""
+    spark.dataSource.register(tail.TailSource)
+    root = folders.fresh_folder(spark, "logs")
+    events = R.table(spark, sf, "events").select((F.col("user_id") % 8).alias("bucket"), "event_id", F.concat_ws(" ", "event_id", "event_type", "user_id").alias("line"))
+    events.repartition("bucket").sortWithinPartitions("bucket", "event_id").select("bucket", "line").write.partitionBy("bucket").text(f"{root}/log")
+    rows = spark.read.format("quill_tail").option("paths", f"{root}/log").option("lines", 40).option("block", 512).load()
+    return rows.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "from_end", "line")
+
+
+@query
+def rule_guidance(spark, sf):
+    """M16"""
+    e = R.table(spark, sf, "events").withColumn("kind", F.concat(F.lit("kind "), F.col("user_id") % 60))
+    versions = e.filter("event_type in ('error', 'purchase') and user_id % 60 <> 7 and user_id % 3 = 0 and event_id % 10 = 0").select("kind", "ts", F.concat(F.lit("rule "), F.col("event_id") % 9).alias("rule"), (F.col("event_type") == "error").alias("active"))
+    documents = e.filter("event_type not in ('error', 'purchase') and user_id % 60 % 3 < 2").select(F.col("event_id").alias("doc_id"), "kind", "ts")
+    return feedback.guidance(documents, versions, 2).select("doc_id", "kind", "state", "rule")
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.sources.publish import _place
 
@@ -28,3 +28,10 @@ def put_text(uri: str, text: str) -> None:
     files.create_dir(path.rpartition("/")[0], recursive=True)
     with files.open_output_stream(path) as out:
         out.write(text.encode())
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to a new shared folder and read back: cuts the lineage, and survives lost executors."""
+    path = f"{fresh_folder(df.sparkSession, label)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
