@@ -19,12 +19,24 @@ def quoted(*values: str) -> list[str]:
     return ["'" + v.replace("'", "''") + "'" for v in values]
 
 
-SQL["file_capabilities"] = f"""with {KEYS}, f as (select k, {pick("k", *quoted("XLSX", "pdf", "png", "md", "exe", "pptx"))} e from keys)
-select 'dir/f' || k || '.' || e as path, lower(e) kind, case lower(e) when 'xlsx' then 'office' when 'pptx' then 'office' when 'pdf' then 'pdf' when 'png' then 'image' when 'md' then 'structured_text' end adapter,
-  case lower(e) when 'xlsx' then 'xlsx' when 'pptx' then 'pptx' when 'pdf' then 'pdf' when 'png' then 'md' when 'md' then 'md' end as output,
-  case lower(e) when 'xlsx' then 'native objects and immutable fields preserved' when 'pptx' then 'native objects and immutable fields preserved' when 'pdf' then 'translated reconstruction; visual review required' when 'png' then 'text extraction, not image replication' when 'md' then 'native syntax and protected fields validated' end guarantee from f"""
-SQL["sniffed_kinds"] = f"with {KEYS} select k, {pick('k', *quoted('ole', 'zip', 'pdf', 'png', 'jpg', 'webp', 'text'))} kind from keys"
-SQL["text_inspection"] = f"with {KEYS} select k, {pick('k', '2', '7', '2', 'null', 'null', '2')}::bigint n_chars, {pick('k', 'null', 'null', chr(39) + 'json' + chr(39), *quoted('encoding', 'encoding'), 'null')} error from keys"
+PARTS = "parts as (select p_partkey::bigint k, p_name as name, p_brand brand, p_type kind_of, p_size size, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b from part)"
+
+
+def composed(template: str) -> str:
+    """A text of columns between angle quotes; a mark stands for a newline, another for a return."""
+    return "concat(" + ", ".join(p if k % 2 else "replace(replace(" + quoted(p)[0] + ", '~', chr(10)), '%', chr(13))" for k, p in enumerate(re.split("[‹›]", template))) + ")"
+
+
+_KINDS = {"xlsx": ("office", "xlsx"), "pptx": ("office", "pptx"), "docx": ("office", "docx"), "pdf": ("pdf", "pdf")} | {x: ("image", "md") for x in ("png", "jpg", "jpeg", "webp")} | {x: ("structured_text", x) for x in ("txt", "md", "csv", "json", "html", "htm")}
+_PROMISES = {"office": "native objects and immutable fields preserved", "pdf": "translated reconstruction; visual review required", "image": "text extraction, not image replication", "structured_text": "native syntax and protected fields validated"}
+_CAPABLE = "capable as (select * from (values " + ", ".join(f"('{k}', '{a}', '{o}', '{_PROMISES[a]}')" for k, (a, o) in _KINDS.items()) + ") t(kind, adapter, output, guarantee))"
+SQL["file_capabilities"] = f"""with {PARTS}, {_CAPABLE}, e as (select *, {pick("size", *quoted("xlsx", "pdf", "png", "md", "exe", "pptx", "docx", "jpeg", "webp", "csv", "json", "htm", "tar.gz", ""))} || case when k % 5 = 0 then left(a, 1) else '' end x from parts),
+f as (select 'dir.v1/' || name || ' ' || k || '.' || case when k % 3 = 0 then upper(x) else x end as path, lower(regexp_extract(case when k % 3 = 0 then upper(x) else x end, '([^.]*)$', 1)) kind from e)
+select path, kind, adapter, output, guarantee from f left join capable using (kind)"""
+SQL["sniffed_kinds"] = f"""with {PARTS}, c as (select k, {pick('k', *quoted('D0CF11E0A1B1', '504B0304', '255044462D312E', '89504E470D0A1A0A', 'FFD8FFE0', '5249464600000000', '', '89504E47'))} || case when size % 2 = 0 then hex('WEBP') else '' end || hex(name) x from parts)
+select k, case when x like 'D0CF11E0%' then 'ole' when x like '504B%' then 'zip' when x like '255044462D%' then 'pdf' when x like '89504E470D0A1A0A%' then 'png' when x like 'FFD8FF%' then 'jpg' when x like '52494646________57454250%' then 'webp' else 'text' end kind, md5(unhex(x)) as content from c"""
+SQL["text_inspection"] = r"""select doc_id, case doc_id % 7 when 2 then null when 3 then null when 1 then length(regexp_replace(text, '[^\p{L} ]', '', 'g')) + 7 + case when doc_id % 2 = 0 then 2 else 0 end else length(text) end::bigint n_chars,
+ case when doc_id % 7 in (2, 3) then 'encoding' when doc_id % 7 = 1 and doc_id % 2 = 1 then 'json' end error from documents"""
 LINES_OF = """li as (select *, l_orderkey o, l_linenumber % 2 par, 'o' || l_orderkey || '.zip' as path, 'T' || l_partkey t,
   row_number() over (partition by l_orderkey order by l_linenumber % 2, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) i, count(*) over (partition by l_orderkey) n from lineitem),
 good as (select * from li where o % 11 in (0, 6, 7, 8, 9, 10))"""
@@ -59,16 +71,21 @@ SQL["renamed_workbooks"] = f"""with {LINES_OF}, b as (select path, o, bool_or(l_
  select path, 'xl/workbook.xml' as name, 'changed' change from b union all select path, 'xl/worksheets/sheet1.xml', 'changed' from b where formulas union all select path, 'sheet:0', 'It''s Data ' || o from b"""
 SQL["partial_parts"] = f"""with {LINES_OF} select path, 'xl/worksheets/sheet1.xml' as name, (57 + sum(25 + length('A' || i) + length(((i * 7 + l_partkey) % (n + 1))::varchar) + case when l_linestatus = 'F' then 52 + length('B' || i) + length(o::varchar) else 0 end))::bigint size from good where o % 3 = 1 group by path
  union all select path, 'ppt/slides/slide1.xml', (123 + sum(22 + length(t) + case l_returnflag when 'A' then 20 when 'R' then 34 else 0 end + case when l_suppkey % 5 = 0 then 19 else 0 end + case when l_partkey % 3 = 0 then 7 else 0 end))::bigint from good where o % 3 = 2 and par = 0 group by path"""
-SQL["formula_references"] = f"""with {KEYS} select k, {pick("k", *quoted("My Data,Other", "Other", "", "Jan,Other", "It's"))} sheets,
- {pick("k", *quoted("SUM('Neu'!A1,'X'!B2)", '"Other!"&' + "'X'!A1", "[Book.xlsx]Other!A1", "'Jan:X'!A1", "'It''s'!A1+Table1[Other!]"))} || '*' || k formula from keys"""
+SQL["formula_references"] = f"""with {PARTS} select k, {pick("k", "name || ',' || kind_of", "kind_of", "''", "a || ',' || b", "'It''s ' || a || ',' || b")} sheets,
+ concat({pick("k", composed("SUM('New ‹brand›'!A‹size›,'X'!B2)"), composed("#‹kind_of›!#&'X'!A1"), composed("[Book.xlsx]‹kind_of›!A1"), composed("'‹case when a = lower(kind_of) then chr(88) else a end›:‹b›''s'!A1"), composed("'It''s ‹a›'!A1+Table1[‹b›!]+'‹b›''s'!B‹size›"))}, '*', k) formula from parts""".replace("#", '"')
 _FRAME = """'{"type": "stage", "n": ' || event_id || '}'"""
-SQL["event_frames"] = f"""select event_id, {pick("event_id", "2", "2", "1", "2")}::bigint n, {_FRAME} || {pick("event_id", *quoted('|{"type": "complete"}', "|{" + '"type":' + "~" + '"error"}', "", '|{"type": "stage"}'))} frames, {pick("event_id", "null", "null", "'malformed'", "'truncated'")} error from events""".replace("frames,", "frames,").replace("'|{\"type\":~\"error\"}'", "'|{\"type\":' || chr(10) || '\"error\"}'")
-SQL["glossary_pairs"] = f"with {KEYS} select k, k % 4 in (0, 3) valid, case k % 4 when 0 then 'b' when 3 then 'c' end a, case k % 4 when 0 then 'x = y' when 3 then 'z' end own from keys"
-SQL["text_guards"] = rf"""with {KEYS} select k, 'a b c' || name soft, k % 2 = 1 and k % 4 <> 2 expression, regexp_replace(name, '([\\`*_{{}}\[\]()#+.!|>~-])', '\\\1', 'g') || ' \*x\* \[y\]\(z\)' escaped, 'a b' || chr(9) || 'c' || name clean, k a, false parsed from keys"""
-SQL["visual_components"] = f"with {KEYS} select k, k % 5 = 0 and k % 3 < 2 valid from keys"
+_WORDS = r"""'{"type": "stage", "n": "' || regexp_replace(text, '[^\p{L} ]', '', 'g') || '"}'"""
+SQL["event_frames"] = f"""select conv_id, turn, {pick("turn", "2", "2", "1", "2")}::bigint n, {_WORDS} || {pick("turn", *quoted('|{"type": "complete"}'), "'|{" + '"type":' + "' || chr(10) || '" + '"error"}' + "'", "''", *quoted('|{"type": "stage"}'))} frames, {pick("turn", "null", "null", "'malformed'", "'truncated'")} error from conversations"""
+SQL["glossary_pairs"] = f"""with {PARTS} select k, k % 4 in (0, 3) valid, case k % 4 when 0 then b || ' ' || size when 3 then name end a, case k % 4 when 0 then name || ' = ' || k when 3 then kind_of end own from parts"""
+SQL["text_guards"] = rf"""with d as (select doc_id, left(text, 300) t from documents) select doc_id, replace(t, ' ', ' ') soft, doc_id % 2 = 1 and regexp_matches({pick("doc_id", "'='", "' +'", "''", "'- '")} || t, '^\s*[=+@-]') expression,
+ regexp_replace(regexp_replace(t || ' *x*' || chr(13) || chr(10) || ' [y](z)', '\s*\r?\n\s*', ' ', 'g'), '([\\`*_{{}}\[\]()#+.!|>~-])', '\\\1', 'g') escaped,
+ regexp_replace(case when doc_id % 2 = 0 then t else replace(t, ' ', chr(9)) end, '[\x01-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') clean, case when doc_id % 3 > 0 then doc_id end a, doc_id % 3 > 0 parsed from d"""
+SQL["visual_components"] = """with b as (select *, l_tax * 8 - 0.1::double x0, case when l_quantity = 13 then null else l_discount * 5 end y0, l_quantity / 45 x1, (l_suppkey % 50) / 48::double y1 from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, coalesce(l_returnflag in ('A', 'N') and l_partkey % 17 > 0 and least(x0, y0, x1, y1) >= 0 and greatest(x0, y0, x1, y1) <= 1 and y0 is not null and x0 < x1 and y0 < y1, false) valid from b"""
 SQL["sanitised_settings"] = f"with {KEYS} select k, 'Token=[redacted];a.b.api_key=[redacted];a.image_bytes=<image_bytes len=' || length(name) || '>;plain=' || k || ';raw=<bytes len=2>' settings from keys"
 SQL["model_options"] = "select * from (values ('nova-1-pro', 'Nova 1 Pro', 12.0::double), ('nova-2-flash', 'nova-2-flash', 21.0::double), ('other', 'Other flash', 0.0::double), ('google-translate', 'Google Translate (Free)', 0.0::double)) t(id, name, score)"
-SQL["retry_waits"] = f"with {KEYS} select k, (case when k % 4 = 1 then 120 when k % 4 = 3 then 1 when k % 3 = 0 then 7.5 else 9 end)::double wait, '2.0,4.0,8.0' transient from keys"
+SQL["retry_waits"] = f"""with {PARTS}, w as (select *, case k % 4 when 1 then k * 7 % 5000 - 100 when 3 then size / 4 end head, case when k % 3 = 0 then size / 2 end detail, case when k % 5 > 0 then size end said from parts)
+select k, greatest(1, coalesce(head, detail, said, least(300, 15 * pow(2, least(size % 7, 5)))))::double wait, '2.0,4.0,8.0' transient from w"""
 BOXES = """b as (select o_orderkey % 400 page, case when left(o_orderpriority, 1) in ('1', '2') then 'cell' else 'block' end kind, o_orderkey box_no, (o_custkey % 97 * 10)::double x0, (o_orderkey * 7 % 83 * 10)::double y0,
  (o_custkey % 97 * 10 + 15 + o_orderkey % 11 * 5)::double x1, (o_orderkey * 7 % 83 * 10 + 10 + o_custkey % 13 * 5)::double y1 from orders)"""
 SQL["points_in_boxes"] = f"""with {BOXES}, p as (select distinct l_orderkey % 400 page, (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey point, (l_partkey % 991)::double x, ((l_partkey * 3 + l_linenumber * 57) % 877)::double y from lineitem),
@@ -92,7 +109,8 @@ SQL["missing_letters"] = f"with {KEYS} select k, case k % 3 when 0 then '' when
 SQL["page_findings"] = f"""with {PAGES}, b as (select doc_id, page_no, length(body) % 5 = 0 blank from pages_), a as (select doc_id, page_no, page_no % 4 = 1 blank from pages_ where page_no % 5 <> 3 union all select doc_id, 99, length(body) % 5 = 0 from pages_ where page_no = 0),
 j as (select doc_id, page_no, case when a.blank is null then 'page_missing' when b.blank is null then 'page_added' when a.blank and not b.blank then 'blank_output' end code from b full join a using (doc_id, page_no))
 select doc_id, page_no, code, case when code = 'page_added' then 'review' else 'error' end severity from j where code is not null"""
-SQL["typeset_checks"] = f"""with {KEYS} select k, array_to_string(list_filter([case when k % 3 <> 1 and k % 2 = 0 then 'blank_page' end, case when k % 3 = 0 then 'small_text' end, case when k % 2 = 0 then 'compact_layout' end], lambda x: x is not null), ',') findings, {pick("k", "85000", "null", "55250", "68000")}::int next_scale from keys"""
+SQL["typeset_checks"] = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, array_to_string(list_filter([case when l_partkey % 4 = 0 and (220 + l_quantity)::int >= 245 then 'blank_page' end, case when l_discount * 5 + 0.2::double < 0.45::double then 'small_text' end,
+ case when l_linestatus = 'F' then 'compact_layout' end], lambda x: x is not null), ',') findings, case when l_partkey * 50 + l_suppkey >= 65000 then greatest(55000, floor((l_partkey * 50 + l_suppkey) * 0.85::double)) end::int next_scale from lineitem"""
 # Every attempt's draft is judged by itself; a page takes the first one without defects, or the last.
 _ATTEMPTS = PAGES.replace("pages_ as", "own as") + r""", second as (select *, replace(replace(body, '[text continues]', ''), 'Article 5', 'Article five') b2 from own),
 drafts as (select doc_id, page_no, a, case a when 1 then body when 2 then b2 else replace(b2, 'TODO check', 'checked') end body from second, range(1, 4) t(a))"""
@@ -136,14 +154,6 @@ SQL["contents_pages"] = rf"""with {PAGES}, l as (select doc_id, page_no, unnest(
 s as (select *, regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '(\S)\s{{2,}}(Chapter|Section|Article|Part)', '\1' || chr(10) || '\2', 'g') y from l where regexp_matches(x, '\S') and not regexp_matches(x, '^\s*```')),
 n as (select *, max(i) over (partition by doc_id, page_no) last from s), g as (select doc_id, page_no, string_agg(case when i = last and regexp_matches(y, '^[0-9]+$') then '[Page: ' || y || ']' else y end, chr(10) order by i) b from n group by 1, 2)
 select p.doc_id, p.page_no, md5(coalesce(b, '')) digest, length(coalesce(b, ''))::bigint n_chars from pages_ p left join g using (doc_id, page_no)"""
-PARTS = "parts as (select p_partkey::bigint k, p_name as name, p_brand brand, p_type kind_of, p_size size, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b from part)"
-
-
-def composed(template: str) -> str:
-    """A text of columns between angle quotes; a mark stands for a newline, another for a return."""
-    return "concat(" + ", ".join(p if k % 2 else "replace(replace(" + quoted(p)[0] + ", '~', chr(10)), '%', chr(13))" for k, p in enumerate(re.split("[‹›]", template))) + ")"
-
-
 def _leaders(title: str) -> str:
     return f"repeat('·', greatest(10, least(65, 80 - (length({title}) * 3) // 2)))"
 

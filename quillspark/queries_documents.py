@@ -42,36 +42,34 @@ def keys(spark, sf):
 
 # Files and packages
 
+#: Extensions of the files below, some of which no adapter knows.
+EXTENSIONS = ("xlsx", "pdf", "png", "md", "exe", "pptx", "docx", "jpeg", "webp", "csv", "json", "htm", "tar.gz", "")
+
 
 @query
 def file_capabilities(spark, sf):
     """A1"""
-    files = keys(spark, sf).select(F.concat(F.lit("dir/f"), k(), F.lit("."), pick(k(), "XLSX", "pdf", "png", "md", "exe", "pptx")).alias("path"))
+    end = F.concat(pick(F.col("size"), *EXTENSIONS), F.when(k() % 5 == 0, F.left("a", F.lit(1))).otherwise(""))
+    files = named_parts(spark, sf).select(F.concat(F.lit("dir.v1/"), "name", F.lit(" "), k(), F.lit("."), F.when(k() % 3 == 0, F.upper(end)).otherwise(end)).alias("path"))
     return packages.capability(files).select("path", "kind", "adapter", "output", "guarantee")
 
 
 @query
 def sniffed_kinds(spark, sf):
     """A2, A8"""
-    content = F.unhex(pick(k(), "D0CF11E0A1B1", "504B0304", "255044462D312E", "89504E470D0A1A0A00", "FFD8FFE0", "524946460000000057454250", "48656C6C6F"))
-    return keys(spark, sf).select("k", packages.sniffed(content).alias("kind"))
+    head = pick(k(), "D0CF11E0A1B1", "504B0304", "255044462D312E", "89504E470D0A1A0A", "FFD8FFE0", "5249464600000000", "", "89504E47")
+    content = F.unhex(F.concat(head, F.when(F.col("size") % 2 == 0, F.hex(F.lit("WEBP"))).otherwise(""), F.hex("name")))
+    return named_parts(spark, sf).select("k", packages.sniffed(content).alias("kind"), F.md5(content).alias("content"))
 
 
 @query
 def text_inspection(spark, sf):
     """A9"""
-    content = F.unhex(pick(k(), "EFBBBF7B7D", "7B2261223A317D", "7B61", "6100", "FFFE", "E282AC20"))
-    rows = keys(spark, sf).select(F.col("k"), content.alias("content"), pick(k(), "json", "txt").alias("kind"))
-    return parsers.inspected(rows.withColumn("kind", F.when(k() % 6 == 2, "json").otherwise(F.col("kind")))).select("k", "n_chars", "error")
-
-
-def _parts(spark, sf):
-    return packages.members(R.packages(spark, sf))
-
-
-def _good(spark, sf):
-    parts = _parts(spark, sf)
-    return parts.join(packages.verdicts(parts).filter("verdict = 'ok'").select("path"), "path", "left_semi")
+    n, raw = F.col("doc_id"), F.encode("text", "UTF-8")
+    quoted = F.encode(F.concat(F.lit('{"t": "'), F.regexp_replace("text", r"[^\p{L} ]", ""), F.when(n % 2 == 0, '"}').otherwise("")), "UTF-8")
+    content = F.when(n % 7 == 0, F.concat(F.unhex(F.lit("EFBBBF")), raw)).when(n % 7 == 1, quoted).when(n % 7 == 2, F.concat(raw, F.unhex(F.lit("FF")))).when(n % 7 == 3, F.concat(raw, F.unhex(F.lit("00")), raw)).otherwise(raw)
+    rows = R.table(spark, sf, "documents").select("doc_id", content.alias("content"), F.when(n % 7 == 1, "json").otherwise("txt").alias("kind"))
+    return parsers.inspected(rows).select("doc_id", "n_chars", "error")
 
 
 @query
@@ -141,9 +139,10 @@ def partial_parts(spark, sf):
 @query
 def formula_references(spark, sf):
     """I21"""
-    formula = F.concat(pick(k(), "SUM('My Data'!A1,Other!B2)", "\"Other!\"&Other!A1", "[Book.xlsx]Other!A1", "Jan:Other!A1", "'It''s'!A1+Table1[Other!]"), F.lit("*"), k())
-    table = F.create_map(F.lit("my data"), F.lit("Neu"), F.lit("OTHER"), F.lit("X"))
-    return keys(spark, sf).select("k", F.array_join(arrow.qualifiers(formula), ",").alias("sheets"), arrow.renamed_sheets(formula, table).alias("formula"))
+    texts = ("SUM('‹name›'!A‹size›,‹kind_of›!B2)", '"‹kind_of›!"&‹kind_of›!A1', "[Book.xlsx]‹kind_of›!A1", "‹a›:‹b›!A1", "'It''s ‹a›'!A1+Table1[‹b›!]+‹b›!B‹size›")
+    formula = F.concat(pick(k(), *map(composed, texts)), F.lit("*"), k())
+    table = F.create_map("name", F.concat(F.lit("New "), "brand"), F.lower("kind_of"), F.lit("X"), F.upper("b"), F.concat("b", F.lit("'s")))
+    return named_parts(spark, sf).select("k", F.array_join(arrow.qualifiers(formula), ",").alias("sheets"), arrow.renamed_sheets(formula, table).alias("formula"))
 
 
 # Streams, settings, guards
@@ -152,37 +151,41 @@ def formula_references(spark, sf):
 @query
 def event_frames(spark, sf):
     """A31"""
-    n = F.col("event_id")
-    body = F.concat(F.lit("data: {\"type\": \"stage\", \"n\": "), n, F.lit("}\r\n\r\n: note\n\n"))
-    end = pick(n, "data:{\"type\": \"complete\"}\n\ndata: {\"type\": \"late\"}\n\n", "data: {\"type\":\ndata:   \"error\"}", "data: {broken\n\ndata: {\"type\": \"complete\"}\n\n", "data: {\"type\": \"stage\"}\n\n")
-    rows = R.table(spark, sf, "events").select("event_id", parsers.event_frames(F.concat(body, end)).alias("e"))
-    return rows.select("event_id", F.size("e.frames").cast("long").alias("n"), F.array_join("e.frames", "|").alias("frames"), F.col("e.error").alias("error"))
+    n, words = F.col("turn"), F.regexp_replace("text", r"[^\p{L} ]", "")
+    body = F.concat(F.lit('data: {"type": "stage", "n": "'), words, F.lit('"}\r\n\r\n: note\n\n'))
+    end = pick(n, 'data:{"type": "complete"}\n\ndata: {"type": "late"}\n\n', 'data: {"type":\ndata:   "error"}', 'data: {broken\n\ndata: {"type": "complete"}\n\n', 'data: {"type": "stage"}\n\n')
+    rows = R.table(spark, sf, "conversations").select("conv_id", "turn", parsers.event_frames(F.concat(body, end)).alias("e"))
+    return rows.select("conv_id", "turn", F.size("e.frames").cast("long").alias("n"), F.array_join("e.frames", "|").alias("frames"), F.col("e.error").alias("error"))
 
 
 @query
 def glossary_pairs(spark, sf):
     """A32, C13"""
-    text = F.concat(F.lit("a = b\n\n"), F.col("name"), pick(k(), " = x = y\n", "\n", " =  \n", " = z\r\na = c"))
+    text = F.concat(composed("‹a› = ‹b› ‹size›\n\n‹brand›"), pick(k(), composed(" = ‹name› = ‹k›\n"), "\n", " =  \n", composed(" =  ‹kind_of› \r\n‹a› = ‹name›")))
     table = parsers.glossary(text)
-    return keys(spark, sf).select("k", F.map_values(table).isNotNull().alias("valid"), F.try_element_at(table, F.lit("a")).alias("a"), F.try_element_at(table, F.col("name")).alias("own"))
+    return named_parts(spark, sf).select("k", F.map_values(table).isNotNull().alias("valid"), F.try_element_at(table, F.col("a")).alias("a"), F.try_element_at(table, F.col("brand")).alias("own"))
 
 
 @query
 def text_guards(spark, sf):
     """A22, B6, B7, I13, I29"""
-    value = F.concat(pick(k(), "=", " +", "", "- "), F.col("name"))
-    fenced = F.concat(F.lit("```json\n{\"a\": "), k(), F.lit("}\n```"))
-    return keys(spark, sf).select(
-        "k", T.soft_breaks(F.concat(F.lit("a_x000B_b\x0bc"), "name")).alias("soft"), T.formula_guard(pick(k(), "=x", "y"), value).alias("expression"), T.markdown_escaped(F.concat("name", F.lit(" *x*\r\n [y](z)"))).alias("escaped"),
-        T.sanitized(F.concat(F.lit("a\x01b\tc"), "name")).alias("clean"), F.get_json_object(T.unfenced(fenced), "$.a").cast("long").alias("a"), F.try_parse_json(T.unfenced(F.lit("``` {"))).isNotNull().alias("parsed"),
+    n, text = F.col("doc_id"), F.substring("text", 1, 300)
+    value = F.concat(pick(n, "=", " +", "", "- "), text)
+    fenced = F.concat(F.lit('```json\n{"a": '), n, F.when(n % 3 == 0, "").otherwise("}"), F.lit("\n```"))
+    return R.table(spark, sf, "documents").select(
+        "doc_id", T.soft_breaks(F.regexp_replace(text, " ", F.when(n % 2 == 0, "_x000B_").otherwise("\x0b"))).alias("soft"), T.formula_guard(pick(n, "=x", "y"), value).alias("expression"), T.markdown_escaped(F.concat(text, F.lit(" *x*\r\n [y](z)"))).alias("escaped"),
+        T.sanitized(F.regexp_replace(text, " ", F.when(n % 2 == 0, "\x01").otherwise("\t"))).alias("clean"), F.get_json_object(T.unfenced(fenced), "$.a").cast("long").alias("a"), F.try_parse_json(T.unfenced(fenced)).isNotNull().alias("parsed"),
     )
 
 
 @query
 def visual_components(spark, sf):
     """C11, M6"""
-    box = pick(k(), F.array(*map(F.lit, (0.0, 0.1, 0.5, 0.6))), F.array(*map(F.lit, (0.5, 0.1, 0.5, 0.6))), F.array(*map(F.lit, (0.0, 0.1, 1.5, 0.6))), F.array(F.lit(0.0), F.lit(float("nan")), F.lit(0.5), F.lit(0.6)), F.array(*map(F.lit, (0.0, 0.1, 0.5))))
-    return keys(spark, sf).select("k", names.valid_component(pick(k(), "text", "table", "banner"), box).alias("valid"))
+    li = R.table(spark, sf, "lineitem")
+    box = F.array(F.col("l_tax") * 8 - 0.1, F.when(F.col("l_quantity") == 13, F.lit(float("nan"))).otherwise(F.col("l_discount") * 5), F.col("l_quantity") / 45, F.col("l_suppkey") % 50 / 48)
+    box = F.when(F.col("l_partkey") % 17 == 0, F.slice(box, 1, 3)).otherwise(box)
+    kind = F.when(F.col("l_returnflag") == "A", "text").when(F.col("l_returnflag") == "N", "table").otherwise("banner")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", names.valid_component(kind, box).alias("valid"))
 
 
 @query
@@ -208,9 +211,11 @@ def model_options(spark, sf):
 def retry_waits(spark, sf):
     """I26, J9"""
     now = F.lit("2024-01-30 00:00:00").cast("timestamp")
-    header = pick(k(), None, "Tue, 30 Jan 2024 00:02:00 GMT", "x", "Mon, 29 Jan 2024 00:00:00 GMT")
-    details = F.when(k() % 3 == 0, F.lit('[{"other": 1}, {"retryDelay": "7.5s"}]'))
-    return keys(spark, sf).select("k", T.retry_delay(F.lit("429: retry in 9 s"), header, F.lit(1), now, details).alias("wait"), F.array_join(review.retry_schedule(), ",").alias("transient"))
+    seconds = k() * 7 % 5000 - 100
+    header = F.when(k() % 4 == 1, F.concat(F.date_format(now + F.make_dt_interval(secs=seconds), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(k() % 4 == 2, "x").when(k() % 4 == 3, (F.col("size") / 4).cast("string"))
+    details = F.when(k() % 3 == 0, F.concat(F.lit('[{"other": 1}, {"retryDelay": "'), F.col("size") / 2, F.lit('s"}]')))
+    message = F.concat(F.lit("429: "), "name", F.when(k() % 5 == 0, "").otherwise(F.concat(F.lit(" retry in "), "size", F.lit(" s"))))
+    return named_parts(spark, sf).select("k", T.retry_delay(message, header, F.col("size") % 7, now, details).alias("wait"), F.array_join(review.retry_schedule(), ",").alias("transient"))
 
 
 # Geometry, styles, pages
@@ -291,20 +296,10 @@ def page_findings(spark, sf):
 @query
 def typeset_checks(spark, sf):
     """R2, R3, R6"""
-    found = review.page_status(pick(k(), " ", "x", ""), pick(k(), 250, 100), pick(k(), 0.4, 0.5, 0.45), k() % 2 == 0)
-    return keys(spark, sf).select("k", F.array_join(found, ",").alias("findings"), review.autofit(pick(k(), 100_000, 64_999, 65_000, 80_001)).alias("next_scale"))
-
-
-def redrafted(body: Column, attempt: Column) -> Column:
-    """Stands for a translator: each attempt heeds one more rule."""
-    second = F.replace(F.replace(body, F.lit("[text continues]"), F.lit("")), F.lit("Article 5"), F.lit("Article five"))
-    return F.when(attempt == 1, body).when(attempt == 2, second).otherwise(F.replace(second, F.lit("TODO check"), F.lit("checked")))
-
-
-def relaid(draft: Column, attempt: Column) -> Column:
-    """Stands for a layout specialist."""
-    second = F.replace(F.replace(draft, F.lit("\\frac{1}{2}"), F.lit("1/2")), F.lit("Chapter 1 one Chapter 2 two"), F.lit("Chapter 1 one\nChapter 2 two"))
-    return F.when(attempt == 1, draft).when(attempt == 2, second).otherwise(F.replace(second, F.lit("second key: two value"), F.lit("and a second key")))
+    li = R.table(spark, sf, "lineitem")
+    words = F.when(F.col("l_partkey") % 4 == 0, " \n").otherwise(F.col("l_returnflag"))
+    found = review.page_status(words, (220 + F.col("l_quantity")).cast("int"), F.col("l_discount") * 5 + 0.2, F.col("l_linestatus") == "F")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.array_join(found, ",").alias("findings"), review.autofit((F.col("l_partkey") * 50 + F.col("l_suppkey")).cast("int")).alias("next_scale"))
 
 
 @query

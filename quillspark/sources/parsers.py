@@ -223,7 +223,9 @@ def glossary(text: Column) -> Column:
     own = F.filter(F.split(text, r"\r?\n"), lambda x: ~x.rlike(r"^\s*$"))
     side = lambda x, k: F.trim(F.regexp_extract(x, r"^([^=]*)=(.*)$", k))
     bad = F.exists(own, lambda x: ~x.rlike(r"^[^=]*\S[^=]*=.*\S") | (F.length(side(x, 1)) > 500) | (F.length(side(x, 2)) > 500)) | (F.size(own) > 200)
-    last = F.filter(F.transform(own, lambda x, i: F.struct(side(x, 1).alias("key"), side(x, 2).alias("value"), i.alias("i"))), lambda p: ~F.exists(F.slice(own, p["i"] + 2, F.size(own)), lambda y: side(y, 1) == p["key"]))
+    backwards = F.reverse(F.transform(own, lambda x: side(x, 1)))
+    pairs = F.transform(own, lambda x, i: F.struct(side(x, 1).alias("key"), side(x, 2).alias("value"), (F.size(own) - i).alias("from_end")))
+    last = F.filter(pairs, lambda p: F.array_position(backwards, p["key"]) == p["from_end"])
     return F.when(~bad, F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"]))))
 
 
