@@ -153,27 +153,35 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
 
 
 def _contained_by_join(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The same for benchmarks of any size: sketches and low document shingles meet in a shuffled join."""
+    """The same for benchmarks of any size: sketches and low document shingles meet in a shuffled join, partitioned by width and size class.
+
+    The largest sketch hash of each class bounds what documents send to it, so short items, whose sketches reach far up, don't make documents
+    send what only the large classes could need.
+    """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ends = tk.buffer(batch.column("sketch").cast(pa.large_binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), dtype=np.int64)), batch.column("item_id").take(pa.array(tk.owner(ends // 8)))], names=["g", "item_id"])
+            at = pa.array(tk.owner(ends // 8))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("width", "size_class")], pa.array(np.frombuffer(raw.tobytes(), dtype=np.int64)), batch.column("item_id").take(at)], names=["width", "size_class", "g", "item_id"])
 
-    sketch = known.select("item_id", "sketch").mapInArrow(sketches, "g long, item_id long")
-    # The largest sketch hash of each width bounds what documents send.
-    tops = {r.width: r.top + (1 << 63) for r in known.groupBy("width").agg(F.max("top").alias("top")).collect()}  # 1 to WIDTH rows
+    sketch = known.select("width", "size_class", "item_id", "sketch").mapInArrow(sketches, "width int, size_class int, g long, item_id long")
+    # One row for each width and bit length of a number of shingles: WIDTH * 64 at most.
+    tops = [(r.width, r.size_class, r.top + (1 << 63)) for r in known.groupBy("width", "size_class").agg(F.max("top").alias("top")).collect()]
 
     @tk.tidy
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.pieces(batches):
             words = _words(batch.column("text"))
-            for w, top in tops.items():
-                g, row = _grams(words, w)
+            grams = {w: _grams(words, w) for w in {t[0] for t in tops}}
+            for w, size_class, top in tops:
+                g, row = grams[w]
                 at = np.flatnonzero(g <= tk.U(top))
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), batch.column("doc_id").take(pa.array(row[at])), batch.column("tie").take(pa.array(row[at]))], names=["g", "doc_id", "tie"])
+                same = [pa.array(np.full(len(at), x, dtype=np.int32)) for x in (w, size_class)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(g[at].view(np.int64)), batch.column("doc_id").take(pa.array(row[at])), batch.column("tie").take(pa.array(row[at]))], names=["width", "size_class", "g", "doc_id", "tie"])
 
-    pairs = rows.mapInArrow(low, "g long, doc_id long, tie long").distinct().join(sketch, "g").select("doc_id", "tie", "item_id").distinct()
+    sent = rows.mapInArrow(low, "width int, size_class int, g long, doc_id long, tie long").distinct()
+    pairs = sent.join(sketch, ["width", "size_class", "g"]).select("doc_id", "tie", "item_id").distinct()
     pairs = materialise(pairs, "candidates")
     full = pairs.join(known.select("item_id", "width", F.col("text").alias("item")), pairs["item_id"].eqNullSafe(known["item_id"])).select("doc_id", "tie", pairs["item_id"], "width", "item")
     texts = rows.dropDuplicates(["doc_id", "tie"]).withColumnsRenamed({"doc_id": "d", "tie": "t"})
