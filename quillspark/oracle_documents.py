@@ -159,6 +159,9 @@ def _leaders(title: str) -> str:
 
 
 _RENDERED = {
+    "blocks": '<div class="doc-title">‹name›</div>~<div class="doc-chapter">Chapter ‹k› on ‹a›</div>~<div class="doc-paragraph">plain ‹b› text that goes on</div>~<div class="doc-clause"><b>‹size›.1</b> clause ‹a› more of it</div>~<div class="doc-item"><b>1.</b> item ‹name›</div>~'
+    '<div class="doc-bullet-item">• bullet ‹a›</div>~<div class="doc-sub-bullet">• deeper ‹b›</div>~<div class="doc-subitem"><b>(1)</b> condition ‹a›</div>~<div class="doc-sub-bullet">• after ‹b›</div>~<table><tbody><tr><th>‹a›</th><th>‹b›</th></tr><tr><td>‹k›</td><td>x</td></tr></tbody></table>~'
+    '<div class="doc-tree">└── ‹name›</div>~<svg>~| ‹a›~</svg>~<div class="doc-paragraph">‹a›: ‹b›</div>~<div class="doc-item"><b>‹k›.</b> counted</div>~<div class="doc-subitem-desc">indented ‹b›</div>',
     "cover": '<div class="cover-title">‹name›</div><div class="cover-date">‹brand›</div><div class="cover-date">2024-‹size›</div><div class="cover-stamp-container"><table class="stamp-table"><tr><td>‹kind_of›, ‹a›</td></tr></table></div>',
     "fractions": '~<table class="formula-table"><tr><td>‹name› =</td><td>‹size›</td></tr><tr><td></td><td>‹b›+{‹k›}</td></tr></table>~and ‹a› × ‹k›',
     "lists": '<p class="item"><strong>‹size›.</strong> ‹a›</p>~<p class="item"><strong>‹size + 1›.</strong> ‹b›</p>',

@@ -396,6 +396,10 @@ def composed(template: str) -> Column:
 
 #: A renderer (a function of texts or of a column) and a page, with the part's columns in it, for each kind.
 PAGES_TO_RENDER = {
+    "blocks": (
+        rendering.blocks_html, "# ‹name›\nChapter ‹k› on ‹a›\nplain ‹b› text\nthat goes on\n\n‹size›.1 clause ‹a›\nmore of it\n1. item ‹name›\n• bullet ‹a›\n  • deeper ‹b›\n(1) condition ‹a›\n- after ‹b›\n```\n|‹a›|‹b›|\n|--|--|\n|‹k›|x|\n"
+        "└── ‹name›\n<svg>\n| ‹a›\n</svg>\n‹a›: ‹b›\n‹k› counted\n  indented ‹b›",
+    ),
     "cover": (rendering.cover_html, "# ‹name›\n‹brand›\n[Stamp: ‹kind_of›, ‹a›]\n2024-‹size›"),
     "fractions": (rendering.fractions, "‹name› = \\frac{‹size›}{\\text{‹b›}+{‹k›}} and $$‹a› \\times ‹k›$$"),
     "lists": (rendering.numbered_lists, '<ol start="‹size›"><li>‹a›</li><li> ‹b› </li></ol>'),

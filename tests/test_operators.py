@@ -364,3 +364,25 @@ def test_run_groups(spark):
     assert got == [("p.pptx", 1, "e"), ("p.pptx", 2, "ab"), ("p.pptx", 2, "cd"), ("w.docx", 1, "drawn"), ("w.docx", 1, "one"), ("w.docx", 1, "out"), ("w.docx", 1, "two")]
     units = {r.source for r in packages.text_units(parts).collect()}
     assert {"abcd", "e1"} <= units
+
+
+def test_blocks_of_pages(spark):
+    """Lines by the block that takes them; continuations by the same rule as the column function."""
+    html_ = rendering.blocks_html
+    assert html_("") == html_("\n```\n") == ""
+    assert html_("a\nb  \nc") == '<div class="doc-paragraph">a b</div>\n<div class="doc-paragraph">c</div>'
+    assert html_("<TABLE>\n# not a heading\n</TABLE>\n# one") == '<TABLE>\n# not a heading\n</TABLE>\n<div class="doc-title">one</div>'
+    assert html_("<svg></svg>\nx") == '<svg></svg>\n<div class="doc-paragraph">x</div>' and html_("<svg>\nx") == "<svg>\nx"
+    assert html_("|a|b|\nc|d\n\nc|d").count("<tr>") == 2 and html_("| a |\n├── b\n└── c").endswith('<div class="doc-tree">├── b\n└── c</div>')
+    assert html_("① one\nkey: value\nkey: value") == '<div class="doc-subitem"><b>①</b> one</div>\n<div class="doc-subitem-desc">key: value</div>\n<div class="doc-subitem-desc">key: value</div>'
+    assert html_("## x\n##### y\n第 2 章 z") == '<div class="doc-chapter">x</div>\n<div class="doc-subheading">y</div>\n<div class="doc-chapter">第 2 章 z</div>'
+    rnd = random.Random(2)
+    bits = ["a", "b c", "  d", "key: v", "1. x", "x:", "y  ", "z<br>", "│", "```", "<table>", "• p", "q\\\\", "", "Article 2", "3 n"]
+    pairs = [(rnd.choice(bits), rnd.choice(bits)) for _ in range(300)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.continues(F.col("a"), F.col("b")).alias("c")).collect()
+    for r in rows:
+        assert r.c == rendering.goes_on(r.a, r.b), (r.a, r.b)
+    pages = [(1, 0, "# Guide\n2024"), (1, 1, "Contents\nChapter 1 ··· 4\n\nPage 2"), (1, 2, "1.1 clause\n```\nrest\n7"), (1, 3, None)]
+    got = {r.page_no: (r.kind, r.html) for r in rendering.pages_html(spark.createDataFrame(pages, "doc_id long, page_no long, body string")).collect()}
+    assert [got[k][0] for k in range(4)] == ["body" if k > 1 else "cover" if k == 0 else "contents" for k in range(4)]
+    assert got[1][1].endswith('<div class="page-footer">2</div>') and got[2][1] == '<div class="doc-clause"><b>1.1</b> clause rest</div><div class="page-footer">7</div>' and got[3][1] == ""
