@@ -204,3 +204,5 @@ f as (select kind, obs_id, doc, ts, rn, [{'t': ts, 'd': doc}] held, true fresh f
   union all select kind, obs_id, doc, ts, rn, case when is_new then list_append(k, {'t': ts, 'd': doc})[-50:] else k end, is_new
   from (select *, not list_contains(list_transform(k, lambda x: x.d), doc) is_new from (select r.kind, r.obs_id, r.doc, r.ts, r.rn, list_filter(f.held, lambda x: x.t >= r.ts - interval 5 days) k from f join r on r.kind = f.kind and r.rn = f.rn + 1)))
 select kind, obs_id, doc, ts from f where fresh"""
+SQL["windowed_evidence"] = f"""with {OBS}, w as (select kind, len(failures) n, date_trunc('day', ts) - to_days(d::int) as start from obs, range(30) t(d))
+select start::timestamp as start, kind, count(*) documents, sum(n)::bigint failures from w where start + interval 30 day <= (select max(ts) - interval 1 day from obs) group by 1, 2"""

@@ -39,12 +39,17 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
+    return observed(table(spark, sf, "events"))
+
+
+def observed(events: DataFrame) -> DataFrame:
+    """Observations of events, a table or a stream."""
     codes = F.array(*[F.lit(c) for c in CODE_CHECKS])
     n = F.col("event_id")
     eligible = F.slice(codes, F.lit(1), (n % 6 + 1).cast("int"))
     failed = F.get(codes, (F.floor(n / 7) % 6).cast("int"))
     failures = F.when((n % 4 == 0) & F.array_contains(eligible, failed), F.array(failed)).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("obs_id"), F.col("user_id").alias("doc"), "ts", eligible.alias("eligible"), failures.alias("failures"))
+    return events.select(F.col("event_type").alias("kind"), F.col("event_id").alias("obs_id"), F.col("user_id").alias("doc"), "ts", eligible.alias("eligible"), failures.alias("failures"))
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:

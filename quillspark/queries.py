@@ -224,14 +224,25 @@ def rate_limited_requests(spark, sf):
     return limits.limited(R.requests(spark, sf), 3, 86_400).select("identity", "request_id", "accepted", "retry_seconds")
 
 
+def _event_stream(spark, sf):
+    return spark.readStream.schema(R.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query
+def windowed_evidence(spark, sf):
+    """J1 as a stream: windows that the watermark has closed"""
+    from quillspark.streaming import folds
+
+    rows = folds.run_to_end(folds.windowed_evidence(R.observed(_event_stream(spark, sf))), "windowed_evidence")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "kind", "documents", "failures")
+
+
 @query
 def stream_limiter(spark, sf):
     """J4 as a stream; equal to rate_limited_requests"""
     from quillspark.streaming import folds
 
-    source = R.table(spark, sf, "events").schema
-    events = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = events.select(F.col("user_id").alias("identity"), F.col("event_id").alias("request_id"), "ts")
+    rows = _event_stream(spark, sf).select(F.col("user_id").alias("identity"), F.col("event_id").alias("request_id"), "ts")
     return folds.run_to_end(folds.limited_stream(rows, 3, 86_400), "stream_limiter_rows").select("identity", "request_id", "accepted", "retry_seconds")
 
 

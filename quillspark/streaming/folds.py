@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,22 +41,28 @@ def limited_stream(requests: DataFrame, limit: int = 30, window: float = 60, exp
 
 
 def admitted_stream(observations: DataFrame, days: int = WINDOW_DAYS, cap: int = MAX_DOCUMENTS, expire: bool = False) -> DataFrame:
-    """[J1, J2] Observations that the evidence fold admits; the state holds at most `cap` documents with their times."""
+    """[J1, J2] Observations that the evidence fold admits; the state holds at most `cap` documents with their times.
+
+    Rows are ordered inside a micro-batch; one that comes in a later batch than a newer row is judged by the documents held then.
+    """
     span = days * 86_400.0
 
     def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             return state.remove()
         rows = pd.concat(list(groups)).sort_values(["ts", "obs_id"])
-        times, docs = (list(x) for x in state.get) if state.exists else ([], [])
-        fresh = []
+        held = deque(zip(*state.get, strict=True)) if state.exists else deque()
+        known, fresh = {doc for _, doc in held}, []
         for t, doc in zip((rows["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6).tolist(), rows["doc"].tolist(), strict=True):
-            first = next((k for k, x in enumerate(times) if x >= t - span), len(times))
-            times, docs = times[first:], docs[first:]
-            fresh.append(doc not in docs)
+            while held and held[0][0] < t - span:
+                known.discard(held.popleft()[1])
+            fresh.append(doc not in known)
             if fresh[-1]:
-                times, docs = [*times, t][-cap:], [*docs, doc][-cap:]
-        state.update((times, docs))
+                held.append((t, doc))
+                known.add(doc)
+            if len(held) > cap:
+                known.discard(held.popleft()[1])
+        state.update(([t for t, _ in held], [doc for _, doc in held]))
         if expire:
             state.setTimeoutDuration(int(span * 1000) + 1)
         yield rows[fresh][["kind", "obs_id", "doc", "ts"]]
