@@ -35,6 +35,10 @@ f as (select 'dir.v1/' || name || ' ' || k || '.' || case when k % 3 = 0 then up
 select path, kind, adapter, output, guarantee from f left join capable using (kind)"""
 SQL["sniffed_kinds"] = f"""with {PARTS}, c as (select k, {pick('k', *quoted('D0CF11E0A1B1', '504B0304', '255044462D312E', '89504E470D0A1A0A', 'FFD8FFE0', '5249464600000000', '', '89504E47'))} || case when size % 2 = 0 then hex('WEBP') else '' end || hex(name) x from parts)
 select k, case when x like 'D0CF11E0%' then 'ole' when x like '504B%' then 'zip' when x like '255044462D%' then 'pdf' when x like '89504E470D0A1A0A%' then 'png' when x like 'FFD8FF%' then 'jpg' when x like '52494646________57454250%' then 'webp' else 'text' end kind, md5(unhex(x)) as content from c"""
+SQL["image_headers"] = """with o as (select o_orderkey n, o_custkey + 1 w, o_orderkey % 4000 + 1 h, 'i' || o_orderkey || '.' || case when o_orderkey % 11 = 0 then 'webp' when o_orderkey % 17 = 0 then 'gif' else (['png', 'JPEG', 'webp'])[o_orderkey % 3 + 1] end as path from orders),
+r as (select *, case when n % 13 > 0 then (['PNG', 'JPEG', 'WEBP'])[n % 3 + 1] end form from o)
+select path, form as format, case when form is not null then w end width, case when form is not null then h end height,
+ case when path like '%.gif' then 'extension' when form is null then 'header' when n % 11 = 0 and n % 3 < 2 then 'format' end error from r"""
 SQL["text_inspection"] = r"""select doc_id, case doc_id % 7 when 2 then null when 3 then null when 1 then length(regexp_replace(text, '[^\p{L} ]', '', 'g')) + 7 + case when doc_id % 2 = 0 then 2 else 0 end else length(text) end::bigint n_chars,
  case when doc_id % 7 in (2, 3) then 'encoding' when doc_id % 7 = 1 and doc_id % 2 = 1 then 'json' end error from documents"""
 LINES_OF = """li as (select *, l_orderkey o, l_linenumber % 2 par, 'o' || l_orderkey || '.zip' as path, 'T' || l_partkey t,
@@ -111,6 +115,12 @@ j as (select doc_id, page_no, case when a.blank is null then 'page_missing' when
 select doc_id, page_no, code, case when code = 'page_added' then 'review' else 'error' end severity from j where code is not null"""
 SQL["typeset_checks"] = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, array_to_string(list_filter([case when l_partkey % 4 = 0 and (220 + l_quantity)::int >= 245 then 'blank_page' end, case when l_discount * 5 + 0.2::double < 0.45::double then 'small_text' end,
  case when l_linestatus = 'F' then 'compact_layout' end], lambda x: x is not null), ',') findings, case when l_partkey * 50 + l_suppkey >= 65000 then greatest(55000, floor((l_partkey * 50 + l_suppkey) * 0.85::double)) end::int next_scale from lineitem"""
+# Parts are runs of a batch's ids, cut at half their length; an answer is wrong by the same rules at every attempt but the first.
+SQL["asked_batches"] = f"""with recursive {SEG}, q as (select *, (row_number() over (partition by doc_id order by line_no) - 1) // 24 batch from seg), b as (select doc_id, batch, list(line_no order by line_no) ids from q group by 1, 2),
+p as (select doc_id, batch, 0 depth, ids from b
+  union all select doc_id, batch, depth + 1, unnest([ids[1:len(ids) // 2], ids[len(ids) // 2 + 1:]]) from p where depth < 2 and len(ids) > 1 and ((len(ids) > 6 and len(list_filter(ids, lambda i: i % 17 = 0)) > 0) or len(list_filter(ids, lambda i: i % 41 = 5)) > 0)),
+j as (select *, case when len(ids) > 6 and len(list_filter(ids, lambda i: i % 17 = 0)) > 0 then 'omitted' when len(list_filter(ids, lambda i: i % 41 = 5)) > 0 then 'id' end error from p)
+select doc_id, batch, ids[1] first_id, len(ids)::int n_ids, error, depth::int depth, case when error is not null or doc_id % 3 = 0 then 2 else 1 end attempt, case when error is null then len(ids)::int end n_texts from j where error is null or depth = 2 or len(ids) = 1"""
 # Every attempt's draft is judged by itself; a page takes the first one without defects, or the last.
 _ATTEMPTS = PAGES.replace("pages_ as", "own as") + r""", second as (select *, replace(replace(body, '[text continues]', ''), 'Article 5', 'Article five') b2 from own),
 drafts as (select doc_id, page_no, a, case a when 1 then body when 2 then b2 else replace(b2, 'TODO check', 'checked') end body from second, range(1, 4) t(a))"""

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import arrow
 from quillspark.functions import text as T
 from quillspark.operators import pages as page_loops
-from quillspark.operators import checks, feedback, names, regions, rendering, review, tables
+from quillspark.operators import segments
+from quillspark.operators import answers, checks, feedback, names, regions, rendering, review, tables
 from quillspark.plans import relations as R
-from quillspark.sources import folders, packages, parsers, publish, state, tail
+from quillspark.sources import folders, images, packages, parsers, publish, state, tail
 
 QUERIES = {}
 
@@ -62,6 +63,21 @@ def sniffed_kinds(spark, sf):
     return named_parts(spark, sf).select("k", packages.sniffed(content).alias("kind"), F.md5(content).alias("content"))
 
 
+@query
+def image_headers(spark, sf):
+    """Images in three formats whose sizes are the orders' own, some with another name or half a header"""
+    li = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), (F.col("o_custkey") + 1).alias("w"), (F.col("o_orderkey") % 4000 + 1).alias("h"))
+    big = lambda c, width: F.lpad(F.hex(c), width, "0")
+    little = lambda c, width: F.concat(*[F.substring(big(c, width), k, 2) for k in range(width - 1, 0, -2)])
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(F.col("w"), 8), big(F.col("h"), 8), F.lit("0802"))
+    jpeg = F.concat(F.lit("FFD8FFE000100000000000000000000000000000FFFFDB000400FF"), F.when(F.col("n") % 2 == 0, "FFC4000300").otherwise(""), F.lit("FFC2001108"), big(F.col("h"), 4), big(F.col("w"), 4))
+    webp = F.concat(F.lit("524946460000000057454250565038580A00000000000000"), little(F.col("w") - 1, 6), little(F.col("h") - 1, 6))
+    image = F.when(F.col("n") % 3 == 0, png).when(F.col("n") % 3 == 1, jpeg).otherwise(webp)
+    content = F.unhex(F.when(F.col("n") % 13 == 0, F.left(image, F.lit(36))).otherwise(image))
+    name = F.concat(F.lit("i"), "n", F.lit("."), F.when(F.col("n") % 11 == 0, "webp").when(F.col("n") % 17 == 0, "gif").otherwise(pick(F.col("n"), "png", "JPEG", "webp")))
+    return images.inspected(li.select(name.alias("path"), content.alias("content")))
+
+
 @query
 def text_inspection(spark, sf):
     """A9"""
@@ -302,6 +318,23 @@ def typeset_checks(spark, sf):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.array_join(found, ",").alias("findings"), review.autofit((F.col("l_partkey") * 50 + F.col("l_suppkey")).cast("int")).alias("next_scale"))
 
 
+@query
+def asked_batches(spark, sf):
+    """M2, M3: answers go wrong by the batch's document, attempt, size and what is in it"""
+    rows = segments.batches(R.segments(spark, sf), "doc_id", "line_no")
+    batches = rows.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list("line_no")).alias("ids"))  # 24 ids at most
+
+    def answer(ids, attempt):
+        texts = F.transform(ids, lambda i: F.concat(F.lit("line "), i))
+        late = (attempt == 1) & (F.col("doc_id") % 3 == 0)
+        poison = F.exists(ids, lambda i: i % 17 == 0) & (F.size(ids) > 6)
+        unknown = F.exists(ids, lambda i: i % 41 == 5)
+        return F.struct(F.when(late | poison, F.slice(ids, F.lit(2), F.size(ids))).when(unknown, F.transform(ids, lambda i: F.when(i % 41 == 5, -i).otherwise(i))).otherwise(ids).alias("ids"), F.when(late | poison, F.slice(texts, F.lit(2), F.size(texts))).otherwise(texts).alias("texts"))
+
+    out = answers.asked(batches, answer)
+    return out.select("doc_id", "batch", F.get("ids", F.lit(0)).alias("first_id"), F.size("ids").alias("n_ids"), "error", "depth", "attempt", F.size("answer.texts").alias("n_texts"))
+
+
 @query
 def page_loop(spark, sf):
     """M15"""

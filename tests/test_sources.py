@@ -153,3 +153,35 @@ def test_page_loop_like_a_plain_one(spark):
             m += 1
         defects = drafts[k, n][1] + laid[k, n, m][1]
         assert got[k] == (laid[k, n, m][0], n, m, defects, "needs_review" if defects else "passed"), k
+
+
+def test_image_headers(spark):
+    """Real files written by hand: segments with lengths, padding, restart marks, frames of several kinds, and broken ones."""
+    from quillspark.sources.images import header
+
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\1\0\0\0\0\2\x08"
+    jpeg = lambda frame: b"\xff\xd8\xff\xe1\0\x04ab\xff\xff\xd0\xff\xc4\0\x03x" + frame
+    webp = lambda kind, body: b"RIFF\0\0\0\0WEBP" + kind + b"\0\0\0\0" + body
+    assert header(png) == ("PNG", 256, 2) and header(png[:20]) is None and header(png.replace(b"IHDR", b"IDAT")) is None and header(png.replace(b"\0\0\1\0", b"\0\0\0\0")) is None
+    assert header(jpeg(b"\xff\xc0\0\x11\x08\0\x05\1\0")) == ("JPEG", 256, 5) and header(jpeg(b"\xff\xcf\0\x11\x08\0\x05\0\x07")) == ("JPEG", 7, 5)
+    assert header(jpeg(b"\xff\xc0\0\x11\x08\0")) is None and header(jpeg(b"\xff\xda\0\x02zz")) is None and header(b"\xff\xd8") is None
+    assert header(webp(b"VP8X", b"\0" * 4 + b"\x09\0\0\x01\x01\0")) == ("WEBP", 10, 258)
+    assert header(webp(b"VP8L", b"\x2f" + (9 | 4 << 14).to_bytes(4, "little"))) == ("WEBP", 10, 5)
+    assert header(webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a\x0a\0\x05\x40")) == ("WEBP", 10, 5)
+    assert header(webp(b"VP8 ", b"\0" * 12)) is None and header(b"") is None and header(b"text") is None
+
+
+def test_asked_again_and_in_halves(spark):
+    from quillspark.operators import answers
+
+    ids = lambda *x: list(x)
+    batches = [(1, ids(1, 2, 3)), (2, ids(4, 13, 5, 6, 7)), (3, ids(13)), (4, ids()), (5, None), (6, ids(*range(20, 33)))]
+    bad = lambda i: F.exists(i, lambda x: x == 13)
+    late = lambda i, n: (n == 1) & F.exists(i, lambda x: x == 20)
+    answer = lambda i, n: F.struct(F.when(bad(i) | late(i, n), F.slice(i, 1, F.greatest(F.size(i) - 1, F.lit(0)))).otherwise(i).alias("ids"), F.when(bad(i) | late(i, n), F.slice(F.transform(i, lambda x: x.cast("string")), 1, F.greatest(F.size(i) - 1, F.lit(0)))).otherwise(F.transform(i, lambda x: x.cast("string"))).alias("texts"))
+    got = answers.asked(spark.createDataFrame(batches, "k long, ids array<long>"), answer).collect()
+    rows = sorted((r.k, list(r.ids), r.error, r.depth, r.attempt, None if r.answer is None else list(r.answer.texts)) for r in got)
+    assert rows == [
+        (1, [1, 2, 3], None, 0, 1, ["1", "2", "3"]), (2, [4], None, 2, 1, ["4"]), (2, [5, 6, 7], None, 1, 1, ["5", "6", "7"]), (2, [13], "omitted", 2, 2, None), (3, [13], "omitted", 0, 2, None),
+        (4, [], None, 0, 1, []), (5, [], None, 0, 1, []), (6, list(range(20, 33)), None, 0, 2, [str(x) for x in range(20, 33)]),
+    ]
