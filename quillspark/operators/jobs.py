@@ -104,3 +104,9 @@ def progress(events: DataFrame) -> DataFrame:
 def run_log(entries: DataFrame, n: int = 1000) -> DataFrame:
     """[B10, G3, A33] The newest n entries: a top-k, so tasks send n rows each."""
     return entries.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+
+
+def batch_exits(jobs: DataFrame) -> DataFrame:
+    """[E9] batch_id, n_passed, n_needs_review, n_failed, exit_code: 1 where a job failed, else 0."""
+    counts = {f"n_{s}": F.count_if(F.col("state") == s) for s in ("passed", "needs_review", "failed")}
+    return jobs.groupBy("batch_id").agg(*[c.alias(n) for n, c in counts.items()], F.coalesce(F.bool_or(F.col("state") == "failed"), F.lit(False)).cast("int").alias("exit_code"))

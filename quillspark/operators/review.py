@@ -254,3 +254,27 @@ def review_cards(reports: DataFrame) -> DataFrame:
     items = F.array_join(F.transform(F.array_distinct("messages"), lambda m: F.concat(F.lit("<li>"), escape(m), F.lit("</li>"))), "")
     card = F.concat(F.lit("<article><h2>"), escape(F.col("title")), F.lit("</h2><p>Status: <strong>"), F.coalesce("status", F.lit("pending")), F.lit("</strong></p><details><summary>Review findings ("), F.size("messages"), F.lit(")</summary><ul>"), items, F.lit("</ul></details></article>"))
     return reports.select("doc_id", card.alias("card"))
+
+
+def image_reports(images: DataFrame) -> DataFrame:
+    """[M13] images(doc_id, text: the image's translation, answer: the reviewer's, limitations: what its adapter can't do) with coverage, semantic, findings and status.
+
+    An empty translation or one that begins as an error fails at once, and nobody reviews it. An answer must be {"findings": [texts]}, each of them a text with content; any other
+    leaves the review unavailable. Each limitation is a finding to look at. status follows from checks and findings as in E1.
+    """
+    empty = T.blank(F.col("text")) | F.lower(T.strip(F.col("text"))).rlike(r"^(?:error:|\*\[translation error)")
+    said = F.try_variant_get(F.try_parse_json("answer"), "$.findings", "array<variant>")
+    texts = F.transform(said, lambda v: F.try_variant_get(v, "$", "string"))
+    sound = F.coalesce(F.forall(said, lambda v: (F.schema_of_variant(v) == "STRING") & ~T.blank(F.try_variant_get(v, "$", "string"))), F.lit(False))
+    finding = lambda code, message, severity: F.struct(F.lit(code).alias("code"), message.alias("message"), F.lit(severity).alias("severity"))
+    none = F.array().cast("array<struct<code:string,message:string,severity:string>>")
+    failed = F.array(finding("image_translation_failed", F.lit("The image's translation is empty or an error."), "error"))
+    reviewed = F.when(F.col("_sound"), F.transform("_texts", lambda t: finding("image_review", t, "review"))).otherwise(F.array(finding("image_review_unavailable", F.lit("The review's answer has another form."), "review")))
+    limits = F.transform(F.coalesce("limitations", F.array().cast("array<string>")), lambda t: finding("capability_limit", t, "review"))
+    marked = images.withColumns({"_empty": empty, "_sound": sound, "_texts": texts})
+    rows = marked.withColumns({
+        "coverage": F.when(F.col("_empty"), "failed"), "findings": F.when(F.col("_empty"), F.concat(failed, none)).otherwise(F.concat(reviewed, limits)),
+        "semantic": F.when(~F.col("_empty"), F.when(~F.col("_sound"), "unavailable").when(F.size("_texts") == 0, "passed").otherwise("needs_review")),
+    })
+    open_ = F.coalesce(F.col("semantic") != "passed", F.lit(False)) | (F.size("findings") > 0)
+    return rows.withColumn("status", F.when(F.col("_empty"), "failed").when(open_, "needs_review").otherwise("passed")).drop("_empty", "_sound", "_texts")

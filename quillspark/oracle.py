@@ -206,3 +206,4 @@ f as (select kind, obs_id, doc, ts, rn, [{'t': ts, 'd': doc}] held, true fresh f
 select kind, obs_id, doc, ts from f where fresh"""
 SQL["windowed_evidence"] = f"""with {OBS}, w as (select kind, len(failures) n, date_trunc('day', ts) - to_days(d::int) as start from obs, range(30) t(d))
 select start::timestamp as start, kind, count(*) documents, sum(n)::bigint failures from w where start + interval 30 day <= (select max(ts) - interval 1 day from obs) group by 1, 2"""
+SQL["batch_exits"] = f"with {JOBS} select batch_id, count(*) filter (state = 'passed') n_passed, count(*) filter (state = 'needs_review') n_needs_review, count(*) filter (state = 'failed') n_failed, max((state = 'failed')::int) exit_code from jobs group by 1"

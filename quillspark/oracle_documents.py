@@ -121,6 +121,11 @@ p as (select doc_id, batch, 0 depth, ids from b
   union all select doc_id, batch, depth + 1, unnest([ids[1:len(ids) // 2], ids[len(ids) // 2 + 1:]]) from p where depth < 2 and len(ids) > 1 and ((len(ids) > 6 and len(list_filter(ids, lambda i: i % 17 = 0)) > 0) or len(list_filter(ids, lambda i: i % 41 = 5)) > 0)),
 j as (select *, case when len(ids) > 6 and len(list_filter(ids, lambda i: i % 17 = 0)) > 0 then 'omitted' when len(list_filter(ids, lambda i: i % 41 = 5)) > 0 then 'id' end error from p)
 select doc_id, batch, ids[1] first_id, len(ids)::int n_ids, error, depth::int depth, case when error is not null or doc_id % 3 = 0 then 2 else 1 end attempt, case when error is null then len(ids)::int end n_texts from j where error is null or depth = 2 or len(ids) = 1"""
+SQL["image_reports"] = r"""with d as (select doc_id, doc_id % 11 = 0 or doc_id % 13 = 0 or not regexp_matches(coalesce(text, ''), '\S') or regexp_matches(lower(trim(text)), '^(error:|\*\[translation error)') bad, doc_id % 7 k, regexp_replace(left(text, 60), '[^\p{L} ]', '', 'g') f, doc_id % 4 = 0 lim from documents),
+s as (select *, k = 0 or (k = 1 and regexp_matches(f, '\S')) sound from d)
+select doc_id, case when bad then 'failed' end coverage, case when not bad then case when not sound then 'unavailable' when k = 0 then 'passed' else 'needs_review' end end semantic,
+ case when bad then 'failed' when sound and k = 0 and not lim then 'passed' else 'needs_review' end status,
+ case when bad then 'image_translation_failed:The image''s translation is empty or an error.:error' else concat_ws('|', case when not sound then 'image_review_unavailable:The review''s answer has another form.:review' when k = 1 then 'image_review:' || f || ':review|image_review:x:review' end, case when lim then 'capability_limit:Markdown, not a picture.:review' end) end findings from s"""
 # Every attempt's draft is judged by itself; a page takes the first one without defects, or the last.
 _ATTEMPTS = PAGES.replace("pages_ as", "own as") + r""", second as (select *, replace(replace(body, '[text continues]', ''), 'Article 5', 'Article five') b2 from own),
 drafts as (select doc_id, page_no, a, case a when 1 then body when 2 then b2 else replace(b2, 'TODO check', 'checked') end body from second, range(1, 4) t(a))"""

@@ -310,6 +310,12 @@ def batch_access(spark, sf):
     return jobs.authorised(_asked(spark, sf), R.batches(spark, sf), _jobs_now())
 
 
+@query
+def batch_exits(spark, sf):
+    """E9"""
+    return jobs.batch_exits(R.jobs(spark, sf))
+
+
 @query
 def batch_snapshots(spark, sf):
     """K7, E7, E9"""
