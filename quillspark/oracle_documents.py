@@ -109,7 +109,10 @@ select doc_id, kind, case when since is null then 'missing' when ts > since + in
 SQL["style_scales"] = """with f as (select l_returnflag || l_linestatus style, l_orderkey % 10 page, 0.7::double + l_discount * 4 - l_tax fit from lineitem), t as (select style, median(fit) target from f group by 1), l as (select style, page, median(fit) as local from f group by 1, 2)
 select page, count(*) n, round(min(greatest(0.8, least(target, local))), 6) least, round(max(greatest(0.8, least(target, local))), 6) most from f join t using (style) join l using (style, page) group by 1"""
 SQL["dominant_styles"] = "select region, style, n from (select l_suppkey region, l_returnflag || l_linestatus || l_linenumber style, count(*) n from lineitem group by 1, 2) qualify row_number() over (partition by region order by n desc, style) = 1"
-SQL["missing_letters"] = f"with {KEYS} select k, case k % 3 when 0 then '' when 1 then 'z' else case when k % 2 = 0 then 'qz' else 'q' end end missing from keys"
+SQL["missing_letters"] = rf"""with t as (select conv_id, turn, left(text, 200) || 'qq-7' e, replace(left(text, 200), {pick("turn", *quoted("e", "n", "é", "A", "zz"))}, '') || 'q7' f from conversations),
+l as (select conv_id, turn, unnest(string_split(e, '')) c, 1 n from t union all select conv_id, turn, unnest(string_split(f, '')), -1 from t),
+m as (select conv_id, turn, c from l where regexp_matches(c, '[\p{{L}}\p{{Nd}}]') group by all having sum(n) > 0)
+select conv_id, turn, coalesce(string_agg(c, '' order by encode(c)) filter (c is not null), '') missing from t left join m using (conv_id, turn) group by 1, 2"""
 SQL["page_findings"] = f"""with {PAGES}, b as (select doc_id, page_no, length(body) % 5 = 0 blank from pages_), a as (select doc_id, page_no, page_no % 4 = 1 blank from pages_ where page_no % 5 <> 3 union all select doc_id, 99, length(body) % 5 = 0 from pages_ where page_no = 0),
 j as (select doc_id, page_no, case when a.blank is null then 'page_missing' when b.blank is null then 'page_added' when a.blank and not b.blank then 'blank_output' end code from b full join a using (doc_id, page_no))
 select doc_id, page_no, code, case when code = 'page_added' then 'review' else 'error' end severity from j where code is not null"""
@@ -199,8 +202,15 @@ _WRITTEN = {
 }
 SQL["written_documents"] = f"with {PARTS} " + " union all ".join(f"select k doc_id, '{kind}' kind, {body} rendered, {quoted('expression in row:2/column:2')[0] if kind == 'bad' else 'null'} error from parts" for kind, body in _WRITTEN.items())
 SQL["located_findings"] = f"with {SEG} select doc_id, segment_id, 'line ' || line_no message, location from seg where line_no % 3 = 0"
-SQL["answer_checks"] = f"""with {KEYS} select k, {pick("k", "null", *quoted("omitted", "id", "id", "text"))} answer, case when k % 5 not in (0, 4) then 'coverage' when k % 3 = 1 then 'finding' end review,
- case when k % 5 in (1, 2, 3) then 'omitted' when k % 2 = 1 or k % 5 = 4 then 'evidence' end verdict, {pick("k", *quoted("1", "1,2", "1,2,3", "1,2,3,4", "1,2,3,4+5", "1,2+3,4,5+6"))} halves from keys"""
+SQL["answer_checks"] = """with li as (select *, l_orderkey o, l_quantity q, case when l_suppkey % 9 = 0 then 0 when l_suppkey % 13 = 0 then 2 else 1 end copies from lineitem),
+w as (select o, list(distinct l_partkey) e, list(l_partkey order by l_partkey, l_suppkey) own from li group by o),
+a as (select o, sum(copies) n, bool_or(l_tax = 0.08) and o % 5 = 0 short, bool_or(copies > 0 and l_partkey % 31 = 0) or max(copies) > 1 odd, bool_or(copies > 0 and q = 7) blank, list(distinct l_partkey) filter (copies > 0) got, count(*) filter (copies > 0) lines, list(distinct l_partkey) filter (q <> 9) seen,
+  bool_or(l_suppkey % 7 = 0 and q = 3) stray, bool_or(l_suppkey % 7 = 0 and q = 4) mute, count(*) n_lines, bool_or(q in (11, 5)) bad from li group by o),
+h as (select *, list_distinct(own) x, len(e) c from w join a using (o)), s as (select *, list_sort(e) z, c // 2 m from h),
+p as (select *, case when c > 1 then [z[1:m], z[m + 1:]] else [z] end parts from s)
+select o order_no, case when short and n > 0 then 'record' when odd or lines > len(got) then 'id' when blank then 'text' when len(coalesce(got, [])) < c then 'omitted' end answer,
+ case when len(coalesce(seen, [])) < c then 'coverage' when stray or mute then 'finding' end review, case when n_lines > c then 'omitted' when bad then 'evidence' end verdict,
+ array_to_string(list_transform(flatten(list_transform(parts, lambda y: case when len(y) > 1 then [y[1:len(y) // 2], y[len(y) // 2 + 1:]] else [y] end)), lambda y: array_to_string(y, '+')), ',') halves from p"""
 SQL["cached_drafts"] = f"""with {SEG}, o as (select doc_id, line_no, source, case when doc_id % 2 = 0 and line_no % 3 = 0 and line_no % 6 <> 0 then 'acceptance' when line_no % 2 = 0 and line_no % 4 <> 0 then 'draft' end origin from seg)
 select doc_id, line_no, origin, case origin when 'acceptance' then upper(source) when 'draft' then 'draft ' || line_no end as value from o"""
 SQL["semantic_checks"] = f"with {SEG} select doc_id, case when bool_or(line_no % 40 = 6) then 'unavailable' when bool_or(line_no % 15 = 4) then 'needs_review' else 'passed' end semantic from seg group by 1"

@@ -297,8 +297,11 @@ def dominant_styles(spark, sf):
 
 @query
 def missing_letters(spark, sf):
-    """E11, H5"""
-    return keys(spark, sf).select("k", F.array_join(names.missing_letters(F.concat("name", pick(k(), "", "zz", "q z!")), F.concat("name", pick(k(), "x", "z"))), "").alias("missing"))
+    """Turns without one of their letters, and with another one twice"""
+    whole = F.substring("text", 1, 200)
+    found = F.concat(F.replace(whole, pick(F.col("turn"), "e", "n", "é", "A", "zz"), F.lit("")), F.lit("q7"))
+    rows = R.table(spark, sf, "conversations").select("conv_id", "turn", names.missing_letters(F.concat(whole, F.lit("qq-7")), found).alias("m"))
+    return rows.select("conv_id", "turn", F.array_join("m", "").alias("missing"))
 
 
 @query
@@ -503,13 +506,25 @@ def located_findings(spark, sf):
 
 @query
 def answer_checks(spark, sf):
-    """M2, M3, M4, D5, L4"""
-    want = strings("a", "b", "c")
-    ids, texts = pick(k(), want, strings("a", "b"), strings("a", "b", "b"), strings("a", "b", "x"), want), pick(k(), strings("1", "2", "3"), strings("1", "2"), strings("1", "2", "3"), strings("1", "2", "3"), strings("1", " ", "3"))
-    verdicts = pick(k(), strings("equivalent", "different", "uncertain"), strings("equivalent", "same", "uncertain"))
-    return keys(spark, sf).select(
-        "k", review.answer_error(want, ids, texts).alias("answer"), review.review_error(want, ids, pick(k(), strings(), strings("x"), strings("a")), pick(k(), strings(), strings("m"), strings("m"))).alias("review"),
-        review.verdict_error(want, ids, verdicts, texts).alias("verdict"), F.array_join(F.transform(review.halves(F.transform(F.sequence(F.lit(1), (k() % 6 + 1).cast("int")), lambda x: x.cast("string"))), lambda p: F.array_join(p, "+")), ",").alias("halves"),
+    """Answers about the parts of an order, wrong by what its lines are"""
+    li = R.table(spark, sf, "lineitem")
+    part, supplier, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
+    copies = F.when(supplier % 9 == 0, 0).when(supplier % 13 == 0, 2).otherwise(1)
+    row = F.struct(
+        part.alias("part"), supplier.alias("supplier"), n.alias("n"), part.cast("string").alias("id"), F.array_repeat(F.when(part % 31 == 0, F.concat(F.lit("x"), part)).otherwise(part.cast("string")), copies).alias("ids"),
+        F.array_repeat(F.when(n == 7, " ").otherwise("text"), copies).alias("texts"), F.when(n == 11, "same").when(F.col("l_returnflag") == "A", "equivalent").when(F.col("l_returnflag") == "N", "different").otherwise("uncertain").alias("verdict"),
+        F.when(n == 5, "").otherwise("seen").alias("evidence"), (F.col("l_tax") == 0.08).alias("short"),
+    )
+    orders = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("own"))  # the lines of one order
+    of = lambda f, where=lambda x: F.lit(True): F.transform(F.filter("own", where), f)
+    want, ids, texts = F.array_distinct(of(lambda x: x["id"])), F.flatten(of(lambda x: x["ids"])), F.flatten(of(lambda x: x["texts"]))
+    texts = F.when((F.col("l_orderkey") % 5 == 0) & F.exists("own", lambda x: x["short"]), F.slice(texts, F.lit(1), F.greatest(F.size(texts) - 1, F.lit(0)))).otherwise(texts)
+    reviewed = F.array_distinct(of(lambda x: x["id"], lambda x: x["n"] != 9))
+    noted = lambda x: x["supplier"] % 7 == 0
+    findings = of(lambda x: F.when(x["n"] == 3, F.concat(F.lit("y"), x["id"])).otherwise(x["id"]), noted)
+    return orders.select(
+        F.col("l_orderkey").alias("order_no"), review.answer_error(want, ids, texts).alias("answer"), review.review_error(want, reviewed, findings, of(lambda x: F.when(x["n"] == 4, " ").otherwise("m"), noted)).alias("review"),
+        review.verdict_error(want, of(lambda x: x["id"]), of(lambda x: x["verdict"]), of(lambda x: x["evidence"])).alias("verdict"), F.array_join(F.transform(review.halves(want), lambda p: F.array_join(p, "+")), ",").alias("halves"),
     )
 
 
