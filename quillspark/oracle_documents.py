@@ -71,6 +71,7 @@ UNITS = f"""{LINES_OF}, m as (select *, {_PAR} k, case when l_partkey % 4 = 1 an
  union all select path, 'ppt/slides/slide' || (par + 1) || '.xml', 'p:0/u:' || island::bigint, 'shape_text', string_agg(t, '' order by i) from sl group by path, par, island
  union all select distinct path, 'xl/workbook.xml', 'sheet:0', 'sheet_title', 'Data ' || o from good where o % 3 = 1)"""
 SQL["package_units"] = f"with {UNITS} select * from units"
+SQL["replaced_units"] = f"with {UNITS} select path, part, location, 'neu ' || source || ' & <mehr>' as source from units where category <> 'sheet_title'"
 SQL["renamed_workbooks"] = f"""with {LINES_OF}, b as (select path, o, bool_or(l_linestatus = 'F') formulas from good where o % 3 = 1 group by 1, 2)
  select path, 'xl/workbook.xml' as name, 'changed' change from b union all select path, 'xl/worksheets/sheet1.xml', 'changed' from b where formulas union all select path, 'sheet:0', 'It''s Data ' || o from b"""
 SQL["partial_parts"] = f"""with {LINES_OF} select path, 'xl/worksheets/sheet1.xml' as name, (57 + sum(25 + length('A' || i) + length(((i * 7 + l_partkey) % (n + 1))::varchar) + case when l_linestatus = 'F' then 52 + length('B' || i) + length(o::varchar) else 0 end))::bigint size from good where o % 3 = 1 group by path

@@ -88,6 +88,15 @@ def text_inspection(spark, sf):
     return parsers.inspected(rows).select("doc_id", "n_chars", "error")
 
 
+def _parts(spark, sf):
+    return packages.members(R.packages(spark, sf))
+
+
+def _good(spark, sf):
+    parts = _parts(spark, sf)
+    return parts.join(packages.verdicts(parts).filter("verdict = 'ok'").select("path"), "path", "left_semi")
+
+
 @query
 def package_verdicts(spark, sf):
     """A3"""
@@ -133,6 +142,17 @@ def run_groups(spark, sf):
     return packages.run_groups(_good(spark, sf))
 
 
+@query
+def replaced_units(spark, sf):
+    """Units get new text over the same runs, packages are rebuilt and read again"""
+    files, parts = R.packages(spark, sf), _good(spark, sf)
+    values = packages.text_units(parts).select("path", "part", "location", F.concat(F.lit("neu "), "source", F.lit(" & <mehr>")).alias("value"))
+    changed = packages.replaced_units(parts, values)
+    after = packages.members(packages.rebuild(files.join(changed.select("path").distinct(), "path", "left_semi"), changed))
+    kept = packages.structure_changes(packages.canonical(parts.join(changed.select("path", "name"), ["path", "name"], "left_anti").join(changed.select("path").distinct(), "path", "left_semi")), packages.canonical(after.join(changed.select("path", "name"), ["path", "name"], "left_anti")))
+    return packages.text_units(after).select("path", "part", "location", "source").unionByName(kept.select("path", F.col("name").alias("part"), F.col("change").alias("location"), F.lit("").alias("source")))
+
+
 @query
 def renamed_workbooks(spark, sf):
     """Sheets renamed, packages rebuilt, and their parts compared with what they were"""
@@ -350,6 +370,18 @@ def image_reports(spark, sf):
     return rows.select("doc_id", "coverage", "semantic", "status", F.array_join(F.transform("findings", lambda f: F.concat(f["code"], F.lit(":"), f["message"], F.lit(":"), f["severity"])), "|").alias("findings"))
 
 
+def redrafted(body: Column, attempt: Column) -> Column:
+    """Stands for a translator: each attempt heeds one more rule."""
+    second = F.replace(F.replace(body, F.lit("[text continues]"), F.lit("")), F.lit("Article 5"), F.lit("Article five"))
+    return F.when(attempt == 1, body).when(attempt == 2, second).otherwise(F.replace(second, F.lit("TODO check"), F.lit("checked")))
+
+
+def relaid(draft: Column, attempt: Column) -> Column:
+    """Stands for a layout specialist."""
+    second = F.replace(F.replace(draft, F.lit("\\frac{1}{2}"), F.lit("1/2")), F.lit("Chapter 1 one Chapter 2 two"), F.lit("Chapter 1 one\nChapter 2 two"))
+    return F.when(attempt == 1, draft).when(attempt == 2, second).otherwise(F.replace(second, F.lit("second key: two value"), F.lit("and a second key")))
+
+
 @query
 def page_loop(spark, sf):
     """M15"""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.arrow import requalified
+from quillspark.functions.arrow import distributed, requalified
 
 # Capabilities by extension, package limits and signature parts.
 OFFICE, IMAGES, PLAIN = ("xlsx", "pptx", "docx"), ("png", "jpg", "jpeg", "webp"), ("txt", "md", "csv", "json", "html", "htm")
@@ -157,53 +157,93 @@ def slides(parts: DataFrame) -> DataFrame:
     return order.join(rels, ["path", "rel_id"]).select("path", "pos", F.col("target").alias("part"))
 
 
-def text_units(parts: DataFrame) -> DataFrame:
-    """[A17, A18, C4, C5] path, part, location, category, source: text of paragraphs, broken at links, fields and breaks (gaps and islands)."""
+def _paragraph_runs(root: ET.Element) -> Iterator[tuple[int, ET.Element, list[tuple[int, str, ET.Element | None]]]]:
+    """Of each paragraph in document order: its number, itself, and its marks: place, the links around it, and the text node, or None for what breaks a unit."""
+
+    def walk(node: ET.Element, link: str, at: list[int]) -> Iterator[tuple[int, str, ET.Element | None]]:
+        for x in node:
+            tag = _local(x.tag)
+            if tag in ("hyperlink", "ins", "smartTag", "sdt", "sdtContent"):
+                yield from walk(x, f"{link}/{tag}{at[0]}", at)
+            elif tag == "r":
+                for y in x:
+                    kind = _local(y.tag)
+                    if kind == "t" or kind in ("br", "tab", "drawing", "fldChar", "instrText", "pict"):
+                        yield at[0], link if kind == "t" else "", y if kind == "t" else None
+                        at[0] += 1
+            elif tag in ("fld", "br"):
+                yield at[0], "", None
+                at[0] += 1
+
+    for n, p in enumerate(x for x in root.iter() if _local(x.tag) == "p"):
+        yield n, p, list(walk(p, "", [0]))
+
+
+UNIT_PARTS = r"^(word/(document|header\d*|footer\d*|footnotes|endnotes)|ppt/(slides|notesSlides)/[^/]+)\.xml$"
+
+
+def _unit_rows(parts: DataFrame) -> DataFrame:
+    """path, part, paragraph, run, category, text, island: the texts of units (gaps and islands over links, fields and breaks)."""
 
     def runs(path, name, root):
         parents = {child: node for node in root.iter() for child in node}
-        n = -1
-        for p in root.iter():
-            if _local(p.tag) != "p":
-                continue
-            n += 1
+        for n, p, marks in _paragraph_runs(root):
             up, chain = p, []
             while up in parents:
                 up = parents[up]
                 chain.append(_local(up.tag))
             category = next((c for t, c in (("tc", "table_cell"), ("txBody", "shape_text"), ("txbxContent", "shape_text"), ("hdr", "header"), ("ftr", "footer")) if t in chain), "text")
-            at = 0
-
-            def walk(node, link):
-                nonlocal at
-                for x in node:
-                    tag = _local(x.tag)
-                    if tag in ("hyperlink", "ins", "smartTag", "sdt", "sdtContent"):
-                        yield from walk(x, f"{link}/{tag}{at}")
-                    elif tag == "r":
-                        for y in x:
-                            kind = _local(y.tag)
-                            if kind == "t":
-                                yield at, link, y.text or "", False
-                                at += 1
-                            elif kind in ("br", "tab", "drawing", "fldChar", "instrText", "pict"):
-                                yield at, "", "", True
-                                at += 1
-                    elif tag in ("fld", "br"):
-                        yield at, "", "", True
-                        at += 1
-
-            for k, link, text, stop in walk(p, ""):
-                yield path, name, n, k, link, category, text, stop
+            for k, link, node in marks:
+                yield path, name, n, k, link, category, "" if node is None else node.text or "", node is None
 
-    keep = F.col("name").rlike(r"^(word/(document|header\d*|footer\d*|footnotes|endnotes)|ppt/(slides|notesSlides)/[^/]+)\.xml$") & ~F.contains("name", F.lit("/embeddings/"))
+    keep = F.col("name").rlike(UNIT_PARTS) & ~F.contains("name", F.lit("/embeddings/"))
     rows = _xml_rows(parts, "path string, part string, paragraph int, run int, link string, category string, text string, stop boolean", runs, keep)
     order = Window.partitionBy("path", "part", "paragraph").orderBy("run")
     edge = F.col("stop") | F.coalesce(F.lag("stop").over(order) | (F.lag("link").over(order) != F.col("link")), F.lit(False))
-    rows = rows.withColumn("island", F.sum(edge.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("not stop")
-    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "text"))), lambda r: r["text"]), "")
-    units = rows.groupBy("path", "part", "paragraph", "island", "category").agg(own.alias("source"))
-    return units.filter(F.col("source").rlike(r"\p{L}")).select("path", "part", F.concat(F.lit("p:"), "paragraph", F.lit("/u:"), "island").alias("location"), "category", "source")
+    return rows.withColumn("island", F.sum(edge.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("not stop")
+
+
+def _units(parts: DataFrame) -> DataFrame:
+    """Units with their runs in order: path, part, location, paragraph, category, own (run, text)."""
+    units = _unit_rows(parts).groupBy("path", "part", "paragraph", "island", "category").agg(F.array_sort(F.collect_list(F.struct("run", "text"))).alias("own"))
+    return units.withColumn("location", F.concat(F.lit("p:"), "paragraph", F.lit("/u:"), "island"))
+
+
+def text_units(parts: DataFrame) -> DataFrame:
+    """[A18, C4, C5] path, part, location, category, source: text of paragraphs, broken at links, fields and breaks."""
+    source = F.array_join(F.transform("own", lambda r: r["text"]), "")
+    return _units(parts).select("path", "part", "location", "category", source.alias("source")).filter(F.col("source").rlike(r"\p{L}"))
+
+
+def replaced_units(parts: DataFrame, values: DataFrame) -> DataFrame:
+    """[B1, D12, R9] path, name, raw of the parts in which units are given other text by values(path, part, location, value).
+
+    A unit's new text is dealt over its runs by their lengths (F10), so every run keeps its formatting, links and place; all marks besides stay. What
+    isn't named stays as it is. Places of values that no unit has are passed over.
+    """
+    sizes = F.transform("own", lambda r: F.length(r["text"]))
+    dealt = _units(parts).join(values, ["path", "part", "location"]).withColumn("texts", distributed(F.col("value"), sizes))
+    runs = dealt.select("path", F.col("part").alias("name"), "paragraph", F.explode(F.arrays_zip(F.transform("own", lambda r: r["run"]).alias("run"), F.col("texts").alias("text"))).alias("x"))
+    given = runs.groupBy("path", "name").agg(F.collect_list(F.struct("paragraph", "x.run", "x.text")).alias("given"))  # the texts of one part
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, name, raw, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for prefix, uri in (pair for _, pair in ET.iterparse(io.BytesIO(raw), ["start-ns"])):
+                    if prefix and not prefix.startswith("ns"):
+                        ET.register_namespace(prefix, uri)
+                root = ET.fromstring(raw)
+                table = {(x["paragraph"], x["run"]): x["text"] for x in own}
+                for n, _, marks in _paragraph_runs(root):
+                    for k, _, node in marks:
+                        if node is not None and (n, k) in table:
+                            node.text = table[n, k]
+                            node.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+                rows.append({"path": path, "name": name, "raw": ET.tostring(root, encoding="UTF-8", xml_declaration=True)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("name", pa.string()), ("raw", pa.binary())]))
+
+    return parts.select("path", "name", "raw").join(given, ["path", "name"]).mapInArrow(write, "path string, name string, raw binary")
 
 
 def run_groups(parts: DataFrame) -> DataFrame:

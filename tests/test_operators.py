@@ -386,3 +386,21 @@ def test_blocks_of_pages(spark):
     got = {r.page_no: (r.kind, r.html) for r in rendering.pages_html(spark.createDataFrame(pages, "doc_id long, page_no long, body string")).collect()}
     assert [got[k][0] for k in range(4)] == ["body" if k > 1 else "cover" if k == 0 else "contents" for k in range(4)]
     assert got[1][1].endswith('<div class="page-footer">2</div>') and got[2][1] == '<div class="doc-clause"><b>1.1</b> clause rest</div><div class="page-footer">7</div>' and got[3][1] == ""
+
+
+def test_replaced_units(spark):
+    """New text goes over the unit's runs; properties, links, breaks and other units stay."""
+    w = '<w:document xmlns:w="urn:w"><w:p><w:r><w:rPr><w:b/></w:rPr><w:t>Hello </w:t></w:r><w:r><w:t>wide world</w:t></w:r><w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink><w:r><w:tab/><w:t>after</w:t></w:r></w:p><w:p><w:r><w:t>2</w:t></w:r></w:p></w:document>'
+    parts = packages.members(spark.createDataFrame([("a.docx", office(**{"word/document.xml": w, "word/x.bin": b"x"}))], "path string, content binary"))
+    units = {r.source: r.location for r in packages.text_units(parts).collect()}
+    assert set(units) == {"Hello wide world", "link", "after"}
+    values = [("a.docx", "word/document.xml", units["Hello wide world"], "Guten Tag <Welt> da"), ("a.docx", "word/document.xml", units["after"], ""), ("a.docx", "word/document.xml", "p:9/u:9", "nowhere")]
+    changed = packages.replaced_units(parts, spark.createDataFrame(values, "path string, part string, location string, value string"))
+    rows = changed.collect()
+    assert [(r.path, r.name) for r in rows] == [("a.docx", "word/document.xml")]
+    raw = bytes(rows[0].raw).decode()
+    runs = re.findall(r"<w:r>(.*?)</w:r>", raw)
+    texts = [re.sub(r"<[^>]*>", "", r) for r in runs]
+    assert "".join(texts[:2]) == "Guten Tag &lt;Welt&gt; da" and all(texts[:2]) and texts[2:] == ["link", "", "2"] and "<w:b />" in runs[0] and "<w:tab />" in runs[3] and "<w:hyperlink>" in raw
+    again = packages.members(packages.rebuild(spark.createDataFrame([("a.docx", office(**{"word/document.xml": w, "word/x.bin": b"x"}))], "path string, content binary"), changed))
+    assert {r.source for r in packages.text_units(again).collect()} == {"Guten Tag <Welt> da", "link"}
