@@ -279,7 +279,7 @@ def run_groups(parts: DataFrame) -> DataFrame:
                     yield path, name, n, paragraph, "", "", 0, False, True
                 elif "t" in parts_of:
                     own = parts_of.get("rPr")
-                    yield path, name, n, paragraph, "" if own is None else ET.canonicalize(ET.tostring(own, encoding="unicode"), strip_text=True), parts_of["t"].text or "", 0, True, False
+                    yield path, name, n, paragraph, "" if own is None else ET.canonicalize(ET.tostring(own, encoding="unicode"), strip_text=True, rewrite_prefixes=True), parts_of["t"].text or "", 0, True, False
 
     keep = F.col("name").rlike(r"^(word/(document|header\d*|footer\d*|footnotes|endnotes)|ppt/(slides|notesSlides)/[^/]+)\.xml$") & ~F.contains("name", F.lit("/embeddings/"))
     rows = _xml_rows(parts, "path string, part string, n int, paragraph int, signature string, text string, field int, is_text boolean, edge boolean", marks, keep)
@@ -363,7 +363,7 @@ def canonical(parts: DataFrame) -> DataFrame:
                         for x in root.iter():
                             if _local(x.tag) == "t":
                                 x.text = ""
-                        raw = ET.canonicalize(ET.tostring(root, encoding="unicode")).encode()
+                        raw = ET.canonicalize(ET.tostring(root, encoding="unicode"), rewrite_prefixes=True).encode()  # prefixes are names that writers choose
                     except ET.ParseError:
                         pass
                 rows.append({"path": path, "name": name, "c14n": hashlib.sha256(raw).hexdigest()})
