@@ -36,8 +36,8 @@ BLOCK = 1 << 20
 END = 0
 #: The least count of a frequent pair: a rule takes 12 bytes, and saves one symbol of 2 or 4 a place.
 LEAST = 16
-#: Distinct chunks whose ids an encoder remembers, some 15 MB.
-REMEMBERED = 300_000
+#: Distinct chunks whose ids an encoder remembers, some 30 MB.
+REMEMBERED = 600_000
 #: Bytes of text encoded at once (more text has fewer new chunks a byte), and texts that the tokenizer takes at once.
 ENCODED, ROWS = 3 << 20, 32
 
