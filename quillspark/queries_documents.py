@@ -65,12 +65,14 @@ def sniffed_kinds(spark, sf):
 
 @query
 def image_headers(spark, sf):
-    """Images in three formats whose sizes are the orders' own, some with another name or half a header"""
+    """Images in three formats whose sizes are the orders' own, some with another name or half a header; a JPEG frame has 16 bits for a size, so wider ones are JPEG-LS"""
     li = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), (F.col("o_custkey") + 1).alias("w"), (F.col("o_orderkey") % 4000 + 1).alias("h"))
     big = lambda c, width: F.lpad(F.hex(c), width, "0")
     little = lambda c, width: F.concat(*[F.substring(big(c, width), k, 2) for k in range(width - 1, 0, -2)])
     png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(F.col("w"), 8), big(F.col("h"), 8), F.lit("0802"))
-    jpeg = F.concat(F.lit("FFD8FFE000100000000000000000000000000000FFFFDB000400FF"), F.when(F.col("n") % 2 == 0, "FFC4000300").otherwise(""), F.lit("FFC2001108"), big(F.col("h"), 4), big(F.col("w"), 4))
+    frame = F.concat(F.lit("FFC2001108"), big(F.col("h"), 4), big(F.col("w"), 4))
+    oversize = F.concat(F.lit("FFF7000B080000000001011100FFF8000C0404"), big(F.col("h"), 8), big(F.col("w"), 8))
+    jpeg = F.concat(F.lit("FFD8FFE000100000000000000000000000000000FFFFDB000400FF"), F.when(F.col("n") % 2 == 0, "FFC4000300").otherwise(""), F.when(F.col("w") > 65535, oversize).otherwise(frame))
     webp = F.concat(F.lit("524946460000000057454250565038580A00000000000000"), little(F.col("w") - 1, 6), little(F.col("h") - 1, 6))
     image = F.when(F.col("n") % 3 == 0, png).when(F.col("n") % 3 == 1, jpeg).otherwise(webp)
     content = F.unhex(F.when(F.col("n") % 13 == 0, F.left(image, F.lit(36))).otherwise(image))
