@@ -148,8 +148,9 @@ def replaced_units(spark, sf):
     """Units get new text over the same runs, packages are rebuilt and read again"""
     files, parts = R.packages(spark, sf), _good(spark, sf)
     values = packages.text_units(parts).select("path", "part", "location", F.concat(F.lit("neu "), "source", F.lit(" & <mehr>")).alias("value"))
-    changed = packages.replaced_units(parts, values)
-    after = packages.members(packages.rebuild(files.join(changed.select("path").distinct(), "path", "left_semi"), changed))
+    # Both are read again below; each pass over the packages makes and opens them anew.
+    changed = folders.written(packages.replaced_units(parts, values), "changed")
+    after = folders.written(packages.members(packages.rebuild(files.join(changed.select("path").distinct(), "path", "left_semi"), changed)).select("path", "name", "raw"), "after")
     kept = packages.structure_changes(packages.canonical(parts.join(changed.select("path", "name"), ["path", "name"], "left_anti").join(changed.select("path").distinct(), "path", "left_semi")), packages.canonical(after.join(changed.select("path", "name"), ["path", "name"], "left_anti")))
     return packages.text_units(after).select("path", "part", "location", "source").unionByName(kept.select("path", F.col("name").alias("part"), F.col("change").alias("location"), F.lit("").alias("source")))
 
@@ -159,9 +160,11 @@ def renamed_workbooks(spark, sf):
     """Sheets renamed, packages rebuilt, and their parts compared with what they were"""
     files, parts = R.packages(spark, sf), _good(spark, sf)
     titles = packages.sheet_titles(parts).filter(F.col("source").startswith("Data ")).select("path", F.col("source").alias("old"), F.concat(F.lit("It's "), F.col("source")).alias("new"))
-    changed = packages.renamed(parts, titles)
+    # All three are read again below; each pass over the packages makes and opens them anew.
+    titles = folders.written(titles, "titles")
+    changed = folders.written(packages.renamed(parts, titles), "changed")
     mine = files.join(titles.select("path"), "path", "left_semi")
-    after = packages.members(packages.rebuild(mine, changed))
+    after = folders.written(packages.members(packages.rebuild(mine, changed)).select("path", "name", "raw"), "after")
     return packages.structure_changes(packages.canonical(parts.join(titles.select("path"), "path", "left_semi")), packages.canonical(after)).unionByName(packages.sheet_titles(after).select("path", F.col("location").alias("name"), F.col("source").alias("change")))
 
 
