@@ -8,7 +8,7 @@ are map-side aggregates, so a body may have any number of rows and a row is neve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 WIDE_PARENT, WIDE_TABLE, SHORT, LONG_NOTE, WIDE_NOTE, REPEATED, DENSE = 3, 7, 6, 20, 4, 6, 8
 NUMBERED = r"^\p{Nd}+[.)]?$"
 
+#: Cells are handed on in batches that hold about these many characters of pages, not page by page.
+BATCH_CHARS = 2 << 20
+
 CELL = "row_no int, cell_no int, header boolean, rowspan int, colspan int, text string"
 
 
@@ -79,14 +82,25 @@ def html_cells(pages: DataFrame, key: str, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, rows, held = [], [], 0
+
+            def flushed() -> pa.RecordBatch:
+                columns = [pa.array([r[x.name] for r in rows], x.type) for x in schema]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, *schema.names])
+
             for k, text in enumerate(batch.column(1).to_pylist()):
                 parser = _Cells()
                 parser.feed(text or "")
                 parser.close()
-                rows = [{"table_no": n, **cell} for n, table in enumerate(parser.tables) for cell in _rows(table)]
-                if rows:
-                    own = pa.RecordBatch.from_pylist(rows, schema=schema)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(rows))), *own.columns], names=[key, *schema.names])
+                own = [{"table_no": n, **cell} for n, table in enumerate(parser.tables) for cell in _rows(table)]
+                rows += own
+                at += [k] * len(own)
+                held += len(text or "")
+                if held >= BATCH_CHARS:
+                    yield flushed()
+                    at, rows, held = [], [], 0
+            if rows:
+                yield flushed()
 
     return pages.select(key, column).mapInArrow(run, f"{key} {kind}, table_no int, {CELL}")
 
@@ -98,6 +112,11 @@ def widths(cells: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max("w").alias("width"), F.coalesce(F.max(head) - F.min(head) + 1, F.lit(0)).alias("n_head"), F.coalesce(F.min(head), F.lit(0)).alias("top_row"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, wherever use names it: a column that a lambda names may be computed anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _placed(cells: Column, width: Column) -> Column:
     """Header cells (tier, cell_no, rowspan, colspan, text), in order, each with the interval of columns that it occupies: the first free one on, counted
     from the end of the cell before it. What finds no free column is left out, with the rest of its row."""
@@ -107,9 +126,13 @@ def _placed(cells: Column, width: Column) -> Column:
     def put(grid: Column, cell: Column) -> Column:
         at = F.when(grid["tier"] == cell["tier"], grid["next"]).otherwise(F.lit(0))
         taken = lambda x: F.exists(grid["boxes"], lambda b: (b["below"] > cell["tier"]) & (b["first"] <= x) & (x < b["past"]))
-        free = F.when(at < width, F.array_min(F.filter(F.sequence(at, F.greatest(at, width - 1)), lambda x: ~taken(x))))
-        box_ = F.struct(cell["tier"].alias("tier"), (cell["tier"] + cell["rowspan"]).alias("below"), free.alias("first"), F.least(free + cell["colspan"], width).alias("past"), cell["text"].alias("text"))
-        return F.struct(cell["tier"].alias("tier"), F.when(free.isNull(), width).otherwise(free + cell["colspan"]).alias("next"), F.when(free.isNull(), grid["boxes"]).otherwise(F.concat(grid["boxes"], F.array(box_))).alias("boxes"))
+        first = F.when(at < width, F.array_min(F.filter(F.sequence(at, F.greatest(at, width - 1)), lambda x: ~taken(x))))
+
+        def with_free(free: Column) -> Column:
+            box_ = F.struct(cell["tier"].alias("tier"), (cell["tier"] + cell["rowspan"]).alias("below"), free.alias("first"), F.least(free + cell["colspan"], width).alias("past"), cell["text"].alias("text"))
+            return F.struct(cell["tier"].alias("tier"), F.when(free.isNull(), width).otherwise(free + cell["colspan"]).alias("next"), F.when(free.isNull(), grid["boxes"]).otherwise(F.concat(grid["boxes"], F.array(box_))).alias("boxes"))
+
+        return _once(first, with_free)
 
     return F.aggregate(cells, start, put, lambda grid: grid["boxes"])
 
@@ -126,14 +149,14 @@ def header_paths(cells: DataFrame, keys: list[str]) -> DataFrame:
     placed = tiers.withColumn("cells", ordered).withColumn("boxes", _placed(F.col("cells"), F.col("width")))
     columns = F.sequence(F.lit(0), F.col("width") - 1)
     # The cell that was put last wins where spans overlap.
-    seen = lambda r, c: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("boxes", lambda b: (b["tier"] <= r) & (r < b["below"]) & (b["first"] <= c) & (c < b["past"])), lambda b: b["text"])), -1)
-    grid = F.transform(columns, lambda c: F.transform(F.sequence(F.lit(0), F.col("n_head") - 1), lambda r: seen(r, c)))
+    seen = lambda boxes, r, c: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(boxes, lambda b: (b["tier"] <= r) & (r < b["below"]) & (b["first"] <= c) & (c < b["past"])), lambda b: b["text"])), -1)
+    grid = _once(F.col("boxes"), lambda boxes: F.transform(columns, lambda c: F.transform(F.sequence(F.lit(0), F.col("n_head") - 1), lambda r: seen(boxes, r, c))))
     empty = F.array().cast("array<string>")
     path = lambda labels: F.aggregate(labels, empty, lambda p, x: F.when((F.coalesce(x, F.lit("")) == "") | F.coalesce(F.element_at(F.concat(F.array(F.lit("")), p), -1) == x, F.lit(False)), p).otherwise(F.concat(p, F.array(x))))
     paths = placed.withColumn("grid", grid).withColumn("paths", F.transform("grid", path)).withColumn("top", F.transform("grid", lambda g: F.get(g, F.lit(0))))
     # Runs of one label in the first tier; the last of equal labels counts.
-    first = lambda i: (i == 0) | ~F.col("top")[i].eqNullSafe(F.get("top", i - 1))
-    starts = F.filter(columns, first)
+    first = lambda top, i: (i == 0) | ~F.get(top, i).eqNullSafe(F.get(top, i - 1))
+    starts = _once(F.col("top"), lambda top: F.filter(columns, lambda i: first(top, i)))
     runs = F.transform(starts, lambda s, k: F.struct(s.alias("first"), F.coalesce(F.get("starts", k + 1), F.col("width")).alias("past"), F.col("top")[s].alias("name")))
     wide = F.filter("runs", lambda r: (r["name"] != "") & (r["past"] - r["first"] >= WIDE_PARENT))
     last = F.filter("wide", lambda r: ~F.exists("wide", lambda o: (o["name"] == r["name"]) & (o["first"] > r["first"])))

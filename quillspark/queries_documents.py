@@ -439,14 +439,14 @@ def header_runs(spark, sf):
 @query
 def header_paths(spark, sf):
     """I16"""
-    cells = tables.html_cells(R.order_tables(spark, sf), "order_no", "html")
+    cells = folders.written(tables.html_cells(R.order_tables(spark, sf), "order_no", "html"), "cells")  # read several times below
     return tables.header_paths(cells, ["order_no", "table_no"]).select("order_no", "col", F.array_join("path", "|").alias("path"), "label")
 
 
 @query
 def flat_tables(spark, sf):
     """I16"""
-    cells = tables.html_cells(R.order_tables(spark, sf), "order_no", "html")
+    cells = folders.written(tables.html_cells(R.order_tables(spark, sf), "order_no", "html"), "cells")  # read several times below
     return tables.body_rows(cells, ["order_no", "table_no"]).select("order_no", "row_no", "part", F.array_join("texts", "|").alias("texts"), "dense")
 
 
