@@ -336,11 +336,15 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     known = components(links)
     large = not regions.isEmpty()
     while large:
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
-        members = regions.join(degree, "rep", "left").join(known.select(F.col("v").alias("rep"), "c"), "rep", "left").select("region", "rep", F.coalesce("count", F.lit(0)).alias("n"), F.coalesce("c", "rep").alias("c"))
-        members = materialise(members, "members")
-        leaders = members.groupBy("region").agg(F.max(F.struct("n", (-F.col("rep")).alias("minus"), "c")).alias("l")).select("region", (-F.col("l.minus")).alias("leader"), F.col("l.c").alias("lc"))
-        more = _with_region(members, leaders).filter("c <> lc").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        # Of each class its links and its component, so that a region's rows look both up at once.
+        ends = links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("c"))
+        nodes = ends.unionByName(known.select(F.col("v").alias("rep"), F.lit(0).alias("n"), "c")).groupBy("rep").agg(F.sum("n").alias("n"), F.max("c").alias("c"))
+        members = materialise(regions.join(nodes, "rep", "left").select("region", "rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", "rep").alias("c")), "members")
+        # Components only grow, so a region that lies in one component is done with; the others go on.
+        leaders = members.groupBy("region").agg(F.max(F.struct("n", (-F.col("rep")).alias("minus"), "c")).alias("l"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+        waiting = materialise(_with_region(members, leaders.select("region", (-F.col("l.minus")).alias("leader"), F.col("l.c").alias("lc"))), "waiting")
+        regions = waiting.select("region", "rep")
+        more = waiting.filter("c <> lc").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break

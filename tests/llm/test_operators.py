@@ -152,6 +152,30 @@ def test_region_blocks_equal_brute_force(spark, monkeypatch):
     assert len({r[2] for r in want}) > 2
 
 
+def test_regions_that_are_one_component_are_done_with(spark, monkeypatch):
+    """Only regions that still lie in several components go on to the next step, not all of them (pipeline, D)."""
+    counts, keep, links = [], neardup.materialise, neardup.region_links
+
+    def counted(df, label):
+        out = keep(df, label)
+        if label == "members" and "n" in out.columns and out.columns[:3] == ["region", "rep", "n"]:
+            counts.append(out.count())
+        return out
+
+    def last(regions, *more):
+        counts.append(regions.count())
+        return links(regions, *more)
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    monkeypatch.setattr(neardup, "region_links", last)
+    rnd = random.Random(8)
+    base = prose(400, rnd)
+    texts = [(k, edited(base, 0.002, rnd)) for k in range(1, 400)] + hubless(400, rnd)
+    got = rows_of(neardup.link(docs(spark, texts), 85))
+    assert {r[2] for r in got if r[0] < 1000} == {1}
+    assert counts[-1] < counts[0], counts
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.link(docs(spark, []), 85).count() == 0
     assert [r[2] for r in rows_of(neardup.link(docs(spark, [(1, None), (2, "")]), 85))] == [1, 2]
