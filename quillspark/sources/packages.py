@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import io
 import posixpath
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,6 +56,24 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
+def _member(z: zipfile.ZipFile, i: zipfile.ZipInfo, content: bytes, end: int) -> bytes:
+    """The bytes of a member that ends at `end` or before: those of a sound stored or deflated one at once, anything else as zipfile reads it, with its errors."""
+    at = i.header_offset
+    if content[at : at + 4] == b"PK\3\4" and len(content) >= at + 30 and not i.flag_bits & 0x61 and i.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        named, extra = struct.unpack_from("<HH", content, at + 26)
+        begin = at + 30 + named + extra
+        raw = content[begin : begin + i.compress_size]
+        if i.compress_type == zipfile.ZIP_DEFLATED:
+            try:
+                raw = zlib.decompressobj(-15).decompress(raw, i.file_size + 1)
+            except zlib.error:
+                return z.read(i)
+        name = i.orig_filename.encode("utf-8" if i.flag_bits & 0x800 else "cp437")
+        if begin + i.compress_size <= end and len(raw) == i.file_size and zlib.crc32(raw) == i.CRC and content[at + 30 : at + 30 + named] == name:
+            return raw
+    return z.read(i)
+
+
 def members(files: DataFrame) -> DataFrame:
     """[A3] One row for each member of files(path, content); one row with an error for a broken package. Each row holds its package's kind and verdict, so that
     packages are opened once and their members needn't meet again. Paths tell files apart."""
@@ -65,12 +85,15 @@ def members(files: DataFrame) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = []
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                    content = content.as_py() or b""
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
                         infos = z.infolist()
                         if sum(i.file_size for i in infos) > MAX_BYTES or len(infos) > MAX_MEMBERS:
                             raise zipfile.BadZipFile("too large")
+                        begins = sorted(i.header_offset for i in infos)
+                        ends = dict(zip(begins, [*begins[1:], z.start_dir], strict=True))
                         for k, i in enumerate(infos):
-                            raw = None if i.flag_bits & 1 else z.read(i)
+                            raw = None if i.flag_bits & 1 else _member(z, i, content, ends[i.header_offset])
                             own.append((path, k, i.filename, i.file_size, hashlib.sha256(raw).hexdigest() if raw is not None else None, bool(i.flag_bits & 1), None, raw))
                 except (zipfile.BadZipFile, OSError, EOFError) as e:
                     own = [(path, -1, None, None, None, False, str(e) or "broken", None)]
@@ -89,11 +112,11 @@ def members(files: DataFrame) -> DataFrame:
 def _verdict(rows: list[tuple]) -> tuple[str | None, str]:
     """Kind and verdict of the members of one package."""
     names = [r[2] for r in rows if r[2] is not None]
-    kinds = {SIGNATURES[x] for x in names if x in SIGNATURES}
-    kind, error = next(iter(kinds)) if len(kinds) == 1 else None, next((r[6] for r in rows if r[6] is not None), None)
+    kinds, error = {SIGNATURES[x] for x in names if x in SIGNATURES}, rows[0][6] if rows else None
+    kind, whole = kinds.pop() if len(kinds) == 1 else None, "\n".join(["", *names])  # most packages need no look at single names
     rules = {
-        "duplicate": len(rows) > len(set(names)), "encrypted": any(r[5] for r in rows), "signature": kind is None, "macro": any(x.lower().endswith("vbaproject.bin") for x in names),
-        "traversal": any(x.startswith("/") or "\\" in x or ".." in x.split("/") for x in names),
+        "duplicate": len(rows) > len(set(names)), "encrypted": True in [r[5] for r in rows], "signature": kind is None, "macro": "vbaproject.bin" in whole.lower() and any(x.lower().endswith("vbaproject.bin") for x in names),
+        "traversal": ("\n/" in whole or "\\" in whole or ".." in whole) and any(x.startswith("/") or "\\" in x or ".." in x.split("/") for x in names),
     }
     return kind, error or next((k for k, broken in rules.items() if broken), "ok")
 
