@@ -78,18 +78,20 @@ def guidance(documents: DataFrame, versions: DataFrame, days: int = 30) -> DataF
     """[M16] documents(doc_id, kind, ts) with the rule that stood at their time, by versions(kind, ts, rule, active), a versioned dimension.
 
     state is active or inactive as of the document's time, stale where the last version is older than `days`, missing where there is none; rule is given
-    while active. A version holds from its time to the next one's, so each document is in one interval; intervals are dealt to the days that they touch,
-    and documents meet them by kind and day, so that a kind with many documents is as many tasks as it has days. Of versions of one kind and time, the greatest rule counts.
+    while active. A version holds from its time to the next one's and is dealt to the days that it touches; documents stand among the versions of their
+    kind and day in order of time, and take the last one before them, so none meets more than one, and a kind with many documents is as many tasks as it
+    has days. Of versions of one kind and time, the greatest rule counts.
     """
-    once = versions.groupBy("kind", "ts").agg(F.max(F.struct("rule", "active")).alias("v")).select("kind", F.col("ts").alias("since"), "v.rule", "v.active")
+    once = versions.filter("kind is not null").groupBy("kind", "ts").agg(F.max(F.struct("rule", "active")).alias("v")).select("kind", F.col("ts").alias("since"), "v.rule", "v.active")
     later = F.lead("since").over(Window.partitionBy("kind").orderBy("since"))  # the versions of a kind, not its documents
     end = F.col("since") + F.make_dt_interval(days=F.lit(days + 1))
     spans = once.withColumn("until", F.least(F.coalesce(later, end), end))
-    dealt = spans.withColumn("day", F.explode(F.sequence(F.to_date("since"), F.to_date("until"))))
+    dealt = spans.select("kind", F.explode(F.sequence(F.to_date("since"), F.to_date("until"))).alias("day"), F.col("since").alias("at"), F.struct("since", "rule", "active").alias("own"))
     at = F.col("ts")
-    hit = documents.withColumn("day", F.to_date("ts")).join(dealt, ["kind", "day"], "left")
-    inside = (F.col("since") <= at) & (at < F.col("until"))
-    found = hit.groupBy(*documents.columns).agg(F.max(F.when(inside, F.struct("since", "rule", "active"))).alias("v"))
+    among = documents.withColumns({"day": F.to_date("ts"), "at": at, "is_document": F.lit(True)}).unionByName(dealt.withColumn("is_document", F.lit(False)), allowMissingColumns=True)
+    # A day's versions before a document's time, the one from an earlier day too; at one time versions come first.
+    held = F.last("own", ignorenulls=True).over(Window.partitionBy("kind", "day").orderBy("at", "is_document").rowsBetween(Window.unboundedPreceding, 0))
+    found = among.withColumn("v", held).filter("is_document").select(*documents.columns, "v")
     # Documents behind every interval that they could meet are told from those before the first version by the kind's first time.
     firsts = once.groupBy("kind").agg(F.min("since").alias("first"))
     rows = found.join(firsts, "kind", "left")
