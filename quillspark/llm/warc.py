@@ -6,8 +6,10 @@ lengths alone. Each record becomes a WARC record with an identifier made from it
 14 digits or fewer, a type by deduplication (response, or revisit of a record with an equal payload) and SHA-1 digests. A revisit
 names its response by WARC-Refers-To, -Target-URI and -Date, and each archive begins with a warcinfo record.
 
-ARC files are parsed once: each record is stored as the compressed member of a response, with its keys beside it. Types are
-found on the keys alone, so pages with equal payloads, however many, are only keys in the join; a revisit's member is made anew.
+ARC files are parsed twice: first for the keys of their records, on which types are found, so pages with equal payloads, however
+many, are only keys in that join; then for the records themselves, each the compressed member of a response, which meet their types
+by record identifier on the way to the archives. So no records lie on disk beside the shuffle and the archives; a revisit's member
+is made anew. The pages must be the same at both readings.
 
 An archive is a run of gzip members, one for each record, in a row of a Parquet table in the shared folder
 (Spark has no writer of raw bytes); `export` writes the same bytes as .warc.gz files to a local folder.
@@ -29,7 +31,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -168,7 +170,8 @@ def _page(head: bytes) -> int | None:
     return int(found[1]) if found else None
 
 
-CONVERTED = "row long, page_id long, uri string, ip string, date string, head binary, payload_digest string, payload_bytes long, record_id string, member binary"
+KEYS = "page_id long, uri string, date string, payload_digest string, payload_bytes long, record_id string"
+CONVERTED = "uri string, ip string, date string, head binary, payload_digest string, record_id string, member binary"
 _KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -177,35 +180,40 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[kind]) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def convert(arcs: DataFrame) -> DataFrame:
-    """The records of ARC files as responses: keys, and the gzip member of each. row numbers them (anew in each run: write them before use)."""
+def _parsed(arcs: DataFrame, schema: str, row: Callable[[ArcRecord, bytes, bytes, int | None, str, str, str], tuple]) -> DataFrame:
+    """A row for each record of ARC files, made from the record, its head and payload, page, date, digest and identifier."""
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n = TaskContext.get().partitionId() << 40
         for batch in batches:
             for data in batch.column("arc"):
                 rows = []
                 for r in parse_arc(data.as_py()):
                     head, payload = split_http(r.body)
                     page, date, digest = _page(head), warc_date(r.date), sha1(payload)
-                    name = record_id(r.url, date, digest, page)
-                    rows.append((n, page, r.url, r.ip, date, head, digest, len(payload), name, _member(warc_record("response", name, r.url, r.ip, date, digest, head + payload))))
-                    n += 1
-                yield _batch(rows, CONVERTED)
+                    rows.append(row(r, head, payload, page, date, digest, record_id(r.url, date, digest, page)))
+                yield _batch(rows, schema)
+
+    return arcs.mapInArrow(run, schema)
 
-    return arcs.mapInArrow(run, CONVERTED)
+
+def keys(arcs: DataFrame) -> DataFrame:
+    """What decides the types of the records of ARC files."""
+    return _parsed(arcs, KEYS, lambda r, head, payload, page, date, digest, name: (page, r.url, date, digest, len(payload), name))
+
+
+def convert(arcs: DataFrame) -> DataFrame:
+    """The records of ARC files as responses: the gzip member of each, and what a revisit needs."""
+    return _parsed(arcs, CONVERTED, lambda r, head, payload, page, date, digest, name: (r.url, r.ip, date, head, digest, name, _member(warc_record("response", name, r.url, r.ip, date, digest, r.body))))
 
 
 def revisits(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """row, and what the record refers to, of all records with an equal payload in one of a larger page_id. Only keys are joined, combined map-side by digest and length."""
+    """record_id, and what the record refers to, of all keys with an equal payload in one of a larger page_id. They are combined map-side by digest and length; equal rows have one identifier and one row."""
     own = F.coalesce("page_id", F.lit(LOWEST))
-    keys = records.filter(F.col("payload_bytes") >= least).select("row", own.alias("own"), "uri", "date", "record_id", "payload_digest", "payload_bytes")
-    firsts = keys.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("own", "record_id", "uri", "date")).alias("o"), F.count("*").alias("n")).filter("n > 1")
-    late = keys.join(firsts, ["payload_digest", "payload_bytes"]).filter(F.col("own") != F.col("o.own"))
-    return late.select("row", F.col("o.record_id").alias("to_id"), F.col("o.uri").alias("to_uri"), F.col("o.date").alias("to_date"))
+    near = records.filter(F.col("payload_bytes") >= least).select(own.alias("own"), "uri", "date", "record_id", "payload_digest", "payload_bytes")
+    firsts = near.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("own", "record_id", "uri", "date")).alias("o"), F.count("*").alias("n")).filter("n > 1")
+    late = near.select("record_id", "own", "payload_digest", "payload_bytes").join(firsts, ["payload_digest", "payload_bytes"]).filter(F.col("own") != F.col("o.own"))
+    return late.select("record_id", F.col("o.record_id").alias("to_id"), F.col("o.uri").alias("to_uri"), F.col("o.date").alias("to_date")).dropDuplicates(["record_id"])
 
 
 def _member(record: bytes) -> bytes:
@@ -246,7 +254,7 @@ def archives(records: DataFrame, late: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
 
     # A revisit's own member isn't needed any more.
-    joined = records.join(late, "row", "left").withColumn("member", F.when(F.col("to_id").isNull(), F.col("member")).otherwise(F.lit(b"")))
+    joined = records.join(late, "record_id", "left").withColumn("member", F.when(F.col("to_id").isNull(), F.col("member")).otherwise(F.lit(b"")))
     return joined.mapInArrow(run, "archive binary")
 
 
@@ -299,8 +307,8 @@ def resolved(records: DataFrame) -> DataFrame:
 def write(pages: DataFrame, version: int | None = None, least: int = MIN_REVISIT) -> DataFrame:
     """Pages to ARC, ARC to WARC archives in the shared folder; returns the archives read back."""
     ship_package(pages.sparkSession)
-    records = materialise(convert(to_arc(pages, version)), "records")
-    return materialise(archives(records, revisits(records, least)), "warc")
+    arcs = to_arc(pages, version)
+    return materialise(archives(convert(arcs), revisits(materialise(keys(arcs), "keys"), least)), "warc")
 
 
 def export(files: DataFrame, folder: str) -> int:

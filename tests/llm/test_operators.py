@@ -1,6 +1,8 @@
 """The ten operators: edge cases, and brute force where SQL can't express the result."""
 
 import hashlib
+import os
+import pathlib
 import random
 import re
 import zlib
@@ -475,6 +477,19 @@ def test_warc(spark):
     assert len({m[0] for m in made}) == 9 and {len(m[1]) for m in made} == {6, 8, 14} and {m[2] for m in made} == set(warc.KINDS)
 
 
+def test_warc_lays_records_down_once(spark):
+    rows = [(k, f"http://h{k}", random.Random(k % 90).randbytes(20_000).hex()) for k in range(100)]
+    rows += [rows[3]] * 3 + [rows[95]] * 2  # equal rows: one identifier, one type, no row more
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = os.path.join(shared.shared_folder(spark).removeprefix("file://"), "quill")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    files = warc.write(pages)
+    laid = sum(f.stat().st_size for k in set(os.listdir(folder)) - before for f in pathlib.Path(folder, k).iterdir())
+    assert laid < 1.2 * sum(len(r.archive) for r in files.collect())
+    got = rows_of(warc.resolved(warc.read(files, payloads=False)).select("page_id", "record_type", "refers_to", "payload_bytes"))
+    assert got == sorted(((k, *(("revisit", k + 90) if k < 10 else ("response", None)), 40_000) for k, _, _ in rows), key=repr)
+
+
 def test_arc_errors():
     good = warc.arc_file([warc.ArcRecord("http://a", "1.2.3.4", "20240102", "text/html", b"ab\ncd")], 2)
     assert [r.body for r in warc.parse_arc(good)] == [b"ab\ncd"]
