@@ -9,6 +9,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -365,6 +366,35 @@ def test_token_shards(spark, monkeypatch):
     assert len(block["symbols"]) / 2 < sum(block["sizes"])
 
 
+def test_encoder_keeps_chunks_that_it_meets(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain, encoder, learnt = Tokenizer.from_file(tokens.tokenizer_file()), tokens.Encoder(tokens.tokenizer_file()), []
+    learn = encoder._learn
+    monkeypatch.setattr(tokens, "REMEMBERED", 400)
+    monkeypatch.setattr(encoder, "_learn", lambda spaced, bare: learnt.extend(map(str, spaced)) or learn(spaced, bare))
+    common = [f"quill{k}ng" for k in range(30)] + [f"q{chr(k)}z" for k in (65, 90, 97, 122, 192, 214, 215, 216, 246, 247, 248, 591, 592, 768, 8217, 28450, 128512)] + ["it's", "a1b", "Ñandú,", "x.\nY"]
+    for batch in range(12):
+        texts = ["first " + " ".join(common), " ".join(f"w{'abcdefghijkl'[batch]}{VOCAB[k]}" for k in range(90)), common[batch]]
+        for ids, text in zip(encoder.encode(tk.texts(pa.array(texts))), texts, strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert len(encoder.ends) <= 401 and len(learnt) > 12 * 89
+    assert {learnt.count(x) for x in common[:30]} == {1}
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=400), st.integers(0, 5))
+def test_re_pair_by_search_and_table(ids, gap):
+    ids = np.array(ids * 20, dtype=np.uint32)
+    last = np.zeros(len(ids), dtype=bool)
+    last[:: gap + 3] = True
+    last[-1] = True
+    with pytest.MonkeyPatch.context() as patch:
+        table = tokens.compress(ids, last)
+        patch.setattr(tokens, "CELLS", 0)
+        assert all(map(np.array_equal, table, tokens.compress(ids, last)))
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=400), st.integers(0, 5))
 def test_re_pair(ids, gap):
