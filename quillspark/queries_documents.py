@@ -145,14 +145,12 @@ def run_groups(spark, sf):
 
 @query
 def replaced_units(spark, sf):
-    """Units get new text over the same runs, packages are rebuilt and read again"""
-    files, parts = R.packages(spark, sf), _good(spark, sf)
-    values = packages.text_units(parts).select("path", "part", "location", F.concat(F.lit("neu "), "source", F.lit(" & <mehr>")).alias("value"))
-    # Both are read again below; each pass over the packages makes and opens them anew.
-    changed = folders.written(packages.replaced_units(parts, values), "changed")
-    after = folders.written(packages.members(packages.rebuild(files.join(changed.select("path").distinct(), "path", "left_semi"), changed)).select("path", "name", "raw"), "after")
-    kept = packages.structure_changes(packages.canonical(parts.join(changed.select("path", "name"), ["path", "name"], "left_anti").join(changed.select("path").distinct(), "path", "left_semi")), packages.canonical(after.join(changed.select("path", "name"), ["path", "name"], "left_anti")))
-    return packages.text_units(after).select("path", "part", "location", "source").unionByName(kept.select("path", F.col("name").alias("part"), F.col("change").alias("location"), F.lit("").alias("source")))
+    """Units get new text over the same runs, packages are rebuilt and read again. Units, values and both packages stay in one row, so nothing is shuffled but the lines that packages are made from."""
+    units = F.filter("units", lambda u: u["source"].rlike(packages.LETTER))
+    values = F.transform(units, lambda u: F.struct(u["part"], u["location"], F.concat(F.lit("neu "), u["source"], F.lit(" & <mehr>")).alias("value")))
+    files = packages.with_units(R.packages(spark, sf)).select("path", "content", values.alias("values")).filter(F.size("values") > 0)
+    rows = packages.reread_units(packages.with_replaced_units(files))
+    return rows.select("path", "part", F.coalesce("location", "change").alias("location"), F.coalesce("source", F.lit("")).alias("source"))
 
 
 @query
