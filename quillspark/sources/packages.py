@@ -11,8 +11,8 @@ import xml.etree.ElementTree as ET
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
-from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -258,6 +258,7 @@ def broken_relationships(parts: DataFrame) -> DataFrame:
     return met.select("path", "target", F.inline("own")).select("path", "source", "rel_id", "kind", "target", F.lit(False).alias("external"))
 
 
+@lru_cache(4096)
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -301,26 +302,25 @@ def slides(parts: DataFrame) -> DataFrame:
     return met.select("path", F.explode("pos").alias("pos"), "parts").select("path", "pos", F.explode("parts").alias("part"))
 
 
-def _paragraph_runs(root: ET.Element) -> Iterator[tuple[int, ET.Element, list[tuple[int, str, ET.Element | None]]]]:
-    """Of each paragraph in document order: its number, itself, and its marks: place, the links around it, and the text node, or None for what breaks a unit."""
+# Elements around the runs of a paragraph, and what breaks a unit inside a run.
+AROUND, BREAKS = frozenset(("hyperlink", "ins", "smartTag", "sdt", "sdtContent")), frozenset(("br", "tab", "drawing", "fldChar", "instrText", "pict"))
 
-    def walk(node: ET.Element, link: str, at: list[int]) -> Iterator[tuple[int, str, ET.Element | None]]:
-        for x in node:
-            tag = _local(x.tag)
-            if tag in ("hyperlink", "ins", "smartTag", "sdt", "sdtContent"):
-                yield from walk(x, f"{link}/{tag}{at[0]}", at)
-            elif tag == "r":
-                for y in x:
-                    kind = _local(y.tag)
-                    if kind == "t" or kind in ("br", "tab", "drawing", "fldChar", "instrText", "pict"):
-                        yield at[0], link if kind == "t" else "", y if kind == "t" else None
-                        at[0] += 1
-            elif tag in ("fld", "br"):
-                yield at[0], "", None
-                at[0] += 1
 
-    for n, p in enumerate(x for x in root.iter() if _local(x.tag) == "p"):
-        yield n, p, list(walk(p, "", [0]))
+def _add_marks(node: ET.Element, link: str, marks: list[tuple[str, ET.Element | None]]) -> None:
+    """The marks of a paragraph in document order: the links around a text and its node, or None for what breaks a unit."""
+    for x in node:
+        tag = _local(x.tag)
+        if tag == "r":
+            for y in x:
+                kind = _local(y.tag)
+                if kind == "t":
+                    marks.append((link, y))
+                elif kind in BREAKS:
+                    marks.append(("", None))
+        elif tag in AROUND:
+            _add_marks(x, f"{link}/{tag}{len(marks)}", marks)
+        elif tag in ("fld", "br"):
+            marks.append(("", None))
 
 
 #: What a unit's text must hold.
@@ -331,6 +331,9 @@ UNIT_PARTS = r"^(word/(document|header\d*|footer\d*|footnotes|endnotes)|ppt/(sli
 
 UNIT_PART = re.compile(UNIT_PARTS, re.ASCII)
 
+#: Categories of paragraphs by the elements around them; the first match wins. Behind a break a unit begins, whatever its links.
+CATEGORIES, BREAK = {"tc": "table_cell", "txBody": "shape_text", "txbxContent": "shape_text", "hdr": "header", "ftr": "footer"}, "break"
+
 
 def _is_unit_part(name: str) -> bool:
     return UNIT_PART.match(name) is not None and "/embeddings/" not in name
@@ -338,25 +341,22 @@ def _is_unit_part(name: str) -> bool:
 
 def _part_units(root: ET.Element) -> Iterator[tuple[str, str, list[ET.Element]]]:
     """Location, category and text nodes of the units of a part: gaps and islands over links, fields and breaks of a paragraph. A part is parsed by one task, so its units need no shuffle."""
-    parents = {child: node for node in root.iter() for child in node}
-    for n, p, marks in _paragraph_runs(root):
-        up, chain = p, []
-        while up in parents:
-            up = parents[up]
-            chain.append(_local(up.tag))
-        category = next((c for t, c in (("tc", "table_cell"), ("txBody", "shape_text"), ("txbxContent", "shape_text"), ("hdr", "header"), ("ftr", "footer")) if t in chain), "text")
-        island, before, own = 0, None, []
-        for _, link, node in marks:
-            here = (link, node is None)
-            if node is None or (before is not None and here != before):
+    tags = [(x, _local(x.tag)) for x in root.iter()]
+    boxes = sorted(((list(CATEGORIES).index(tag), x) for x, tag in tags if tag in CATEGORIES), key=lambda b: -b[0])
+    category = {p: list(CATEGORIES.values())[rank] for rank, x in boxes for p in x.iter()}  # the first of those around a paragraph comes last
+    for n, p in enumerate(x for x, tag in tags if tag == "p"):
+        marks, own, island, before = [], [], 0, None
+        _add_marks(p, "", marks)
+        for link, node in marks:
+            if node is None or (before is not None and link != before):
                 if own:
-                    yield f"p:{n}/u:{island}", category, own
+                    yield f"p:{n}/u:{island}", category.get(p, "text"), own
                 island, own = island + 1, []
             if node is not None:
                 own.append(node)
-            before = here
+            before = BREAK if node is None else link
         if own:
-            yield f"p:{n}/u:{island}", category, own
+            yield f"p:{n}/u:{island}", category.get(p, "text"), own
 
 
 def _source(own: list[ET.Element]) -> str:
@@ -375,11 +375,14 @@ def text_units(parts: DataFrame) -> DataFrame:
 
 def _replaced(raw: bytes, given: dict[str, str | None]) -> bytes | None:
     """A part in which units are given other text by location; None if it has no such unit or is no XML."""
+    reader = ET.XMLPullParser(["start-ns", "start"])
     try:
-        root = ET.fromstring(raw)
+        reader.feed(raw)
+        reader.close()
+        events = list(reader.read_events())
     except ET.ParseError:
         return None
-    changed = False
+    root, changed = next(x for kind, x in events if kind == "start"), False
     for location, _, own in _part_units(root):
         if location in given:
             changed = True
@@ -388,9 +391,9 @@ def _replaced(raw: bytes, given: dict[str, str | None]) -> bytes | None:
                 node.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
     if not changed:
         return None
-    reader = expat.ParserCreate(namespace_separator="}")
-    reader.StartNamespaceDeclHandler = lambda prefix, uri: ET.register_namespace(prefix, uri) if prefix and uri and not prefix.startswith("ns") else None
-    reader.Parse(raw, True)
+    for prefix, uri in (x for kind, x in events if kind == "start-ns"):
+        if prefix and not prefix.startswith("ns"):
+            ET.register_namespace(prefix, uri)
     # As ET.tostring writes UTF-8, but without its writer of streams.
     return ("<?xml version='1.0' encoding='UTF-8'?>\n" + ET.tostring(root, encoding="unicode")).encode(errors="xmlcharrefreplace")
 
